@@ -42,7 +42,7 @@ def targets(sized: DataFrame) -> DataFrame:
     from_here = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.sum("source_size").over(Window.partitionBy()) - MOST * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(from_here)
     per = per.withColumn("level", level).withColumn("under", F.col("weight") * F.col("level") <= MOST * F.col("source_size"))
-    per = per.withColumn("final", F.min(F.when(F.col("under"), F.col("level"))).over(Window.partitionBy()))
+    per = per.withColumn("final", F.max(F.when(F.col("under"), F.col("level"))).over(Window.partitionBy()))
     target = F.least(MOST * F.col("source_size").cast("double"), F.coalesce(F.col("weight") * F.col("final"), MOST * F.col("source_size").cast("double")))
     per = per.withColumn("target", target)
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
@@ -89,7 +89,7 @@ WITH sized AS (
     / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed WINDOW o AS (ORDER BY source_size / weight, source IS NULL, source)
 ), ended AS (
-  SELECT *, min(CASE WHEN weight * level <= 3 * source_size THEN level END) OVER () AS final FROM levels
+  SELECT *, max(CASE WHEN weight * level <= 3 * source_size THEN level END) OVER () AS final FROM levels
 ), aimed AS (
   SELECT source, source_size, least(3 * source_size::DOUBLE, coalesce(weight * final, 3 * source_size::DOUBLE)) AS target FROM ended
 ), rated AS (
