@@ -21,17 +21,17 @@ import numpy as np
 
 SPACE = "▁"
 #: A line end alone, a run of spaces with what follows it, or what follows a line end.
-UNIT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+UNIT = re.compile("\n| +[^ \n]*|[^ \n]+")
 BIG = np.int32(2**31 - 1)
 #: Units longer than this are relaxed one by one.
 LONG = 256
 
 
 def units_of(text: str) -> list[str]:
-    """The independent units of a text; the model puts one space in front."""
+    """The independent units of a text, with plain spaces; the model puts one in front."""
     if not text:
         return []
-    return UNIT.findall(SPACE + text.replace(" ", SPACE))
+    return UNIT.findall(" " + (text.replace(SPACE, " ") if SPACE in text else text))
 
 
 class IntMap:
@@ -326,6 +326,7 @@ def utf8_widths(codes: np.ndarray) -> np.ndarray:
 def joined(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the joined units, first positions, and each position's unit end."""
     codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(codes == 32, np.uint32(ord(SPACE)), codes)
     lengths = np.fromiter(map(len, units), np.int64, len(units))
     ends = np.cumsum(lengths)
     return codes, ends - lengths, np.repeat(ends, lengths)

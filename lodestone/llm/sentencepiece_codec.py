@@ -23,7 +23,8 @@ from . import bpe
 from .common import grouped, small_batches
 from .token_counts import slices
 
-KEPT_UNITS = 300_000
+#: Units whose ids a worker keeps; then it starts anew. Results don't depend on it.
+KEPT_UNITS = 800_000
 WORD = 4  # letters packed into one integer
 
 
@@ -122,7 +123,7 @@ class Codec:
     def __init__(self, data: bytes):
         self.model = bpe.model(data)
         self.matcher = Matcher(self.model)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
         m = self.model
         self.surface = {int(i): p for p, i in zip(m.pieces, m.ids, strict=True)}
         # Bytes above 127 take the form that the surrogateescape handler turns back into bytes.
@@ -132,10 +133,10 @@ class Codec:
         if len(self.known) > KEPT_UNITS:
             self.known.clear()
         new = set().union(*texts) - self.known.keys()
-        for part in slices(new, 300_000):
+        for part in slices(new, 800_000):
             self.known.update(zip(part, self.unit_ids(part), strict=True))
 
-    def unit_ids(self, units: list[str]) -> list[np.ndarray]:
+    def unit_ids(self, units: list[str]) -> list[bytes]:
         m = self.model
         codes, starts, _ = bpe.joined(units)
         lengths = np.append(starts[1:], len(codes)) - starts
@@ -148,14 +149,14 @@ class Codec:
         s, e = plain[s], plain[s] + (e - s)
         last, _ = m.relax(starts, len(codes), (s, e, p), bpe.utf8_widths(codes))
         ids, at = m.traced(starts, last, codes)
-        ids = ids.astype(np.int32)
-        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        raw = ids.astype(np.int32).tobytes()
+        at = (at * 4).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units = [bpe.units_of(t) for t in texts]
         self.learn(units)
-        empty = np.zeros(0, np.int32)
-        return [np.concatenate([self.known[u] for u in x]) if x else empty for x in units]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.int32) for x in units]
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
