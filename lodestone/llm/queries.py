@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentencepiece_codec, sharding, simhash, token_counts
+from . import mixing, quality, sentencepiece_codec, sharding, simhash, token_counts, toxicity
 from .common import read
 
 
@@ -12,6 +12,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(read(spark, sf_dir, "documents"), token_counts.model_bytes())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.resharded(read(spark, sf_dir, "documents"))
 
@@ -28,7 +36,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), token_counts.model_bytes())
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op7_min_cost_flow_resharding, op8_simhash, op9_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_toxicity, op6_quality, op7_min_cost_flow_resharding, op8_simhash, op9_mixing, op10_token_counts)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL}
