@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, media, mixing, quality, sentencepiece_codec, sharding, simhash, token_counts, toxicity
+from . import ann, html_text, media, mixing, quality, sentencepiece_codec, sharding, simhash, token_counts, toxicity
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op3_space_filling_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op4_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), token_counts.model_bytes())
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_media_chunks, op3_space_filling_curves, op5_toxicity, op6_quality, op7_min_cost_flow_resharding, op8_simhash, op9_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_media_chunks, op3_space_filling_curves, op4_block_labeller, op5_toxicity, op6_quality, op7_min_cost_flow_resharding, op8_simhash, op9_mixing, op10_token_counts)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL}
