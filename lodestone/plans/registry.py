@@ -2,6 +2,579 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import Settings
+from ..functions import periods as P
+from ..functions import text as T
+from ..operators import admission, answers, evaluation, pages, retrieval
+from ..sources import index
+from ..sources import pages as page_sources
+from . import corpora as C
+
 FLAGSHIP = "t2_topk"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return C.table(s, d, "documents")
+
+
+def _expr(name: str, column: Callable, sql: str, cast: str | None = None, of: str = "documents", ids: tuple[str, ...] = ("doc_id",)) -> None:
+    """A query that shows one expression of each text of a table."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        c = column(F.col("text"))
+        return C.table(s, d, of).select(*ids, (c.cast(cast) if cast else c).alias("v"))
+
+    query(name, f"SELECT {', '.join(ids)}, {sql} AS v FROM {of}")(run)
+
+
+def _quoted(values: list[str]) -> str:
+    return ", ".join("'" + v + "'" for v in values)
+
+
+# Expressions in DuckDB's dialect.
+TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+SPACED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+WORDS = f"list_filter(string_split({SPACED}, ' '), lambda w: w <> '')"
+NOISE = r"(length(trim(x)) > 0 AND length(trim(x)) < 40 AND length(regexp_replace(trim(x), '[^\p{L}\p{N}\s]', '', 'g')) / length(trim(x)) < 0.6)"
+LINES = r"string_split(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), '\r\n?', chr(10), 'g'), chr(10))"
+CLEAN = rf"regexp_replace(regexp_replace(array_to_string(list_transform(list_filter({LINES}, lambda x: NOT {NOISE}), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+STOP = _quoted(T.STOPWORDS)
+
+_expr("f1_tokenize", lambda t: F.md5(F.array_join(T.tokens(t), " ")), f"md5(array_to_string({TOKENS}, ' '))")
+_expr("p1_garbage_lines", lambda t: F.size(F.filter(F.split(t, "\n"), T.is_noise)), f"len(list_filter(string_split(text, chr(10)), lambda x: {NOISE}))::BIGINT", "long")
+_expr("p2_deglue", lambda t: F.md5(T.split_joined(t)), r"md5(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'))")
+_expr("p3_clean", lambda t: F.md5(T.cleaned(t)), f"md5({CLEAN})")
+_expr("f7_blocks", lambda t: F.size(T.blocks(t)), r"len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda b: length(trim(b)) > 0))::BIGINT", "long")
+_expr("f13_ws_norm", lambda t: F.md5(T.one_spaced(t)), f"md5({SPACED})")
+_expr("f8_count_tokens", T.word_count, f"len({WORDS})::BIGINT")
+_expr("f18_preview", lambda t: F.md5(T.preview(t)), f"md5(substr({SPACED}, 1, 280) || ' ...')")
+_expr("p11_snippet", lambda t: F.md5(T.snippet(t)), "md5(CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '…' ELSE text END)")
+_expr("t8_overlap_tail", lambda t: F.md5(T.last_words(t, 60)), f"md5(array_to_string(list_slice({WORDS}, greatest(len({WORDS}) - 59, 1), len({WORDS})), ' '))")
+_expr("a17_numeric_density", lambda t: F.round(T.numeric_share(t), 6), f"coalesce(round(len(list_filter({TOKENS}, lambda x: regexp_matches(x, '[0-9]'))) / nullif(len({TOKENS}), 0), 6), 0)")
+_expr("f2_query_tokens", lambda t: F.array_join(T.query_tokens(t), " "), f"CASE WHEN len(list_filter({TOKENS}, lambda t: t NOT IN ({STOP}) AND NOT regexp_full_match(t, '[0-9]+'))) > 0 THEN array_to_string(list_filter({TOKENS}, lambda t: t NOT IN ({STOP}) AND NOT regexp_full_match(t, '[0-9]+')), ' ') ELSE array_to_string({TOKENS}, ' ') END", of="benchmark", ids=("item_id",))
+_expr("f12_answer_norm", lambda t: F.md5(T.answer_key(t)), r"md5(regexp_replace(lower(text), '[,\s]', '', 'g'))", of="benchmark", ids=("item_id",))
+_expr("f4_question_key", lambda t: F.md5(T.question_key(t)), f"md5(lower({SPACED}))", of="conversations", ids=("conv_id", "turn"))
+_expr("p14_wants_number", T.wants_number, "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in T.FIGURE_WORDS) + ")", of="conversations", ids=("conv_id", "turn"))
+_expr("p16_names_period", P.names_period, rf"(regexp_matches(lower(text), '\b(19|20)\d{{2}}\b') OR regexp_matches(lower(text), '{'|'.join(P.MONTHS)}'))", of="conversations", ids=("conv_id", "turn"))
+_expr("f16_scrub", lambda t: F.md5(T.scrubbed(t, "the")), "md5(replace(text, 'the', '***'))", of="benchmark", ids=("item_id",))
+
+
+@query("p4_nonempty", f"SELECT count(*) AS n FROM documents WHERE length({CLEAN}) > 0")
+def p4(s, d):
+    return _docs(s, d).where(F.length(T.cleaned(F.col("text"))) > 0).agg(F.count("*").alias("n"))
+
+
+@query("w12_split_by_tokens", f"WITH w AS (SELECT doc_id, unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS i FROM documents) SELECT doc_id, (i - 1) // 350 AS piece, md5(string_agg(w, ' ' ORDER BY i)) AS v FROM w GROUP BY ALL")
+def w12(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(T.word_pieces(F.col("text"), 350)).alias("piece", "t")).select("doc_id", F.col("piece").cast("long").alias("piece"), F.md5("t").alias("v"))
+
+
+@query("a1_pages_per_doc", "SELECT source AS doc, count(*) AS n FROM documents GROUP BY source")
+def a1(s, d):
+    return _docs(s, d).groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("n"))
+
+
+@query("a2_token_stats", f"SELECT min(n) AS least, sum(n)::BIGINT // count(*) AS mean, max(n) AS most FROM (SELECT len({WORDS})::BIGINT AS n FROM documents)")
+def a2(s, d):
+    n = T.word_count(F.col("text"))
+    return _docs(s, d).agg(F.min(n).alias("least"), F.floor(F.sum(n) / F.count("*")).alias("mean"), F.max(n).alias("most"))
+
+
+@query("s7_collection_size", "SELECT count(*) AS n FROM documents")
+def s7(s, d):
+    return _docs(s, d).agg(F.count("*").alias("n"))
+
+
+@query("s8_fingerprint")
+def s8(s, d):
+    return index.fingerprint(C.prose(s, d))
+
+
+@query("w7_chunk_index", "SELECT doc_id AS chunk_id, source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index FROM documents")
+def w7(s, d):
+    c = C.prose(s, d)
+    return c.select("chunk_id", "doc", (F.row_number().over(Window.partitionBy("doc").orderBy("chunk_id")) - 1).cast("long").alias("chunk_index"))
+
+
+@query("a4_list_documents", "SELECT source AS doc, min_by(lang, doc_id) AS doc_label, min_by(n_chars, doc_id) AS fiscal_period, count(DISTINCT doc_id // 3) AS pages, count(*) AS chunks FROM documents GROUP BY source")
+def a4(s, d):
+    c = _docs(s, d).select(F.col("source").alias("doc"), F.col("lang").alias("doc_label"), F.col("n_chars").alias("fiscal_period"), F.floor(F.col("doc_id") / 3).alias("page"), F.col("doc_id").alias("chunk_index"))
+    return pages.documents(c)
+
+
+@query("t6_sorted_docs", "SELECT source AS doc, row_number() OVER (ORDER BY source) AS place FROM (SELECT DISTINCT source FROM documents)")
+def t6(s, d):
+    return _docs(s, d).select(F.col("source").alias("doc")).distinct().select("doc", F.row_number().over(Window.orderBy("doc")).cast("long").alias("place"))
+
+
+# --- Retrieval over documents, asked with the benchmark's texts -------------------------------------------------------------
+
+SEARCH = rf"""
+WITH chunks AS (SELECT doc_id AS chunk_id, source AS doc, text, length(text) < 600 AS is_row FROM documents),
+questions AS (SELECT item_id AS qid, text AS question FROM benchmark),
+ctok AS (SELECT chunk_id, is_row, {TOKENS} AS toks FROM chunks),
+ct AS (SELECT chunk_id, is_row, unnest(toks) AS term FROM ctok),
+post AS (SELECT chunk_id, term, count(*) AS tf FROM ct GROUP BY ALL),
+stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM ctok),
+raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY term), stats),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+common AS (SELECT term, df FROM (SELECT term, count(DISTINCT chunk_id) AS df FROM ct WHERE NOT is_row GROUP BY term), (SELECT count(*) AS n FROM chunks WHERE NOT is_row) WHERE n >= 50 AND df / n > 0.5),
+qt AS (SELECT qid, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM (SELECT qid, {TOKENS.replace('text', 'question')} AS toks FROM questions)),
+left_ AS (SELECT qid, string_agg(term, ' ' ORDER BY pos) AS focus FROM qt WHERE term NOT IN ({STOP}) AND NOT regexp_full_match(term, '[0-9]+') AND length(term) > 1 AND term NOT IN (SELECT term FROM common) GROUP BY qid),
+asked AS (SELECT q.qid, question, coalesce(focus, question) AS focus FROM questions q LEFT JOIN left_ USING (qid)),
+ft AS (SELECT qid, unnest({TOKENS.replace('text', 'focus')}) AS term FROM asked),
+good AS (SELECT * FROM ft WHERE term NOT IN ({STOP}) AND NOT regexp_full_match(term, '[0-9]+')),
+terms AS (SELECT * FROM good UNION ALL SELECT * FROM ft WHERE qid NOT IN (SELECT qid FROM good)),
+bm AS (SELECT qid, chunk_id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(toks) / avgdl))), 6) AS bm25 FROM terms JOIN post USING (term) JOIN idf USING (term) JOIN ctok USING (chunk_id), stats GROUP BY qid, chunk_id),
+cv AS (SELECT chunk_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 128 AS k, sum(tf)::DOUBLE AS c FROM post GROUP BY ALL),
+qv AS (SELECT qid, ('0x' || substr(md5(term), 1, 8))::BIGINT % 128 AS k, count(*)::DOUBLE AS c FROM ft GROUP BY ALL),
+cn AS (SELECT chunk_id, sqrt(sum(c * c)) AS n FROM cv GROUP BY chunk_id),
+qn AS (SELECT qid, sqrt(sum(c * c)) AS n FROM qv GROUP BY qid),
+dots AS (SELECT qid, chunk_id, sum(qv.c * cv.c) AS dot FROM qv JOIN cv USING (k) GROUP BY qid, chunk_id),
+pairs AS (SELECT qid, chunk_id, doc, is_row, round(coalesce(dot / (cn.n * qn.n), 0), 6) AS similarity, coalesce(bm25, 0) AS bm25
+  FROM questions CROSS JOIN chunks LEFT JOIN dots USING (qid, chunk_id) LEFT JOIN cn USING (chunk_id) LEFT JOIN qn USING (qid) LEFT JOIN bm USING (qid, chunk_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS vec_rank, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_id) AS bm25_rank,
+  row_number() OVER (PARTITION BY qid, is_row ORDER BY similarity DESC, chunk_id) - 1 AS vec_type_rank, row_number() OVER (PARTITION BY qid, is_row ORDER BY bm25 DESC, chunk_id) - 1 AS bm25_type_rank FROM pairs),
+fused AS (SELECT *, round(1.0::DOUBLE / (60 + vec_type_rank) + 1.0::DOUBLE / (60 + bm25_type_rank), 8) AS rrf FROM ranked),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 8)
+"""
+
+
+def _ranked(s, d):
+    return retrieval.ranks(retrieval.candidates(C.questions(s, d), C.prose(s, d)))
+
+
+def _found(s, d):
+    return retrieval.search(C.questions(s, d), C.prose(s, d))
+
+
+def _with_text(s, d):
+    """What was found, as passages with page and position."""
+    c = C.prose(s, d)
+    place = (F.row_number().over(Window.partitionBy("doc").orderBy("chunk_id")) - 1).cast("long")
+    facts = c.select("chunk_id", "text", (F.col("chunk_id") + 1).alias("page"), place.alias("chunk_index"), F.when(F.col("is_row"), "row").otherwise("prose").alias("chunk_type"), F.lit("").alias("doc_label"))
+    return _found(s, d).join(facts, "chunk_id")
+
+
+@query("a5_common_terms", SEARCH + "SELECT term, df FROM common")
+def a5(s, d):
+    return retrieval.common_terms(C.prose(s, d))
+
+
+@query("a6_bm25_stats", SEARCH + "SELECT term, df, round(idf, 6) AS idf FROM idf")
+def a6(s, d):
+    c = C.prose(s, d)
+    return retrieval.idf(retrieval.postings(c), retrieval.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("a6_bm25_corpus", SEARCH + "SELECT n, round(avgdl, 6) AS avgdl FROM stats")
+def a6b(s, d):
+    return retrieval.corpus_stats(C.prose(s, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query("f3_focus_query", SEARCH + "SELECT qid, focus FROM asked")
+def f3(s, d):
+    return retrieval.focused(C.questions(s, d), C.prose(s, d)).select("qid", "focus")
+
+
+@query("a7_bm25_score", SEARCH + "SELECT qid, chunk_id, bm25 FROM bm")
+def a7(s, d):
+    asked = retrieval.focused(C.questions(s, d), C.prose(s, d))
+    return retrieval.bm25(C.prose(s, d), asked.select("qid", F.explode(T.query_tokens(F.col("focus"))).alias("term"))).select("qid", "chunk_id", "bm25")
+
+
+@query("w3_w4_mixed_ranks", SEARCH + "SELECT qid, chunk_id, similarity, bm25, vec_rank, bm25_rank FROM ranked")
+def w3(s, d):
+    return _ranked(s, d).select("qid", "chunk_id", "similarity", "bm25", "vec_rank", "bm25_rank")
+
+
+@query("w5_type_ranks", SEARCH + "SELECT qid, chunk_id, is_row, vec_type_rank, bm25_type_rank FROM ranked")
+def w5(s, d):
+    return _ranked(s, d).select("qid", "chunk_id", "is_row", "vec_type_rank", "bm25_type_rank")
+
+
+@query("a8_rrf", SEARCH + "SELECT qid, chunk_id, rrf FROM fused")
+def a8(s, d):
+    return retrieval.fused(_ranked(s, d)).select("qid", "chunk_id", "rrf")
+
+
+@query("t2_topk", SEARCH + "SELECT qid, chunk_id, doc, similarity, bm25, vec_rank, bm25_rank, rrf, rank FROM best")
+def t2(s, d):
+    return _found(s, d).select("qid", "chunk_id", "doc", "similarity", "bm25", "vec_rank", "bm25_rank", "rrf", "rank")
+
+
+@query("t4_vector_only", SEARCH + "SELECT qid, chunk_id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS rank FROM pairs QUALIFY rank <= 8")
+def t4(s, d):
+    return retrieval.search(C.questions(s, d), C.prose(s, d), Settings(use_hybrid=False)).select("qid", "chunk_id", "similarity", "rank")
+
+
+@query("p6_doc_filter_global_stats", SEARCH + ", only AS (SELECT * FROM pairs WHERE doc = 'src1'), r2 AS (SELECT *, row_number() OVER (PARTITION BY qid, is_row ORDER BY similarity DESC, chunk_id) - 1 AS a, row_number() OVER (PARTITION BY qid, is_row ORDER BY bm25 DESC, chunk_id) - 1 AS b FROM only) SELECT qid, chunk_id, bm25, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 8) AS rrf FROM r2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) <= 8")
+def p6(s, d):
+    return retrieval.search(C.questions(s, d).withColumn("doc", F.lit("src1")), C.prose(s, d)).select("qid", "chunk_id", "bm25", "rrf")
+
+
+_MODEL = f"round(len(list_intersect(list_distinct({TOKENS.replace('text', 'question')}), list_distinct({TOKENS}))) / greatest(1, len(list_distinct({TOKENS.replace('text', 'question')}))), 6)"
+_DENSE = f"coalesce(round(len(list_filter({TOKENS}, lambda x: regexp_matches(x, '[0-9]'))) / nullif(len({TOKENS}), 0), 6), 0)"
+_WANTS = "(" + " OR ".join(f"contains(lower(question), '{w}')" for w in T.FIGURE_WORDS) + ")"
+
+
+@query("m5_rerank", SEARCH + f", pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) AS f FROM fused QUALIFY f <= 25), scored AS (SELECT p.qid, p.chunk_id, f, {_MODEL} AS m, {_DENSE} AS n, {_WANTS} AS wants FROM pool p JOIN chunks c USING (chunk_id) JOIN questions q ON q.qid = p.qid), total AS (SELECT qid, chunk_id, f, round(1.0::DOUBLE / (9 + f) + 1.0::DOUBLE / (9 + row_number() OVER (PARTITION BY qid ORDER BY m DESC, f)) + CASE WHEN wants THEN 1.0::DOUBLE / (9 + row_number() OVER (PARTITION BY qid ORDER BY n DESC, f)) ELSE 0 END, 8) AS fused FROM scored) SELECT qid, chunk_id, fused, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, f) AS rank FROM total QUALIFY rank <= 8")
+def m5(s, d):
+    return retrieval.search(C.questions(s, d), C.prose(s, d), Settings(use_reranker=True)).select("qid", "chunk_id", "fused", "rank")
+
+
+@query("p12_gate1", SEARCH + "SELECT qid, max(similarity) AS top_similarity, max(similarity) >= 0.3 AS passed FROM best GROUP BY qid")
+def p12(s, d):
+    return answers.with_gate(_found(s, d), C.questions(s, d).select("qid"), 0.30)
+
+
+@query("p11_response", SEARCH + "SELECT qid, chunk_id, round_even(similarity, 4) AS cosine, round_even(bm25, 3) AS bm25, round_even(rrf, 5) AS rrf, vec_rank, bm25_rank FROM best")
+def p11(s, d):
+    return answers.shown(_with_text(s, d)).drop("snippet")
+
+
+@query("w8_passage_no", SEARCH + "SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY doc, chunk_id) AS passage_no FROM best")
+def w8(s, d):
+    return answers.passages(_with_text(s, d)).select("qid", "chunk_id", "passage_no")
+
+
+@query("f14_context", SEARCH + "SELECT qid, md5(string_agg('[' || p || '] ' || doc || ', page ' || (chunk_id + 1) || CASE WHEN is_row THEN ' [table row: each value is labelled with its column]' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY p)) AS v FROM (SELECT b.*, c.text, row_number() OVER (PARTITION BY qid ORDER BY b.doc, chunk_id) AS p FROM best b JOIN chunks c USING (chunk_id)) GROUP BY qid")
+def f14(s, d):
+    return answers.contexts(answers.passages(_with_text(s, d))).select("qid", F.md5("context").alias("v"))
+
+
+@query("j8_fallback_citation", SEARCH + "SELECT qid, arg_max(chunk_id, similarity * 1000 - rank::DOUBLE / 1e6) AS chunk_id FROM best GROUP BY qid")
+def j8(s, d):
+    n = answers.passages(_with_text(s, d))
+    none = C.questions(s, d).select("qid", F.array().cast("array<bigint>").alias("used"))
+    return answers.cited(n, none).join(n, ["qid", "passage_no"]).select("qid", "chunk_id")
+
+
+@query("j9_cited_flag", SEARCH + "SELECT qid, chunk_id, p IN (1, 3) AS cited FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY doc, chunk_id) AS p FROM best)")
+def j9(s, d):
+    n = answers.passages(_with_text(s, d))
+    used = answers.cited(n, C.questions(s, d).select("qid", F.array(F.lit(1), F.lit(3), F.lit(99)).cast("array<bigint>").alias("used")))
+    return n.join(used.withColumn("cited", F.lit(True)), ["qid", "passage_no"], "left").select("qid", "chunk_id", F.coalesce("cited", F.lit(False)).alias("cited"))
+
+
+_NEEDLES = ", needles AS (SELECT qid, lower(trim(substr(question, 1, 40))) AS needle FROM questions UNION ALL SELECT qid, lower(trim(substr(question, 41, 40))) FROM questions), hits AS (SELECT qid, needle, rank FROM best JOIN chunks USING (chunk_id) JOIN needles USING (qid) WHERE contains(lower(" + SPACED + "), " + SPACED.replace("text", "needle") + ")), judged AS (SELECT n.qid, bool_or(r IS NOT NULL) AS any_hit, bool_and(r IS NOT NULL) AS all_hit, min(r) AS first_rank FROM needles n LEFT JOIN (SELECT qid, needle, min(rank) AS r FROM hits GROUP BY ALL) h ON n.qid = h.qid AND n.needle = h.needle GROUP BY n.qid) "
+
+
+def _needles(s, d):
+    q = C.questions(s, d)
+    part = lambda a: q.select("qid", F.lower(F.trim(F.substring("question", a, 40))).alias("needle"))
+    return part(1).union(part(41))
+
+
+@query("j13_needle", SEARCH + _NEEDLES + "SELECT qid, needle, rank FROM hits")
+def j13(s, d):
+    return evaluation.needle_hits(_with_text(s, d), _needles(s, d))
+
+
+@query("a14_a15_any_all_first", SEARCH + _NEEDLES + "SELECT qid, any_hit, all_hit, first_rank FROM judged")
+def a14(s, d):
+    return evaluation.judged(_needles(s, d), evaluation.needle_hits(_with_text(s, d), _needles(s, d)))
+
+
+@query("a13_recall", SEARCH + _NEEDLES + "SELECT count_if(any_hit)::BIGINT AS passed, count(*) AS asked, round(count_if(any_hit) / count(*), 6) AS recall FROM judged")
+def a13(s, d):
+    return evaluation.recall(a14(s, d))
+
+
+@query("a16_conditional_count", SEARCH + "SELECT qid, count_if(doc IN ('src4', 'src5', 'src6'))::BIGINT AS n, count_if(doc IN ('src4', 'src5', 'src6')) >= 1 AS enough FROM best GROUP BY qid")
+def a16(s, d):
+    n = F.count_if(F.col("doc").isin("src4", "src5", "src6"))
+    return _found(s, d).groupBy("qid").agg(n.alias("n"), (n >= 1).alias("enough"))
+
+
+@query("p20_bar", SEARCH + "SELECT qid, chunk_id, round(greatest(4, rrf / max(rrf) OVER (PARTITION BY qid) * 100), 4) AS bar FROM best")
+def p20(s, d):
+    return _found(s, d).select("qid", "chunk_id", F.round(F.greatest(F.lit(4.0), F.col("rrf") / F.max("rrf").over(Window.partitionBy("qid")) * 100), 4).alias("bar"))
+
+
+@query("m10_ask")
+def m10(s, d):
+    return answers.ask(_with_text(s, d), C.questions(s, d)).select("qid", "answer", "refused", "top_similarity", F.size("sources").alias("n_sources"))
+
+
+# --- Filings ----------------------------------------------------------------------------------------------------------------
+
+PAGES = C.FILING_PAGES
+_FILED = f"WITH f AS ({PAGES}) "
+
+
+@query("f5_f6_metadata", _FILED + "SELECT doc, page, CASE WHEN serial % 2 = 0 THEN 'standalone' ELSE 'consolidated' END AS statement_type, p1 AS fiscal_period, CASE WHEN serial % 2 = 0 THEN 'Standalone' ELSE 'Consolidated' END || ' Results — ' || p1 AS doc_label FROM f")
+def f5(s, d):
+    return pages.tagged(C.filings(s, d)).select("doc", "page", "statement_type", "fiscal_period", "doc_label")
+
+
+@query("a3_mode_period", _FILED + "SELECT doc, p1 AS fiscal_period FROM f WHERE page = 2")
+def a3(s, d):
+    return pages.tagged(C.filings(s, d)).select("doc", "fiscal_period").distinct()
+
+
+@query("w1_w2_fill", _FILED + "SELECT issuer AS doc, serial * 2 + page AS page, CASE WHEN page = 2 THEN (CASE WHEN serial % 2 = 0 THEN 'standalone' ELSE 'consolidated' END) WHEN serial = 1 THEN 'consolidated' ELSE (CASE WHEN serial % 2 = 0 THEN 'consolidated' ELSE 'standalone' END) END AS statement_type FROM f")
+def w1(s, d):
+    p = C.filings(s, d).select(F.col("issuer").alias("doc"), (F.col("serial") * 2 + F.col("page")).cast("long").alias("page"), "text")
+    return pages.tagged(p).select("doc", "page", "statement_type")
+
+
+@query("w9_header", _FILED + "SELECT doc, page, CASE WHEN page = 2 THEN string_split(text, chr(10))[1] || ' ' ELSE '' END || string_split(text, chr(10))[2] || ' ' || string_split(text, chr(10))[3] AS header FROM f")
+def w9(s, d):
+    return C.filings(s, d).select("doc", "page", pages.header(F.col("text")).alias("header"))
+
+
+_ROWS = _FILED + ", r AS (SELECT *, unnest([0, 1, 2])::BIGINT AS row FROM f) SELECT doc, page::BIGINT AS page, row, CASE row WHEN 0 THEN '1 Orders placed' WHEN 1 THEN '2 Total price' ELSE '3 Returned orders' END AS label, CASE row WHEN 0 THEN concat_ws(' ', n1, n2, n3, n4, n5) WHEN 1 THEN concat_ws(' ', t1, t2, t3, t4, t5) ELSE 'nil nil nil nil nil' END AS vals FROM r"
+
+
+@query("w10_split_rows", _ROWS)
+def w10(s, d):
+    p = C.filings(s, d).select("doc", F.col("page").cast("long").alias("page"), "text")
+    return pages.table_rows(p, ["doc", "page"]).select("doc", "page", "row", F.array_join("label", " ").alias("label"), F.array_join("vals", " ").alias("vals"))
+
+
+@query("d5_column_labels", _FILED + "SELECT doc, page, array_to_string(['Quarter ended ' || p1, 'Quarter ended ' || p2, 'Quarter ended ' || p3, 'Year ended ' || p1, 'Year ended ' || p3], '; ') AS labels FROM f WHERE page = 1")
+def d5(s, d):
+    p = C.filings(s, d).where("page = 1")
+    return p.select("doc", "page", F.array_join(P.column_labels(pages.header(F.col("text")), F.lit(5), F.col("p1")), "; ").alias("labels"))
+
+
+@query("d4_shift_period", _FILED + "SELECT doc, p2 AS a, p3 AS b FROM f WHERE page = 1")
+def d4(s, d):
+    return C.filings(s, d).where("page = 1").select("doc", P.shift_period(F.col("p1"), 3).alias("a"), P.shift_period(F.col("p1"), 12).alias("b"))
+
+
+@query("d1_period_key", _FILED + "SELECT doc, (y * 10000 + CASE q WHEN 1 THEN 331 WHEN 2 THEN 630 WHEN 3 THEN 930 ELSE 1231 END)::INTEGER AS k FROM (SELECT doc, right(p1, 4)::INTEGER AS y, right(doc, 1)::INTEGER AS q FROM f WHERE page = 1)")
+def d1(s, d):
+    return C.filings(s, d).where("page = 1").select("doc", P.period_key(F.col("p1")).alias("k"))
+
+
+def _chunks(s, d):
+    return pages.chunks(pages.tagged(C.filings(s, d)))
+
+
+_LABEL = "CASE WHEN serial % 2 = 0 THEN 'Standalone' ELSE 'Consolidated' END || ' Results — ' || p1 || chr(10)"
+
+
+@query("p10_rendered_rows", _FILED + f"SELECT doc, page, doc || '::p' || page || '::r0' AS id, {_LABEL} || '1 Orders placed | Quarter ended ' || p1 || ': ' || n1 || ' | Quarter ended ' || p2 || ': ' || n2 || ' | Quarter ended ' || p3 || ': ' || n3 || ' | Year ended ' || p1 || ': ' || n4 || ' | Year ended ' || p3 || ': ' || n5 AS text FROM f WHERE page = 1")
+def p10(s, d):
+    return _chunks(s, d).where("chunk_type = 'row' and page = 1 and id like '%::r0'").select("doc", "page", "id", "text")
+
+
+@query("w11_packing", _FILED + f"SELECT doc, page, {_LABEL} || text AS text FROM f")
+def w11(s, d):
+    return _chunks(s, d).where("chunk_type <> 'row'").select("doc", "page", "text")
+
+
+@query("u1_union_chunks", _FILED + "SELECT doc, page, row, CASE WHEN kind = 0 THEN 'table' ELSE 'row' END AS chunk_type, (page - 1) * 3 + row + kind AS x FROM f, (SELECT 0 AS row, 0 AS kind) WHERE false UNION ALL SELECT doc, page, i, CASE WHEN i = 0 THEN 'table' ELSE 'row' END, (page - 1) * 4 + i FROM f, range(4) t(i)")
+def u1(s, d):
+    i = F.pmod(F.col("chunk_index"), F.lit(4))
+    return _chunks(s, d).select("doc", "page", i.alias("row"), "chunk_type", F.col("chunk_index").alias("x"))
+
+
+@query("p8_embedding_text", _FILED + ", r AS (SELECT *, unnest([0, 1, 2]) AS row FROM f) SELECT doc || '::p' || page || '::r' || row AS id, CASE row WHEN 0 THEN 'Orders placed' WHEN 1 THEN 'Total price' ELSE 'Returned orders' END AS v FROM r")
+def p8(s, d):
+    return _chunks(s, d).where("chunk_type = 'row'").select("id", T.words_for_embedding(F.col("text"), F.col("chunk_type")).alias("v"))
+
+
+@query("roundtrip_values", _FILED + "SELECT doc, page, n1 + n2 + n3 + n4 + n5 AS total FROM f WHERE page = 1")
+def roundtrip(s, d):
+    row = _chunks(s, d).where("chunk_type = 'row' and page = 1 and id like '%::r0'")
+    values = F.regexp_extract_all("text", F.lit(r": (\d+)(?: \||$)"), F.lit(1))
+    return row.select("doc", "page", F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("total"))
+
+
+_CAND = "cand AS (SELECT doc, serial, p1, (right(p1, 4)::INTEGER * 10000 + CASE right(doc, 1) WHEN '1' THEN 331 WHEN '2' THEN 630 WHEN '3' THEN 930 ELSE 1231 END) AS k FROM f WHERE page = 1)"
+
+
+def _candidates(s, d, question: str):
+    f = C.filings(s, d).where("page = 1")
+    return f.select(F.lit(1).alias("qid"), "doc", F.lit(question).alias("question"), F.col("p1").alias("fiscal_period"), F.when(F.col("serial") % 2 == 0, "standalone").otherwise("consolidated").alias("statement_type"))
+
+
+@query("w6_recency", _FILED + ", " + _CAND + " SELECT doc, round(0.01::DOUBLE * (dense_rank() OVER (ORDER BY k) - 1) / ((SELECT count(DISTINCT k) FROM cand) - 1), 8) AS bonus FROM cand")
+def w6(s, d):
+    return retrieval.bonuses(_candidates(s, d, "what is the total price")).select("doc", F.round("bonus", 8).alias("bonus"))
+
+
+@query("d6_metadata_bonus", _FILED + ", " + _CAND + " SELECT doc, round(CASE WHEN k = 19970331 THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN serial % 2 = 0 THEN 0.02::DOUBLE ELSE 0 END, 8) AS bonus FROM cand")
+def d6(s, d):
+    return retrieval.bonuses(_candidates(s, d, "standalone orders as of March 31, 1997")).select("doc", F.round("bonus", 8).alias("bonus"))
+
+
+@query("j10_period_member", _FILED + ", " + _CAND + " SELECT doc, k IN (19960930, 19961231) AS named FROM cand")
+def j10(s, d):
+    c = _candidates(s, d, "Q2 and Q3 of FY1997")
+    return c.select("doc", F.array_contains(P.query_periods(F.col("question"))["periods"], P.period_key(F.col("fiscal_period"))).alias("named"))
+
+
+# --- Vectors ----------------------------------------------------------------------------------------------------------------
+
+
+def _vectors(s, d):
+    v = C.table(s, d, "embeddings")
+    return v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+_VEC = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS qid, e AS qe FROM v WHERE vec_id < 20), p AS (SELECT qid, vec_id AS chunk_id, label, round(list_cosine_similarity(e, qe), 6) AS similarity FROM v CROSS JOIN q) "
+
+
+def _cosines(s, d):
+    v = _vectors(s, d)
+    near = retrieval.cosine_pairs(v, v.where("chunk_id < 20").withColumnRenamed("chunk_id", "qid"))
+    return near.withColumn("similarity", F.round("similarity", 6)).join(v.select("chunk_id", "label"), "chunk_id")
+
+
+@query("j2_cosine_topk", _VEC + "SELECT qid, chunk_id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS rank FROM p QUALIFY rank <= 8")
+def j2(s, d):
+    return retrieval.top(_cosines(s, d), "similarity", 8).select("qid", "chunk_id", "similarity", "rank")
+
+
+@query("p6_vector_filter", _VEC + "SELECT qid, chunk_id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS rank FROM p WHERE label = 3 QUALIFY rank <= 8")
+def p6v(s, d):
+    return retrieval.top(_cosines(s, d).where("label = 3"), "similarity", 8).select("qid", "chunk_id", "similarity", "rank")
+
+
+@query("a11_norm_dot", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def a11(s, d):
+    v = _vectors(s, d)
+    return v.select(F.col("chunk_id").alias("vec_id"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+# --- Requests ---------------------------------------------------------------------------------------------------------------
+
+
+@query("w13_sliding_window")
+def w13(s, d):
+    return admission.limited(C.requests(s, d), 3, 6 * 3600.0).select("key", "event_id", "admitted", "retry_after")
+
+
+@query("st2_quota")
+def st2(s, d):
+    return admission.charged(C.requests(s, d), 15, 3600.0, 800, 86400.0)
+
+
+_LRU = "WITH r AS (SELECT user_id AS u, event_id, event_type || ':' || ((floor(coalesce(value, 0))::BIGINT % 7 + 7) % 7) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), b AS (SELECT *, lag(n) OVER (PARTITION BY u, k ORDER BY n) AS p FROM r), h AS (SELECT a.event_id, a.p IS NOT NULL AND (SELECT count(DISTINCT x.k) FROM r x WHERE x.u = a.u AND x.n > a.p AND x.n < a.n) < 8 AS hit FROM b a) "
+
+
+@query("w14_lru", _LRU + "SELECT event_id, hit FROM h")
+def w14(s, d):
+    return admission.cache_hits(C.asked(s, d), 8)
+
+
+@query("a18_cache_stats", _LRU + "SELECT count_if(hit)::BIGINT AS hits, count_if(NOT hit)::BIGINT AS misses FROM h")
+def a18(s, d):
+    return w14(s, d).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+@query("a20_quota_left", "SELECT event_id, greatest(0, 15 - count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))::BIGINT AS remaining FROM events")
+def a20(s, d):
+    e = C.table(s, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-3_600_000_000, 0)
+    return e.select("event_id", F.greatest(F.lit(0), 15 - F.count("*").over(w)).cast("long").alias("remaining"))
+
+
+# --- Web pages and dialogue -------------------------------------------------------------------------------------------------
+
+
+@query("p5_routing", "SELECT page_id, CASE WHEN length(trim(coalesce(url, ''))) < 50 THEN 'ocr' ELSE 'text-layer' END AS source FROM pages")
+def p5(s, d):
+    return C.table(s, d, "pages").select("page_id", page_sources.routed(F.col("url")).alias("source"))
+
+
+@query("s2_page_text")
+def s2(s, d):
+    return page_sources.from_html(C.table(s, d, "pages")).select("doc", "page", F.md5("text").alias("v"), "source")
+
+
+@query("j12_preset_match", f"WITH p AS (SELECT DISTINCT lower({SPACED}) AS k FROM conversations WHERE turn = 0) SELECT conv_id, turn, lower({SPACED}) IN (SELECT k FROM p) AS preset FROM conversations")
+def j12(s, d):
+    c = C.table(s, d, "conversations").withColumn("k", T.question_key(F.col("text")))
+    presets = c.where("turn = 0").select(F.col("k").alias("pk")).distinct().withColumn("preset", F.lit(True))
+    return c.join(presets, c["k"] == presets["pk"], "left").select("conv_id", "turn", F.coalesce("preset", F.lit(False)).alias("preset"))
+
+
+@query("j11_unknown_doc", "SELECT DISTINCT lang AS doc FROM documents WHERE lang NOT IN (SELECT source FROM documents)")
+def j11(s, d):
+    docs = _docs(s, d)
+    return docs.select(F.col("lang").alias("doc")).distinct().join(docs.select(F.col("source").alias("doc")).distinct(), "doc", "left_anti")
+
+
+# --- Small fixtures ---------------------------------------------------------------------------------------------------------
+
+_PERIODS = [
+    ("ratio as of the year ended March 31, 2026", "20260331"), ("profit FY2026", "20260331"), ("profit FY 26", "20260331"), ("Q4 FY26 profit", "20260331"),
+    ("on 30 September 2025", "20250930"), ("Q2 FY2026", "20250930"), ("July-September 2025", "20250930"), ("Sept 30th, 2025", "20250930"),
+    ("December 2025", "20251231"), ("at 31.12.2025", "20251231"), ("Q3 FY2026", "20251231"), ("financial year 2025", "20250331"), ("Q1 of FY2026", "20250630"),
+    ("Q2, Q3, and Q4 of FY2026", "20250930,20251231,20260331"), ("Q1 & Q2 FY26", "20250630,20250930"), ("March 31, 2026 and December 31, 2025", "20251231,20260331"),
+    ("what is the ratio", ""), ("what may happen", ""), ("founded in 1994", ""),
+]
+
+
+@query("d2_query_periods", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{k}')" for q, k in _PERIODS) + ") t(question, keys)")
+def d2(s, d):
+    q = s.createDataFrame([(q,) for q, _ in _PERIODS], "question string")
+    return q.select("question", F.array_join(P.query_periods(F.col("question"))["periods"].cast("array<string>"), ",").alias("keys"))
+
+
+_KINDS = [("the consolidated profit", "consolidated"), ("Group profit", "consolidated"), ("standalone ratio", "standalone"), ("standalone and consolidated", None), ("profit", None)]
+
+
+@query("p15_statement", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', {'NULL' if k is None else repr(k)})" for q, k in _KINDS) + ") t(question, kind)")
+def p15(s, d):
+    return s.createDataFrame([(q,) for q, _ in _KINDS], "question string").select("question", T.statement_named(F.col("question")).alias("kind"))
+
+
+_RAW = [
+    ('{"not_covered": false, "answer": "7", "used_passages": [1, 3]}', True, False, "1,3"), ('Sure: {"answer": "x", "used_passages": "2"} done', True, False, ""), ('{"not_covered": "true", "answer": ""}', True, True, ""),
+    ('{"not_covered": "false", "answer": "x", "used_passages": 2}', True, False, "2"), ('{"not_covered": 1, "used_passages": [1, "2", true, 1.5, null]}', True, False, "1,2"), ("[1]", False, False, ""), ('"text"', False, False, ""), ("7", False, False, ""),
+    ("null", False, False, ""), ("true", False, False, ""), ("", False, False, ""), ('{"answer": ', False, False, ""), ('{"not_covered": true, "used_passages": {"a": 1}}', True, True, ""),
+]
+
+
+@query("m7_m9_llm_json", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {ok}, {no}, '{u}')" for r, ok, no, u in _RAW) + ") t(raw, is_object, not_covered, used)")
+def m7(s, d):
+    v = s.createDataFrame([(r[0],) for r in _RAW], "raw string").withColumn("v", answers.parsed(F.col("raw")))
+    return v.select("raw", F.col("v").isNotNull().alias("is_object"), answers.flag(F.col("v"), "not_covered").alias("not_covered"), F.array_join(answers.used_passages(F.col("v")).cast("array<string>"), ",").alias("used"))
+
+
+_OUTCOMES = [(False, None, True, 0.2, "gate 1"), (False, None, True, 0.6, "gate 2"), (True, None, False, 0.6, "cache"), (False, "p1", False, 0.6, "preset"), (False, None, False, 0.6, "live")]
+
+
+@query("p19_outcome", "SELECT * FROM (VALUES " + ", ".join(f"({c}, {'NULL' if p is None else repr(p)}, {r}, {b}::DOUBLE, '{o}')" for c, p, r, b, o in _OUTCOMES) + ") t(cached, preset, refused, best, outcome)")
+def p19(s, d):
+    o = s.createDataFrame([x[:4] for x in _OUTCOMES], "cached boolean, preset string, refused boolean, best double")
+    return o.withColumn("outcome", answers.outcome(F.col("cached"), F.col("preset"), F.col("refused"), F.col("best"), F.lit(0.3)))
+
+
+_STATUS = {"rate limit": 429, "no key": 503, "unavailable": 503, "rejected": 502, "bad model": 502, "unknown document": 404, "bad request": 422}
+
+
+@query("m12_status", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _STATUS.items()) + ") t(error, status)")
+def m12(s, d):
+    e = s.createDataFrame([(k,) for k in _STATUS], "error string")
+    c = F.col("error")
+    return e.select("error", F.when(c == "rate limit", 429).when(c.isin("no key", "unavailable"), 503).when(c == "unknown document", 404).when(c == "bad request", 422).otherwise(502).alias("status"))
+
+
+@query("a12_verdicts", "SELECT count_if(quality = 1 AND toxic = 0)::BIGINT AS pass, count_if(quality = 0)::BIGINT AS wrong, count_if(quality = 1 AND toxic = 1)::BIGINT AS fail FROM labels")
+def a12(s, d):
+    verdict = F.when(F.col("quality") == 0, "WRONG").when(F.col("toxic") == 1, "FAIL").otherwise("PASS")
+    return evaluation.verdicts(C.table(s, d, "labels").select(verdict.alias("verdict"), F.lit(False).alias("skipped")))
