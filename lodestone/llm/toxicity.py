@@ -203,7 +203,11 @@ def train(texts: list[str], labels: list[int]) -> dict | None:
     in_toxic = Counter({w: min(n, len(around[w])) for w, n in in_toxic.items()})
     # Words that mark toxic documents, those most often met first.
     odds = {w: (n / len(toxic)) / ((in_clean[w] + 0.5) / len(clean)) for w, n in in_toxic.items()}
+    # So many toxic documents must hold a word that, were labels drawn at random, not one word would be expected to reach it without a clean one.
+    met = Counter((in_toxic + in_clean).values())
     often = max(2, round(0.01 * len(toxic)))
+    while met[often] * (len(toxic) / len(bags)) ** often > 0.5:
+        often += 1
     marked = sorted((w for w in in_toxic if odds[w] > 3 and 3 * in_toxic[w] > often), key=lambda w: (-in_toxic[w] * (in_clean[w] == 0), -odds[w], w))
     landmarks = unlike(marked)
     if not landmarks:
