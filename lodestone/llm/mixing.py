@@ -22,8 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 WEIGHTS = (1, 2, 3)
 MOST = 3  # times a source's words
+#: Up to so many sources their table is broadcast; beyond, it is joined by key, where Spark splits a source with most of the rows.
+BROADCAST = 20_000
 SEED = "mix-1"
 
 
@@ -49,6 +53,12 @@ def targets(sized: DataFrame) -> DataFrame:
     return per.select("source", "source_size", "target", rate.alias("rate"))
 
 
+def _small_enough(per: DataFrame) -> DataFrame:
+    """The written table of sources, to be broadcast if its counted rows are few."""
+    per = written(per, "sources")
+    return F.broadcast(per) if per.count() <= BROADCAST else per
+
+
 def draw() -> Column:
     """A number from 0 to 1 that depends on doc_id and the seed only."""
     key = F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -62,7 +72,7 @@ def _times(rate: Column) -> Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, times."""
     sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words(F.col("text").cast("string")).alias("size"))
-    per = targets(sized)
+    per = _small_enough(targets(sized))
     joined = sized.alias("d").join(per.withColumnRenamed("source", "of"), F.col("d.source").eqNullSafe(F.col("of")))
     times = _times(F.col("rate"))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
@@ -71,7 +81,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """Each document as many times as the mix takes it, with its columns as they are."""
     sized = docs.select("source", words(F.col("text").cast("string")).alias("size"))
-    per = targets(sized).select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
+    per = _small_enough(targets(sized).select(F.col("source").alias("__of"), F.col("rate").alias("__rate")))
     joined = docs.join(per, docs["source"].eqNullSafe(F.col("__of")))
     copies = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _times(F.col("__rate")).cast("int"))))
     return copies.select(*docs.columns)
