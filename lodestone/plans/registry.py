@@ -225,7 +225,7 @@ def t4(s, d):
     return retrieval.search(C.questions(s, d), C.prose(s, d), Settings(use_hybrid=False)).select("qid", "chunk_id", "similarity", "rank")
 
 
-@query("p6_doc_filter_global_stats", SEARCH + ", only AS (SELECT * FROM pairs WHERE doc = 'src1'), r2 AS (SELECT *, row_number() OVER (PARTITION BY qid, is_row ORDER BY similarity DESC, chunk_id) - 1 AS a, row_number() OVER (PARTITION BY qid, is_row ORDER BY bm25 DESC, chunk_id) - 1 AS b FROM only) SELECT qid, chunk_id, bm25, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 8) AS rrf FROM r2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) <= 8")
+@query("p6_doc_filter_global_stats", SEARCH + ", some_ AS (SELECT * FROM pairs WHERE doc = 'src1'), r2 AS (SELECT *, row_number() OVER (PARTITION BY qid, is_row ORDER BY similarity DESC, chunk_id) - 1 AS a, row_number() OVER (PARTITION BY qid, is_row ORDER BY bm25 DESC, chunk_id) - 1 AS b FROM some_) SELECT qid, chunk_id, bm25, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 8) AS rrf FROM r2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) <= 8")
 def p6(s, d):
     return retrieval.search(C.questions(s, d).withColumn("doc", F.lit("src1")), C.prose(s, d)).select("qid", "chunk_id", "bm25", "rrf")
 
