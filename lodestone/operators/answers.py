@@ -109,8 +109,10 @@ def ask(found: DataFrame, questions: DataFrame, settings: Settings = Settings(),
     gated = with_gate(found, questions, settings.min_similarity)
     numbered = passages(found)
     open_ = gated.where("passed").join(contexts(numbered), "qid")
-    model = F.pandas_udf(generate, "string")
-    raw = open_.select("qid", "top_similarity", model(prompt(F.col("context"), F.col("question"))).alias("raw")).withColumn("v", parsed(F.col("raw")))
+    model = F.pandas_udf(generate, "string").asNondeterministic()
+    # Kept, so that the branches below share one call of the generator for each question.
+    called = open_.select("qid", "top_similarity", model(prompt(F.col("context"), F.col("question"))).alias("raw")).persist()
+    raw = called.withColumn("v", parsed(F.col("raw")))
     text = F.trim(F.coalesce(field(F.col("v"), "answer", "string"), F.lit("")))
     read = raw.select("qid", "top_similarity", text.alias("answer"), (F.col("v").isNull() | flag(F.col("v"), "not_covered") | (text == "")).alias("refused"), used_passages(F.col("v")).alias("used"))
     good = read.where(~F.col("refused"))
