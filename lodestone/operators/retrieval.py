@@ -133,21 +133,29 @@ def focused(questions: DataFrame, chunks: DataFrame, ratio: float = 0.5) -> Data
     return questions.join(left, "qid", "left").withColumn("focus", F.coalesce("focus", "question"))
 
 
+def with_facts(questions: DataFrame) -> DataFrame:
+    """Questions with the periods and the statement kind that they name."""
+    q = F.col("question")
+    return questions.withColumns({"asked_periods": P.query_periods(q)["periods"], "names_period": P.names_period(q), "asked_kind": T.statement_named(q)})
+
+
 def bonuses(candidates: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Candidates (qid, chunk_id, question, fiscal_period, statement_type, …) with ``bonus``.
 
     Newer periods among a question's candidates get up to ``recency_boost``, unless the question names a
     period; a chunk of a period or statement kind that it names gets ``period_boost`` for each.
     """
-    key = P.period_key(F.col("fiscal_period"))
-    asked = P.query_periods(F.col("question"))["periods"]
+    if "asked_periods" not in candidates.columns:
+        candidates = with_facts(candidates)
+    if "period" not in candidates.columns:
+        candidates = candidates.withColumn("period", P.period_key(F.col("fiscal_period")))
     of = Window.partitionBy("qid")
-    keyed = candidates.withColumn("_key", F.nullif(key, F.lit(0)))
+    keyed = candidates.withColumn("_key", F.nullif(F.col("period"), F.lit(0)))
     order = F.dense_rank().over(of.orderBy(F.col("_key").asc_nulls_last()))
     keyed = keyed.withColumn("_rank", F.when(F.col("_key").isNotNull(), order)).withColumn("_span", F.max("_rank").over(of))
-    recent = F.when(~P.names_period(F.col("question")) & (F.col("_span") >= 2), settings.recency_boost * (F.col("_rank") - 1) / (F.col("_span") - 1))
-    named = F.when(F.array_contains(asked, F.coalesce("_key", F.lit(0))), settings.period_boost)
-    kind = F.when(T.statement_named(F.col("question")) == F.col("statement_type"), settings.period_boost)
+    recent = F.when(~F.col("names_period") & (F.col("_span") >= 2), settings.recency_boost * (F.col("_rank") - 1) / (F.col("_span") - 1))
+    named = F.when(F.array_contains("asked_periods", F.coalesce("_key", F.lit(0))), settings.period_boost)
+    kind = F.when(F.col("asked_kind") == F.col("statement_type"), settings.period_boost)
     zero = F.lit(0.0)
     return keyed.withColumn("bonus", F.coalesce(recent, zero) + F.coalesce(named, zero) + F.coalesce(kind, zero)).drop("_key", "_rank", "_span")
 
@@ -183,8 +191,9 @@ def candidates(questions: DataFrame, chunks: DataFrame, settings: Settings = Set
     asked = focused(questions, chunks, settings.common_term_ratio) if settings.focus_query else questions.withColumn("focus", F.col("question"))
     terms = asked.select("qid", F.explode(T.query_tokens(F.col("focus"))).alias("term"))
     near = cosine_pairs(embedded(chunks.select("chunk_id", "text"), "text"), embedded(asked.select("qid", "focus"), "focus"))
-    facts = chunks.select("chunk_id", "doc", "is_row", "fiscal_period", "statement_type")
-    named = asked.select("qid", "question", *(["doc"] if "doc" in asked.columns else [])).withColumnRenamed("doc", "wanted")
+    # What questions and chunks say of periods is read once for each of them, not for each pair.
+    facts = chunks.select("chunk_id", "doc", "is_row", P.period_key(F.col("fiscal_period")).alias("period"), "statement_type")
+    named = with_facts(asked.select("qid", "question", *(["doc"] if "doc" in asked.columns else []))).withColumnRenamed("doc", "wanted")
     out = near.withColumn("similarity", F.round("similarity", 6)).join(facts, "chunk_id").join(F.broadcast(named), "qid")
     if "wanted" in named.columns:
         out = out.where(F.col("wanted").isNull() | (F.col("wanted") == F.col("doc"))).drop("wanted")
