@@ -24,6 +24,7 @@ further columns of any name, ``kept`` keeps them.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -186,21 +187,23 @@ def unlike(words: list[str]) -> list[str]:
 def train(texts: list[str], labels: list[int]) -> dict | None:
     """Landmarks, weights of kernel values, and the curve. Equal texts count once."""
     seen = dict(zip(texts, labels, strict=True))
-    bags, around = [], {}
+    bags: list[tuple[set[str], int]] = []
+    once: dict[str, str] = {}  # one object for each word
     for t, y in seen.items():
-        words = [pieces_of(w) for w in words_of(t)]
-        bag = {p for w in words for p in w if len(p) >= 3}
-        bags.append((bag, y))
-        if y == 1:
-            for before, w, after in zip([[""], *words], words, [*words[1:], [""]], strict=False):
-                for p in w:
-                    around.setdefault(p, set()).add((before[0], after[0]))
+        bags.append(({once.setdefault(p, p) for w in set(words_of(t)) for p in pieces_of(w) if len(p) >= 3}, y))
     toxic, clean = [b for b, y in bags if y == 1], [b for b, y in bags if y == 0]
     if not toxic or not clean:
         return None
     in_toxic, in_clean = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
     # A passage that documents share says the same of all its words: a word counts once for each pair of neighbours.
-    in_toxic = Counter({w: min(n, len(around[w])) for w, n in in_toxic.items()})
+    around: dict[str, set[int]] = {w: set() for w, n in in_toxic.items() if n > 1 and w not in in_clean}
+    for t, y in seen.items():
+        words = words_of(t) if y == 1 else []
+        for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            for p in pieces_of(w):
+                if p in around:
+                    around[p].add(zlib.crc32(f"{before} {after}".encode("utf-8", "surrogatepass")))
+    in_toxic = Counter({w: min(n, len(around[w])) if w in around else n for w, n in in_toxic.items()})
     # Words that mark toxic documents, those most often met first.
     odds = {w: (n / len(toxic)) / ((in_clean[w] + 0.5) / len(clean)) for w, n in in_toxic.items()}
     # So many toxic documents must hold a word that, were labels drawn at random, not one word would be expected to reach it without a clean one.
