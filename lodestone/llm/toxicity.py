@@ -39,9 +39,11 @@ LANDMARKS, LIKE = 56, 0.66
 DECAY, SPAN = 0.7, 6
 PIECE = 24  # letters of a word that are looked at together; longer words are cut with overlap
 CLEAN_COST = 3.0  # of a word of clean documents on the wrong side
+VARIANT_COST = 0.03  # of a marked word with a letter put in
 WIDTH, FLOOR = 0.2, 0.5  # of the kernel's fall from 1, and where it ends
 KEPT_WORDS = 600_000  # scores that a worker keeps; results don't depend on it
 EDGE = re.compile(r"^\W+|\W+$")
+MARK = re.compile(r"[\W_]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -60,10 +62,12 @@ def words_of(text: str) -> list[str]:
 
 
 def pieces_of(word: str) -> list[str]:
+    """A word without marks around it, and without any marks; long ones in overlapping parts."""
     word = EDGE.sub("", word)
-    if len(word) <= PIECE:
-        return [word]
-    return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
+    if len(word) > PIECE:
+        return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
+    plain = word if word.isalnum() else MARK.sub("", word)
+    return [word] if plain == word else [word, plain]
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +109,7 @@ class Kernel:
         self.slot[known] = np.arange(len(known))
         self.table = np.zeros((len(known), len(landmarks)), np.float32)
         np.add.at(self.table, (slot, word), weight)
+        self.table /= np.maximum(np.linalg.norm(self.table, axis=0), 1e-9)
         # No cosine exceeds the sum over a word's triples of their greatest weight in any landmark.
         self.most = np.zeros(1 << 18, np.float32)
         self.most[known] = self.table.max(axis=1, initial=0)
@@ -122,7 +127,11 @@ class Kernel:
         word, triple, weight = coordinates(words)
         bound = np.bincount(word, weight * self.most[triple], len(words))
         use = (bound >= FLOOR)[word]
-        word, slot, weight = word[use], self.slot[triple[use]], weight[use]
+        word, triple, weight = word[use], triple[use], weight[use]
+        # Triples that a word repeats add up before they are squared: the exact norms of the few words left.
+        key, back = np.unique(word << 18 | triple, return_inverse=True)
+        norm = np.sqrt(np.bincount(key >> 18, np.bincount(back, weight) ** 2, len(words)))
+        slot = self.slot[triple]
         word, slot, weight = word[slot >= 0], slot[slot >= 0], weight[slot >= 0]
         order = np.argsort(word, kind="stable")
         word, slot, weight = word[order], slot[order], weight[order].astype(np.float32)
@@ -131,15 +140,15 @@ class Kernel:
         for lo in range(0, len(at), 1000):
             a, b = begin[lo], begin[min(lo + 1000, len(at))]
             out.append(np.add.reduceat(weight[a:b, None] * self.table[slot[a:b]], begin[lo : min(lo + 1000, len(at))] - a, axis=0))
-        cosine = np.concatenate(out)
+        cosine = np.concatenate(out) / norm[at].astype(np.float32)[:, None]
         rows = np.where(cosine >= FLOOR, np.exp((cosine - 1) / WIDTH), 0).astype(np.float32)
         some = rows.any(axis=1)
         return at[some], rows[some]
 
 
 def variants(word: str) -> list[str]:
-    """The word with one mark or letter put in."""
-    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in "*.x"]
+    """The word with one letter put in."""
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in "xk"]
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -242,7 +251,7 @@ def train(texts: list[str], labels: list[int]) -> dict | None:
         weight = np.minimum(1, np.array([in_toxic[names[i]] for i in chosen]) / (2 * often))
         x = np.vstack([z[negative], z[chosen], changed, np.zeros((1, z.shape[1]))])
         y = np.concatenate([-np.ones(len(negative)), np.ones(len(chosen) + len(changed)), [-1]])
-        cost = np.concatenate([np.full(len(negative), CLEAN_COST), 10 * weight, np.full(len(changed), len(chosen) / max(1, len(changed))), [CLEAN_COST * 100]])
+        cost = np.concatenate([np.full(len(negative), CLEAN_COST), 10 * weight, np.full(len(changed), VARIANT_COST), [CLEAN_COST * 100]])
         w = fit_svm(x, y, cost)
         f = z @ w[:-1] + w[-1]
     beta, offset = root @ w[:-1], float(w[-1])
