@@ -29,6 +29,7 @@ from .components import connected_components
 
 MEET = 8192  # distinct fingerprints under one value that one task compares
 SHIFTED = 64  # up to so many rows under one value all links are emitted, beyond a forest
+BLOCK_SHINGLES = 1_000_000  # of the texts in one block of those whose shingle sets one task compares
 SEED = 42
 #: Odd multipliers from which further, nearly independent fingerprint words follow.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -64,7 +65,7 @@ def mixed(hashes: np.ndarray, by: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, sketch: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) and n_shingles; ``sketch`` adds three further words."""
+    """doc_id, fp (the fingerprint's bits as a signed long) and n_shingles; ``sketch`` adds three further words and counts each shingle once."""
     small_batches(docs.sparkSession)
     more = ["s1", "s2", "s3"] if sketch else []
 
@@ -73,6 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 4, sketch: bool = False) -> DataF
             rows, n = [], []
             for t in table["text"].to_pylist():
                 h = shingle_hashes(t or "", words)
+                h = np.unique(h) if sketch else h
                 n.append(len(h))
                 rows.append([majority(h), *(majority(mixed(h, by)) for by in MIX[: len(more)])])
             values = np.array(rows, np.uint64).reshape(len(rows), 1 + len(more)).view(np.int64)
@@ -88,27 +90,30 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join all components of the fingerprints within ``radius``: one for each node but the first."""
+def forest(fps: np.ndarray, radius: int, others: np.ndarray | None = None, also: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links, as places, that join all components of the fingerprints within ``radius`` whose other words are within ``also``."""
     rest, out = np.arange(len(fps)), []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
             near = np.bitwise_count(fps[rest] ^ fps[at]) <= radius
+            if others is not None:
+                near &= np.bitwise_count(others[rest] ^ others[at]) <= also
             if near.any():
                 found = rest[near]
-                out.append((np.full(len(found), fps[at]), fps[found]))
+                out.append((np.full(len(found), at), found))
                 queue.extend(found)
                 rest = rest[~near]
     return out
 
 
-def _met(keys: np.ndarray, fps: np.ndarray, segments: list[tuple[int, int]], radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _met(keys: np.ndarray, fps: np.ndarray, others: np.ndarray | None, ids: np.ndarray, segments: list[tuple[int, int]], radius: int, also: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows sorted by key; every run of equal keys is complete."""
     seg, ball = keys >> 56, keys & ((1 << 56) - 1)
     first, width = (np.array(x, np.int64)[seg] for x in zip(*segments, strict=True))
     bits = fps.view(np.uint64)
+    more = None if others is None else others.view(np.uint64)
     own = ((bits >> first.astype(np.uint64)) & ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
     begin = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
     length = np.diff(np.append(begin, len(keys)))
@@ -125,91 +130,159 @@ def _met(keys: np.ndarray, fps: np.ndarray, segments: list[tuple[int, int]], rad
         a, b = own[at], own[at + d]
         # Of the values that two balls share only the least counts, or the value itself if it is the same.
         counts = np.where(a == b, ball[at] == a, ball[at] < (a ^ b ^ ball[at]))
-        near = counts & (np.bitwise_count(bits[at] ^ bits[at + d]) <= radius)
-        us.append(fps[at[near]])
-        vs.append(fps[at[near] + d])
+        near = at[counts & (np.bitwise_count(bits[at] ^ bits[at + d]) <= radius)]
+        if more is not None:
+            near = near[np.bitwise_count(more[near] ^ more[near + d]) <= also]
+        us.append(ids[near])
+        vs.append(ids[near + d])
     for k in np.flatnonzero(length > SHIFTED):
         lo, hi = begin[k], begin[k] + length[k]
         if (own[lo:hi] == own[lo]).all() and own[lo] != ball[lo]:
             continue  # all of them meet under their own value as well
-        for u, v in forest(bits[lo:hi], radius):
-            us.append(u.view(np.int64))
-            vs.append(v.view(np.int64))
+        for u, v in forest(bits[lo:hi], radius, None if more is None else more[lo:hi], also):
+            us.append(ids[lo + u])
+            vs.append(ids[lo + v])
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
-def links(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
+def links(nodes: DataFrame, radius: int, segments: int, also: int | None = None) -> DataFrame:
     """(u, v): links between distinct fingerprints ``fp`` with at most ``radius`` differing bits.
 
     All links, or, among many fingerprints that share a segment's value, enough
-    for the same components.
+    for the same components. With ``also``, nodes have a further word ``other``, of
+    which at most so many bits may differ, and an ``id``, which links then name.
     """
     if radius > 3 * segments - 1:
         raise ValueError("too few segments for the radius")
     spark = nodes.sparkSession
     parts = _segments(segments)
+    held_columns = ["fp"] if also is None else ["fp", "other", "id"]
     values = []
     for k, (first, width) in enumerate(parts):
         own = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
         values += [own.bitwiseXOR(F.lit(x)).bitwiseOR(F.lit(k << 56)) for x in [0, *(1 << i for i in range(width))]]
-    balls = nodes.select("fp", F.explode(F.array(*values)).alias("key"))
-    parted = balls.repartition("key").sortWithinPartitions("key", "fp")
+    balls = nodes.select(*held_columns, F.explode(F.array(*values)).alias("key"))
+    parted = balls.repartition("key").sortWithinPartitions("key", *held_columns)
+    names = ["u", "v", "key", *held_columns[1:]]
 
-    def run(batches):
-        held_k, held_f, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    def linked(u, v):
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *(pa.nulls(len(u), pa.int64()) for _ in names[2:])], names)
 
-        def rows(u, v, key=None):
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(key, pa.int64()) if key is not None else pa.nulls(len(u), pa.int64())], ["u", "v", "key"])
+    def passed(k, f):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (f[0], f[0], k, *f[1:])], names)
 
+    def run(batches):
+        held_k, held_f, passing = np.zeros(0, np.int64), np.zeros((len(held_columns), 0), np.int64), None
         for table in grouped(batches, 4 << 20):
             k = np.concatenate([held_k, table["key"].to_numpy()])
-            f = np.concatenate([held_f, table["fp"].to_numpy()])
+            f = np.hstack([held_f, np.stack([table[c].to_numpy() for c in held_columns])])
             if passing is not None:  # the rest of a run that is too large
                 n = int(np.searchsorted(k, passing, side="right"))
-                yield rows(f[:n], f[:n], k[:n])
-                k, f = k[n:], f[n:]
+                yield passed(k[:n], f[:, :n])
+                k, f = k[n:], f[:, n:]
                 if not len(k):
+                    held_k, held_f = k, f
                     continue
                 passing = None
             done = int(np.searchsorted(k, k[-1]))
             if done:
-                yield from whole(k[:done], f[:done], rows)
-            held_k, held_f = k[done:], f[done:]
+                yield from whole(k[:done], f[:, :done])
+            held_k, held_f = k[done:], f[:, done:]
             if len(held_k) > MEET:
-                yield rows(held_f, held_f, held_k)
-                passing, held_k, held_f = int(held_k[0]), held_k[:0], held_f[:0]
+                yield passed(held_k, held_f)
+                passing, held_k, held_f = int(held_k[0]), held_k[:0], held_f[:, :0]
         if len(held_k):
-            yield from whole(held_k, held_f, rows)
+            yield from whole(held_k, held_f)
 
-    def whole(k, f, rows):
+    def whole(k, f):
         begin = np.flatnonzero(np.diff(k, prepend=k[:1] - 1))
         length = np.diff(np.append(begin, len(k)))
         many = np.repeat(length > MEET, length)
         if many.any():
-            yield rows(f[many], f[many], k[many])
-            k, f = k[~many], f[~many]
+            yield passed(k[many], f[:, many])
+            k, f = k[~many], f[:, ~many]
         if len(k):
-            yield rows(*_met(k, f, parts, radius))
+            f = np.ascontiguousarray(f)
+            yield linked(*_met(k, f[0], None if also is None else f[1], f[-1], parts, radius, also))
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    met = written(parted.mapInArrow(run, "u long, v long, key long"), "met")
+    met = written(parted.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "met")
     small_batches(spark)
-    many = met.where("key is not null").select("key", F.col("u").alias("fp"))
+    many = met.where("key is not null").select("key", F.col("u").alias("fp"), *held_columns[1:])
     sizes = many.groupBy("key").agg(F.ceil(F.count("*") / (MEET // 2)).alias("blocks"))
-    dealt = many.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = many.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64(*held_columns), "blocks")).withColumn("other_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
     def pairs(pdf):
         import pandas as pd
 
-        found = forest(np.sort(pdf["fp"].to_numpy()).view(np.uint64), radius)
-        join = lambda i: np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in found)]).view(np.int64)
+        pdf = pdf.sort_values(held_columns)
+        word = lambda c: pdf[c].to_numpy().view(np.uint64)
+        found = forest(word("fp"), radius, None if also is None else word("other"), also)
+        ids = pdf[held_columns[-1]].to_numpy()
+        join = lambda i: np.concatenate([np.zeros(0, np.int64), *(ids[x[i]] for x in found)])
         return pd.DataFrame({"u": join(0), "v": join(1)})
 
-    rest = dealt.groupBy("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).applyInPandas(pairs, "u long, v long")
+    rest = dealt.groupBy("key", F.least("own", "other_block").alias("a"), F.greatest("own", "other_block").alias("b")).applyInPandas(pairs, "u long, v long")
     return met.where("key is null").select("u", "v").union(rest)
 
 
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as places, that join all components of the sets under their exact Jaccard similarity."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, item = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), size)[order]
+    begin = np.append(0, np.cumsum(np.bincount(item)))
+    place = np.append(0, np.cumsum(size))
+    rest, us, vs = np.ones(len(sets), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in range(len(sets)):
+        queue = [root] if rest[root] else []
+        rest[root] = False
+        while queue:
+            at = queue.pop()
+            own = item[place[at] : place[at + 1]]
+            n = begin[own + 1] - begin[own]
+            where = np.arange(n.sum()) + np.repeat(begin[own] - np.cumsum(n) + n, n)
+            both = np.bincount(holder[where], minlength=len(sets))
+            found = np.flatnonzero(rest & (both >= similarity * (size + size[at] - both) - 1e-9))
+            rest[found] = False
+            us.append(np.full(len(found), at))
+            vs.append(found)
+            queue.extend(found.tolist())
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def verified(members: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): links of similar texts among the members (key, id) of each key, enough for the components of all such links.
+
+    Every two members of a key are compared by their whole shingle sets; keys with many
+    members, or long ones, are dealt out as pairs of blocks.
+    """
+    counted = members.distinct()
+    alone = counted.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    asked = written(counted.join(alone, "key").select("key", "id"), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(asked.select("id").distinct(), "id")
+
+    def run(batches):
+        for table in grouped(batches, 4 << 20):
+            sets = [np.unique(shingle_hashes(t or "", words)).view(np.int64) for t in table["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([table["id"].combine_chunks(), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
+
+    sets = written(texts.mapInArrow(run, "id long, hashes array<long>"), "sets")
+    rows = asked.join(sets, "id")
+    sizes = asked.join(sets.select("id", F.size("hashes").alias("n")), "id").groupBy("key").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / (MEET // 2))).cast("long").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1)))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)))
+
+    def pairs(table):
+        ids = table["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        u, v = similar([x.values.to_numpy() for x in map(table["hashes"].__getitem__, order.tolist())], similarity)
+        return pa.table({"u": ids[order][u], "v": ids[order][v]})
+
+    return dealt.select("key", "id", "hashes", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).groupBy("key", "a", "b").applyInArrow(pairs, "u long, v long")
+
+
 def components(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach."""
     prints = written(fingerprints(docs, words), "prints")
@@ -224,25 +297,21 @@ def components(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 def near_copies(docs: DataFrame, words: int = 5, radius: int = 11, similarity: float = 0.8, least_shingles: int = 16) -> DataFrame:
     """doc_id and copy_of for documents that another of their group stands for.
 
-    Fingerprints within ``radius`` are candidates; a link stays if all 256 sketch
-    bits put the similarity of the shingle sets at ``similarity`` or more, give or
-    take the sketch's deviation. Texts of few shingles, whose fingerprints say
-    little, are linked only if all sketch bits are equal.
+    Fingerprints within ``radius`` whose next sketch word is near as well are candidates.
+    Within each component of candidates, all pairs are held against each other by the
+    exact similarity of their shingle sets; only links of ``similarity`` or more
+    stay. Texts with all sketch bits equal count as one.
     """
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
-    allowed = int(256 * share + np.sqrt(256 * share * (1 - share)))
+    allowed = int(64 * share + 3 * np.sqrt(64 * share * (1 - share)))
     prints = written(fingerprints(docs, words, sketch=True).where("doc_id is not null"), "prints")
     whole = ["fp", "s1", "s2", "s3"]
     nodes = written(prints.groupBy(*whole).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")), "nodes")
-    found = links(nodes.where(F.col("n") >= least_shingles).select("fp").distinct(), radius, 4)
-    # Sketches with one fingerprint are held against the least of them, linked fingerprints against all sketches of both.
-    side = lambda x: nodes.where(F.col("n") >= least_shingles).select(*(F.col(c).alias(f"{c}{x}") for c in [*whole, "least"]))
-    same = nodes.where(F.col("n") >= least_shingles).groupBy("fp").agg(F.min("least").alias("first"), F.count("*").alias("k")).where("k > 1")
-    tied = nodes.join(same, "fp").where("least <> first").select(F.col("least").alias("u"), F.col("first").alias("v"))
-    apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in whole[1:]), F.bit_count(F.col("fpa").bitwiseXOR(F.col("fpb"))))
-    near = found.distinct().join(side("a"), F.col("u") == F.col("fpa")).join(side("b"), F.col("v") == F.col("fpb")).where(apart <= allowed).select(F.col("leasta").alias("u"), F.col("leastb").alias("v"))
-    groups = connected_components(tied.union(near))
+    long = nodes.where(F.col("n") >= least_shingles)
+    found = links(long.select("fp", F.col("s1").alias("other"), F.col("least").alias("id")), radius, 4, allowed)
+    families = connected_components(found.distinct()).select(F.col("label").alias("key"), F.col("node").alias("id"))
+    groups = connected_components(verified(families, docs, words, similarity))
     labels = nodes.join(groups, F.col("least") == F.col("node"), "left").select(*whole, F.coalesce("label", "least").alias("copy_of"))
     return prints.join(labels, whole).where("doc_id <> copy_of").select("doc_id", "copy_of")
 

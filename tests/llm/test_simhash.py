@@ -73,3 +73,19 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "u long, v long")
     out = {r.node: r.label for r in connected_components(edges).collect()}
     assert out == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_a_rejected_neighbour_parts_no_copies(spark, monkeypatch):
+    # Fingerprint 0 is near those of 1001 and 1002, and first under every crowded value where they meet, but its text is another.
+    rng = np.random.default_rng(5)
+    word = lambda: int(rng.integers(-(2**63), 2**63))
+    shared = [word() for _ in range(3)]
+    rows = [(1, 0, word(), word(), word(), 300)]
+    rows += [(i, sum(1 << (16 * k + b) for k in range(4)), *shared[:2], shared[2] ^ b, 300) for i, b in ((1001, 3), (1002, 9))]
+    for k in range(4):
+        rows += [(10 + 80 * k + i, int(np.int64(word()) & ~np.uint64(0xFFFF << (16 * k)).view(np.int64)), word(), word(), word(), 300) for i in range(80)]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long, s1 long, s2 long, s3 long, n_shingles long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **b: prints)
+    same = " ".join(f"w{i}" for i in range(304))
+    docs = spark.createDataFrame([(r[0], same if r[0] > 1000 else " ".join(f"d{r[0]}x{i}" for i in range(304))) for r in rows], "doc_id long, text string")
+    assert [tuple(r) for r in simhash.near_copies(docs).collect()] == [(1002, 1001)]
