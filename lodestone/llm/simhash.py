@@ -18,6 +18,8 @@ doc_id takes part, but is never a component's name unless it is alone.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -297,7 +299,8 @@ def components(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 def near_copies(docs: DataFrame, words: int = 5, radius: int = 11, similarity: float = 0.8, least_shingles: int = 16) -> DataFrame:
     """doc_id and copy_of for documents that another of their group stands for.
 
-    Fingerprints within ``radius`` whose next sketch word is near as well are candidates.
+    Each of the four sketch words serves as fingerprint once: texts within ``radius`` in
+    any of them, whose next word is near as well, are candidates.
     Within each component of candidates, all pairs are held against each other by the
     exact similarity of their shingle sets; only links of ``similarity`` or more
     stay. Texts with all sketch bits equal count as one.
@@ -309,7 +312,8 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 11, similarity: f
     whole = ["fp", "s1", "s2", "s3"]
     nodes = written(prints.groupBy(*whole).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")), "nodes")
     long = nodes.where(F.col("n") >= least_shingles)
-    found = links(long.select("fp", F.col("s1").alias("other"), F.col("least").alias("id")), radius, 4, allowed)
+    turns = [long.select(F.col(c).alias("fp"), F.col(d).alias("other"), F.col("least").alias("id")) for c, d in zip(whole, [*whole[1:], *whole[:1]], strict=True)]
+    found = reduce(DataFrame.union, [links(turn, radius, 4, allowed) for turn in turns])
     families = connected_components(found.distinct()).select(F.col("label").alias("key"), F.col("node").alias("id"))
     groups = connected_components(verified(families, docs, words, similarity))
     labels = nodes.join(groups, F.col("least") == F.col("node"), "left").select(*whole, F.coalesce("label", "least").alias("copy_of"))

@@ -89,3 +89,15 @@ def test_a_rejected_neighbour_parts_no_copies(spark, monkeypatch):
     same = " ".join(f"w{i}" for i in range(304))
     docs = spark.createDataFrame([(r[0], same if r[0] > 1000 else " ".join(f"d{r[0]}x{i}" for i in range(304))) for r in rows], "doc_id long, text string")
     assert [tuple(r) for r in simhash.near_copies(docs).collect()] == [(1002, 1001)]
+
+
+def test_similarity_decides(spark):
+    # Pairs of 196 shingles against as many and some more, just above and just below a similarity of 0.8.
+    rng = np.random.default_rng(8)
+    docs = []
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 265)]
+        docs += [(2 * i, " ".join(words[:200])), (2 * i + 1, " ".join(words[: 248 if i < 150 else 255]))]
+    found = {r.doc_id: r.copy_of for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(d == c + 1 and d < 300 for d, c in found.items())
+    assert len(found) >= 147
