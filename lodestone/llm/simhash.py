@@ -255,6 +255,22 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
     return np.concatenate(us), np.concatenate(vs)
 
 
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, id): the least shingle hashes of each text, so many that two texts of ``similarity`` share one."""
+
+    def run(batches):
+        for table in grouped(batches, 4 << 20):
+            keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, t in zip(table["id"].to_pylist(), table["text"].to_pylist(), strict=True):
+                h = np.unique(shingle_hashes(t or "", words))
+                h = h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                keys.append(h.view(np.int64))
+                ids.append(np.full(len(h), i, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id is not null").mapInArrow(run, "key long, id long")
+
+
 def verified(members: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(u, v): links of similar texts among the members (key, id) of each key, enough for the components of all such links.
 
@@ -303,7 +319,9 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 11, similarity: f
     any of them, whose next word is near as well, are candidates.
     Within each component of candidates, all pairs are held against each other by the
     exact similarity of their shingle sets; only links of ``similarity`` or more
-    stay. Texts with all sketch bits equal count as one.
+    stay. Texts with all sketch bits equal count as one. Fingerprints say little of texts
+    of few shingles: those of fewer than ``least_shingles``, and longer ones that may be
+    similar to them, are candidates if they share one of their least shingle hashes.
     """
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
@@ -315,7 +333,9 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 11, similarity: f
     turns = [long.select(F.col(c).alias("fp"), F.col(d).alias("other"), F.col("least").alias("id")) for c, d in zip(whole, [*whole[1:], *whole[:1]], strict=True)]
     found = reduce(DataFrame.union, [links(turn, radius, 4, allowed) for turn in turns])
     families = connected_components(found.distinct()).select(F.col("label").alias("key"), F.col("node").alias("id"))
-    groups = connected_components(verified(families, docs, words, similarity))
+    short = nodes.where((F.col("n") > 0) & (F.col("n") < least_shingles / similarity)).select(F.col("least").alias("doc_id"))
+    shared = prefixes(docs.select("doc_id", "text").join(short, "doc_id"), words, similarity)
+    groups = connected_components(verified(families.union(shared), docs, words, similarity))
     labels = nodes.join(groups, F.col("least") == F.col("node"), "left").select(*whole, F.coalesce("label", "least").alias("copy_of"))
     return prints.join(labels, whole).where("doc_id <> copy_of").select("doc_id", "copy_of")
 

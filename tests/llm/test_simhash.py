@@ -101,3 +101,11 @@ def test_similarity_decides(spark):
     found = {r.doc_id: r.copy_of for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(d == c + 1 and d < 300 for d, c in found.items())
     assert len(found) >= 147
+
+
+def test_short_copies(spark):
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    docs = [(1, text("a", 19)), (2, text("a", 20)), (3, text("b", 8)), (4, text("b", 9)), (5, text("c", 7)), (6, text("c", 8)), (7, "one two"), (8, "one two three"), (9, "One  two")]
+    docs += [(20 + i, f"all of these words {i} differ here {i} anew") for i in range(80)]
+    found = simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in found) == [(2, 1), (4, 3), (9, 7)]
