@@ -148,12 +148,28 @@ def _met(keys: np.ndarray, fps: np.ndarray, others: np.ndarray | None, ids: np.n
     return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each component's least node to its others, in place of the given links."""
+    names, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(names))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+    other = label != np.arange(len(names))
+    return names[label[other]], names[other]
+
+
 def links(nodes: DataFrame, radius: int, segments: int, also: int | None = None) -> DataFrame:
     """(u, v): links between distinct fingerprints ``fp`` with at most ``radius`` differing bits.
 
     All links, or, among many fingerprints that share a segment's value, enough
     for the same components. With ``also``, nodes have a further word ``other``, of
-    which at most so many bits may differ, and an ``id``, which links then name.
+    which at most so many bits may differ, and an ``id``, which links then name; links
+    of one batch are replaced by stars, since a dense group meets under many values.
     """
     if radius > 3 * segments - 1:
         raise ValueError("too few segments for the radius")
@@ -206,7 +222,8 @@ def links(nodes: DataFrame, radius: int, segments: int, also: int | None = None)
             k, f = k[~many], f[:, ~many]
         if len(k):
             f = np.ascontiguousarray(f)
-            yield linked(*_met(k, f[0], None if also is None else f[1], f[-1], parts, radius, also))
+            found = _met(k, f[0], None if also is None else f[1], f[-1], parts, radius, also)
+            yield linked(*(found if also is None else stars(*found)))
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     met = written(parted.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "met")

@@ -109,3 +109,18 @@ def test_short_copies(spark):
     docs += [(20 + i, f"all of these words {i} differ here {i} anew") for i in range(80)]
     found = simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in found) == [(2, 1), (4, 3), (9, 7)]
+
+
+def test_stars_keep_components():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 30, 80, 120):
+        u, v = rng.integers(-50, 50, n), rng.integers(-50, 50, n)
+        a, b = simhash.stars(u, v)
+        label = {x: {x} for x in range(-50, 50)}
+        for x, y in zip(u.tolist(), v.tolist(), strict=True):
+            both = label[x] | label[y]
+            label.update(dict.fromkeys(both, both))
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted((min(g), x) for x, g in label.items() if min(g) != x)
+    # A path numbered at random, and a dense group, give one link for each node but the least.
+    order = rng.permutation(2000)
+    assert len(simhash.stars(order[:-1], order[1:])[0]) == 1999
