@@ -137,6 +137,8 @@ def _met(keys: np.ndarray, fps: np.ndarray, others: np.ndarray | None, ids: np.n
             near = near[np.bitwise_count(more[near] ^ more[near + d]) <= also]
         us.append(ids[near])
         vs.append(ids[near + d])
+        if more is not None and sum(map(len, us)) > 1 << 18:  # dense groups: memory stays small
+            us, vs = ([x] for x in stars(np.concatenate(us), np.concatenate(vs)))
     for k in np.flatnonzero(length > SHIFTED):
         lo, hi = begin[k], begin[k] + length[k]
         if (own[lo:hi] == own[lo]).all() and own[lo] != ball[lo]:
@@ -348,7 +350,11 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 11, similarity: f
     nodes = written(prints.groupBy(*whole).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")), "nodes")
     long = nodes.where(F.col("n") >= least_shingles)
     turns = [long.select(F.col(c).alias("fp"), F.col(d).alias("other"), F.col("least").alias("id")) for c, d in zip(whole, [*whole[1:], *whole[:1]], strict=True)]
-    found = reduce(DataFrame.union, [links(turn, radius, 4, allowed) for turn in turns])
+    # What the first word links counts as one for the others, which then link only what is still apart.
+    first = written(connected_components(links(turns[0], radius, 4, allowed)), "first")
+    tied = first.select(F.col("label").alias("u"), F.col("node").alias("v"))
+    later = [written(t.join(first, F.col("id") == F.col("node"), "left").select("fp", "other", F.coalesce("label", "id").alias("id")), "turn") for t in turns[1:]]
+    found = reduce(DataFrame.union, [tied, *(links(t, radius, 4, allowed) for t in later)])
     families = connected_components(found.distinct()).select(F.col("label").alias("key"), F.col("node").alias("id"))
     short = nodes.where((F.col("n") > 0) & (F.col("n") < least_shingles / similarity)).select(F.col("least").alias("doc_id"))
     shared = prefixes(docs.select("doc_id", "text").join(short, "doc_id"), words, similarity)
