@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +17,23 @@ from pyspark.sql import functions as F
 ARROW_RECORDS = 256
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the batches that Spark sends to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_RECORDS))
+    """Bound the batches of texts that Spark sends to Python workers, for the rest of the session, since frames run later."""
+    spark.conf.set(BATCH, str(ARROW_RECORDS))
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Other batches for what runs inside, such as rows of a few numbers."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def grouped(batches: Iterable[pa.RecordBatch], target: int = 8 << 20) -> Iterator[pa.Table]:
@@ -37,14 +53,22 @@ def grouped(batches: Iterable[pa.RecordBatch], target: int = 8 << 20) -> Iterato
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is used
-    only where that setting is missing, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is missing a local
+    folder serves if driver and executors are one process, as in tests; else it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+#: Tables of this process in the shared folder, in the order in which they were begun.
+_paths: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +78,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def begun() -> int:
+    """How many tables have been begun so far; for ``discard``."""
+    return len(_paths)
+
+
+def discard(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Remove the tables begun after the first ``since``, other than those that ``keep`` reads."""
+    kept = "\n".join(keep.inputFiles())
+    for path in _paths[since:]:
+        if path.rpartition("/")[2] not in kept:
+            remove(spark, path)
+            _paths.remove(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt over as many partitions as a shuffle has, however small it is, for work that makes many rows of each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of ``shared_path`` through Hadoop's file system API."""
     jvm = spark.sparkContext._jvm

@@ -64,9 +64,80 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     base = " ".join(f"w{i}" for i in range(300))
     near = base.replace("w150 ", "changed ")
     other = " ".join(f"v{i}" for i in range(300))
-    docs = spark.createDataFrame([(3, base), (1, near), (2, base), (7, other), (7, other), (8, "short one"), (9, "short two"), (None, base)], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect() if r.doc_id) == [1, 7, 8, 9]
-    assert simhash.deduplicated(docs).where("doc_id is null").count() == 1
+    docs = spark.createDataFrame([(3, base), (1, near), (2, base), (7, other), (7, other), (8, "short one"), (9, "short two"), (None, base), (None, "alone")], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0), r.text) for r in simhash.deduplicated(docs).collect()) == [(0, "alone"), (1, near), (7, other), (8, "short one"), (9, "short two")]
+
+
+def test_different_texts_under_one_id_stay(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in "abc"]
+    docs = spark.createDataFrame([(5, t, "x") for t in texts] + [(4, texts[0], "y"), (None, texts[1], "z"), (5, texts[2], "x")], "doc_id long, text string, row string")
+    out = simhash.deduplicated(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text[0]) for r in out.collect()) == [(4, "a"), (5, "b"), (5, "c")]
+
+
+def test_one_phrase_said_often_makes_no_copies(spark):
+    docs = spark.createDataFrame([(i, "x " * 1000 + " ".join(f"{name}{k}" for k in range(400))) for i, name in enumerate("ab")], "doc_id long, text string")
+    assert simhash.near_copies(docs).count() == 0
+
+
+def shingle_sets(texts, n=5):
+    rows = [t.lower().split() for t in texts]
+    return [frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset() for w in rows]
+
+
+def jaccard_groups(texts):
+    """Group names by all pairs that share a shingle, each by its exact similarity."""
+    sets, label, holders = shingle_sets(texts), list(range(len(texts))), {}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, s in enumerate(sets):
+        both = {}
+        for x in s or [None]:
+            for j in holders.setdefault(x, []):
+                both[j] = both.get(j, 0) + 1
+            holders[x].append(i)
+        for j, n in both.items():
+            if not s or n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9:
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def near_labels(spark, texts, **how):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = {r.doc_id: r.copy_of for r in simhash.near_copies(docs, **how).collect()}
+    return [label.get(i, i) for i in range(len(texts))]
+
+
+def test_groups_equal_all_pairs(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet").toPandas().text.tolist()
+    assert near_labels(spark, texts) == jaccard_groups(texts)
+
+
+@pytest.mark.parametrize(("block", "together"), [(300_000, 50_000), (2_000, 20)])
+def test_dense_near_copies(spark, monkeypatch, block, together):
+    # Chains and crowds of copies; small blocks deal them out.
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for k in range(60):
+            words = list(base)
+            for i in rng.choice(100, rng.integers(0, 4), replace=False):
+                words[i] = f"z{rng.integers(10**9)}"
+            texts.append(" ".join(words))
+        for k in range(1, 30):  # each much like the last, the ends unlike
+            base[3 * k % 100] = f"c{g}x{k}"
+            texts.append(" ".join(base))
+    got, want = near_labels(spark, texts), jaccard_groups(texts)
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.98 * len(texts)
+    assert all(want[a] == want[i] for i, a in enumerate(got))  # nothing is joined that all pairs leave apart
 
 
 def test_components_of_a_path(spark):
@@ -75,22 +146,6 @@ def test_components_of_a_path(spark):
     assert out == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
-def test_a_rejected_neighbour_parts_no_copies(spark, monkeypatch):
-    # Fingerprint 0 is near those of 1001 and 1002, and first under every crowded value where they meet, but its text is another.
-    rng = np.random.default_rng(5)
-    word = lambda: int(rng.integers(-(2**63), 2**63))
-    shared = [word() for _ in range(3)]
-    rows = [(1, 0, word(), word(), word(), 300)]
-    rows += [(i, sum(1 << (16 * k + b) for k in range(4)), *shared[:2], shared[2] ^ b, 300) for i, b in ((1001, 3), (1002, 9))]
-    for k in range(4):
-        rows += [(10 + 80 * k + i, int(np.int64(word()) & ~np.uint64(0xFFFF << (16 * k)).view(np.int64)), word(), word(), word(), 300) for i in range(80)]
-    prints = spark.createDataFrame(rows, "doc_id long, fp long, s1 long, s2 long, s3 long, n_shingles long")
-    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **b: prints)
-    same = " ".join(f"w{i}" for i in range(304))
-    docs = spark.createDataFrame([(r[0], same if r[0] > 1000 else " ".join(f"d{r[0]}x{i}" for i in range(304))) for r in rows], "doc_id long, text string")
-    assert [tuple(r) for r in simhash.near_copies(docs).collect()] == [(1002, 1001)]
-
-
 def test_similarity_decides(spark):
     # Pairs of 196 shingles against as many and some more, just above and just below a similarity of 0.8.
     rng = np.random.default_rng(8)
@@ -111,6 +166,17 @@ def test_short_copies(spark):
     assert sorted(tuple(r) for r in found) == [(2, 1), (4, 3), (9, 7)]
 
 
+def test_recall_by_similarity(spark):
+    # Pairs of so many words, of which the second's end is cut off to give the similarity.
+    rng = np.random.default_rng(9)
+    for n, similarity, least in ((30, 0.85, 0.95), (200, 0.82, 0.97), (200, 0.9, 0.995), (1000, 0.82, 0.97)):
+        docs = []
+        for i in range(200):
+            words = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+            docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 4 + -int(-n * similarity // 1)]))]
+        assert simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).count() >= 200 * least, (n, similarity)
+
+
 def test_stars_keep_components():
     rng = np.random.default_rng(4)
     for n in (0, 1, 30, 80, 120):
