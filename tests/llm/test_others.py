@@ -1,6 +1,7 @@
 """Media, pages, classifiers, shards, mixes and vectors against brute force or held-out rows."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -121,32 +122,109 @@ def test_class_prior():
 
 def test_min_cost_flow_moves_least():
     rng = random.Random(2)
-    for _ in range(100):
-        n, m = rng.randint(1, 6), rng.randint(1, 6)
+    for _ in range(200):
+        n, m = rng.randint(1, 7), rng.randint(1, 7)
         have = [rng.randint(0, 50) for _ in range(n)]
-        room = [sum(have) // m + (k < sum(have) % m) for k in range(m)]
-        flow = sharding.min_cost_flow(have, room, lambda i, j: 0 if i == j else 1)
-        assert all(sum(f for (i, j), f in flow.items() if i == k) == have[k] for k in range(n))
+        room = [0] * m
+        for _ in range(sum(have)):
+            room[rng.randrange(m) if rng.random() < 0.5 else 0] += 1
+        flow = sharding.min_cost_flow(have, room, [i if i < m else None for i in range(n)])
+        assert all(sum(f for (i, j), f in flow.items() if i == k) == have[k] for k in range(n)) and min(flow.values(), default=1) > 0
+        assert all(sum(f for (i, j), f in flow.items() if j == k) == room[k] for k in range(m))
         assert sum(f for (i, j), f in flow.items() if i == j) == sum(min(have[k], room[k]) for k in range(min(n, m)))
 
 
+def test_network_against_all_flows():
+    # Small networks with costs of their own, against a search through all integer flows.
+    rng = random.Random(4)
+    for _ in range(60):
+        arcs = [(a, b, rng.randint(0, 2), rng.randint(0, 3)) for a in range(4) for b in range(1, 5) if a != b and rng.random() < 0.6]
+        best = {0: 0}
+        for parts in itertools.product(*(range(r + 1) for _, _, r, _ in arcs[:8])):
+            net = [0] * 5
+            for (a, b, _, _), f in zip(arcs, parts, strict=False):
+                net[a] -= f
+                net[b] += f
+            if not any(net[1:4]):
+                cost = sum(f * x[3] for x, f in zip(arcs, parts, strict=False))
+                best[net[4]] = min(best.get(net[4], 99), cost)
+        solver = sharding.Network(5)
+        made = [solver.arc(*x) for x in arcs[:8]]
+        solver.solve(0, 4)
+        flow = [solver.room[e + 1] for e in made]
+        sent = sum(f for (a, b, _, _), f in zip(arcs, flow, strict=False) if b == 4) - sum(f for (a, b, _, _), f in zip(arcs, flow, strict=False) if a == 4)
+        assert sent == max(best) and sum(f * x[3] for x, f in zip(arcs, flow, strict=False)) == best[sent]
+
+
 def test_shards(docs):
     out = sharding.resharded(docs).toPandas()
     sizes = out.groupby("shard")["size"].sum()
     assert len(sizes) == 16 and sizes.max() - sizes.min() < 0.05 * sizes.mean()
     for _, part in out.groupby("shard"):
         assert sorted(part.slot) == list(range(len(part)))
+    want = sorted((r.doc_id, len(r.text.encode()) + 1, zlib.crc32(r.text.encode())) for r in docs.collect())
+    assert sorted(zip(out.doc_id, out["size"], out.text_crc32, strict=True)) == want
+
+
+def test_blocks_follow_the_flow(spark, docs):
+    # Within an old shard the rows that aren't dealt alone lie in blocks, each of its flow's bytes but for a document.
+    rows = sharding.laid(docs)
+    placed, _ = sharding.plan(rows)
+    out = sharding.assigned(rows).drop("doc").toPandas()
+    total, sizes = out["size"].sum(), out.groupby("old_shard")["size"].sum()
+    assert {r.row: r.shard for r in out.itertuples() if r.row in placed} == placed
+    small = out[~out.row.isin(placed)]
+    taken = out[out.row.isin(placed)].groupby("shard")["size"].sum()
+    olds = sorted(sizes.index)
+    room = sharding.level_capacities(int(total), [int(taken.get(j, 0)) for j in range(16)])
+    left = small.groupby("old_shard")["size"].sum()
+    flow = sharding.min_cost_flow([int(left.get(o, 0)) for o in olds], room, [o if o < 16 else None for o in olds])
+    for i, o in enumerate(olds):
+        part = small[small.old_shard == o].sort_values("position")
+        order = part.shard.tolist()
+        assert order == sorted(order) and set(order) <= {j for a, j in flow if a == i}
+        for j in set(order):
+            assert abs(part[part.shard == j]["size"].sum() - flow[i, j]) <= small["size"].max()
+    moved = out[out.shard != out.old_shard]["size"].sum()
+    share = total // 16
+    least = total - sum(min(sizes[o], share) for o in olds if o < 16)
+    assert moved <= least + 16 * out["size"].max()
+
+
+def test_copies_are_parted(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.range(30_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), F.pmod(F.xxhash64("id"), F.lit(14)).cast("int")).alias("text"), F.lit("s").alias("source"))
+    same = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 60).alias("text"), F.lit("s").alias("source"))
+    out = sharding.resharded(made.union(same)).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(out) == 34_000 and sizes.max() - sizes.min() <= 2 * 61 and len(sizes) == 16
+    assert all(sorted(p.slot) == list(range(len(p))) for _, p in out.groupby("shard"))
 
 
 def test_rewrite(spark, docs, tmp_path):
     from pyspark.sql import functions as F
 
-    docs.write.parquet(f"{tmp_path}/in")
+    large = spark.range(8).select(F.lit(3).cast("long").alias("doc_id"), F.repeat(F.lit("word "), 9000).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(45_000).cast("long").alias("n_chars"))
+    both = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).union(large).withColumn("shard", F.lit("kept"))
+    both.write.parquet(f"{tmp_path}/in")
     old = F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int")
     changed = sharding.rewrite(spark, f"{tmp_path}/in", f"{tmp_path}/out", old, 4)
     back = spark.read.parquet(f"{tmp_path}/out")
-    assert changed.where("changed").count() == 4 and back.count() == docs.count()
-    assert back.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0
+    assert changed.where("changed").count() == 4 and back.count() == both.count() and set(back.columns) == {*both.columns, "_shard"}
+    assert back.select(*both.columns).exceptAll(both).count() == 0 and both.exceptAll(back.select(*both.columns)).count() == 0
+
+
+def test_rewrite_leaves_shards_alone(spark, tmp_path):
+    # Old shards 0 to 5 to four new ones: 0 and 1 are as large as they shall be, 4 and 5 lose everything.
+    from pyspark.sql import functions as F
+
+    docs = spark.range(400).select("id", F.col("id").alias("doc_id"), F.lit("t" * 9).alias("text")).drop("id")
+    docs.write.parquet(f"{tmp_path}/in")
+    old = F.when(F.col("doc_id") < 200, F.col("doc_id") % 2).otherwise(2 + F.col("doc_id") % 4)
+    found = {r.shard: r.changed for r in sharding.rewrite(spark, f"{tmp_path}/in", f"{tmp_path}/out", old, 4).collect()}
+    assert found == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").groupBy("shard").count().collect()} == {(2, 100), (3, 100)}
 
 
 def test_mix_equals_sql(docs, sf):
