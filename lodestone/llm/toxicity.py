@@ -1,24 +1,30 @@
-"""Toxicity by a support vector machine over a gapped subsequence kernel.
-
-The kernel of two words counts the letter triples that both hold in order, not
-necessarily side by side; a triple counts less the further it is spread, and at
-most ``SPAN`` letters. Insults with letters put in, or cut by marks, keep most of
-their triples. Words stand for their Nyström coordinates: kernel values with a set
-of landmark words, times the inverse root of the landmarks' own kernel. A linear
-machine over these coordinates separates the words of toxic sentences from those of
-clean ones. A sentence of a toxic document need not be toxic, so that of each such
-document the word that scores highest stands for it, chosen again after each fit. A
-sentence scores as its highest word, a text as its highest sentence; a logistic
-curve over that score gives the probability.
+"""Toxicity by a support vector machine over gapped subsequence kernels.
+
+Two kernels compare strings of letters. One counts the letter triples that both hold in
+order within six letters, less the further they are spread, with marks for a word's
+begin and end; inflected forms of one stem are alike under it. The other counts fours within eight
+letters nearly alike however they are spread; an insult with letters put in keeps most of its
+fours, and no other word has many of them. Each is the cosine of those counts, sharpened.
+
+A sentence's kernel value with a landmark is the greatest of its strings: its words, the
+parts between marks inside a word, the word without its marks, windows of long words, and letters
+that stand alone in a row. Sentences stand for their Nyström coordinates, kernel values with a set
+of landmark insults times the inverse root of the landmarks' own kernel. A linear
+machine over these coordinates separates sentences that hold an insult from those of clean documents.
+Labels are of documents: a toxic document's sentences with a word that marks toxic documents are positive,
+without such a word the one that scores highest, chosen again after each fit. Each insult is also
+learned with one and two letters put in. A text scores as its highest sentence; a
+logistic curve over that score gives the probability.
 
 Landmarks and machine come from labelled rows of the training folds: at most
 ``TOXIC`` toxic and ``CLEAN`` clean documents, those whose id's hash is least. Every
-text is scored whole, and only by its words.
+text is scored whole, and only by its words. An insult parted by a single space, or
+glued into a longer word of up to ``PIECE`` letters, is seen only as far as the kernels reach.
 
 Defined results: a null or empty text scores as text without an insult; rows with
 equal texts score alike; null labels are not used; with no toxic or no clean label to
-learn from every score is 0; an empty table gives an empty table. ``scored`` ignores
-further columns of any name, ``kept`` keeps them.
+learn from every score is 0; an empty table gives an empty table. Of rows that share a
+sampled id one is learned from. ``scored`` ignores further columns of any name, ``kept`` keeps them.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +45,15 @@ TOXIC, CLEAN = 1500, 4000  # documents to learn from
 LANDMARKS, LIKE = 56, 0.66
 DECAY, SPAN = 0.7, 6
 PIECE = 24  # letters of a word that are looked at together; longer words are cut with overlap
-CLEAN_COST = 3.0  # of a word of clean documents on the wrong side
-VARIANT_COST = 0.03  # of a marked word with a letter put in
-WIDTH, FLOOR = 0.2, 0.5  # of the kernel's fall from 1, and where it ends
-KEPT_WORDS = 600_000  # scores that a worker keeps; results don't depend on it
+FOURS_DECAY, FOURS_SPAN = 0.95, 8
+CLEAN_COST = 6.0  # of a sentence of clean documents on the wrong side
+MARK_COST = 20.0  # of the sentences with a word that marks toxic documents, for each such word
+VARIANTS, VARIANT_COST = 12, 3.0  # forms of an insult with one letter put in, and as many with two
+WIDTH, FLOOR = 0.2, 0.5  # of the kernel of triples: its fall from 1, and where it ends
+FOURS_WIDTH, FOURS_FLOOR = 0.5, 0.25
+KEPT_WORDS = 200_000  # rows of values that a worker keeps; results don't depend on it
+WORDS_AT_ONCE = 8_000
+SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 EDGE = re.compile(r"^\W+|\W+$")
 MARK = re.compile(r"[\W_]+")
 
@@ -62,23 +74,56 @@ def words_of(text: str) -> list[str]:
 
 
 def pieces_of(word: str) -> list[str]:
-    """A word without marks around it, and without any marks; long ones in overlapping parts."""
+    """A word without marks around it, without any marks, and its parts between marks; long ones in overlapping windows."""
     word = EDGE.sub("", word)
-    if len(word) > PIECE:
-        return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
-    plain = word if word.isalnum() else MARK.sub("", word)
-    return [word] if plain == word else [word, plain]
+    if word.isalnum():
+        found = [word]
+    else:
+        found = [word, MARK.sub("", word), *(p for p in MARK.split(word) if len(p) >= 3)]
+    out = []
+    for w in found:
+        out += [w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)]
+    return list(dict.fromkeys(p for p in out if len(p) >= 3))
 
 
-def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, triple, weight) of every occurrence; letters fall into 64 classes, marks for a word's begin and end among them."""
-    words = [f"\x01{w}\x02" for w in words]
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each letter of the joined words, the number of its word, and how many letters the word has from there."""
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     latin = (codes >= 97) & (codes <= 122)
     letter = np.where(latin, codes - 96, np.where(codes < 3, codes + 61, 27 + codes % 35))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     word = np.repeat(np.arange(len(words)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # letters to the word's end
+    return letter, word, np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+
+
+def fours(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, four, value) of the letter fours of each word, scaled to length one."""
+    letter, word, left = _letters(words)
+    names, keys, weights = [], [], []
+    for rest in combinations(range(1, FOURS_SPAN), 3):
+        at = np.flatnonzero(left > rest[-1])
+        key = letter[at]
+        for k in rest:
+            key = key << 6 | letter[at + k]
+        names.append(word[at])
+        keys.append(key)
+        weights.append(np.full(len(at), FOURS_DECAY ** (rest[-1] - 3)))
+    both, back = np.unique(np.concatenate(names) << 24 | np.concatenate(keys), return_inverse=True)
+    value = np.bincount(back, np.concatenate(weights), len(both))
+    word, key = both >> 24, both & ((1 << 24) - 1)
+    norm = np.sqrt(np.bincount(word, value**2, len(words)))
+    return word, key, value / np.maximum(norm, 1e-9)[word]
+
+
+def histograms(words: list[str]) -> np.ndarray:
+    """How often each word has each letter class."""
+    letter, word, _ = _letters(words)
+    return np.bincount(word * 64 + letter, minlength=64 * len(words)).reshape(-1, 64).astype(np.int8)
+
+
+def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, triple, weight) of every occurrence; letters fall into 64 classes, marks for a word's begin and end among them."""
+    letter, word, left = _letters([f"\x01{w}\x02" for w in words])
     out = []
     for last in range(2, SPAN):
         at = np.flatnonzero(left > last)
@@ -95,14 +140,15 @@ def coordinates(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Kernel:
-    """Kernel values of words with the landmarks.
+    """Values of words with the landmarks under the kernel of triples, and with the insults among them under that of fours.
 
-    The cosine of the words' triples, sharpened: it falls by a factor of e with
-    each ``WIDTH`` that it lies below 1, and counts as none below ``FLOOR``.
+    Each is a cosine, sharpened: it falls by a factor of e with each ``WIDTH`` that it
+    lies below 1, and counts as none below ``FLOOR``.
     """
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: list[str], insults: list[str]):
+        self.landmarks, self.insults = landmarks, insults
+        self.width = len(landmarks) + len(insults)
         word, triple, weight = coordinates(landmarks)
         known, slot = np.unique(triple, return_inverse=True)
         self.slot = np.full(1 << 18, -1, np.int32)
@@ -113,16 +159,56 @@ class Kernel:
         # No cosine exceeds the sum over a word's triples of their greatest weight in any landmark.
         self.most = np.zeros(1 << 18, np.float32)
         self.most[known] = self.table.max(axis=1, initial=0)
+        if insults:
+            self.counts = histograms(insults)
+            word, key, value = fours(insults)
+            self.keys, slot = np.unique(key, return_inverse=True)
+            self.by_four = np.zeros((len(self.keys), len(insults)), np.float32)
+            self.by_four[slot, word] = value
 
     def values(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words that have a value, in order, and their rows of values."""
-        rows, at = [np.zeros((0, len(self.landmarks)), np.float32)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(words), 20_000):
-            a, r = self._values(words[lo : lo + 20_000])
-            at.append(a + lo)
-            rows.append(r)
+        """Numbers of the words that have a value, in order, and their rows of values: triples, then fours."""
+        n = len(self.landmarks)
+        rows, at = [np.zeros((0, self.width), np.float32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            part = words[lo : lo + WORDS_AT_ONCE]
+            (a, x), (b, y) = self._values(part), self._by_fours(part)
+            some = np.union1d(a, b)
+            row = np.zeros((len(some), self.width), np.float32)
+            row[np.searchsorted(some, a), :n] = x
+            row[np.searchsorted(some, b), n:] = y
+            at.append(some + lo)
+            rows.append(row)
         return np.concatenate(at), np.concatenate(rows)
 
+    def _by_fours(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64), np.zeros((0, len(self.insults)), np.float32)
+        if not self.insults:
+            return none
+        # Words of k letters in common have no more than C(k, 4) fours in common; most words are told apart by that.
+        counts = histograms(words)
+        length = counts.sum(axis=1)
+        choose = np.array([n * (n - 1) * (n - 2) * (n - 3) / 24 for n in range(PIECE + 4)])
+        near = np.zeros(len(words), bool)
+        for c in self.counts:
+            has, n = np.flatnonzero(c), int(c.sum())
+            common = np.minimum(counts[:, has], c[has]).sum(axis=1)
+            near |= choose[common] >= 0.7 * FOURS_FLOOR * np.sqrt(choose[min(n, FOURS_SPAN)] * choose[np.minimum(length, FOURS_SPAN)])
+        at = np.flatnonzero(near & (length >= 4))
+        if not len(at) or not len(self.keys):
+            return none
+        word, key, value = fours([words[i] for i in at])
+        slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[slot] == key
+        word, slot, value = word[hit], slot[hit], value[hit].astype(np.float32)
+        begin = np.flatnonzero(np.diff(word, prepend=-1))
+        if not len(begin):
+            return none
+        cosine = np.add.reduceat(value[:, None] * self.by_four[slot], begin, axis=0)
+        rows = np.where(cosine >= FOURS_FLOOR, np.exp((cosine - 1) / FOURS_WIDTH), 0).astype(np.float32)
+        some = rows.any(axis=1)
+        return at[word[begin]][some], rows[some]
+
     def _values(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         word, triple, weight = coordinates(words)
         bound = np.bincount(word, weight * self.most[triple], len(words))
@@ -147,8 +233,17 @@ class Kernel:
 
 
 def variants(word: str) -> list[str]:
-    """The word with one letter put in."""
-    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in "xk"]
+    """Forms of the word with one letter put in, and with two; drawn by the word itself."""
+    rng = np.random.default_rng(zlib.crc32(word.encode("utf-8", "surrogatepass")))
+    out = []
+    for k in (1, 2):
+        for _ in range(VARIANTS):
+            w = word
+            for _ in range(k):
+                i = int(rng.integers(1, len(w)))
+                w = w[:i] + chr(97 + int(rng.integers(26))) + w[i:]
+            out.append(w)
+    return out
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -188,18 +283,71 @@ def unlike(words: list[str]) -> list[str]:
     for w in words:
         if len(out) == LANDMARKS:
             break
-        if not out or not (Kernel(out).values([w])[1] > np.exp((LIKE - 1) / WIDTH)).any():
+        if not out or not (Kernel(out, []).values([w])[1] > np.exp((LIKE - 1) / WIDTH)).any():
             out.append(w)
     return out
 
 
+class Values:
+    """Rows of kernel values of words, remembered: of a word the greatest of its pieces."""
+
+    def __init__(self, kernel: Kernel):
+        self.kernel, self.place, self.rows, self.used = kernel, {}, np.zeros((1024, kernel.width), np.float32), 0
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.place) > KEPT_WORDS:
+            self.place.clear()
+            self.used = 0
+        new = list(words - self.place.keys())
+        self.place.update(dict.fromkeys(new, -1))
+        for lo in range(0, len(new), WORDS_AT_ONCE):
+            pieces, owner = [], []
+            for w in new[lo : lo + WORDS_AT_ONCE]:
+                for p in pieces_of(w):
+                    pieces.append(p)
+                    owner.append(w)
+            if not pieces:
+                continue
+            at, rows = self.kernel.values(pieces)
+            while self.used + len(at) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            for i, row in zip(at.tolist(), rows, strict=True):
+                k = self.place[owner[i]]
+                if k < 0:
+                    k = self.place[owner[i]] = self.used
+                    self.rows[k] = row
+                    self.used += 1
+                else:
+                    np.maximum(self.rows[k], row, out=self.rows[k])
+
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """Of the sentences that have any values: their texts' numbers, their rows, and the words that have them."""
+        split = [[words_of(part) for part in SENTENCE.split(t)] for t in texts]
+        self.learn(set().union(*(ws for parts in split for ws in parts)))
+        place, of, at, begin, held = self.place, [], [], [], []
+        for i, parts in enumerate(split):
+            for ws in parts:
+                some = [w for w in ws if place[w] >= 0]
+                if some:
+                    of.append(i)
+                    begin.append(len(at))
+                    at += [place[w] for w in some]
+                    held.append(some)
+        out = [np.zeros((0, self.kernel.width), np.float32)]
+        for lo in range(0, len(begin), 2000):
+            hi = min(lo + 2000, len(begin))
+            a, b = begin[lo], begin[hi] if hi < len(begin) else len(at)
+            out.append(np.maximum.reduceat(self.rows[at[a:b]], np.array(begin[lo:hi]) - a, axis=0))
+        return np.array(of, np.int64), np.concatenate(out), held
+
+
 def train(texts: list[str], labels: list[int]) -> dict | None:
     """Landmarks, weights of kernel values, and the curve. Equal texts count once."""
     seen = dict(zip(texts, labels, strict=True))
     bags: list[tuple[set[str], int]] = []
     once: dict[str, str] = {}  # one object for each word
     for t, y in seen.items():
-        bags.append(({once.setdefault(p, p) for w in set(words_of(t)) for p in pieces_of(w) if len(p) >= 3}, y))
+        bags.append(({once.setdefault(p, p) for w in set(words_of(t)) for p in pieces_of(w)}, y))
     toxic, clean = [b for b, y in bags if y == 1], [b for b, y in bags if y == 0]
     if not toxic or not clean:
         return None
@@ -224,74 +372,70 @@ def train(texts: list[str], labels: list[int]) -> dict | None:
     landmarks = unlike(marked)
     if not landmarks:
         return None
-    kernel = Kernel(landmarks)
-    own = np.zeros((len(landmarks),) * 2)
-    at, rows = kernel.values(landmarks)
-    own[at] = rows
-    value, vector = np.linalg.eigh((own + own.T) / 2)
-    root = (vector / np.sqrt(np.maximum(value, 1e-2))) @ vector.T  # inverse root
-    vocabulary = sorted(set(in_toxic) | set(in_clean))
-    at, rows = kernel.values(vocabulary)
-    z, names = rows @ root, [vocabulary[a] for a in at]
-    place = {w: i for i, w in enumerate(names)}
-    negative = np.array([i for i, w in enumerate(names) if in_clean[w]], int)
-    share = [[place[w] for w in sorted(b) if w in place and not in_clean[w]] for b in toxic]
-    # Words that many toxic documents and no clean one hold stand for them from the start; a document without such a word is
-    # stood for by the word that scores highest, if that falls on the toxic side, chosen again after each fit.
-    firm = {i for s in share for i in s if in_toxic[names[i]] >= often}
+    # Words that many toxic documents and no clean one hold mark their sentences from the start.
+    firm = {w for w in marked if in_toxic[w] >= often and not in_clean[w]}
     if not firm:
         return None
-    spelt = sorted({v for i in firm for v in variants(names[i])} - set(in_clean))
-    at, rows = kernel.values(spelt)
-    changed = rows @ root
-    f = np.full(len(names), -1.0)
+    # Those met half as often again as chance allows are insults, to be known with letters put in as well.
+    insults = [w for w in landmarks if w in firm and len(w) >= 4 and 2 * in_toxic[w] >= 3 * often]
+    kernel = Kernel(landmarks, insults)
+    n, width = len(landmarks), kernel.width
+
+    def rows_of(words):
+        out = np.zeros((len(words), width))
+        at, rows = kernel.values(words)
+        out[at] = rows
+        return out
+
+    root = np.zeros((width, width))
+    for part, words in ((slice(0, n), landmarks), (slice(n, width), insults)):
+        own = rows_of(words)[:, part]
+        value, vector = np.linalg.eigh((own + own.T) / 2)
+        root[part, part] = (vector / np.sqrt(np.maximum(value, 1e-2))) @ vector.T  # inverse root
+    values, texts = Values(kernel), list(seen)
+    marked_x, marked_cost, free, clean_x, best = [], [], [], {bytes(4 * width)}, []
+    for lo in range(0, len(texts), 50):
+        of, rows, held = values.sentences(texts[lo : lo + 50])
+        for i in range(min(50, len(texts) - lo)):
+            a, b = np.searchsorted(of, [i, i + 1])
+            best.append(np.unique(rows[a:b], axis=0))
+            if seen[texts[lo + i]] != 1:
+                clean_x.update(map(bytes, best[-1]))
+                continue
+            sure = [max((in_toxic[p] for w in ws for p in pieces_of(w) if p in firm), default=0) for ws in held[a:b]]
+            marked_x += [r for r, k in zip(rows[a:b], sure, strict=True) if k]
+            marked_cost += [min(1.0, k / (2 * often)) for k in sure if k]
+            if b > a and not any(sure):
+                free.append(best[-1] @ root)
+    marked_x = np.stack(marked_x) @ root
+    clean_x = np.frombuffer(b"".join(sorted(clean_x)), np.float32).reshape(-1, width) @ root
+    changed = rows_of(sorted({v for w in insults for v in variants(w)} - set(in_clean))) @ root
+    each = MARK_COST * len(firm) / len(marked_x)  # as if each word had one sentence
+    w = None
     for _ in range(3):
-        loose = {max(s, key=lambda i: (f[i], -i)) for s in share if s and not firm.intersection(s)}
-        chosen = np.array(sorted(firm | {i for i in loose if f[i] > 0}))
-        weight = np.minimum(1, np.array([in_toxic[names[i]] for i in chosen]) / (2 * often))
-        x = np.vstack([z[negative], z[chosen], changed, np.zeros((1, z.shape[1]))])
-        y = np.concatenate([-np.ones(len(negative)), np.ones(len(chosen) + len(changed)), [-1]])
-        cost = np.concatenate([np.full(len(negative), CLEAN_COST), 10 * weight, np.full(len(changed), VARIANT_COST), [CLEAN_COST * 100]])
+        picked = [x[np.argmax(x @ w[:-1])] for x in free] if w is not None else []
+        picked = np.array([x for x in picked if x @ w[:-1] + w[-1] > 0]).reshape(-1, width)
+        x = np.vstack([clean_x, marked_x, picked, changed])
+        y = np.concatenate([-np.ones(len(clean_x)), np.ones(len(x) - len(clean_x))])
+        cost = np.concatenate([np.where(clean_x.any(axis=1), CLEAN_COST, CLEAN_COST * 100), each * np.array(marked_cost), np.full(len(picked), each), np.full(len(changed), VARIANT_COST)])
         w = fit_svm(x, y, cost)
-        f = z @ w[:-1] + w[-1]
     beta, offset = root @ w[:-1], float(w[-1])
-    score = lambda b: max([offset, *(f[place[w]] for w in b if w in place)])
-    tops = np.array([score(b) for b, _ in bags])
-    slope, shift = logistic_curve(tops, np.array([y for _, y in bags]))
-    return {"landmarks": landmarks, "beta": beta, "offset": offset, "slope": max(slope, 1e-3), "shift": shift}
+    f = np.array([max([offset, *(x @ beta + offset)]) for x in best])
+    slope, shift = logistic_curve(np.minimum(f, 1), np.array([y for _, y in bags]))
+    return {"landmarks": landmarks, "insults": insults, "beta": beta, "offset": offset, "slope": max(slope, 1e-3), "shift": shift}
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.model, self.kernel, self.known = model, Kernel(model["landmarks"]), {}
-
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = list(set().union(*texts) - self.known.keys())
-        floor = self.model["offset"]
-        self.known.update(dict.fromkeys(new, floor))
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
-            pieces, owner = [], []
-            for w in part:
-                for p in pieces_of(w):
-                    if len(p) >= 3:
-                        pieces.append(p)
-                        owner.append(w)
-            if not pieces:
-                continue
-            at, rows = self.kernel.values(pieces)
-            f = rows @ self.model["beta"] + floor
-            for i, v in zip(at.tolist(), f.tolist(), strict=True):
-                if v > self.known[owner[i]]:
-                    self.known[owner[i]] = v
+        self.model, self.values = model, Values(Kernel(model["landmarks"], model["insults"]))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        words = [words_of(t) for t in texts]
-        self.learn(words)
-        top = np.array([max(map(self.known.__getitem__, w), default=self.model["offset"]) for w in words])
-        return 1 / (1 + np.exp(-np.clip(self.model["slope"] * top + self.model["shift"], -35, 35)))
+        top = np.full(len(texts), self.model["offset"])
+        for lo in range(0, len(texts), 200):
+            of, rows, _ = self.values.sentences(texts[lo : lo + 200])
+            np.maximum.at(top, of + lo, rows @ self.model["beta"] + self.model["offset"])
+        # Beyond the margin a sentence is toxic without doubt.
+        return 1 / (1 + np.exp(-np.clip(self.model["slope"] * np.minimum(top, 1) + self.model["shift"], -35, 35)))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> dict | None:
@@ -299,7 +443,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> dict | None:
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("doc_id").isNotNull() & (fold(3) != 1))
     pick = lambda y, n: known.where(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, TOXIC).union(pick(0, CLEAN))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return train(rows["text"].fillna("").tolist(), rows["toxic"].tolist())
 
 

@@ -107,11 +107,62 @@ def test_held_out_rows(spark, module, label, least):
 def test_insults_with_letters_put_in(spark):
     # Neighbours differ: a word that always has the same ones would count as part of a shared passage.
     calm = "weather roads rivers bridges gardens music bread winter summer letters".split()
-    texts = [f"about {calm[i % 10]} {w} {calm[i // 6 % 10]} and {i}" for i in range(60) for w in ("blockhead", "nitwit")] + [f"a calm sentence number {i} about {calm[i % 10]} and {calm[i // 7 % 10]}" for i in range(200)]
-    model = toxicity.train(texts, [1] * 120 + [0] * 200)
-    scores = toxicity.Scorer(model).scores(["you blockxhead", "n i t w i t", "a calm day", "", "nit.wit"])
-    assert scores[1] > 0.5 and scores[4] > 0.5 and scores[2] < 0.02 and scores[3] < 0.02
-    assert scores[0] > 5 * scores[2]  # a letter put in is seen, but leaves a score below the threshold
+    insults = ("blockhead", "nitwit", "dimwitted")
+    texts = [f"about {calm[i % 10]} {w} {calm[i // 6 % 10]} and {i}" for i in range(60) for w in insults] + [f"a calm sentence number {i} about {calm[i % 10]} and {calm[i // 7 % 10]}" for i in range(200)]
+    scorer = toxicity.Scorer(toxicity.train(texts, [1] * 180 + [0] * 200))
+    assert (scorer.scores([*insults, "n i t w i t", "nit.wit", "you,nitwit,go", "B L O C K H E A D", "all is calm. you dimwitted one!"]) >= 0.7).all()
+    assert (scorer.scores(["a calm day", "", "the weather by the rivers", "headed blocks of wood", "a witness knits"]) < 0.1).all()
+    rng = random.Random(5)
+
+    def put_in(word, k):
+        for _ in range(k):
+            i = rng.randint(1, len(word) - 1)
+            word = word[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[i:]
+        return f"you are a {word} here"
+
+    assert (scorer.scores([put_in(w, 1) for w in insults for _ in range(100)]) >= 0.7).mean() >= 0.9
+
+
+def test_fours_by_definition():
+    words = ["blockhead", "aab", "abcabcab", "x", "blaue Straße", "漢字漢字漢字"]
+    word, key, value = toxicity.fours(words)
+    letter = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 35
+    for i, w in enumerate(words):
+        want = {}
+        for p in itertools.combinations(range(len(w)), 4):
+            if p[-1] - p[0] < toxicity.FOURS_SPAN:
+                k = 0
+                for c in p:
+                    k = k << 6 | letter(w[c])
+                want[k] = want.get(k, 0) + toxicity.FOURS_DECAY ** (p[-1] - p[0] - 3)
+        norm = sum(v * v for v in want.values()) ** 0.5
+        got = dict(zip(key[word == i].tolist(), value[word == i].tolist(), strict=True))
+        assert got == pytest.approx({k: v / norm for k, v in want.items()})
+
+
+def test_kernel_equals_sums_over_all_fours():
+    words = ["blockxhead", "blkhead", "blockheads", "headblock", "calm", "nitwits", "unitwise"]
+    kernel = toxicity.Kernel(["blockhead", "nitwit"], ["blockhead", "nitwit"])
+    vectors = {}
+    word, key, value = toxicity.fours(words + kernel.insults)
+    for i, w in enumerate(words + kernel.insults):
+        vectors[w] = dict(zip(key[word == i].tolist(), value[word == i].tolist(), strict=True))
+    at, rows = kernel.values(words)
+    for i, w in enumerate(words):
+        row = dict(zip(at.tolist(), rows, strict=True)).get(i, np.zeros(4))
+        for j, m in enumerate(kernel.insults):
+            cosine = sum(v * vectors[m].get(k, 0) for k, v in vectors[w].items())
+            assert row[2 + j] == pytest.approx(np.exp((cosine - 1) / toxicity.FOURS_WIDTH) if cosine >= toxicity.FOURS_FLOOR else 0, abs=1e-5)
+
+
+def test_insults_in_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = toxicity.scored(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id").merge(docs.select("doc_id", "text").toPandas(), on="doc_id")
+    held = out[out.held_out]
+    marked = held.text.str.contains(r"\b(?:idiot|moron|scum|trash|clown|loser|worthless|pathetic|disgusting|stupid)\b")  # those of the tables
+    assert held[marked & (held.toxic == 1)].predicted.mean() >= 0.95 and held[held.toxic == 0].predicted.mean() <= 0.02
 
 
 def test_class_prior():
