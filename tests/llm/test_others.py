@@ -312,7 +312,10 @@ def test_hilbert_steps_to_neighbours():
 
 def test_neighbours_recall(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = ann.nearest(table).toPandas()
+    assert _recall(table, ann.nearest(table).toPandas()) >= 0.9
+
+
+def _recall(table, got):
     v = table.toPandas()
     x = np.stack(v.embedding).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -323,4 +326,48 @@ def test_neighbours_recall(spark, sf):
         near[q] = -9
         want = set(v.vec_id.to_numpy()[np.argsort(-near)[:5]])
         hits += len(want & set(got[got.query_id == v.vec_id[q]].vec_id))
-    assert hits / (5 * len(queries)) >= 0.9
+    return hits / (5 * len(queries))
+
+
+def test_windows_of_clusters_are_narrow(spark, monkeypatch):
+    # 6,000 vectors in 600 tight clusters: windows are small, blocks smaller than the index, and most is never looked at.
+    monkeypatch.setattr(ann, "BLOCK", 256)
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(600, 32)), 10, axis=0) + rng.normal(scale=0.05, size=(6000, 32))
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": rng.permutation(6000), "embedding": x.tolist()}))
+    widths, seen = [], []
+    width, windows = ann.window_width, ann.windows
+    monkeypatch.setattr(ann, "window_width", lambda *a: widths.append(width(*a)) or widths[-1])
+    monkeypatch.setattr(ann, "windows", lambda *a: seen.append(windows(*a)) or seen[-1])
+    assert _recall(table, ann.nearest(table).toPandas()) >= 0.95
+    assert widths[0] <= 60 and seen[0].groupBy("q").count().agg({"count": "max"}).first()[0] <= 2 * ann.CURVES * ann.TAKEN
+
+
+def test_windows_hold_their_ranks_only(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "TAKEN", 1000)
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame([(lane, i, i * 7 % 300 + lane, rng.integers(-99, 99, 4).astype(np.int8).tobytes()) for lane in (192, 193) for i in range(300)], columns=["lane", "rank", "gid", "code"])
+    order = spark.createDataFrame(rows, "lane long, rank long, gid long, code binary")
+    wanted = spark.createDataFrame([(14,), (1,)], "gid long")
+    got = {(r.q, r.gid) for r in ann.windows(order, wanted, 20).collect()}
+    want = {(q.gid, r.gid) for q in rows.itertuples() if q.gid in (14, 1) for r in rows.itertuples() if r.lane == q.lane and abs(r.rank - q.rank) <= 20}
+    assert got == want
+
+
+def test_vectors_of_any_length_and_size(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(200)] + [(200, rng.normal(size=9).tolist()), (201, [])]
+    rows += [(250, [1e200, 1e200, 0.0]), (251, [1e-200, 1e-200, 0.0]), (252, [3e200, 3e200, 1e190])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert sorted(out["query_id"].unique()) == [0, 50, 100, 150, 250] and (out.groupby("query_id").size() == 5).all()
+    top = out[out.query_id == 250].sort_values("rank")
+    assert top.vec_id.tolist()[:2] == [251, 252] and np.allclose(top.score[:2], 1) and out.score.between(-1.0001, 1.0001).all()
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(50, 60)] + [(i, [2.0, 1.0]) for i in (7, 3, 5)] + [(i, [2.0, -1.0]) for i in (4, 6)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert out.sort_values("rank").vec_id.tolist() == [51, 52, 53, 54, 55]
+    out = ann.nearest(spark.createDataFrame(rows[9:] + [(100, [1.0, 0.0])], "vec_id long, embedding array<double>")).toPandas()
+    assert out.sort_values("rank").vec_id.tolist() == [59, 3, 4, 5, 6]
