@@ -88,10 +88,13 @@ class Bpe:
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         plain, self.byte_ids = [], np.zeros(256, np.int32)
+        self.special: dict[int, str] = {}  # what pieces without a text of their own decode to
         for i in range(sp.vocab_size()):
             if sp.is_byte(i):
                 self.byte_ids[int(sp.id_to_piece(i)[1:-1], 16)] = i
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
+                self.special[i] = sp.decode([i])
+            else:
                 plain.append((sp.id_to_piece(i), sp.get_score(i), i))
         run = lambda p: len(p) > 1 and not p.strip(SPACE)
         plain.sort(key=lambda x: (len(x[0]) > 1, run(x[0]), len(x[0]) if run(x[0]) else 0, -x[1], x[2]))
@@ -154,7 +157,7 @@ class Bpe:
 
     def _trie(self) -> None:
         letters = sorted({c for p in self.pieces for c in p})
-        self.letter = np.zeros(0x110000, np.int32)
+        self.letter = np.zeros(0x110001, np.int32)  # one more than there are code points, for a separator
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         number = {c: k + 1 for k, c in enumerate(letters)}
         nodes, ends = {}, [-1]

@@ -7,7 +7,9 @@ edges are sorted by position and relaxed (see ``bpe``).
 
 Defined results: a null text counts as empty and has no ids; equal texts give
 equal ids; an empty table gives an empty table; further columns, whatever their
-names, are ignored; a null doc_id stays null. Texts are processed whole.
+names, are ignored; a null doc_id stays null. Texts are processed whole. Decoding null ids gives an
+empty text; nulls among ids are passed over, control pieces give nothing and the unknown piece
+gives the library's mark; an id outside the vocabulary is an error.
 """
 
 from __future__ import annotations
@@ -115,8 +117,8 @@ class Matcher:
         return start, start + m.length[piece], piece
 
 
-#: Parts the units of a joined text; no code point of a text has this value.
-SEPARATOR = 0x10FFFF
+#: Parts the units of a joined text; the first number that is no code point.
+SEPARATOR = 0x110000
 
 
 class Codec:
@@ -128,6 +130,7 @@ class Codec:
         self.surface = {int(i): p for p, i in zip(m.pieces, m.ids, strict=True)}
         # Bytes above 127 take the form that the surrogateescape handler turns back into bytes.
         self.surface |= {int(i): chr(b) if b < 128 else chr(0xDC00 + b) for b, i in enumerate(m.byte_ids)}
+        self.surface |= m.special
 
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > KEPT_UNITS:
@@ -159,10 +162,14 @@ class Codec:
         return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.int32) for x in units]
 
     def decode(self, ids: np.ndarray) -> str:
-        if not len(ids):
-            return ""
-        text = "".join(map(self.surface.__getitem__, ids.tolist())).replace(bpe.SPACE, " ")
-        text = text[1:] if text.startswith(" ") else text
+        try:
+            parts = [self.surface[i] for i in ids.tolist()]
+        except KeyError as unknown:
+            raise ValueError(f"no piece has the id {unknown}") from None
+        while parts and not parts[0]:  # control pieces come before the space that the model puts in front
+            parts.pop(0)
+        text = "".join(parts).replace(bpe.SPACE, " ")
+        text = text[1:] if parts and parts[0].startswith(bpe.SPACE) else text
         return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
@@ -191,7 +198,7 @@ def decoded(tokens: DataFrame, data: bytes) -> DataFrame:
     def run(batches):
         codec = Codec(data)
         for table in grouped(batches, 4 << 20):
-            texts = [codec.decode(np.array(x or [], np.int64)) for x in table["ids"].to_pylist()]
+            texts = [codec.decode(np.array([i for i in x or [] if i is not None], np.int64)) for x in table["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")

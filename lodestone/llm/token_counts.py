@@ -2,19 +2,20 @@
 
 For each unit of text (see ``bpe``) the relaxation gives the last piece and the
 number of ids of every prefix. The count of a text's prefix is the sum over the
-units before it plus the count inside the unit in which it ends, so that counts,
-truncation points and budget questions need no second encoding.
+units before it plus the count inside the unit in which it ends. What is stored are
+steps, by how much the count changes from one prefix to the next, in one byte each: a
+text's steps are those of its units in a row, and counts are their running sum. So counts,
+truncation points and budget questions are answered from stored steps, without a second encoding.
 
-Defined results: a null text counts as empty (0 tokens, 0 bytes); equal rows give
+Defined results: a null text counts as empty (0 tokens, 0 bytes, no steps); equal rows give
 equal rows; an empty table gives an empty table; further columns of the input,
-whatever their names, are ignored; a null doc_id stays null. Texts are processed
-whole and one batch of texts is held in memory at a time.
+whatever their names, are ignored; a null doc_id stays null. Null steps count as those of an
+empty text. Texts are processed whole and one batch of texts is held in memory at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -62,11 +63,11 @@ def unit_prefixes(m: bpe.Bpe, units: list[str]) -> tuple[np.ndarray, np.ndarray]
 
 
 class Counter:
-    """Counts of units, remembered between texts."""
+    """Steps of units, remembered between texts."""
 
     def __init__(self, data: bytes):
         self.model = bpe.model(data)
-        self.known: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}  # signed bytes
 
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > KEPT_UNITS:
@@ -74,57 +75,61 @@ class Counter:
         new = set().union(*texts) - self.known.keys()
         for part in slices(new):
             count, starts = unit_prefixes(self.model, part)
-            ends = np.append(starts[1:], len(count)) - 1
-            self.known.update(zip(part, count[ends].tolist(), strict=True))
-
-    def totals(self, units: list[str]) -> list[int]:
-        """Tokens up to the end of each unit."""
-        return list(accumulate(map(self.known.__getitem__, units)))
-
-    def fit(self, units: list[str], totals: list[int], budget: int) -> int:
-        """Characters of the longest prefix with at most ``budget`` tokens."""
-        if not units or totals[-1] <= budget:
-            return sum(map(len, units)) - (len(units) > 0)
-        k = int(np.searchsorted(totals, budget, side="right"))
-        while True:
-            before = totals[k - 1] if k else 0
-            count, _ = unit_prefixes(self.model, [units[k]])
-            good = np.flatnonzero(before + count <= budget)
-            if len(good) or k == 0:
-                inside = int(good[-1]) + 1 if len(good) else 0
-                return max(0, sum(map(len, units[:k])) + inside - 1)
-            k -= 1
-            if totals[k] <= budget:
-                return sum(map(len, units[: k + 1])) - 1
+            step = np.diff(count, prepend=np.int32(0))
+            step[starts] = count[starts]
+            if np.abs(step).max(initial=0) > 127:
+                raise ValueError("a count changes by more than a byte holds")
+            raw, ends = step.astype(np.int8).tobytes(), [*starts.tolist()[1:], len(step)]
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, starts.tolist(), ends)), strict=True))
+
+    def steps(self, units: list[str]) -> np.ndarray:
+        """Change of the count from each prefix of the text to the next; as many as the text has characters."""
+        if not units:
+            return np.zeros(0, np.int8)
+        out = np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int8)
+        # The space that the model puts in front belongs to the first character.
+        return np.concatenate([out[:1] + out[1:2], out[2:]])
+
+
+def fit(steps: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix with at most ``budget`` tokens."""
+    good = np.flatnonzero(np.cumsum(steps, dtype=np.int64) <= budget)
+    return int(good[-1]) + 1 if len(good) else 0
 
 
 def prefix_counts(data: bytes, text: str) -> np.ndarray:
     """Tokens of text[:i] for every i from 0 to the length."""
-    units = bpe.units_of(text)
-    if not units:
-        return np.zeros(1, np.int64)
-    count, starts = unit_prefixes(bpe.model(data), units)
-    ends = np.append(starts[1:], len(count)) - 1
-    before = np.concatenate([[0], np.cumsum(count[ends])[:-1]])
-    out = (count + np.repeat(before, ends + 1 - starts)).astype(np.int64)
-    out[0] = 0  # the space that the model puts in front stands alone only before an empty prefix
-    return out
-
-
-def with_prefix_counts(docs: DataFrame, data: bytes) -> DataFrame:
-    """doc_id and ``prefix_tokens``: an array with the count of every prefix, from the empty one."""
-    small_batches(docs.sparkSession)
+    counter, units = Counter(data), bpe.units_of(text)
+    counter.learn([units])
+    return np.concatenate([[0], np.cumsum(counter.steps(units), dtype=np.int64)])
+
+
+def fitted(stored: DataFrame, budget: int) -> DataFrame:
+    """doc_id, n_tokens and fit_chars, the longest prefix within ``budget`` in characters, from rows of doc_id and prefix_steps."""
+    small_batches(stored.sparkSession)
+
+    def run(batches):
+        for table in grouped(batches, 4 << 20):
+            rows = [np.frombuffer(x or b"", np.int8) for x in table["prefix_steps"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([int(r.sum(dtype=np.int64)) for r in rows], pa.int64()), pa.array([fit(r, budget) for r in rows], pa.int64())], ["doc_id", "n_tokens", "fit_chars"])
+
+    return stored.select(F.col("doc_id").cast("long"), F.col("prefix_steps").cast("binary")).mapInArrow(run, "doc_id long, n_tokens long, fit_chars long")
+
+
+def with_prefix_counts(stored: DataFrame) -> DataFrame:
+    """doc_id and ``prefix_tokens``: the count of every prefix, from the empty one, from rows of doc_id and prefix_steps."""
+    small_batches(stored.sparkSession)
 
     def run(batches):
         for table in grouped(batches, 1 << 20):
-            rows = [prefix_counts(data, t or "").tolist() for t in table["text"].to_pylist()]
+            rows = [np.concatenate([[0], np.cumsum(np.frombuffer(x or b"", np.int8), dtype=np.int64)]) for x in table["prefix_steps"].to_pylist()]
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "prefix_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, prefix_tokens array<long>")
+    return stored.select(F.col("doc_id").cast("long"), F.col("prefix_steps").cast("binary")).mapInArrow(run, "doc_id long, prefix_tokens array<long>")
 
 
 def token_counts(docs: DataFrame, data: bytes, limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, and fit_chars: the longest prefix within ``limit``, in characters."""
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars (the longest prefix within ``limit``, in characters), and prefix_steps, one signed byte for each character."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -133,14 +138,12 @@ def token_counts(docs: DataFrame, data: bytes, limit: int = 4096) -> DataFrame:
             texts = [t or "" for t in table["text"].to_pylist()]
             units = [bpe.units_of(t) for t in texts]
             counter.learn(units)
-            tokens, fits = [], []
-            for u in units:
-                totals = counter.totals(u)
-                tokens.append(totals[-1] if totals else 0)
-                fits.append(counter.fit(u, totals, limit))
+            rows = [counter.steps(u) for u in units]
+            tokens = [int(r.sum(dtype=np.int64)) for r in rows]
+            fits = [len(r) if n <= limit else fit(r, limit) for r, n in zip(rows, tokens, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [table["doc_id"].combine_chunks(), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens]), pa.array(fits, pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
+                [table["doc_id"].combine_chunks(), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens]), pa.array(fits, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_steps"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, prefix_steps binary")

@@ -22,7 +22,7 @@ def texts(sf):
     rng = random.Random(1)
     letters = "aaabcdehilnorst  ▁\n\t.é漢🙂\u0000ñ012"
     made = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    made += [" " * k + x for k in range(40) for x in ("", "a", "\n", "漢", " x")] + ["the" * 500, "aab" * 400, " " * 700]
+    made += [" " * k + x for k in range(40) for x in ("", "a", "\n", "漢", " x")] + ["the" * 500, "aab" * 400, " " * 700, "a\U0010ffffb", "\U0010ffff", "x \U0010ffff\U0010ffff y"]
     return made + pd.read_parquet(f"{sf}/documents.parquet").text.tolist()
 
 
@@ -38,11 +38,9 @@ def test_counts_of_every_prefix(library, texts):
         t = t[:250]
         want = [len(x) for x in library.encode([t[:i] for i in range(len(t) + 1)])]
         assert token_counts.prefix_counts(DATA, t).tolist() == want
-        counter = token_counts.Counter(DATA)
-        units = bpe.units_of(t)
-        counter.learn([units])
+        steps = np.diff(want)
         for budget in (0, 1, 7, 40):
-            assert counter.fit(units, counter.totals(units), budget) == max(i for i, n in enumerate(want) if n <= budget)
+            assert token_counts.fit(steps, budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
 def test_suffix_array_is_sorted():
@@ -61,6 +59,20 @@ def test_tables(spark, sf, library):
         assert r.n_tokens == len(library.encode(texts[r.doc_id])) and r.over_limit == (r.n_tokens > 4096) and r.n_bytes == len(texts[r.doc_id].encode())
     tokens = sentencepiece_codec.encoded(docs, DATA)
     assert {r.doc_id: r.text for r in sentencepiece_codec.decoded(tokens, DATA).collect()} == texts
-    some = docs.where("length(text) < 300")
-    for r in token_counts.with_prefix_counts(some, DATA).collect():
-        assert len(r.prefix_tokens) == len(texts[r.doc_id]) + 1 and r.prefix_tokens[-1] == len(library.encode(texts[r.doc_id]))
+    stored = token_counts.token_counts(docs.where("length(text) < 300"), DATA, 10)
+    fits = {r.doc_id: (r.n_tokens, r.fit_chars) for r in stored.collect()}
+    assert {r.doc_id: (r.n_tokens, r.fit_chars) for r in token_counts.fitted(stored, 10).collect()} == fits
+    for r in token_counts.with_prefix_counts(stored).collect():
+        text, (n, chars) = texts[r.doc_id], fits[r.doc_id]
+        assert len(r.prefix_tokens) == len(text) + 1 and r.prefix_tokens[-1] == n == len(library.encode(text))
+        assert r.prefix_tokens[chars] == len(library.encode(text[:chars])) <= 10 and all(x > 10 for x in r.prefix_tokens[chars + 1 :])
+
+
+def test_odd_ids(spark, library):
+    codec = sentencepiece_codec.Codec(DATA)
+    for ids in ([0], [1], [2], [1, 264, 359], [264, 0, 359], [1, 2], [300, 1, 301], [0, 264]):
+        assert codec.decode(np.array(ids)) == library.decode(ids), ids
+    rows = spark.createDataFrame([(1, [264, None, 359]), (2, None), (3, []), (None, [1])], "doc_id long, ids array<int>")
+    assert [r.text for r in sentencepiece_codec.decoded(rows, DATA).collect()] == [library.decode([264, 359]), "", "", ""]
+    with pytest.raises(ValueError):
+        codec.decode(np.array([10**6]))
