@@ -29,6 +29,7 @@ sampled id one is learned from. ``scored`` ignores further columns of any name,
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -439,12 +440,21 @@ class Scorer:
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The model from the training folds. At most TOXIC + CLEAN documents come to the driver."""
+    """The model from the training folds, fitted in one task over at most TOXIC + CLEAN documents; only the model comes to the driver."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("doc_id").isNotNull() & (fold(3) != 1))
     pick = lambda y, n: known.where(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, TOXIC).union(pick(0, CLEAN))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
-    return train(rows["text"].fillna("").tolist(), rows["toxic"].tolist())
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def fit(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches]
+        if tables:
+            rows = pa.concat_tables(tables).sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+            model = train([t or "" for t in rows["text"].to_pylist()], rows["toxic"].to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = rows.repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(made[0].model) if made else None
 
 
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
