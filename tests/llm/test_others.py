@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import duckdb
@@ -51,12 +52,46 @@ def test_labeller_on_unseen_skeletons():
         page, y = maker.page()
         rows = html_text.blocks(page)
         if rows and len(rows) == len(y):
-            x, mask = html_text.padded([html_text.vectors(rows)])
+            x, mask = html_text.padded([net.filled(*html_text.vectors(rows))])
             right += ((net.forward(x, mask)[0][0] > 0) == np.array(y, bool)).sum()
             total += len(y)
     assert right / total > 0.98
 
 
+STORY = "<h1>The old mill</h1><p>Water ran under the wheel for two hundred years before the valley fell silent.</p><p>Then its owner sold the stones, one after the other, and left for the coast.</p><h2>What is left</h2><p>A wall stands there, and the pond, and every spring the herons come back to it.</p>"
+AROUND = [
+    ('<div class="disqus"><p>Reader: I do not agree with any of this.</p><p>Another: nor do I.</p></div>', True),
+    ('<section class="responses"><p>What a lovely piece this was.</p></section>', True),
+    ("<p>(c) 2020 Someone</p>", False),
+    ("<p>&copy; Old Mill Press. All rights reserved.</p>", False),
+    ("<div><h3>3 comments</h3><p>Anna wrote: lovely story. Reply</p><p>Guest says: not true! Reply Report</p></div>", False),
+    ("<div><p>We use cookies to improve your experience. Accept all cookies or manage preferences.</p></div>", False),
+    ("<div><p>Sponsored: buy now and save with our limited offer, free shipping today!</p></div>", False),
+    ('<div class="qx-17"><p>Subscribe to our newsletter. Enter your email address.</p></div>', False),
+    ('<form><p>Search</p><label>Name</label><button>Send</button></form>', False),
+    ('<aside><h3>Also here</h3><p>Ten mills of the north</p></aside>', False),
+]
+
+
+@pytest.mark.parametrize("wrapping", [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>")])
+def test_parts_that_are_no_article(wrapping):
+    # Pages written by hand, with parts that have no telling tag or name, and comments within the article's element.
+    want = "\n\n".join(b.text for b in html_text.blocks(STORY))
+    pages = ["<body><nav><a href='/'>Home</a> <a href='/a'>About</a></nav>" + wrapping[0] + STORY + (part + wrapping[1] if inside else wrapping[1] + part) + "</body>" for part, inside in AROUND]
+    texts = html_text.main_texts(html_text.trained(), pages)
+    wrong = [(part, text) for (part, _), text in zip(AROUND, texts, strict=True) if text != want]
+    assert len(wrong) <= 1, wrong
+
+
+def test_deep_pages_take_linear_time():
+    net, took = html_text.trained(), []
+    for n in (2000, 16000):
+        began = time.process_time()
+        assert html_text.main_texts(net, ["<div>z" * n + "</p>" * n]) != []
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
+
+
 def test_lstm_gradient():
     net = html_text.Lstm()
     rng = np.random.default_rng(0)
@@ -66,6 +101,13 @@ def test_lstm_gradient():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     loss = lambda: (np.logaddexp(0, net.forward(x, mask)[0]) - y * net.forward(x, mask)[0])[mask].mean()
     grads = net.grads(x, mask, y)
+    before = x[0, 2, html_text.TAGS]
+    x[0, 2, html_text.TAGS] = before + 1e-2
+    up = loss()
+    x[0, 2, html_text.TAGS] = before - 1e-2
+    down = loss()
+    x[0, 2, html_text.TAGS] = before
+    assert abs((up - down) / 2e-2 - grads["x"][0, 2, 0]) < 2e-3
     for k in ("uf", "wb", "o", "cf"):
         i = np.unravel_index(3, net.p[k].shape)
         before = net.p[k][i]
@@ -82,7 +124,7 @@ def test_page_texts(spark, sf):
     html = {r.page_id: r.html for r in pages.collect()}
     for r in html_text.extracted(pages).collect():
         inner = html[r.page_id].partition("<article>")[2].partition("</article>")[0]
-        assert r.n_chars == len(r.text) and r.text.count("\n\n") + 1 == sum(1 for b in html_text.blocks(f"<article>{inner}</article>"))
+        assert r.n_chars == len(r.text) and r.text == "\n\n".join(b.text for b in html_text.blocks(f"<article>{inner}</article>"))
 
 
 def _area(y, p):
