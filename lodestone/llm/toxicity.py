@@ -33,6 +33,7 @@ import pickle
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -76,8 +77,11 @@ def words_of(text: str) -> list[str]:
 
 def pieces_of(word: str) -> list[str]:
     """A word without marks around it, without any marks, and its parts between marks; long ones in overlapping windows."""
-    word = EDGE.sub("", word)
+    if not word.isalnum():
+        word = EDGE.sub("", word)
     if word.isalnum():
+        if len(word) <= PIECE:  # most words
+            return [word] if len(word) >= 3 else []
         found = [word]
     else:
         found = [word, MARK.sub("", word), *(p for p in MARK.split(word) if len(p) >= 3)]
@@ -296,9 +300,6 @@ class Values:
         self.kernel, self.place, self.rows, self.used = kernel, {}, np.zeros((1024, kernel.width), np.float32), 0
 
     def learn(self, words: set[str]) -> None:
-        if len(self.place) > KEPT_WORDS:
-            self.place.clear()
-            self.used = 0
         new = list(words - self.place.keys())
         self.place.update(dict.fromkeys(new, -1))
         for lo in range(0, len(new), WORDS_AT_ONCE):
@@ -323,7 +324,14 @@ class Values:
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Of the sentences that have any values: their texts' numbers, their rows, and the words that have them."""
-        split = [[words_of(part) for part in SENTENCE.split(t)] for t in texts]
+        if len(self.place) > KEPT_WORDS:
+            self.place.clear()
+            self.used = 0
+        whole = [words_of(t) for t in texts]
+        self.learn(set().union(*whole))
+        # Most texts have no word with a value and no letters in a row; only the others are cut.
+        some = [any(self.place[w] >= 0 for w in ws) or len(ws) != len(t.split()) for t, ws in zip(texts, whole, strict=True)]
+        split = [[words_of(part) for part in SENTENCE.split(t)] if y else [] for t, y in zip(texts, some, strict=True)]
         self.learn(set().union(*(ws for parts in split for ws in parts)))
         place, of, at, begin, held = self.place, [], [], [], []
         for i, parts in enumerate(split):
@@ -457,16 +465,23 @@ def learned(docs: DataFrame, labels: DataFrame) -> dict | None:
     return pickle.loads(made[0].model) if made else None
 
 
+@lru_cache(maxsize=1)
+def scorer(model: bytes) -> Scorer | None:
+    """The scorer of a pickled model, kept by a worker from task to task with the values of words that it has seen."""
+    held = pickle.loads(model)
+    return Scorer(held) if held else None
+
+
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     small_batches(docs.sparkSession)
-    model = learned(docs, labels)
+    model = pickle.dumps(learned(docs, labels))
 
     def run(batches):
-        scorer = Scorer(model) if model else None
+        by = scorer(model)
         for table in grouped(batches, 4 << 20):
             texts = [t or "" for t in table["text"].to_pylist()]
-            p = scorer.scores(texts) if scorer else np.zeros(len(texts))
+            p = by.scores(texts) if by else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(p)], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -476,14 +491,14 @@ def scored(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """The documents that don't score ``least`` or more; columns as they are."""
     small_batches(docs.sparkSession)
-    model = learned(docs, labels)
+    model = pickle.dumps(learned(docs, labels))
     place = docs.columns.index("text")
 
     def run(batches):
-        scorer = Scorer(model) if model else None
+        by = scorer(model)
         for table in grouped(batches, 4 << 20):
             texts = [t or "" for t in table.column(place).to_pylist()]
-            good = scorer.scores(texts) < least if scorer else np.ones(len(texts), bool)
+            good = by.scores(texts) < least if by else np.ones(len(texts), bool)
             yield from table.filter(pa.array(good)).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
