@@ -32,6 +32,7 @@ class Settings:
     chunk_overlap_tokens: int = 60
     row_chunks: bool = True
     ocr_threshold: int = 50
+    query_prefix: str = ""  # what an embedding model wants before a question
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> Settings:

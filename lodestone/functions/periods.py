@@ -58,6 +58,8 @@ def _one(rule: Callable[[Callable[[int], Column]], Column], pattern: str) -> Cal
     return lambda hit: F.array(rule(lambda i: F.regexp_extract(hit, pattern, i)))
 
 
+# Which expressions name a period, and the order in which they are taken out, decide what a question is
+# searched by, so that both must be these.
 _FULL = rf"(?i)\b(?:fy|f\.y\.?|fiscal\s+year|financial\s+year)\s*({_FISCAL})\b"
 _SPAN = rf"(?i)\b({_ANY})\.?\s*(?:-|–|to)\s*({_ANY})\.?,?\s*({_YEAR})\b"
 _MDY = rf"(?i)\b({_ANY})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+({_YEAR})\b"

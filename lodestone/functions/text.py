@@ -17,6 +17,7 @@ FIGURE_WORDS = [
     "net worth", "deposits", "advances", "interest", "expense", "amount", "percentage", "crore",
     "what was the", "figure", "%",
 ]
+# Fixed as well: what counts as a number, a date and a missing value decides which rows a table has.
 PLACEHOLDERS = ["nil", "nit", "iin", "-", "—", "–"]
 NUMBER = r"^[\(\[]?-?(\d[\d,]*(\.\d+)?%?|\d{1,2}[.\-/]\d{2}[.\-/]\d{4})[\)\]]?$"
 DATE = r"^\d{1,2}[.\-/]\d{2}[.\-/]\d{4}$"
@@ -28,6 +29,11 @@ def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
@@ -35,10 +41,9 @@ def tokens(text: Column) -> Column:
 
 def query_tokens(text: Column) -> Column:
     """Tokens without stopwords and bare numbers; all of them if none would be left."""
-    every = tokens(text)
     stop = _strings(STOPWORDS)
-    kept = F.filter(every, lambda t: ~F.array_contains(stop, t) & ~t.rlike("^[0-9]+$"))
-    return F.when(F.size(kept) > 0, kept).otherwise(every)
+    kept = lambda every: F.filter(every, lambda t: ~F.array_contains(stop, t) & ~t.rlike("^[0-9]+$"))
+    return let(tokens(text), lambda every: let(kept(every), lambda some: F.when(F.size(some) > 0, some).otherwise(every)))
 
 
 def focus_tokens(text: Column) -> Column:
@@ -93,14 +98,14 @@ def word_count(text: Column) -> Column:
 def last_words(text: Column, n: int) -> Column:
     """The last ``n`` words."""
     words = F.filter(F.split(one_spaced(text), " "), lambda w: w != "")
-    return F.array_join(F.slice(words, F.greatest(F.size(words) - (n - 1), F.lit(1)), F.lit(n)), " ")
+    return let(words, lambda ws: F.array_join(F.slice(ws, F.greatest(F.size(ws) - (n - 1), F.lit(1)), F.lit(n)), " "))
 
 
 def word_pieces(text: Column, n: int) -> Column:
     """Pieces of at most ``n`` words."""
     words = F.filter(F.split(one_spaced(text), " "), lambda w: w != "")
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    starts = lambda ws: F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.size(ws), F.lit(n))).otherwise(F.array().cast("array<int>"))
+    return let(words, lambda ws: F.transform(starts(ws), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")))
 
 
 def is_number(token: Column) -> Column:
@@ -113,8 +118,7 @@ def is_placeholder(token: Column) -> Column:
 
 def numeric_share(text: Column) -> Column:
     """Share of tokens that hold a digit."""
-    t = tokens(text)
-    return F.when(F.size(t) == 0, 0.0).otherwise(F.size(F.filter(t, lambda x: x.rlike("[0-9]"))) / F.size(t))
+    return let(tokens(text), lambda t: F.when(F.size(t) == 0, 0.0).otherwise(F.size(F.filter(t, lambda x: x.rlike("[0-9]"))) / F.size(t)))
 
 
 def wants_number(question: Column) -> Column:

@@ -1,85 +1,153 @@
 """Rate limits, quotas and an answer cache over request logs.
 
-Whether a request is let in depends on the decisions before it, so each key's requests
-are walked in order; keys run in parallel. The cache's hits follow from stack distances.
+Whether a request is let in depends on the decisions before it, so each key's requests are walked in
+order; keys run in parallel. Rows are sorted by Spark and streamed, and a walk holds no more than what its windows or its
+cache hold, so that a key with much of a log takes time in one task, but no memory.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import OrderedDict, deque
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class Held:
+    """Times of admitted requests within a window."""
+
+    def __init__(self, limit: int, window: float):
+        self.limit, self.window, self.times = limit, window, deque()
+
+    def wait(self, t: float) -> int:
+        """0 if a request at ``t`` may come in, else the whole seconds until one may."""
+        while self.times and self.times[0] <= t - self.window:
+            self.times.popleft()
+        return 0 if len(self.times) < self.limit else max(1, math.ceil(self.times[0] + self.window - t)) if self.times else max(1, math.ceil(self.window))
+
+    def add(self, t: float) -> None:
+        self.times.append(t)
+
+
 def walk(times: list[float], limit: int, window: float) -> list[tuple[bool, int]]:
-    """(admitted, seconds to wait) for each of a key's requests, in order of time."""
-    held: deque[float] = deque()
-    out = []
+    """(admitted, seconds to wait) for each of a key's requests, in order of time; a limit of 0 admits all."""
+    held, out = Held(limit, window), []
     for t in times:
-        while held and held[0] <= t - window:
-            held.popleft()
-        if limit <= 0 or len(held) < limit:
-            held.append(t)
-            out.append((True, 0))
-        else:
-            out.append((False, max(1, math.ceil(held[0] + window - t))))
+        wait = held.wait(t) if limit > 0 else 0
+        if not wait:
+            held.add(t)
+        out.append((not wait, wait))
     return out
 
 
+def walked(table: DataFrame, by: str, order: list[str], begin: Callable, step: Callable, schema: str) -> DataFrame:
+    """What ``step(state, row)`` gives for each row, in order within each value of ``by``; ``begin()`` makes a state.
+
+    ``step`` returns values for the columns of ``schema``.
+    """
+    ordered = table.repartition(by).sortWithinPartitions(by, *order)
+    place, names = table.columns.index(by), [c.split()[0] for c in schema.split(", ")]
+    types = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches):
+        state, key = None, object()
+        for batch in batches:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[place] != key:
+                    state, key = begin(), row[place]
+                rows.append(step(state, row))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def limited(requests: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """(key, event_id, at, admitted, retry_after) for requests (key, event_id, at in seconds)."""
+    """(key, event_id, at, admitted, retry_after) for requests (key, event_id, at in seconds); a limit of 0 admits all."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"], ignore_index=True)
-        done = walk(pdf["at"].tolist(), limit, window)
-        return pdf.assign(admitted=[a for a, _ in done], retry_after=[r for _, r in done])[["key", "event_id", "at", "admitted", "retry_after"]]
+    def step(held: Held, row: tuple) -> tuple:
+        key, event, at = row
+        wait = held.wait(at) if limit > 0 else 0
+        if not wait:
+            held.add(at)
+        return key, event, at, not wait, wait
 
-    return requests.select("key", "event_id", "at").groupBy("key").applyInPandas(run, "key long, event_id long, at double, admitted boolean, retry_after long")
+    return walked(requests.select("key", "event_id", "at"), "key", ["at", "event_id"], lambda: Held(limit, window), step, "key long, event_id long, at double, admitted boolean, retry_after long")
 
 
 def charged(requests: DataFrame, per_key: int, key_window: float, overall: int, overall_window: float) -> DataFrame:
-    """Two quotas at once: overall is asked first, then the key's; a refusal is held against neither.
+    """(key, event_id, verdict, retry_after) under two quotas at once: overall is asked first, then the key's; a refusal is held against neither.
 
-    The overall count makes every decision depend on all before it, so that requests are walked
-    in one task; only (key, event_id, at) go there.
+    The overall count ties every decision to those before it, as far back as the longer window. So the log is
+    parted where a whole stretch of that length had no request, and its parts are walked side by side; a
+    log without a quiet stretch is walked in one task, which no order of work can part.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"], ignore_index=True)
-        all_, own, out = deque(), {}, []
-        for k, t in zip(pdf["key"], pdf["at"], strict=True):
-            mine = own.setdefault(k, deque())
-            for held, w in ((all_, overall_window), (mine, key_window)):
-                while held and held[0] <= t - w:
-                    held.popleft()
-            if len(all_) >= overall:
-                out.append("overall")
-            elif len(mine) >= per_key:
-                out.append("key")
-            else:
-                mine.append(t)
-                all_.append(t)
-                out.append("ok")
-        return pdf.assign(verdict=out)[["key", "event_id", "verdict"]]
-
-    return requests.select(F.lit(0).alias("one"), "key", "event_id", "at").groupBy("one").applyInPandas(lambda pdf: run(pdf), "key long, event_id long, verdict string")
+    longest = float(max(key_window, overall_window))
+    stretch = F.floor(F.col("at") / longest).cast("long")
+    rows = requests.select("key", "event_id", "at").withColumn("stretch", stretch)
+    # One row for each stretch of time with requests; a part begins where the stretch before has none.
+    used = rows.select("stretch").distinct()
+    begins = used.join(used.select((F.col("stretch") + 1).alias("stretch")), "stretch", "left_anti").select(F.col("stretch").alias("part"))
+    starts = used.join(F.broadcast(begins), F.col("part") <= F.col("stretch")).groupBy("stretch").agg(F.max("part").alias("part"))
+
+    def begin() -> tuple:
+        return Held(overall, overall_window), {}, [0]
+
+    def step(state: tuple, row: tuple) -> tuple:
+        all_, own, seen = state
+        key, event, at, _ = row
+        mine = own.setdefault(key, Held(per_key, key_window))
+        seen[0] += 1
+        if seen[0] % 4096 == 0:  # keys that were quiet for a window hold nothing any more
+            for k in [k for k, h in own.items() if k != key and not (h.wait(at) or h.times)]:
+                del own[k]
+        for name, held in (("overall", all_), ("key", mine)):
+            if wait := held.wait(at):
+                return key, event, name, wait
+        mine.add(at)
+        all_.add(at)
+        return key, event, "ok", 0
+
+    parted = rows.join(F.broadcast(starts), "stretch").select("key", "event_id", "at", "part")
+    return walked(parted, "part", ["at", "event_id"], begin, step, "key long, event_id long, verdict string, retry_after long")
+
+
+def quota_left(charges: DataFrame, per_key: int, window: float) -> DataFrame:
+    """(event_id, remaining) after each request of ``charges`` (key, event_id, at, verdict): charged requests count, others don't."""
+    micros = F.round(F.col("at") * 1_000_000).cast("long")
+    of = Window.partitionBy("key").orderBy("us").rangeBetween(-int(window * 1_000_000) + 1, 0)
+    return charges.withColumn("us", micros).select("event_id", F.greatest(F.lit(0), per_key - F.count_if(F.col("verdict") == "ok").over(of)).cast("long").alias("remaining"))
 
 
 def cache_hits(requests: DataFrame, size: int) -> DataFrame:
     """(event_id, hit) for requests (user, event_id, key) in order of event_id within a user's cache of ``size`` answers.
 
-    A request hits if fewer than ``size`` different keys came since its key's last one.
+    Least recently used answers go first. With a column ``refused``, an answer that is a refusal is not kept; with a column
+    ``generation``, answers of an earlier state of the index don't count. A size of 0 keeps nothing.
     """
-    of = Window.partitionBy("user")
-    placed = requests.withColumn("n", F.row_number().over(of.orderBy("event_id")))
-    before = F.lag("n").over(Window.partitionBy("user", "key").orderBy("n"))
-    placed = placed.withColumn("before", before)
-    # Between two requests for a key, count those whose own key did not come earlier in the stretch.
-    later = placed.select("user", F.col("n").alias("m"), F.coalesce("before", F.lit(0)).alias("m_before"))
-    pairs = placed.where("before is not null").join(later, "user").where("m > before and m < n and m_before <= before")
-    distance = pairs.groupBy("user", "n").agg(F.count("*").alias("distance"))
-    hit = F.col("before").isNotNull() & (F.coalesce("distance", F.lit(0)) < size)
-    return placed.join(distance, ["user", "n"], "left").select("event_id", hit.alias("hit"))
+    refused = F.col("refused") if "refused" in requests.columns else F.lit(False)
+    version = F.col("generation").cast("long") if "generation" in requests.columns else F.lit(0).cast("long")
+    rows = requests.select("user", "event_id", F.col("key").cast("string").alias("key"), refused.alias("refused"), version.alias("generation"))
+
+    def step(cache: OrderedDict, row: tuple) -> tuple:
+        _, event, key, refused, version = row
+        name = (key, version)
+        hit = name in cache
+        if hit:
+            cache.move_to_end(name)
+        elif not refused and size > 0:
+            cache[name] = True
+            if len(cache) > size:
+                cache.popitem(last=False)
+        return event, hit
+
+    return walked(rows, "user", ["event_id"], OrderedDict, step, "event_id long, hit boolean")
+
+
+def cache_stats(hits: DataFrame) -> DataFrame:
+    """One row: hits and misses."""
+    return hits.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))

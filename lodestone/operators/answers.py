@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..sources.scratch import kept
 
 REFUSAL = "The documents that were searched don't hold an answer to this question."
 INSTRUCTIONS = (
@@ -63,7 +64,7 @@ def passages(found: DataFrame) -> DataFrame:
 
 def contexts(numbered: DataFrame) -> DataFrame:
     """(qid, context): a question's passages as one block of text."""
-    kind = F.when(F.col("chunk_type") == "row", " [table row: each value is labelled with its column]").when(F.col("chunk_type") == "table", " [table: each row's numbers line up with the period columns shown at the top]").otherwise("")
+    kind = F.when(F.col("chunk_type") == "row", " (one row of a table; every figure names its column)").when(F.col("chunk_type") == "table", " (a table; figures stand in the order of its heading)").otherwise("")
     label = F.when(F.col("doc_label") != "", F.concat(F.lit(" — "), F.col("doc_label"))).otherwise("")
     block = F.concat(F.lit("["), F.col("passage_no"), F.lit("] "), F.col("doc"), F.lit(", page "), F.col("page"), label, kind, F.lit("\n"), F.col("text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("passage_no", block.alias("block")))), lambda s: s["block"]), "\n\n")
@@ -110,8 +111,8 @@ def ask(found: DataFrame, questions: DataFrame, settings: Settings = Settings(),
     numbered = passages(found)
     open_ = gated.where("passed").join(contexts(numbered), "qid")
     model = F.pandas_udf(generate, "string").asNondeterministic()
-    # Kept, so that the branches below share one call of the generator for each question.
-    called = open_.select("qid", "top_similarity", model(prompt(F.col("context"), F.col("question"))).alias("raw")).persist()
+    # Written, so that the branches below share one call of the generator for each question.
+    called = kept(open_.select("qid", "top_similarity", model(prompt(F.col("context"), F.col("question"))).alias("raw")), "answers")
     raw = called.withColumn("v", parsed(F.col("raw")))
     text = F.trim(F.coalesce(field(F.col("v"), "answer", "string"), F.lit("")))
     read = raw.select("qid", "top_similarity", text.alias("answer"), (F.col("v").isNull() | flag(F.col("v"), "not_covered") | (text == "")).alias("refused"), used_passages(F.col("v")).alias("used"))
@@ -127,3 +128,22 @@ def ask(found: DataFrame, questions: DataFrame, settings: Settings = Settings(),
 def shown(found: DataFrame) -> DataFrame:
     """Retrieved chunks as a response shows them: rounded scores and short texts."""
     return found.select("qid", "chunk_id", F.bround("similarity", 4).alias("cosine"), F.bround("bm25", 3).alias("bm25"), F.bround("rrf", 5).alias("rrf"), "vec_rank", "bm25_rank", T.snippet(F.col("text")).alias("snippet"))
+
+
+def copied(answer: Column, sources: Column) -> Column:
+    """An answer as plain text to paste: itself, then a line for each source."""
+    line = lambda x: F.concat(F.lit("- "), x["doc"], F.lit(", page "), x["page"].cast("string"))
+    lines = F.array_join(F.transform(sources, line), "\n")
+    return F.when(F.size(F.coalesce(sources, F.array())) > 0, F.concat(F.trim(answer), F.lit("\n\nSources:\n"), lines)).otherwise(F.trim(answer))
+
+
+def cited_flags(numbered: DataFrame, citations: DataFrame) -> DataFrame:
+    """Passages with ``cited``: whether an answer names them."""
+    marked = citations.select("qid", "passage_no").distinct().withColumn("cited", F.lit(True))
+    return numbered.join(marked, ["qid", "passage_no"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+
+
+def bars(found: DataFrame, least: float = 4.0) -> DataFrame:
+    """What was found with ``bar``: its score as a share of the question's best, in percent, ``least`` or more."""
+    best = F.max("rrf").over(Window.partitionBy("qid"))
+    return found.withColumn("bar", F.round(F.greatest(F.lit(least), F.col("rrf") / best * 100), 4))

@@ -21,9 +21,16 @@ def judged(needles: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.groupBy("qid").agg(F.bool_or(F.col("rank").isNotNull()).alias("any_hit"), F.bool_and(F.col("rank").isNotNull()).alias("all_hit"), F.min("rank").alias("first_rank"))
 
 
+def enough_from(found: DataFrame, documents: list[str], least: int = 1) -> DataFrame:
+    """(qid, n, enough): how many of a question's passages come from the documents, and whether ``least`` do."""
+    n = F.count_if(F.col("doc").isin(documents))
+    return found.groupBy("qid").agg(n.alias("n"), (n >= least).alias("enough"))
+
+
 def recall(judged_: DataFrame) -> DataFrame:
-    """passed, asked and their share."""
-    return judged_.agg(F.count_if("any_hit").alias("passed"), F.count("*").alias("asked")).withColumn("recall", F.round(F.col("passed") / F.col("asked"), 6))
+    """passed, asked and their share; questions to be declined (``decline``) aren't counted."""
+    counted = judged_.where(~F.coalesce("decline", F.lit(False))) if "decline" in judged_.columns else judged_
+    return counted.agg(F.count_if("any_hit").alias("passed"), F.count("*").alias("asked")).withColumn("recall", F.round(F.col("passed") / F.col("asked"), 6))
 
 
 def verdicts(results: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..config import Settings
 from ..functions import periods as P
 from ..functions import text as T
 
+# The phrases by which filings name a period and a table's header.
 _ENDED = rf"ended.{{0,4}}({'|'.join(P.MONTHS)})(\d{{1,2}}),?(\d{{4}})"
 _PHRASE = r"(?i)(quarter|half[\s-]*year|nine[\s-]*months|year|period)\s*ended"
 _PHRASE_SQUASHED = r"(?i)(quarter|halfyear|ninemonths|year|period)ended"
@@ -175,3 +176,19 @@ def chunks(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def documents(chunks_: DataFrame) -> DataFrame:
     """One row for each document: first label and period, pages and chunks."""
     return chunks_.groupBy("doc").agg(F.min_by("doc_label", "chunk_index").alias("doc_label"), F.min_by("fiscal_period", "chunk_index").alias("fiscal_period"), F.countDistinct("page").alias("pages"), F.count("*").alias("chunks"))
+
+
+def pages_per_document(pages: DataFrame) -> DataFrame:
+    """(doc, n)."""
+    return pages.groupBy("doc").agg(F.count("*").alias("n"))
+
+
+def token_stats(chunks_: DataFrame) -> DataFrame:
+    """One row: least, mean and most words of a passage, the mean rounded down."""
+    n = T.word_count(F.col("text"))
+    return chunks_.agg(F.min(n).alias("least"), F.floor(F.sum(n) / F.count("*")).alias("mean"), F.max(n).alias("most"))
+
+
+def sorted_documents(chunks_: DataFrame) -> DataFrame:
+    """(doc, place) of the documents by name, from 1; there are as many rows as documents."""
+    return chunks_.select("doc").distinct().select("doc", F.row_number().over(Window.orderBy("doc")).cast("long").alias("place"))

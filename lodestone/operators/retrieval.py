@@ -1,7 +1,14 @@
 """Keyword and vector ranking of passages for batches of questions.
 
-``chunks`` has chunk_id, doc, text, is_row, fiscal_period, statement_type; ``questions`` has qid and
-question. Corpus statistics always come from all chunks, whatever a question is restricted to.
+``chunks`` has chunk_id, doc, text, is_row, fiscal_period, statement_type and, where rows are to be embedded by
+their label words, chunk_type; ``questions`` has qid and question, and doc where it may be answered from that
+document only. Corpus statistics always come from all chunks, whatever a question is restricted to.
+
+``indexed`` reads the chunks once: terms with counts, length and vector of each. Its table can be stored
+(``sources.index``) and given to every function here in place of the chunks. Questions and chunks
+meet in cells, a block of questions and a block of chunks each, so that neither side is ever gathered; the
+vectors' best come from each cell's best. Ranks over all candidates of a question need all their scores:
+one task holds them as arrays, some 30 bytes for each candidate.
 """
 
 from __future__ import annotations
@@ -10,95 +17,83 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import periods as P
 from ..functions import text as T
+from ..sources.scratch import kept
 
 DIMENSIONS = 128
-#: Questions that one matrix product takes; more are held against the chunks in further rounds.
-QUESTION_BLOCK = 4096
+#: Chunks and questions of a cell.
+CHUNKS, QUESTIONS = 2048, 512
 K1, B, EPSILON = 1.5, 0.75, 0.25
+Embed = Callable[[pd.Series], list[np.ndarray]]
 
 
-def hashed_counts(tokens: Column) -> Column:
-    """Default embedding: how many tokens fall into each of 128 places by their MD5."""
-    place = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % DIMENSIONS).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
+def _place(term: str) -> Column:
+    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % DIMENSIONS).cast("int")
 
 
-def hash_vectors(texts: pd.Series) -> list[np.ndarray]:
-    """``hashed_counts`` for a batch of texts in Python."""
-    import hashlib
-    import re
+def _vector(counts: str) -> Column:
+    """Counts by place as a vector."""
+    return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0.0)))
+
+
+def hashed_counts(table: DataFrame, key: str, text: str) -> DataFrame:
+    """Default embedding (key, vector): how many of a text's tokens fall into each of 128 places by their MD5."""
+    tokens = table.select(key, F.explode(T.tokens(F.col(text))).alias("token")).select(key, _place("token").alias("place"))
+    counts = tokens.groupBy(key, "place").agg(F.count("*").cast("double").alias("n"))
+    return counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("at")).select(key, _vector("at").alias("vector"))
 
-    out, known = [], {}
-    for t in texts:
-        v = np.zeros(DIMENSIONS)
-        for w in re.findall("[a-z0-9]+", (t or "").lower()):
-            if w not in known:
-                known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMENSIONS
-            v[known[w]] += 1
-        out.append(v)
-    return out
 
+def embedded(table: DataFrame, key: str, text: str, embed: Embed | None = None, prefix: str = "") -> DataFrame:
+    """``table`` with ``vector``: by ``embed``, a model that is called once for each Arrow batch, else ``hashed_counts``.
 
-def embedded(table: DataFrame, text: str, embed: Callable[[pd.Series], list[np.ndarray]] = hash_vectors) -> DataFrame:
-    """``table`` with ``vector``; the model is called once for each Arrow batch."""
+    Models that want their questions marked get ``prefix`` put before each text.
+    """
+    if embed is None:
+        zeros = F.array_repeat(F.lit(0.0), DIMENSIONS)
+        return table.join(hashed_counts(table, key, text), key, "left").withColumn("vector", F.coalesce("vector", zeros))
     schema = table.select("*", F.lit(None).cast("array<double>").alias("vector")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(vector=embed(pdf[text]))
+            yield pdf.assign(vector=embed(prefix + pdf[text]))
 
     return table.mapInPandas(run, schema)
 
 
-def cosine_pairs(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, chunk_id, similarity) of every question and chunk, exactly.
-
-    ``chunks`` and ``questions`` hold ``vector``. Questions go to the executors in blocks of bounded size
-    and meet each batch of chunks in one matrix product; a zero vector has similarity 0.
-    """
-    asked = questions.select("qid", "vector").toPandas().sort_values("qid")
-    blocks = [asked.iloc[i : i + QUESTION_BLOCK] for i in range(0, len(asked), QUESTION_BLOCK)]
-
-    def against(block: pd.DataFrame) -> DataFrame:
-        q = np.stack(block["vector"].to_list())
-        ids = block["qid"].to_numpy()
-        q_norm = np.sqrt((q * q).sum(axis=1))
-
-        def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["vector"].to_list())
-                norm = np.sqrt((x * x).sum(axis=1))
-                below = norm[:, None] * q_norm[None, :]
-                sim = np.divide(x @ q.T, below, out=np.zeros_like(below), where=below > 0)
-                yield pd.DataFrame({"qid": np.tile(ids, len(pdf)), "chunk_id": np.repeat(pdf["chunk_id"].to_numpy(), len(ids)), "similarity": sim.ravel()})
-
-        return chunks.select("chunk_id", "vector").mapInPandas(run, "qid long, chunk_id long, similarity double")
-
-    if not blocks:
-        return chunks.sparkSession.createDataFrame([], "qid long, chunk_id long, similarity double")
-    out = against(blocks[0])
-    for b in blocks[1:]:
-        out = out.union(against(b))
-    return out
+def indexed(chunks: DataFrame, embed: Embed | None = None) -> DataFrame:
+    """Chunks with terms, their counts tfs, length dl, period and vector; written once. An indexed table is returned as it is."""
+    if {"terms", "tfs", "dl", "period", "vector"} <= set(chunks.columns):
+        return chunks
+    base = chunks.withColumn("period", P.period_key(F.col("fiscal_period"))).repartition("chunk_id")
+    # All that follows is by chunk_id, so that texts are shuffled once.
+    counts = base.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    by_place = counts.groupBy("chunk_id", _place("term").alias("place")).agg(F.sum("tf").alias("n"), F.collect_list(F.struct("term", "tf")).alias("x"))
+    lists = by_place.groupBy("chunk_id").agg(F.flatten(F.collect_list("x")).alias("x"), F.sum("n").alias("dl"), F.map_from_entries(F.collect_list(F.struct("place", F.col("n").cast("double")))).alias("at"))
+    lists = lists.select("chunk_id", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"), "dl", _vector("at").alias("_hashed"))
+    none = {"terms": F.array().cast("array<string>"), "tfs": F.array().cast("array<long>"), "dl": F.lit(0).cast("long"), "_hashed": F.array_repeat(F.lit(0.0), DIMENSIONS)}
+    read = base.join(lists, "chunk_id", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+    if "chunk_type" in chunks.columns:
+        words = read.withColumn("_words", T.words_for_embedding(F.col("text"), F.col("chunk_type")))
+        return kept(embedded(words, "chunk_id", "_words", embed).drop("_words", "_hashed"), "index")
+    read = read.withColumnRenamed("_hashed", "vector") if embed is None else embedded(read.drop("_hashed"), "chunk_id", "text", embed)
+    return kept(read, "index")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl)."""
-    toks = chunks.select("chunk_id", T.tokens(F.col("text")).alias("toks"))
-    return toks.select("chunk_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    """(chunk_id, dl, term, tf)."""
+    return indexed(chunks).select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("chunk_id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n and avgdl."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
+    return indexed(chunks).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def idf(postings_: DataFrame, stats: DataFrame) -> DataFrame:
@@ -112,25 +107,122 @@ def idf(postings_: DataFrame, stats: DataFrame) -> DataFrame:
 
 def bm25(chunks: DataFrame, question_terms: DataFrame) -> DataFrame:
     """(qid, chunk_id, bm25) where a question's terms occur; (qid, term) rows count as often as they are given."""
+    chunks = indexed(chunks)
     post, stats = postings(chunks), corpus_stats(chunks)
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    joined = question_terms.join(post, "term").join(idf(post, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    asked = question_terms.groupBy("qid", "term").agg(F.count("*").alias("times")).join(idf(post, stats), "term").select("qid", "term", (F.col("idf") * F.col("times")).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # The questions' terms are few beside the postings; Spark sends them to the postings where they are small enough.
+    joined = post.join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl")))
     return joined.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25"))
 
 
 def common_terms(chunks: DataFrame, ratio: float = 0.5, least: int = 50) -> DataFrame:
     """Terms of more than ``ratio`` of the passages that aren't rows; none among fewer than ``least``."""
-    plain = chunks.where(~F.col("is_row"))
-    terms = plain.select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    plain = indexed(chunks).where(~F.col("is_row"))
     n = plain.agg(F.count("*").alias("n"))
-    return terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("n") >= least) & (F.col("df") / F.col("n") > ratio)).select("term", "df")
+    terms = plain.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return terms.crossJoin(F.broadcast(n)).where((F.col("n") >= least) & (F.col("df") / F.col("n") > ratio)).select("term", "df")
 
 
 def focused(questions: DataFrame, chunks: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """Questions with ``focus``: their telling terms, or the question where none is left."""
-    asked = questions.select("qid", F.posexplode(T.focus_tokens(F.col("question"))).alias("pos", "term"))
+    """Questions with ``focus``: the telling terms of what they ask besides periods, or all of that where none is left."""
+    rest = questions.withColumn("_rest", P.query_periods(F.col("question"))["rest"])
+    asked = rest.select("qid", F.posexplode(T.focus_tokens(F.col("_rest"))).alias("pos", "term"))
     left = asked.join(common_terms(chunks, ratio), "term", "left_anti").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]), " ").alias("focus"))
-    return questions.join(left, "qid", "left").withColumn("focus", F.coalesce("focus", "question"))
+    return rest.join(left, "qid", "left").withColumn("focus", F.coalesce("focus", "_rest")).drop("_rest")
+
+
+def _rounded(x: np.ndarray, places: int) -> np.ndarray:
+    """Half away from zero, as SQL rounds."""
+    return np.sign(x) * np.floor(np.abs(x) * 10.0**places + 0.5) / 10.0**places
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Similarity of every question (row) with every chunk; a zero vector has similarity 0."""
+    x, q = _matrix(left["vector"]), _matrix(right["asked"])
+    below = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+    return _rounded(np.divide(q @ x.T, below, out=np.zeros_like(below), where=below > 0), 6)
+
+
+def keyword_scores(left: pa.Table, right: pa.Table, average: float) -> np.ndarray:
+    """BM25 of every question (row) with every chunk."""
+    out = np.zeros((right.num_rows, left.num_rows))
+    lists, asked = left["terms"].combine_chunks(), right["weights"].combine_chunks()
+    flat = asked.flatten()
+    if not len(flat) or not len(lists.flatten()):
+        return out
+    vocabulary = pc.unique(flat.field("term"))
+    column = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    tf = left["tfs"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    hit = np.flatnonzero(column >= 0)
+    hit = hit[np.argsort(column[hit], kind="stable")]
+    row, tf, column = row[hit], tf[hit], column[hit]
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * left["dl"].to_numpy()[row] / average))
+    begin = np.searchsorted(column, np.arange(len(vocabulary) + 1))
+    which = pc.index_in(flat.field("term"), value_set=vocabulary).to_numpy(zero_copy_only=False)
+    weight = flat.field("weight").to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
+    for i in range(len(out)):
+        for t, w in zip(which[at[i] : at[i + 1]], weight[at[i] : at[i + 1]], strict=True):
+            a, b = begin[t], begin[t + 1]
+            out[i, row[a:b]] += w * part[a:b]  # a term stands once in a chunk's list
+    return _rounded(out, 6)
+
+
+def _cells(chunks: DataFrame, questions: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str, asked: int | None = None) -> DataFrame:
+    """What ``meet`` makes of every block of chunks with every block of questions (``asked`` of them, else they are counted)."""
+    blocks = max(1, -(-chunks.count() // CHUNKS))
+    asked = max(1, -(-(questions.count() if asked is None else asked) // QUESTIONS))
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = chunks.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")).withColumn("of", steps(asked))
+    right = questions.withColumn("of", F.pmod(F.xxhash64("qid"), F.lit(asked)).cast("int")).withColumn("block", steps(blocks))
+    return left.groupBy("block", "of").cogroup(right.groupBy("block", "of")).applyInArrow(meet, schema)
+
+
+def cosine_pairs(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, chunk_id, similarity) of every question and chunk, exactly, for chunks (chunk_id, vector) and questions (qid, vector)."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        sim = cosines(left, right) if left.num_rows and right.num_rows else np.zeros((right.num_rows, left.num_rows))
+        return pa.table({"qid": np.repeat(right["qid"].to_numpy(), left.num_rows), "chunk_id": np.tile(left["chunk_id"].to_numpy(), right.num_rows), "similarity": sim.ravel()})
+
+    return _cells(chunks.select("chunk_id", "vector"), questions.select("qid", F.col("vector").alias("asked")), meet, "qid long, chunk_id long, similarity double")
+
+
+def nearest(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_id, similarity, rank) of the ``k`` most similar chunks, ties to the smaller chunk_id.
+
+    ``chunks`` has chunk_id, vector and, if a question's ``wanted`` shall restrict it, doc. Each cell gives its ``k`` best.
+    """
+    some = "wanted" in questions.columns
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            left = left.sort_by("chunk_id")
+            ids, qids, sim = left["chunk_id"].to_numpy(), right["qid"].to_numpy(), cosines(left, right)
+            for i in range(right.num_rows):
+                at = _allowed(left, right, i) if some else np.arange(len(ids))
+                best = at[np.argsort(-sim[i, at], kind="stable")[:k]]
+                out.append((np.full(len(best), qids[i]), ids[best], sim[i, best]))
+        q, c, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else ([], [], [])
+        return pa.table({"qid": pa.array(q, pa.int64()), "chunk_id": pa.array(c, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+    left = chunks.select("chunk_id", "vector", *(["doc"] if some else []))
+    right = questions.select("qid", F.col("vector").alias("asked"), *(["wanted"] if some else []))
+    return top(_cells(left, right, meet, "qid long, chunk_id long, similarity double"), "similarity", k)
+
+
+def _allowed(left: pa.Table, right: pa.Table, i: int) -> np.ndarray:
+    """Places of the chunks that a question may be answered from."""
+    wanted = right["wanted"][i]
+    return np.arange(left.num_rows) if not wanted.is_valid else np.flatnonzero(pc.fill_null(pc.equal(left["doc"], wanted), False).to_numpy(zero_copy_only=False))
 
 
 def with_facts(questions: DataFrame) -> DataFrame:
@@ -183,31 +275,111 @@ def top(table: DataFrame, score: str, k: int) -> DataFrame:
     return table.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def _asked(questions: DataFrame, chunks: DataFrame, settings: Settings, embed: Embed | None) -> DataFrame:
+    """Questions with their facts, ``focus``, its vector, and ``wanted``, the document that they are restricted to."""
+    asked = focused(questions, chunks, settings.common_term_ratio) if settings.focus_query else questions.withColumn("focus", P.query_periods(F.col("question"))["rest"])
+    asked = asked.withColumn("wanted", F.col("doc") if "doc" in questions.columns else F.lit(None).cast("string"))
+    return embedded(with_facts(asked.select("qid", "question", "focus", "wanted")), "qid", "focus", embed, settings.query_prefix)
+
+
+def _weighted(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Questions with ``weights``: their terms, each with its inverse frequency times its count."""
+    terms = asked.select("qid", F.explode(T.query_tokens(F.col("focus"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    known = terms.join(idf(postings(chunks), corpus_stats(chunks)), "term")
+    lists = known.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("idf") * F.col("times")).alias("weight")))).alias("weights"))
+    return asked.join(lists, "qid", "left").withColumn("weights", F.coalesce("weights", F.array().cast("array<struct<term:string,weight:double>>")))
+
+
+LISTS = "qid long, ids array<long>, sims array<double>, words array<double>, rows array<boolean>, periods array<int>, named array<boolean>, kinds array<boolean>"
+
+
+def _scored(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For each question and block of chunks its candidates' scores and facts, as arrays."""
+    average = corpus_stats(chunks).first()["avgdl"] or 1.0
+    schema = pa.schema([("qid", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("words", pa.list_(pa.float64())), ("rows", pa.list_(pa.bool_())), ("periods", pa.list_(pa.int32())), ("named", pa.list_(pa.bool_())), ("kinds", pa.list_(pa.bool_()))])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        sim, words = cosines(left, right), keyword_scores(left, right, average)
+        ids, row, period = left["chunk_id"].to_numpy(), left["is_row"].to_numpy(), left["period"].to_numpy()
+        kind = np.array(left["statement_type"].to_pylist(), object)
+        out = []
+        for i, (periods, wanted_kind) in enumerate(zip(right["asked_periods"].to_pylist(), right["asked_kind"].to_pylist(), strict=True)):
+            at = _allowed(left, right, i)
+            if len(at):
+                out.append({"qid": right["qid"][i].as_py(), "ids": ids[at], "sims": sim[i, at], "words": words[i, at], "rows": row[at], "periods": period[at], "named": np.isin(period[at], periods or []) & (period[at] != 0), "kinds": (kind[at] == wanted_kind) if wanted_kind else np.zeros(len(at), bool)})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    left = chunks.select("chunk_id", "doc", "is_row", "statement_type", "period", "vector", "terms", "tfs", "dl")
+    right = _weighted(asked, chunks).select("qid", "wanted", F.col("vector").alias("asked"), "asked_periods", "asked_kind", "weights")
+    return _cells(left, right, meet, LISTS, asked.count())
+
+
+def _facts(chunks: DataFrame) -> DataFrame:
+    return indexed(chunks).select("chunk_id", "doc", "is_row", "period", "statement_type")
+
+
+def candidates(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), embed: Embed | None = None) -> DataFrame:
     """Every question with every chunk that it may be answered from, with both scores.
 
     A question's ``doc``, where it has one, restricts its candidates and nothing else.
     """
-    asked = focused(questions, chunks, settings.common_term_ratio) if settings.focus_query else questions.withColumn("focus", F.col("question"))
-    terms = asked.select("qid", F.explode(T.query_tokens(F.col("focus"))).alias("term"))
-    near = cosine_pairs(embedded(chunks.select("chunk_id", "text"), "text"), embedded(asked.select("qid", "focus"), "focus"))
-    # What questions and chunks say of periods is read once for each of them, not for each pair.
-    facts = chunks.select("chunk_id", "doc", "is_row", P.period_key(F.col("fiscal_period")).alias("period"), "statement_type")
-    named = with_facts(asked.select("qid", "question", *(["doc"] if "doc" in asked.columns else []))).withColumnRenamed("doc", "wanted")
-    out = near.withColumn("similarity", F.round("similarity", 6)).join(facts, "chunk_id").join(F.broadcast(named), "qid")
-    if "wanted" in named.columns:
-        out = out.where(F.col("wanted").isNull() | (F.col("wanted") == F.col("doc"))).drop("wanted")
-    return out.join(bm25(chunks, terms), ["qid", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-
-
-def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), top_k: int | None = None) -> DataFrame:
-    """The best chunks of each question with all scores and ranks."""
+    chunks = indexed(chunks, embed)
+    asked = kept(_asked(questions, chunks, settings, embed), "asked")
+    pairs = _scored(asked, chunks).select("qid", F.explode(F.arrays_zip("ids", "sims", "words")).alias("x"))
+    pairs = pairs.select("qid", F.col("x.ids").alias("chunk_id"), F.col("x.sims").alias("similarity"), F.col("x.words").alias("bm25"))
+    return pairs.join(_facts(chunks), "chunk_id").join(asked.drop("vector", "focus", "wanted"), "qid")
+
+
+def _best(settings: Settings, k: int) -> Callable[[pa.Table], pa.Table]:
+    """One question's ranks over all its candidates, and the ``k`` best by the fused score; the same as ``ranks``, ``bonuses``, ``fused`` and ``top``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = lambda c: np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in table[c]])
+        ids = flat("ids")
+        order = np.argsort(ids, kind="stable")
+        ids, sim, words, row, period, named, kind = (flat(c)[order] for c in ("ids", "sims", "words", "rows", "periods", "named", "kinds"))
+
+        def places(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            by = np.argsort(-score, kind="stable")
+            all_, within = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+            all_[by] = np.arange(1, len(by) + 1)
+            for some in (by[row[by]], by[~row[by]]):
+                within[some] = np.arange(len(some))
+            return all_, within
+
+        vec, vec_type = places(sim)
+        bm, bm_type = places(words)
+        weight = np.where(row, settings.row_weight, 1.0)
+        bonus = np.zeros(len(ids))
+        known = np.unique(period[period != 0])
+        if len(known) >= 2 and not table["names_period"][0].as_py():
+            bonus = np.where(period != 0, settings.recency_boost * np.searchsorted(known, period) / (len(known) - 1), 0.0)
+        bonus = bonus + np.where(named, settings.period_boost, 0.0) + np.where(kind, settings.period_boost, 0.0)
+        score = _rounded(weight / (settings.rrf_k + vec_type) + weight / (settings.rrf_k + bm_type) + bonus, 8)
+        at = np.lexsort((ids, -score))[:k]
+        return pa.table({"qid": np.full(len(at), table["qid"][0].as_py()), "chunk_id": ids[at], "similarity": sim[at], "bm25": words[at], "vec_rank": vec[at], "bm25_rank": bm[at], "vec_type_rank": vec_type[at], "bm25_type_rank": bm_type[at], "bonus": bonus[at], "rrf": score[at], "rank": np.arange(1, len(at) + 1)})
+
+    return run
+
+
+def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), top_k: int | None = None, embed: Embed | None = None) -> DataFrame:
+    """The best chunks of each question with all scores and ranks.
+
+    What a question says of periods is taken out before ranking and counts as a bonus only: every passage
+    of a filing holds its period, so that it would rank headings first.
+    """
     k = top_k or settings.top_k
-    scored = candidates(questions, chunks, settings)
+    chunks = indexed(chunks, embed)
+    asked = kept(_asked(questions, chunks, settings, embed), "asked")
+    told = asked.select("qid", "question")
     if not settings.use_hybrid:
-        return top(scored, "similarity", k)
+        return nearest(chunks, asked, k).join(_facts(chunks), "chunk_id").join(told, "qid")
     pool = max(settings.rerank_candidates, k) if settings.use_reranker else k
-    found = top(fused(bonuses(ranks(scored), settings), settings), "rrf", pool)
+    scored = _scored(asked, chunks).join(asked.select("qid", "names_period"), "qid")
+    schema = "qid long, chunk_id long, similarity double, bm25 double, vec_rank long, bm25_rank long, vec_type_rank long, bm25_type_rank long, bonus double, rrf double, rank long"
+    found = scored.groupBy("qid").applyInArrow(_best(settings, pool), schema).join(_facts(chunks), "chunk_id").join(told, "qid")
     if not settings.use_reranker:
         return found
     return reranked(found.join(chunks.select("chunk_id", "text"), "chunk_id"), settings, k)

@@ -74,3 +74,15 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("user"), "event_id", F.concat_ws(":", "event_type", F.pmod(F.floor(F.coalesce("value", F.lit(0.0))), F.lit(7)).cast("string")).alias("key"))
 
 
+
+
+def traffic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests with what the pipeline would say of them, presets and known documents, for ``serving.decided``; made from the events."""
+    e = table(spark, sf_dir, "events")
+    whole = F.floor(F.coalesce("value", F.lit(0.0))).cast("long")
+    rows = e.select(
+        F.col("user_id").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), F.concat_ws(" ", "event_type", F.pmod(whole, F.lit(50)).cast("string")).alias("question"),
+        F.when(F.pmod("event_id", F.lit(5)) == 0, F.concat(F.lit("d"), F.pmod(whole, F.lit(3)).cast("string"))).alias("doc"), (F.pmod(whole, F.lit(11)) != 0).alias("passed"), (F.pmod(whole, F.lit(7)) == 0).alias("refused"),
+    )
+    presets = e.select("event_type").distinct().select(F.col("event_type").alias("preset"), F.concat_ws(" ", F.upper("event_type"), F.lit(" 4 ")).alias("question"))
+    return rows, presets, spark.createDataFrame([("d0",), ("d1",)], "doc string")

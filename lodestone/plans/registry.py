@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import periods as P
 from ..functions import text as T
-from ..operators import admission, answers, evaluation, pages, retrieval
-from ..sources import index
+from ..operators import admission, answers, evaluation, pages, retrieval, serving
+from ..sources import index, scratch
 from ..sources import pages as page_sources
 from . import corpora as C
 
@@ -88,21 +89,25 @@ def w12(s, d):
 
 @query("a1_pages_per_doc", "SELECT source AS doc, count(*) AS n FROM documents GROUP BY source")
 def a1(s, d):
-    return _docs(s, d).groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("n"))
+    return pages.pages_per_document(_docs(s, d).withColumnRenamed("source", "doc"))
 
 
 @query("a2_token_stats", f"SELECT min(n) AS least, sum(n)::BIGINT // count(*) AS mean, max(n) AS most FROM (SELECT len({WORDS})::BIGINT AS n FROM documents)")
 def a2(s, d):
-    n = T.word_count(F.col("text"))
-    return _docs(s, d).agg(F.min(n).alias("least"), F.floor(F.sum(n) / F.count("*")).alias("mean"), F.max(n).alias("most"))
+    return pages.token_stats(_docs(s, d))
 
 
 @query("s7_collection_size", "SELECT count(*) AS n FROM documents")
 def s7(s, d):
-    return _docs(s, d).agg(F.count("*").alias("n"))
+    folder = f"{scratch.folder(s)}/stored-{uuid.uuid4().hex}"
+    index.save(C.prose(s, d), folder)
+    return s.createDataFrame([(index.size(s, folder),)], "n long")
 
 
-@query("s8_fingerprint")
+_PARTS = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT)::VARCHAR" for k in range(4))
+
+
+@query("s8_fingerprint", f"SELECT count(*) AS n, sha256(concat_ws('|', count(*)::VARCHAR, {_PARTS})) AS fingerprint FROM (SELECT sha256(concat_ws(chr(31), doc_id::VARCHAR, source, '', CASE WHEN length(text) < 600 THEN 'true' ELSE 'false' END, '', text)) AS h FROM documents)")
 def s8(s, d):
     return index.fingerprint(C.prose(s, d))
 
@@ -121,7 +126,7 @@ def a4(s, d):
 
 @query("t6_sorted_docs", "SELECT source AS doc, row_number() OVER (ORDER BY source) AS place FROM (SELECT DISTINCT source FROM documents)")
 def t6(s, d):
-    return _docs(s, d).select(F.col("source").alias("doc")).distinct().select("doc", F.row_number().over(Window.orderBy("doc")).cast("long").alias("place"))
+    return pages.sorted_documents(_docs(s, d).withColumnRenamed("source", "doc"))
 
 
 # --- Retrieval over documents, asked with the benchmark's texts -------------------------------------------------------------
@@ -180,7 +185,7 @@ def a5(s, d):
 
 @query("a6_bm25_stats", SEARCH + "SELECT term, df, round(idf, 6) AS idf FROM idf")
 def a6(s, d):
-    c = C.prose(s, d)
+    c = retrieval.indexed(C.prose(s, d))
     return retrieval.idf(retrieval.postings(c), retrieval.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -196,8 +201,9 @@ def f3(s, d):
 
 @query("a7_bm25_score", SEARCH + "SELECT qid, chunk_id, bm25 FROM bm")
 def a7(s, d):
-    asked = retrieval.focused(C.questions(s, d), C.prose(s, d))
-    return retrieval.bm25(C.prose(s, d), asked.select("qid", F.explode(T.query_tokens(F.col("focus"))).alias("term"))).select("qid", "chunk_id", "bm25")
+    chunks = retrieval.indexed(C.prose(s, d))
+    asked = retrieval.focused(C.questions(s, d), chunks)
+    return retrieval.bm25(chunks, asked.select("qid", F.explode(T.query_tokens(F.col("focus"))).alias("term"))).select("qid", "chunk_id", "bm25")
 
 
 @query("w3_w4_mixed_ranks", SEARCH + "SELECT qid, chunk_id, similarity, bm25, vec_rank, bm25_rank FROM ranked")
@@ -245,9 +251,9 @@ def p12(s, d):
     return answers.with_gate(_found(s, d), C.questions(s, d).select("qid"), 0.30)
 
 
-@query("p11_response", SEARCH + "SELECT qid, chunk_id, round_even(similarity, 4) AS cosine, round_even(bm25, 3) AS bm25, round_even(rrf, 5) AS rrf, vec_rank, bm25_rank FROM best")
+@query("p11_response", SEARCH + "SELECT qid, chunk_id, round_even(similarity, 4) AS cosine, round_even(bm25, 3) AS bm25, round_even(rrf, 5) AS rrf, vec_rank, bm25_rank, md5(CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '…' ELSE text END) AS snippet FROM best JOIN chunks USING (chunk_id)")
 def p11(s, d):
-    return answers.shown(_with_text(s, d)).drop("snippet")
+    return answers.shown(_with_text(s, d)).withColumn("snippet", F.md5("snippet"))
 
 
 @query("w8_passage_no", SEARCH + "SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY doc, chunk_id) AS passage_no FROM best")
@@ -255,7 +261,7 @@ def w8(s, d):
     return answers.passages(_with_text(s, d)).select("qid", "chunk_id", "passage_no")
 
 
-@query("f14_context", SEARCH + "SELECT qid, md5(string_agg('[' || p || '] ' || doc || ', page ' || (chunk_id + 1) || CASE WHEN is_row THEN ' [table row: each value is labelled with its column]' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY p)) AS v FROM (SELECT b.*, c.text, row_number() OVER (PARTITION BY qid ORDER BY b.doc, chunk_id) AS p FROM best b JOIN chunks c USING (chunk_id)) GROUP BY qid")
+@query("f14_context", SEARCH + "SELECT qid, md5(string_agg('[' || p || '] ' || doc || ', page ' || (chunk_id + 1) || CASE WHEN is_row THEN ' (one row of a table; every figure names its column)' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY p)) AS v FROM (SELECT b.*, c.text, row_number() OVER (PARTITION BY qid ORDER BY b.doc, chunk_id) AS p FROM best b JOIN chunks c USING (chunk_id)) GROUP BY qid")
 def f14(s, d):
     return answers.contexts(answers.passages(_with_text(s, d))).select("qid", F.md5("context").alias("v"))
 
@@ -271,7 +277,7 @@ def j8(s, d):
 def j9(s, d):
     n = answers.passages(_with_text(s, d))
     used = answers.cited(n, C.questions(s, d).select("qid", F.array(F.lit(1), F.lit(3), F.lit(99)).cast("array<bigint>").alias("used")))
-    return n.join(used.withColumn("cited", F.lit(True)), ["qid", "passage_no"], "left").select("qid", "chunk_id", F.coalesce("cited", F.lit(False)).alias("cited"))
+    return answers.cited_flags(n, used).select("qid", "chunk_id", "cited")
 
 
 _NEEDLES = ", needles AS (SELECT qid, lower(trim(substr(question, 1, 40))) AS needle FROM questions UNION ALL SELECT qid, lower(trim(substr(question, 41, 40))) FROM questions), hits AS (SELECT qid, needle, rank FROM best JOIN chunks USING (chunk_id) JOIN needles USING (qid) WHERE contains(lower(" + SPACED + "), " + SPACED.replace("text", "needle") + ")), judged AS (SELECT n.qid, bool_or(r IS NOT NULL) AS any_hit, bool_and(r IS NOT NULL) AS all_hit, min(r) AS first_rank FROM needles n LEFT JOIN (SELECT qid, needle, min(rank) AS r FROM hits GROUP BY ALL) h ON n.qid = h.qid AND n.needle = h.needle GROUP BY n.qid) "
@@ -300,13 +306,12 @@ def a13(s, d):
 
 @query("a16_conditional_count", SEARCH + "SELECT qid, count_if(doc IN ('src4', 'src5', 'src6'))::BIGINT AS n, count_if(doc IN ('src4', 'src5', 'src6')) >= 1 AS enough FROM best GROUP BY qid")
 def a16(s, d):
-    n = F.count_if(F.col("doc").isin("src4", "src5", "src6"))
-    return _found(s, d).groupBy("qid").agg(n.alias("n"), (n >= 1).alias("enough"))
+    return evaluation.enough_from(_found(s, d), ["src4", "src5", "src6"])
 
 
 @query("p20_bar", SEARCH + "SELECT qid, chunk_id, round(greatest(4, rrf / max(rrf) OVER (PARTITION BY qid) * 100), 4) AS bar FROM best")
 def p20(s, d):
-    return _found(s, d).select("qid", "chunk_id", F.round(F.greatest(F.lit(4.0), F.col("rrf") / F.max("rrf").over(Window.partitionBy("qid")) * 100), 4).alias("bar"))
+    return answers.bars(_found(s, d)).select("qid", "chunk_id", "bar")
 
 
 @query("m10_ask")
@@ -350,20 +355,20 @@ def w10(s, d):
     return pages.table_rows(p, ["doc", "page"]).select("doc", "page", "row", F.array_join("label", " ").alias("label"), F.array_join("vals", " ").alias("vals"))
 
 
-@query("d5_column_labels", _FILED + "SELECT doc, page, array_to_string(['Quarter ended ' || p1, 'Quarter ended ' || p2, 'Quarter ended ' || p3, 'Year ended ' || p1, 'Year ended ' || p3], '; ') AS labels FROM f WHERE page = 1")
+@query("d5_column_labels", _FILED + "SELECT doc, page, array_to_string(['Quarter ended ' || p1, 'Quarter ended ' || p2, 'Quarter ended ' || p3, 'Year ended ' || p1, 'Year ended ' || p3], '; ') AS labels FROM f WHERE page = 1 UNION ALL SELECT doc, page, NULL FROM f WHERE page = 2")
 def d5(s, d):
-    p = C.filings(s, d).where("page = 1")
+    p = C.filings(s, d)
     return p.select("doc", "page", F.array_join(P.column_labels(pages.header(F.col("text")), F.lit(5), F.col("p1")), "; ").alias("labels"))
 
 
-@query("d4_shift_period", _FILED + "SELECT doc, p2 AS a, p3 AS b FROM f WHERE page = 1")
+@query("d4_shift_period", _FILED + "SELECT doc, page, p2 AS a, p3 AS b FROM f")
 def d4(s, d):
-    return C.filings(s, d).where("page = 1").select("doc", P.shift_period(F.col("p1"), 3).alias("a"), P.shift_period(F.col("p1"), 12).alias("b"))
+    return C.filings(s, d).select("doc", "page", P.shift_period(F.col("p1"), 3).alias("a"), P.shift_period(F.col("p1"), 12).alias("b"))
 
 
-@query("d1_period_key", _FILED + "SELECT doc, (y * 10000 + CASE q WHEN 1 THEN 331 WHEN 2 THEN 630 WHEN 3 THEN 930 ELSE 1231 END)::INTEGER AS k FROM (SELECT doc, right(p1, 4)::INTEGER AS y, right(doc, 1)::INTEGER AS q FROM f WHERE page = 1)")
+@query("d1_period_key", _FILED + "SELECT doc, page, (y * 10000 + CASE q WHEN 1 THEN 331 WHEN 2 THEN 630 WHEN 3 THEN 930 ELSE 1231 END)::INTEGER AS k FROM (SELECT doc, page, right(p1, 4)::INTEGER AS y, right(doc, 1)::INTEGER AS q FROM f)")
 def d1(s, d):
-    return C.filings(s, d).where("page = 1").select("doc", P.period_key(F.col("p1")).alias("k"))
+    return C.filings(s, d).select("doc", "page", P.period_key(F.col("p1")).alias("k"))
 
 
 def _chunks(s, d):
@@ -373,9 +378,21 @@ def _chunks(s, d):
 _LABEL = "CASE WHEN serial % 2 = 0 THEN 'Standalone' ELSE 'Consolidated' END || ' Results — ' || p1 || chr(10)"
 
 
-@query("p10_rendered_rows", _FILED + f"SELECT doc, page, doc || '::p' || page || '::r0' AS id, {_LABEL} || '1 Orders placed | Quarter ended ' || p1 || ': ' || n1 || ' | Quarter ended ' || p2 || ': ' || n2 || ' | Quarter ended ' || p3 || ': ' || n3 || ' | Year ended ' || p1 || ': ' || n4 || ' | Year ended ' || p3 || ': ' || n5 AS text FROM f WHERE page = 1")
+def _row_text(name: str, figures: list[str]) -> str:
+    titles = ["Quarter ended ' || p1", "Quarter ended ' || p2", "Quarter ended ' || p3", "Year ended ' || p1", "Year ended ' || p3"]
+    return f"'{name}' || " + " || ".join(f"' | {t} || ': ' || {f}" for t, f in zip(titles, figures, strict=True))
+
+
+#: The second page's heading names a third group of columns, so that its rows keep the heading and plain figures.
+_HEADING = "string_split(text, chr(10))[1] || ' ' || string_split(text, chr(10))[2] || ' ' || string_split(text, chr(10))[3] || chr(10)"
+_PLAIN = "CASE row WHEN 0 THEN concat_ws(' ', '1 Orders placed', n1, n2, n3, n4, n5) WHEN 1 THEN concat_ws(' ', '2 Total price', t1, t2, t3, t4, t5) ELSE '3 Returned orders nil nil nil nil nil' END"
+_ROW_TEXT = f"CASE WHEN page = 2 THEN {_HEADING} || {_PLAIN} ELSE CASE row WHEN 0 THEN {_row_text('1 Orders placed', ['n1', 'n2', 'n3', 'n4', 'n5'])} WHEN 1 THEN {_row_text('2 Total price', ['t1', 't2', 't3', 't4', 't5'])} ELSE {_row_text('3 Returned orders', [chr(39) + 'nil' + chr(39)] * 5)} END END"
+_EACH = ", r AS (SELECT *, unnest([0, 1, 2]) AS row FROM f) "
+
+
+@query("p10_rendered_rows", _FILED + _EACH + f"SELECT doc, page, doc || '::p' || page || '::r' || row AS id, {_LABEL} || {_ROW_TEXT} AS text FROM r")
 def p10(s, d):
-    return _chunks(s, d).where("chunk_type = 'row' and page = 1 and id like '%::r0'").select("doc", "page", "id", "text")
+    return _chunks(s, d).where("chunk_type = 'row'").select("doc", "page", "id", "text")
 
 
 @query("w11_packing", _FILED + f"SELECT doc, page, {_LABEL} || text AS text FROM f")
@@ -394,35 +411,75 @@ def p8(s, d):
     return _chunks(s, d).where("chunk_type = 'row'").select("id", T.words_for_embedding(F.col("text"), F.col("chunk_type")).alias("v"))
 
 
-@query("roundtrip_values", _FILED + "SELECT doc, page, n1 + n2 + n3 + n4 + n5 AS total FROM f WHERE page = 1")
+@query("roundtrip_values", _FILED + _EACH + "SELECT doc, page, doc || '::p' || page || '::r' || row AS id, (CASE WHEN page = 2 THEN 0 WHEN row = 0 THEN n1 + n2 + n3 + n4 + n5 WHEN row = 1 THEN t1 + t2 + t3 + t4 + t5 ELSE 0 END)::BIGINT AS total FROM r")
 def roundtrip(s, d):
-    row = _chunks(s, d).where("chunk_type = 'row' and page = 1 and id like '%::r0'")
-    values = F.regexp_extract_all("text", F.lit(r": (\d+)(?: \||$)"), F.lit(1))
-    return row.select("doc", "page", F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("total"))
+    row = _chunks(s, d).where("chunk_type = 'row'")
+    values = F.regexp_extract_all("text", F.lit(r": (\d+)(?= \||$)"), F.lit(1))
+    return row.select("doc", "page", "id", F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("total"))
 
 
-_CAND = "cand AS (SELECT doc, serial, p1, (right(p1, 4)::INTEGER * 10000 + CASE right(doc, 1) WHEN '1' THEN 331 WHEN '2' THEN 630 WHEN '3' THEN 930 ELSE 1231 END) AS k FROM f WHERE page = 1)"
+_CAND = "cand AS (SELECT doc, page, serial, p1, (right(p1, 4)::INTEGER * 10000 + CASE right(doc, 1) WHEN '1' THEN 331 WHEN '2' THEN 630 WHEN '3' THEN 930 ELSE 1231 END) AS k FROM f)"
 
 
 def _candidates(s, d, question: str):
-    f = C.filings(s, d).where("page = 1")
-    return f.select(F.lit(1).alias("qid"), "doc", F.lit(question).alias("question"), F.col("p1").alias("fiscal_period"), F.when(F.col("serial") % 2 == 0, "standalone").otherwise("consolidated").alias("statement_type"))
+    f = C.filings(s, d)
+    return f.select(F.lit(1).alias("qid"), "doc", "page", F.lit(question).alias("question"), F.col("p1").alias("fiscal_period"), F.when(F.col("serial") % 2 == 0, "standalone").otherwise("consolidated").alias("statement_type"))
 
 
-@query("w6_recency", _FILED + ", " + _CAND + " SELECT doc, round(0.01::DOUBLE * (dense_rank() OVER (ORDER BY k) - 1) / ((SELECT count(DISTINCT k) FROM cand) - 1), 8) AS bonus FROM cand")
+@query("w6_recency", _FILED + ", " + _CAND + " SELECT doc, page, round(0.01::DOUBLE * (dense_rank() OVER (ORDER BY k) - 1) / ((SELECT count(DISTINCT k) FROM cand) - 1), 8) AS bonus FROM cand")
 def w6(s, d):
-    return retrieval.bonuses(_candidates(s, d, "what is the total price")).select("doc", F.round("bonus", 8).alias("bonus"))
+    return retrieval.bonuses(_candidates(s, d, "what is the total price")).select("doc", "page", F.round("bonus", 8).alias("bonus"))
 
 
-@query("d6_metadata_bonus", _FILED + ", " + _CAND + " SELECT doc, round(CASE WHEN k = 19970331 THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN serial % 2 = 0 THEN 0.02::DOUBLE ELSE 0 END, 8) AS bonus FROM cand")
+@query("d6_metadata_bonus", _FILED + ", " + _CAND + " SELECT doc, page, round(CASE WHEN k = 19970331 THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN serial % 2 = 0 THEN 0.02::DOUBLE ELSE 0 END, 8) AS bonus FROM cand")
 def d6(s, d):
-    return retrieval.bonuses(_candidates(s, d, "standalone orders as of March 31, 1997")).select("doc", F.round("bonus", 8).alias("bonus"))
+    return retrieval.bonuses(_candidates(s, d, "standalone orders as of March 31, 1997")).select("doc", "page", F.round("bonus", 8).alias("bonus"))
 
 
-@query("j10_period_member", _FILED + ", " + _CAND + " SELECT doc, k IN (19960930, 19961231) AS named FROM cand")
+@query("j10_period_member", _FILED + ", " + _CAND + " SELECT doc, page, k IN (19960930, 19961231) AS named FROM cand")
 def j10(s, d):
     c = _candidates(s, d, "Q2 and Q3 of FY1997")
-    return c.select("doc", F.array_contains(P.query_periods(F.col("question"))["periods"], P.period_key(F.col("fiscal_period"))).alias("named"))
+    return c.select("doc", "page", F.array_contains(P.query_periods(F.col("question"))["periods"], P.period_key(F.col("fiscal_period"))).alias("named"))
+
+
+#: Questions, what is left of them to search by, the periods and the kind that they name, and whether they hold a year or month by itself.
+_ASKED = [
+    ("orders placed as of March 31, 1997", "orders placed as of", [19970331], None, True), ("standalone total price in Q2 FY1996", "standalone total price in", [19950930], "standalone", False),
+    ("returned orders of the group", "returned orders of the group", [], "consolidated", False), ("total price, December 1995 and FY1996", "total price, and", [19951231, 19960331], None, True), ("notes of europe", "notes of europe", [], None, False),
+]
+
+
+def _filing_search() -> str:
+    """``SEARCH`` over the filings' passages and rows: rows are embedded by their label words, and bonuses count."""
+    values = ", ".join(f"({i}, '{q}', '{rest}', [{', '.join(map(str, k))}]::INTEGER[], {'NULL' if kind is None else repr(kind)}, {str(named).lower()})" for i, (q, rest, k, kind, named) in enumerate(_ASKED))
+    label, words = _LABEL, "CASE row WHEN 0 THEN 'Orders placed' WHEN 1 THEN 'Total price' ELSE 'Returned orders' END"
+    chunks = f"""chunks AS (
+      SELECT ('0x' || substr(md5(id), 1, 15))::BIGINT AS chunk_id, * FROM (
+        SELECT doc || '::p' || page || '::r' || row AS id, doc, {label} || {_ROW_TEXT} AS text, {words} AS embedded, true AS is_row, p1, serial FROM r
+        UNION ALL SELECT doc || '::p' || page || '::c0', doc, {label} || text, {label} || text, false, p1, serial FROM f)),
+    questions AS (SELECT qid, question, rest, keys, kind, named FROM (VALUES {values}) t(qid, question, rest, keys, kind, named)),"""
+    sql = SEARCH.strip().removeprefix("WITH ")
+    sql = sql[sql.index("ctok AS") :]
+    sql = sql.replace("qt AS (SELECT qid, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM (SELECT qid, " + TOKENS.replace("text", "question"), "qt AS (SELECT qid, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM (SELECT qid, " + TOKENS.replace("text", "rest"))
+    sql = sql.replace("coalesce(focus, question) AS focus FROM questions q", "coalesce(focus, rest) AS focus FROM questions q")
+    sql = sql.replace("sum(tf)::DOUBLE AS c FROM post GROUP BY ALL", f"count(*)::DOUBLE AS c FROM (SELECT chunk_id, unnest({TOKENS.replace('text', 'embedded')}) AS term FROM chunks) GROUP BY ALL")
+    head, _, tail = sql.partition("fused AS (")
+    bonus = """keyed AS (SELECT qid, chunk_id, (right(p1, 4)::INTEGER * 10000 + CASE split_part(p1, ' ', 1) WHEN 'March' THEN 331 WHEN 'June' THEN 630 WHEN 'September' THEN 930 ELSE 1231 END) AS k, CASE WHEN serial % 2 = 0 THEN 'standalone' ELSE 'consolidated' END AS kind_, keys, kind, named FROM chunks CROSS JOIN questions),
+    extra AS (SELECT qid, chunk_id, CASE WHEN named THEN 0 ELSE 0.01::DOUBLE * (dense_rank() OVER (PARTITION BY qid ORDER BY k) - 1) / ((SELECT count(DISTINCT k) FROM keyed) - 1) END + CASE WHEN list_contains(keys, k) THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN kind = kind_ THEN 0.02::DOUBLE ELSE 0 END AS bonus FROM keyed),
+    fused AS ("""
+    tail = tail.replace("1.0::DOUBLE / (60 + bm25_type_rank), 8) AS rrf FROM ranked", "1.0::DOUBLE / (60 + bm25_type_rank) + bonus, 8) AS rrf FROM ranked JOIN extra USING (qid, chunk_id)")
+    return _FILED + _EACH.rstrip() + ", " + chunks + head + bonus + tail
+
+
+def _filed_chunks(s, d):
+    c = _chunks(s, d)
+    return c.withColumn("chunk_id", F.conv(F.substring(F.md5("id"), 1, 15), 16, 10).cast("long")).withColumn("is_row", F.col("chunk_type") == "row")
+
+
+@query("t2_search_filings", _filing_search() + "SELECT qid::BIGINT AS qid, chunk_id, similarity, bm25, rrf, rank FROM best")
+def search_filings(s, d):
+    asked = s.createDataFrame([(i, x[0]) for i, x in enumerate(_ASKED)], "qid long, question string")
+    return retrieval.search(asked, _filed_chunks(s, d)).select("qid", "chunk_id", "similarity", "bm25", "rrf", "rank")
 
 
 # --- Vectors ----------------------------------------------------------------------------------------------------------------
@@ -433,23 +490,24 @@ def _vectors(s, d):
     return v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
 
 
-_VEC = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS qid, e AS qe FROM v WHERE vec_id < 20), p AS (SELECT qid, vec_id AS chunk_id, label, round(list_cosine_similarity(e, qe), 6) AS similarity FROM v CROSS JOIN q) "
+_VEC = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS qid, e AS qe FROM v WHERE vec_id % 50 = 0), p AS (SELECT qid, vec_id AS chunk_id, label, round(list_cosine_similarity(e, qe), 6) AS similarity FROM v CROSS JOIN q) "
 
 
-def _cosines(s, d):
+def _nearest(s, d, label: int | None = None):
+    """The 8 nearest of every 50th vector among all vectors, or those of a label."""
     v = _vectors(s, d)
-    near = retrieval.cosine_pairs(v, v.where("chunk_id < 20").withColumnRenamed("chunk_id", "qid"))
-    return near.withColumn("similarity", F.round("similarity", 6)).join(v.select("chunk_id", "label"), "chunk_id")
+    asked = v.where(F.pmod("chunk_id", F.lit(50)) == 0).select(F.col("chunk_id").alias("qid"), "vector")
+    return retrieval.nearest(v if label is None else v.where(F.col("label") == label), asked, 8).select("qid", "chunk_id", "similarity", "rank")
 
 
 @query("j2_cosine_topk", _VEC + "SELECT qid, chunk_id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS rank FROM p QUALIFY rank <= 8")
 def j2(s, d):
-    return retrieval.top(_cosines(s, d), "similarity", 8).select("qid", "chunk_id", "similarity", "rank")
+    return _nearest(s, d)
 
 
 @query("p6_vector_filter", _VEC + "SELECT qid, chunk_id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS rank FROM p WHERE label = 3 QUALIFY rank <= 8")
 def p6v(s, d):
-    return retrieval.top(_cosines(s, d).where("label = 3"), "similarity", 8).select("qid", "chunk_id", "similarity", "rank")
+    return _nearest(s, d, 3)
 
 
 @query("a11_norm_dot", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
@@ -461,7 +519,18 @@ def a11(s, d):
 # --- Requests ---------------------------------------------------------------------------------------------------------------
 
 
-@query("w13_sliding_window")
+_WALK = """
+WITH RECURSIVE q AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1000000, event_id) AS n FROM events),
+w AS (
+  SELECT key, event_id, t, n, [t] AS held, true AS admitted, 0::BIGINT AS retry_after FROM q WHERE n = 1
+  UNION ALL
+  SELECT key, event_id, t, n, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END, len(k) < 3, CASE WHEN len(k) < 3 THEN 0 ELSE greatest(1, ceil(k[1] + 21600 - t))::BIGINT END
+  FROM (SELECT q.key, q.event_id, q.t, q.n, list_filter(w.held, lambda x: x > q.t - 21600) AS k FROM w JOIN q ON q.key = w.key AND q.n = w.n + 1)
+)
+SELECT key, event_id, admitted, retry_after FROM w"""
+
+
+@query("w13_sliding_window", _WALK)
 def w13(s, d):
     return admission.limited(C.requests(s, d), 3, 6 * 3600.0).select("key", "event_id", "admitted", "retry_after")
 
@@ -481,50 +550,65 @@ def w14(s, d):
 
 @query("a18_cache_stats", _LRU + "SELECT count_if(hit)::BIGINT AS hits, count_if(NOT hit)::BIGINT AS misses FROM h")
 def a18(s, d):
-    return w14(s, d).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return admission.cache_stats(w14(s, d))
 
 
-@query("a20_quota_left", "SELECT event_id, greatest(0, 15 - count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))::BIGINT AS remaining FROM events")
+@query("a20_quota_left", "SELECT event_id, greatest(0, 15 - count(*) FILTER (WHERE event_id % 3 <> 0) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW))::BIGINT AS remaining FROM events")
 def a20(s, d):
-    e = C.table(s, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-3_600_000_000, 0)
-    return e.select("event_id", F.greatest(F.lit(0), 15 - F.count("*").over(w)).cast("long").alias("remaining"))
+    """Every third request stands for one that was answered without the model, and so isn't charged."""
+    free = F.pmod("event_id", F.lit(3)) == 0
+    return admission.quota_left(C.requests(s, d).withColumn("verdict", F.when(free, "free").otherwise("ok")), 15, 3600.0)
+
+
+@query("st6_request_order")
+def st6(s, d):
+    return serving.decided(*C.traffic(s, d))
 
 
 # --- Web pages and dialogue -------------------------------------------------------------------------------------------------
 
 
-@query("p5_routing", "SELECT page_id, CASE WHEN length(trim(coalesce(url, ''))) < 50 THEN 'ocr' ELSE 'text-layer' END AS source FROM pages")
+def _markup() -> str:
+    text = r"regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
+    for tag in ("script", "style", "head"):
+        text = rf"regexp_replace({text}, '<{tag}\b.*?</{tag}>', ' ', 'gis')"
+    text = rf"regexp_replace(regexp_replace({text}, '</?(p|div|h[1-6]|li|ul|ol|br|article|nav|footer|table|tr)\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g')"
+    for name, char in {**page_sources.NAMED, "#39": "'", "amp": "&"}.items():
+        text = f"replace({text}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+@query("p5_routing", f"SELECT page_id, CASE WHEN length(trim({_markup()})) < 50 THEN 'ocr' ELSE 'text-layer' END AS source FROM pages")
 def p5(s, d):
-    return C.table(s, d, "pages").select("page_id", page_sources.routed(F.col("url")).alias("source"))
+    return C.table(s, d, "pages").select("page_id", page_sources.routed(page_sources.markup_text(F.col("html"))).alias("source"))
 
 
-@query("s2_page_text")
+@query("s2_page_text", f"SELECT doc, page, md5({CLEAN}) AS v, 'text-layer' AS source FROM (SELECT url AS doc, page_id AS page, {_markup()} AS text FROM pages) WHERE length({CLEAN}) > 0")
 def s2(s, d):
     return page_sources.from_html(C.table(s, d, "pages")).select("doc", "page", F.md5("text").alias("v"), "source")
 
 
 @query("j12_preset_match", f"WITH p AS (SELECT DISTINCT lower({SPACED}) AS k FROM conversations WHERE turn = 0) SELECT conv_id, turn, lower({SPACED}) IN (SELECT k FROM p) AS preset FROM conversations")
 def j12(s, d):
-    c = C.table(s, d, "conversations").withColumn("k", T.question_key(F.col("text")))
-    presets = c.where("turn = 0").select(F.col("k").alias("pk")).distinct().withColumn("preset", F.lit(True))
-    return c.join(presets, c["k"] == presets["pk"], "left").select("conv_id", "turn", F.coalesce("preset", F.lit(False)).alias("preset"))
+    c = C.table(s, d, "conversations").withColumnRenamed("text", "question")
+    presets = c.where("turn = 0").select(F.concat(F.lit("p"), "conv_id").alias("preset"), "question")
+    return serving.preset_matches(c, presets).select("conv_id", "turn", F.col("preset").isNotNull().alias("preset"))
 
 
 @query("j11_unknown_doc", "SELECT DISTINCT lang AS doc FROM documents WHERE lang NOT IN (SELECT source FROM documents)")
 def j11(s, d):
     docs = _docs(s, d)
-    return docs.select(F.col("lang").alias("doc")).distinct().join(docs.select(F.col("source").alias("doc")).distinct(), "doc", "left_anti")
+    return serving.unknown_documents(docs.select(F.col("lang").alias("doc")), docs.select(F.col("source").alias("doc")))
 
 
 # --- Small fixtures ---------------------------------------------------------------------------------------------------------
 
 _PERIODS = [
-    ("ratio as of the year ended March 31, 2026", "20260331"), ("profit FY2026", "20260331"), ("profit FY 26", "20260331"), ("Q4 FY26 profit", "20260331"),
+    ("orders by March 31, 2026, in all", "20260331"), ("returns FY2026", "20260331"), ("returns FY 26", "20260331"), ("Q4 FY26 returns", "20260331"),
     ("on 30 September 2025", "20250930"), ("Q2 FY2026", "20250930"), ("July-September 2025", "20250930"), ("Sept 30th, 2025", "20250930"),
     ("December 2025", "20251231"), ("at 31.12.2025", "20251231"), ("Q3 FY2026", "20251231"), ("financial year 2025", "20250331"), ("Q1 of FY2026", "20250630"),
     ("Q2, Q3, and Q4 of FY2026", "20250930,20251231,20260331"), ("Q1 & Q2 FY26", "20250630,20250930"), ("March 31, 2026 and December 31, 2025", "20251231,20260331"),
-    ("what is the ratio", ""), ("what may happen", ""), ("founded in 1994", ""),
+    ("which orders came late", ""), ("what may follow", ""), ("opened in 1994", ""),
 ]
 
 
@@ -564,14 +648,13 @@ def p19(s, d):
     return o.withColumn("outcome", answers.outcome(F.col("cached"), F.col("preset"), F.col("refused"), F.col("best"), F.lit(0.3)))
 
 
-_STATUS = {"rate limit": 429, "no key": 503, "unavailable": 503, "rejected": 502, "bad model": 502, "unknown document": 404, "bad request": 422}
+_STATUS = {"rate limit": 429, "quota": 429, "no key": 503, "no index": 503, "unavailable": 502, "rejected": 502, "bad model": 503, "unknown document": 404, "bad request": 422, "something else": 502}
 
 
 @query("m12_status", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _STATUS.items()) + ") t(error, status)")
 def m12(s, d):
     e = s.createDataFrame([(k,) for k in _STATUS], "error string")
-    c = F.col("error")
-    return e.select("error", F.when(c == "rate limit", 429).when(c.isin("no key", "unavailable"), 503).when(c == "unknown document", 404).when(c == "bad request", 422).otherwise(502).alias("status"))
+    return e.select("error", serving.status(F.col("error")).alias("status"))
 
 
 @query("a12_verdicts", "SELECT count_if(quality = 1 AND toxic = 0)::BIGINT AS pass, count_if(quality = 0)::BIGINT AS wrong, count_if(quality = 1 AND toxic = 1)::BIGINT AS fail FROM labels")

@@ -19,11 +19,11 @@ class IndexCorrupt(IndexNotBuilt):
 def save(chunks: DataFrame, folder: str) -> int:
     """Write a new version and then point to it, so that a failed write leaves the old one; returns its number of chunks."""
     spark = chunks.sparkSession
+    if chunks.isEmpty():
+        raise ValueError("nothing to index")
     version = f"v{time.time_ns()}"
     chunks.write.parquet(f"{folder}/{version}")
     n = spark.read.parquet(f"{folder}/{version}").count()
-    if not n:
-        raise ValueError("nothing to index")
     spark.createDataFrame([(version, n, time.time_ns())], "version string, n long, at long").coalesce(1).write.mode("append").parquet(f"{folder}/current")
     return n
 
@@ -59,7 +59,8 @@ def size(spark: SparkSession, folder: str) -> int:
 
 
 def fingerprint(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and a hash of all of them that doesn't depend on their order."""
+    """One row: number of chunks and a SHA-256 over the sums of their own, which doesn't depend on their order."""
     row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(chunks.columns))), 256)
-    part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")
-    return chunks.select(part.alias("p")).agg(F.count("*").alias("n"), F.sum("p").cast("string").alias("fingerprint"))
+    parts = [F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    n = F.count("*")
+    return chunks.agg(n.alias("n"), F.sha2(F.concat_ws("|", n.cast("string"), *parts), 256).alias("fingerprint"))

@@ -19,14 +19,33 @@ def routed(raw: Column, least: int = 50) -> Column:
     return F.when(F.length(F.trim(F.coalesce(raw, F.lit("")))) < least, "ocr").otherwise("text-layer")
 
 
+#: Character references by name that pages often hold; others stay as they are, numbers are all read.
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "copy": "©", "reg": "®", "euro": "€", "pound": "£", "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "middot": "·"}
+
+
+def unescaped(text: Column) -> Column:
+    """Character references as characters, by number and by the names of ``NAMED``; each is read once."""
+    char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    def one(part: Column) -> Column:  # a stretch that begins with a reference, or the text before the first
+        number = F.regexp_extract(part, r"^&#(\d{1,7});", 1)
+        digits = F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(number != "", number.try_cast("long")).when(digits != "", F.conv(digits, 16, 10).try_cast("long"))
+        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        named = F.try_element_at(F.create_map(*(F.lit(x) for kv in {**NAMED, "amp": "&"}.items() for x in kv)), F.regexp_extract(part, r"^&([A-Za-z]+);", 1))
+        rest = F.regexp_replace(part, r"^&[^;]*;", "")
+        return F.when(good, F.concat(char(code), rest)).when(named.isNotNull(), F.concat(named, rest)).otherwise(part)
+
+    return F.array_join(F.transform(F.split(text, r"(?=&#?\w{1,8};)"), one), "")
+
+
 def markup_text(html: Column) -> Column:
     """Text of a web page without scripts, styles and tags; block ends become line ends."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1>|<!--.*?-->", " ")
+    t = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    for tag in ("script", "style", "head"):
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}>", " ")
     t = F.regexp_replace(t, r"(?i)</?(p|div|h[1-6]|li|ul|ol|br|article|nav|footer|table|tr)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        t = F.regexp_replace(t, name, char)
-    return t
+    return unescaped(F.regexp_replace(t, r"<[^>]*>", ""))
 
 
 def from_html(pages: DataFrame) -> DataFrame:
