@@ -3,13 +3,13 @@
 Each text's UTF-8 bytes, filled up with 255 to a positive multiple of 576, are
 stored as the 8-bit samples of a mono WAV stream. A gear hash rolls over the
 stream; where its upper bits are zero a chunk ends, so that equal stretches of
-different media give equal chunks. Digests are counted by Spark joins: a chunk met
-once stays with its medium, one met by several is stored once in a table of shared
-chunks. Which chunks may be shared is told by a Bloom filter of fixed size, filled
-from the counts; a chunk that it takes for shared in error is stored as shared, which
-costs a row and changes no result. So only shared chunks are shuffled by their bytes.
-Reading joins each medium's ordered list with both tables, and checks the SHA-256 of
-every chunk and of the medium.
+different media give equal chunks. Digests are counted by Spark joins. A medium's row
+holds the ordered list of its digests, and the bytes of those chunks that it owns: a chunk is owned by the
+least of the rows that hold it, and stored there only, so that no bytes are
+stored twice. Owners are elected among digests alone, and only rows with a chunk that other rows hold as well take part in
+the join; the bytes of owned chunks that others need are written as a table of their own.
+Reading joins each medium's list with that table; the chunks that very many media need are few, and sent to all
+tasks. The SHA-256 of every chunk and of the medium is checked.
 
 Defined results: a null text counts as empty (its payload is one unit of 576 bytes);
 equal texts give equal rows; repeated rows, null and repeated ids give one row each;
@@ -33,8 +33,8 @@ from .common import grouped, small_batches, written
 UNIT = 576
 RATE = 8000
 LEAST, MOST, MASK_BITS = 2048, 65536, 12  # a cut each 4 KiB beyond the least length, on average
-FILTER_BITS = 24
-PROBES = 3
+#: Chunks with over one in SHARE of all rows of shared digests, and OFTEN at least, are sent to all tasks: fewer than SHARE chunks, 64 KiB each at most.
+SHARE, OFTEN = 1000, 500
 #: The gear table: 256 words from a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(576)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -105,77 +105,53 @@ def feature(samples: bytes) -> str:
     return f"rms={rms:.4f};zcr={crossings};entropy={abs(float((share * np.log2(share)).sum())):.4f}"
 
 
-def _places(digests: np.ndarray) -> np.ndarray:
-    """Filter positions of 16-byte digests: three parts of each."""
-    words = digests.view(np.uint32).reshape(-1, 4)[:, :PROBES].astype(np.int64)
-    return words & ((1 << FILTER_BITS) - 1)
-
+def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables of the store: media with their digest lists and the chunks that are theirs alone, and shared chunks by digest.
 
-def digests(docs: DataFrame) -> DataFrame:
-    """One row for each chunk of each row, with its digest."""
+    In ``own`` a chunk of the list is null where it lies in the shared table. Chunk bytes are compressed.
+    """
     small_batches(docs.sparkSession)
+    rows = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row")), "rows")
 
-    def run(batches):
+    def names(batches):
         for table in grouped(batches, 4 << 20):
-            found = [digest(c) for t in table["text"].to_pylist() for c in chunked(t or "")[2]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "digest binary")
-
-
-def shared_filter(docs: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter of the digests that occur more than once; its size is fixed."""
-    shared = digests(docs).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-
-    def run(batches):
-        for table in grouped(batches, 1 << 20):
-            at = _places(np.frombuffer(b"".join(table["digest"].to_pylist()), np.uint8)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
-
-    words = shared.select("digest").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    table = words.toArrow()
-    out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-MEDIA = "doc_id long, row string, n_bytes long, payload_bytes long, sha binary, digests array<binary>, own array<binary>"
-
-
-def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two tables of the store: media with their chunk lists, and shared chunks by digest.
-
-    In ``own`` a chunk of the list is null where it lies in the shared table. Chunk
-    bytes are compressed.
-    """
-    spark = docs.sparkSession
-    bits = shared_filter(docs)
-    small_batches(spark)
+            found, row = [], []
+            for r, t in zip(table["row"].to_pylist(), table["text"].to_pylist(), strict=True):
+                some = {digest(c) for c in chunked(t or "")[2]}
+                found += some
+                row += [r] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(row, pa.int64())], ["digest", "row"])
+
+    held = written(rows.select("row", "text").mapInArrow(names, "digest binary, row long"), "digests")
+    shared = written(held.groupBy("digest").agg(F.count("*").alias("n"), F.min("row").alias("owner")).where("n > 1"), "shared")
+    # What each row has to know: which of its chunks are shared, and which of these it owns.
+    told = _joined(held, shared).groupBy("row").agg(F.collect_list(F.struct("digest", (F.col("owner") == F.col("row")).alias("mine"))).alias("told"))
+    known = rows.join(told, "row", "left")
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary())), ("own", pa.list_(pa.binary())), ("given", pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])))])
 
     def run(batches):
         zip_ = zstandard.ZstdCompressor(level=3).compress
         for table in grouped(batches, 4 << 20):
-            rows = []
-            for doc, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True):
-                body, n, chunks = chunked(t or "")
-                names = [digest(c) for c in chunks]
-                at = _places(np.frombuffer(b"".join(names), np.uint8))
-                maybe = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
-                sha = hashlib.sha256(b"".join(chunks)).digest()
-                rows.append({"doc_id": doc, "n_bytes": n, "payload_bytes": len(body), "sha": sha, "digests": names, "own": [None if m else zip_(c) for c, m in zip(chunks, maybe, strict=True)], "given": [zip_(c) for c, m in zip(chunks, maybe, strict=True) if m]})
-            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+            out = []
+            for r in table.to_pylist():
+                mine = {x["digest"]: x["mine"] for x in r["told"] or []}
+                body, n, chunks = chunked(r["text"] or "")
+                found = [digest(c) for c in chunks]
+                given = {d: c for d, c in zip(found, chunks, strict=True) if mine.get(d)}
+                out.append({"doc_id": r["doc_id"], "row": r["row"], "n_bytes": n, "payload_bytes": len(body), "sha": hashlib.sha256(b"".join(chunks)).digest(), "digests": found, "own": [None if d in mine else zip_(c) for d, c in zip(found, chunks, strict=True)], "given": [{"digest": d, "data": zip_(c)} for d, c in given.items()]})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary())), ("own", pa.list_(pa.binary())), ("given", pa.list_(pa.binary()))])
-    cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, sha binary, digests array<binary>, own array<binary>, given array<binary>")
-    media = written(cut.withColumn("row", F.monotonically_increasing_id()), "media")
-    missing = F.filter(F.arrays_zip("digests", "own"), lambda x: x["own"].isNull())
-    names = media.where(F.size("given") > 0).select(F.explode(F.arrays_zip(F.transform(missing, lambda x: x["digests"]).alias("digest"), F.col("given").alias("data"))).alias("x")).select("x.digest", "x.data")
-    return media, names
+    cut = written(known.select("doc_id", "row", "text", "told").mapInArrow(run, "doc_id long, row long, n_bytes long, payload_bytes long, sha binary, digests array<binary>, own array<binary>, given array<struct<digest:binary,data:binary>>"), "media")
+    chunks = cut.where(F.size("given") > 0).select(F.explode("given").alias("x")).select("x.digest", "x.data").join(shared.select("digest", "n"), "digest")
+    return cut.drop("given"), chunks
 
 
-def chunk_table(names: DataFrame) -> DataFrame:
-    """Shared chunks, one row for each digest."""
-    return names.groupBy("digest").agg(F.first("data").alias("data"))
+def _joined(many: DataFrame, shared: DataFrame) -> DataFrame:
+    """``many`` rows of digests with what ``shared`` (digest, n, …) has of them; frequent digests are broadcast, so that no task gathers one's rows."""
+    least = max(OFTEN, (shared.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    often = F.broadcast(shared.where(F.col("n") > least))
+    rare = many.join(often.select("digest"), "digest", "left_anti").join(shared.where(F.col("n") <= least), "digest")
+    return many.join(often, "digest").unionByName(rare)
 
 
 def rebuilt(media: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -183,7 +159,7 @@ def rebuilt(media: DataFrame, chunks: DataFrame) -> DataFrame:
     whole = media.where(~F.exists("own", lambda x: x.isNull())).select("doc_id", "n_bytes", "payload_bytes", "sha", "digests", "own")
     parts = media.where(F.exists("own", lambda x: x.isNull()))
     need = parts.select("row", F.posexplode(F.arrays_zip("digests", "own")).alias("pos", "x")).where("x.own is null").select("row", "pos", F.col("x.digests").alias("digest"))
-    got = need.join(chunks, "digest").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "data"))).alias("at"))
+    got = _joined(need, chunks).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "data"))).alias("at"))
     filled = parts.join(got, "row").select("doc_id", "n_bytes", "payload_bytes", "sha", "digests", F.transform("own", lambda x, i: F.coalesce(x, F.try_element_at("at", i))).alias("own"))
 
     def run(batches):
@@ -205,6 +181,5 @@ def rebuilt(media: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Store every text as a medium and read all of them back."""
-    media, names = stored(docs)
-    kept = media.drop("given")
-    return rebuilt(kept, written(chunk_table(names), "chunks"))
+    media, chunks = stored(docs)
+    return rebuilt(media, written(chunks, "chunks"))

@@ -29,6 +29,23 @@ def test_media_by_definition(docs):
         assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
 
 
+def test_shared_chunks_are_stored_once(spark, monkeypatch):
+    # One long text held by many rows, one stretch that others share, and texts of their own; frequent chunks are broadcast.
+    monkeypatch.setattr(media, "OFTEN", 20)
+    rng = random.Random(8)
+    long = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common, part = long(60_000), long(30_000)
+    texts = [common] * 40 + [long(9000) + part + long(500) for _ in range(10)] + [long(3000) for _ in range(20)] + ["", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table, chunks = media.stored(docs)
+    held = [bytes(d) for r in table.select("digests", "own").collect() for d, c in zip(r.digests, r.own, strict=True) if c is not None]
+    shared = [bytes(r.digest) for r in chunks.collect()]
+    assert len(set(shared)) == len(shared) and len(set(held)) == len(held) and not set(held) & set(shared)
+    assert set(held) | set(shared) == {media.digest(c) for t in texts for c in media.chunked(t)[2]}
+    got = {r.doc_id: r.media_sha256 for r in media.round_trip(docs).collect()}
+    assert got == {i: hashlib.sha256(media.wav(media.payload(t)[0])).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_cuts_follow_content():
     rng = random.Random(3)
     body = bytes(rng.choice(b"abcdefgh ") for _ in range(200_000))
