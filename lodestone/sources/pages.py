@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, ExitStack
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +12,12 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from .scratch import kept
 
 Parser = Callable[[str, bytes], Iterator[tuple[int, str]]]
+#: Opens a file for recognition; the session gives the text of a page by its number.
+Recogniser = Callable[[str, bytes], AbstractContextManager[Callable[[int], str]]]
+log = logging.getLogger(__name__)
 
 
 def routed(raw: Column, least: int = 50) -> Column:
@@ -54,22 +60,31 @@ def from_html(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("url").alias("doc"), F.col("page_id").alias("page"), text.alias("text"), F.lit("text-layer").alias("source")).where(F.length("text") > 0)
 
 
-def from_files(spark: SparkSession, folder: str, parse: Parser, recognise: Parser | None = None, pattern: str = "*.pdf", settings: Settings = Settings()) -> DataFrame:
+def from_files(spark: SparkSession, folder: str, parse: Parser, recognise: Recogniser | None = None, pattern: str = "*.pdf", settings: Settings = Settings()) -> DataFrame:
     """(doc, page, text, source, error) of files that ``parse`` takes apart page by page.
 
-    A file that fails gives one row with its error and no page; ``recognise`` is called for pages whose
-    text layer is nearly empty.
+    A file that fails gives one row with its error and no page. ``recognise`` opens a session for a file whose
+    text layer is nearly empty on some page, and is asked for those pages only; the session is closed whatever happens.
     """
 
+    def texts(name: str, content: bytes) -> list[tuple]:
+        with ExitStack() as session:
+            read, rows = None, []
+            for n, t in parse(name, content):
+                poor = len(t.strip()) < settings.ocr_threshold
+                if poor and recognise:
+                    read = read or session.enter_context(recognise(name, content))
+                    t = read(n)
+                rows.append((name, n, t, "ocr" if poor else "text-layer", None))
+            return rows
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 name = path.rsplit("/", 1)[-1]
                 try:
-                    pages = list(parse(name, bytes(content)))
-                    seen = dict(recognise(name, bytes(content))) if recognise and any(len(t.strip()) < settings.ocr_threshold for _, t in pages) else {}
-                    rows += [(name, n, seen.get(n, t) if len(t.strip()) < settings.ocr_threshold else t, "ocr" if len(t.strip()) < settings.ocr_threshold else "text-layer", None) for n, t in pages]
+                    rows += texts(name, bytes(content))
                 except Exception as e:  # noqa: BLE001  whatever a parser raises is that file's error
                     rows.append((name, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["doc", "page", "raw", "source", "error"]).astype({"page": "Int64"})
@@ -77,3 +92,21 @@ def from_files(spark: SparkSession, folder: str, parse: Parser, recognise: Parse
     read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
     out = read.mapInPandas(run, "doc string, page long, raw string, source string, error string")
     return out.withColumn("text", T.cleaned(F.col("raw"))).where("error is not null or length(text) > 0").select("doc", "page", "text", "source", "error")
+
+
+def corpus(spark: SparkSession, folder: str, parse: Parser, recognise: Recogniser | None = None, pattern: str = "*.pdf", settings: Settings = Settings()) -> DataFrame:
+    """The pages of a folder's files, written once, without files that failed; an error if there are no files or no page has text."""
+    if spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").isEmpty():
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    every = kept(from_files(spark, folder, parse, recognise, pattern, settings), "pages")
+    for r in every.where("error is not null").select("doc", "error").limit(20).collect():
+        log.warning("%s is left out: %s", r["doc"], r["error"])
+    found = every.where("error is null").drop("error")
+    if found.isEmpty():
+        raise RuntimeError(f"no text in the files of {folder}")
+    return found
+
+
+def plain_text(name: str, content: bytes) -> Iterator[tuple[int, str]]:
+    """Parser of text files whose pages are parted by form feeds."""
+    return enumerate(content.decode("utf-8", "replace").split("\x0c"), 1)

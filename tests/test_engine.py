@@ -1,5 +1,6 @@
 """Operators against fixtures and brute force."""
 
+import contextlib
 import json
 import math
 import random
@@ -216,17 +217,41 @@ def test_index(spark, tmp_path):
 
 
 def test_files_with_a_bad_one(spark, tmp_path):
-    for name, data in (("a.pdf", b"one\x0cshort"), ("b.pdf", b"bad"), ("c.txt", b"no")):
+    long = "a page with a text layer that is long enough to be read as it is"
+    for name, data in (("a.pdf", f"one\x0c{long}\x0c".encode()), ("b.pdf", b"bad"), ("c.txt", b"no"), ("d.pdf", long.encode())):
         (tmp_path / name).write_bytes(data)
 
     def parse(name, data):
         if data == b"bad":
             raise ValueError("broken")
-        return enumerate((p.decode() for p in data.split(b"\x0c")), 1)
-
-    rows = sources.from_files(spark, str(tmp_path), parse, recognise=lambda n, d: [(1, "seen text")]).collect()
-    assert {(r["doc"], r["page"], r["text"], r["source"]) for r in rows if not r["error"]} == {("a.pdf", 1, "seen text", "ocr"), ("a.pdf", 2, "short", "ocr")}
-    assert [r["doc"] for r in rows if r["error"]] == ["b.pdf"]
+        return sources.plain_text(name, data)
+
+    @contextlib.contextmanager
+    def recognise(name, data):
+        with open(f"{tmp_path}/opened", "a") as f:
+            f.write(name)
+        yield lambda n: "seen text" if n == 1 else " "
+        with open(f"{tmp_path}/opened", "a") as f:
+            f.write(" closed ")
+
+    rows = sources.corpus(spark, str(tmp_path), parse, recognise).collect()
+    assert {(r["doc"], r["page"], r["text"], r["source"]) for r in rows} == {("a.pdf", 1, "seen text", "ocr"), ("a.pdf", 2, long, "text-layer"), ("d.pdf", 1, long, "text-layer")}
+    assert open(f"{tmp_path}/opened").read() == "a.pdf closed "  # once, for the file that needs it
+    assert [r["doc"] for r in sources.from_files(spark, str(tmp_path), parse).where("error is not null").collect()] == ["b.pdf"]
+    with pytest.raises(FileNotFoundError):
+        sources.corpus(spark, str(tmp_path), parse, pattern="*.doc")
+    with pytest.raises(RuntimeError):
+        sources.corpus(spark, str(tmp_path), parse, pattern="b.pdf")
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    took = []
+    for n in (20_000, 160_000):
+        d = spark.createDataFrame([("word " * n,)], "t string")
+        began = time.time()
+        assert d.select(F.size(T.word_pieces(F.col("t"), 350)).alias("n")).first()["n"] == -(-n // 350)
+        took.append(time.time() - began)
+    assert took[1] < 20 * max(took[0], 0.2)
 
 
 def test_settings():
