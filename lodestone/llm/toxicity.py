@@ -55,14 +55,14 @@ WIDTH, FLOOR = 0.2, 0.5  # of the kernel of triples: its fall from 1, and where
 FOURS_WIDTH, FOURS_FLOOR = 0.5, 0.25
 KEPT_WORDS = 200_000  # rows of values that a worker keeps; results don't depend on it
 WORDS_AT_ONCE = 8_000
-SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
+ENDS = frozenset(".!?…。！？")
 EDGE = re.compile(r"^\W+|\W+$")
 MARK = re.compile(r"[\W_]+")
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words; runs of three or more single letters also count as one word."""
-    words = text.lower().split()
+def words_of(line: str) -> list[str]:
+    """Lower-case words of a line; runs of three or more single letters also count as one word, at the line's end."""
+    words = line.lower().split()
     if list(map(len, words)).count(1) >= 3:
         run: list[str] = []
         for w in [*words, ".."]:
@@ -297,51 +297,52 @@ class Values:
     """Rows of kernel values of words, remembered: of a word the greatest of its pieces."""
 
     def __init__(self, kernel: Kernel):
-        self.kernel, self.place, self.rows, self.used = kernel, {}, np.zeros((1024, kernel.width), np.float32), 0
+        self.kernel, self.rows, self.used = kernel, np.zeros((1024, kernel.width), np.float32), 0
+        self.seen: set[str] = set()
+        self.place: dict[str, int] = {}  # rows of the words that have a value
 
     def learn(self, words: set[str]) -> None:
-        new = list(words - self.place.keys())
-        self.place.update(dict.fromkeys(new, -1))
-        for lo in range(0, len(new), WORDS_AT_ONCE):
-            pieces, owner = [], []
-            for w in new[lo : lo + WORDS_AT_ONCE]:
-                for p in pieces_of(w):
-                    pieces.append(p)
-                    owner.append(w)
-            if not pieces:
-                continue
-            at, rows = self.kernel.values(pieces)
+        new = words - self.seen
+        self.seen |= new
+        plain = [w for w in new if 3 <= len(w) <= PIECE and w.isalnum()]  # most words, each a single piece
+        owner = plain + [w for w in new.difference(plain) for _ in pieces_of(w)]
+        pieces = plain + [p for w in new.difference(plain) for p in pieces_of(w)]
+        for lo in range(0, len(pieces), WORDS_AT_ONCE):
+            at, rows = self.kernel.values(pieces[lo : lo + WORDS_AT_ONCE])
             while self.used + len(at) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            for i, row in zip(at.tolist(), rows, strict=True):
-                k = self.place[owner[i]]
-                if k < 0:
-                    k = self.place[owner[i]] = self.used
-                    self.rows[k] = row
+            for i, row in zip((at + lo).tolist(), rows, strict=True):
+                k = self.place.get(owner[i])
+                if k is None:
+                    self.place[owner[i]] = self.used
+                    self.rows[self.used] = row
                     self.used += 1
                 else:
                     np.maximum(self.rows[k], row, out=self.rows[k])
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Of the sentences that have any values: their texts' numbers, their rows, and the words that have them."""
-        if len(self.place) > KEPT_WORDS:
+        if len(self.seen) > KEPT_WORDS:
+            self.seen.clear()
             self.place.clear()
             self.used = 0
-        whole = [words_of(t) for t in texts]
-        self.learn(set().union(*whole))
-        # Most texts have no word with a value and no letters in a row; only the others are cut.
-        some = [any(self.place[w] >= 0 for w in ws) or len(ws) != len(t.split()) for t, ws in zip(texts, whole, strict=True)]
-        split = [[words_of(part) for part in SENTENCE.split(t)] if y else [] for t, y in zip(texts, some, strict=True)]
-        self.learn(set().union(*(ws for parts in split for ws in parts)))
+        cut = [[words_of(line) for line in t.split("\n")] for t in texts]
+        self.learn(set().union(*(ws for lines in cut for ws in lines)))
         place, of, at, begin, held = self.place, [], [], [], []
-        for i, parts in enumerate(split):
-            for ws in parts:
-                some = [w for w in ws if place[w] >= 0]
-                if some:
-                    of.append(i)
-                    begin.append(len(at))
-                    at += [place[w] for w in some]
-                    held.append(some)
+        for i, lines in enumerate(cut):
+            for ws in lines:
+                if place.keys().isdisjoint(ws):
+                    continue
+                some: list[str] = []
+                for w in [*ws, "."]:  # a word that ends with a full stop or the like ends its sentence
+                    if w in place:
+                        some.append(w)
+                    if w[-1] in ENDS and some:
+                        of.append(i)
+                        begin.append(len(at))
+                        at += [place[x] for x in some]
+                        held.append(some)
+                        some = []
         out = [np.zeros((0, self.kernel.width), np.float32)]
         for lo in range(0, len(begin), 2000):
             hi = min(lo + 2000, len(begin))
