@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,18 +52,42 @@ def grouped(batches: Iterable[pa.RecordBatch], target: int = 8 << 20) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+#: Bytes by which words (digits, lower-case letters, all beyond ASCII) are told from what lies between them.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def plain_words(text: bytes | None) -> list[bytes]:
+    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a UTF-8 text with A-Z lower-cased; none for null."""
+    return text.translate(_PLAIN).split() if text else []
+
+
+def shards(column: pa.Array, target: int = 8 << 20) -> Iterator[list[bytes | None]]:
+    """A binary column cut into lists of some ``target`` bytes, each of one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + target, "right")))
+        yield column.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
+#: Folders made for this process's applications, by their ids, where none is named.
+_made: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is missing a local
+    The cluster names it in ``spark.checkpoint.dir``, or by ``setCheckpointDir``. Where both are missing a local
     folder serves if driver and executors are one process, as in tests; else it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _made.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        _made[context.applicationId] = folder
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _paths.append(path)
     return path

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_text, media, mixing, quality, sentencepiece_codec, sharding, simhash, token_counts, toxicity
+from . import ann, decontamination, html_text, media, mixing, quality, resampling, sentencepiece_codec, sharding, simhash, token_counts, toxicity
 from .common import read
 
 
@@ -48,7 +48,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), token_counts.model_bytes())
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_media_chunks, op3_space_filling_curves, op4_block_labeller, op5_toxicity, op6_quality, op7_min_cost_flow_resharding, op8_simhash, op9_mixing, op10_token_counts)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_media_chunks, op3_space_filling_curves, op4_block_labeller, op5_toxicity, op6_quality, op7_min_cost_flow_resharding, op8_simhash, op9_mixing, op10_token_counts, op11_decontamination, op12_importance_resampling)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL, "op11_decontamination": decontamination.SQL, "op12_importance_resampling": resampling.SQL}
