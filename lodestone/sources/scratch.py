@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+#: Folders made where none is named, by application.
+_made: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a local one is made only where driver and executors are one process."""
-    named = spark.conf.get(SETTING, None)
+    """The shared folder, named by the setting or by ``setCheckpointDir``; a local one is made only where driver and executors are one process."""
+    context = spark.sparkContext
+    named = spark.conf.get(SETTING, None) or context.getCheckpointDir() or _made.get(context.applicationId)
     if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError(f"set {SETTING} to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set(SETTING, named)
+        named = _made[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return named.rstrip("/")
 
 
