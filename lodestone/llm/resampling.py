@@ -126,6 +126,8 @@ def scored(docs: DataFrame, target: DataFrame, longest: int = LONGEST, buckets:
 def ranked(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_features, weight, score, able) with ``rank``: 1, 2, … for the best ``percent`` of those that are able, else null."""
     order = [F.desc("able"), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features")]
+    # Written, since finding the ranges' ends and dealing rows out both read the scores.
+    rows = written(rows, "scores")
     # The number of a row in its part, which starts at the part's number times 2 to the 33rd.
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = written(placed, "ranked").withColumn("part", F.shiftright("at", 33))
