@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from jobs import queries as jobs
 from lodestone.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,17 +18,20 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+QUERIES, ORACLES = {**registry.QUERIES, **jobs.QUERIES}, {**registry.ORACLES, **jobs.ORACLES}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf, name):
-    df = registry.QUERIES[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     rows = df.collect()
     assert len(df.columns) == len(set(df.columns))
-    if name not in registry.ORACLES:
+    if name not in ORACLES:
         assert rows
         return
-    kinds = {r[0]: r[1] for r in con.execute("DESCRIBE " + registry.ORACLES[name]).fetchall()}
+    kinds = {r[0]: r[1] for r in con.execute("DESCRIBE " + ORACLES[name]).fetchall()}
     assert {c: TYPES[t] for c, t in df.dtypes} == kinds
     cols = sorted(df.columns)
     got = sorted(repr(tuple(r[c] for c in cols)) for r in rows)
-    want = con.execute(f"SELECT {', '.join(cols)} FROM ({registry.ORACLES[name]})").fetchall()
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
     assert got == sorted(map(repr, want))
