@@ -1,20 +1,19 @@
 """Rate limits, quotas and an answer cache over request logs.
 
-Whether a request is let in depends on the decisions before it, so each key's requests are walked in
-order; keys run in parallel. Rows are sorted by Spark and streamed, and a walk holds no more than what its windows or its
-cache hold, so that a key with much of a log takes time in one task, but no memory.
+Whether a request is let in depends on the decisions before it, so logs are walked in order, in slices (see ``walks``):
+neither a key with most of the requests nor a limit or a cache that all share puts a log into one task.
 """
 
 from __future__ import annotations
 
 import math
 from collections import OrderedDict, deque
-from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .walks import Walk, walked
+
 
 class Held:
     """Times of admitted requests within a window."""
@@ -43,77 +42,125 @@ def walk(times: list[float], limit: int, window: float) -> list[tuple[bool, int]
     return out
 
 
-def walked(table: DataFrame, by: str, order: list[str], begin: Callable, step: Callable, schema: str) -> DataFrame:
-    """What ``step(state, row)`` gives for each row, in order within each value of ``by``; ``begin()`` makes a state.
-
-    ``step`` returns values for the columns of ``schema``.
-    """
-    ordered = table.repartition(by).sortWithinPartitions(by, *order)
-    place, names = table.columns.index(by), [c.split()[0] for c in schema.split(", ")]
-    types = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
-
-    def run(batches):
-        state, key = None, object()
-        for batch in batches:
-            rows = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[place] != key:
-                    state, key = begin(), row[place]
-                rows.append(step(state, row))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return ordered.mapInArrow(run, schema)
-
-
-def limited(requests: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
+class Quota:
+    """What a limit for all and one for each key hold; the limit for all is asked first, and a refusal is held against neither."""
+
+    def __init__(self, per_key: int, key_window: float, overall: int, overall_window: float):
+        self.limits = per_key, key_window, overall, overall_window
+        self.all, self.own, self.seen, self.now = Held(overall, overall_window), {}, 0, -math.inf
+
+    def _forget(self) -> None:
+        """Let go of what lies before the windows."""
+        self.all.wait(self.now)
+        for k in [k for k, h in self.own.items() if not (h.wait(self.now) or h.times)]:
+            del self.own[k]
+
+    def charge(self, key: object, t: float) -> tuple[str, int]:
+        self.seen, self.now = self.seen + 1, t
+        if self.seen % 4096 == 0:
+            self._forget()
+        mine = self.own.get(key) or Held(*self.limits[:2])
+        for name, held in (("overall", self.all), ("key", mine)):
+            if wait := held.wait(t):
+                return name, wait
+        self.own[key] = mine
+        mine.add(t)
+        self.all.add(t)
+        return "ok", 0
+
+    def dump(self) -> list:
+        self._forget()
+        return [list(self.all.times), sorted(([k, list(h.times)] for k, h in self.own.items()), key=repr)]
+
+    def load(self, dumped: list) -> Quota:
+        self.all.times = deque(dumped[0])
+        for key, times in dumped[1]:
+            self.own[key] = Held(*self.limits[:2])
+            self.own[key].times = deque(times)
+        return self
+
+
+class Answers:
+    """Names of kept answers, those not asked for longest go first."""
+
+    def __init__(self, size: int):
+        self.size, self.names = size, OrderedDict()
+
+    def get(self, name: str) -> bool:
+        if hit := name in self.names:
+            self.names.move_to_end(name)
+        return hit
+
+    def put(self, name: str) -> None:
+        if self.size > 0:
+            self.names[name] = True
+            self.names.move_to_end(name)
+            if len(self.names) > self.size:
+                self.names.popitem(last=False)
+
+    def load(self, names: list[str]) -> Answers:
+        self.names = OrderedDict.fromkeys(names, True)
+        return self
+
+
+def limited(requests: DataFrame, limit: int, window: float = 60.0, slices: int | None = None) -> DataFrame:
     """(key, event_id, at, admitted, retry_after) for requests (key, event_id, at in seconds); a limit of 0 admits all."""
 
     def step(held: Held, row: tuple) -> tuple:
         key, event, at = row
         wait = held.wait(at) if limit > 0 else 0
-        if not wait:
+        if not wait and limit > 0:
             held.add(at)
         return key, event, at, not wait, wait
 
-    return walked(requests.select("key", "event_id", "at"), "key", ["at", "event_id"], lambda: Held(limit, window), step, "key long, event_id long, at double, admitted boolean, retry_after long")
+    def load(times: list[float]) -> Held:
+        held = Held(limit, window)
+        held.times = deque(times)
+        return held
+
+    walk = Walk(lambda: Held(limit, window), step, lambda held: list(held.times), load)
+    return walked(requests.select("key", "event_id", "at"), "key", ["at", "event_id"], walk, "key long, event_id long, at double, admitted boolean, retry_after long", slices)
+
+
+def charged(requests: DataFrame, per_key: int, key_window: float, overall: int, overall_window: float, slices: int | None = None) -> DataFrame:
+    """(key, event_id, verdict, retry_after) under two quotas at once: overall is asked first, then the key's; a refusal is held against neither."""
+    begin = lambda: Quota(per_key, key_window, overall, overall_window)
+
+    def step(quota: Quota, row: tuple) -> tuple:
+        _, key, event, at = row
+        return key, event, *quota.charge(key, at)
+
+    rows = requests.select(F.lit(0).alias("_one"), "key", "event_id", "at")
+    return walked(rows, "_one", ["at", "event_id"], Walk(begin, step, Quota.dump, lambda x: begin().load(x)), "key long, event_id long, verdict string, retry_after long", slices)
 
 
-def charged(requests: DataFrame, per_key: int, key_window: float, overall: int, overall_window: float) -> DataFrame:
-    """(key, event_id, verdict, retry_after) under two quotas at once: overall is asked first, then the key's; a refusal is held against neither.
+def served(requests: DataFrame, size: int, per_key: int, key_window: float, overall: int, overall_window: float, slices: int | None = None) -> DataFrame:
+    """(event_id, verdict, retry_after) of requests (key, event_id, at, name, passed, refused) that one cache and two quotas decide together.
 
-    The overall count ties every decision to those before it, as far back as the longer window. So the log is
-    parted where a whole stretch of that length had no request, and its parts are walked side by side; a
-    log without a quiet stretch is walked in one task, which no order of work can part.
+    In the order of their times: an answer that is kept under the request's name is a hit (``cache``); what doesn't pass the first gate
+    calls no model (``gate 1``); a call is charged or refused (``overall`` or ``key``); a charged call's answer is a refusal
+    (``gate 2``) or good (``live``), and only then it is kept. So an answer that a quota refused is never there for a later request.
     """
-    longest = float(max(key_window, overall_window))
-    stretch = F.floor(F.col("at") / longest).cast("long")
-    rows = requests.select("key", "event_id", "at").withColumn("stretch", stretch)
-    # One row for each stretch of time with requests; a part begins where the stretch before has none.
-    used = rows.select("stretch").distinct()
-    begins = used.join(used.select((F.col("stretch") + 1).alias("stretch")), "stretch", "left_anti").select(F.col("stretch").alias("part"))
-    starts = used.join(F.broadcast(begins), F.col("part") <= F.col("stretch")).groupBy("stretch").agg(F.max("part").alias("part"))
-
-    def begin() -> tuple:
-        return Held(overall, overall_window), {}, [0]
-
-    def step(state: tuple, row: tuple) -> tuple:
-        all_, own, seen = state
-        key, event, at, _ = row
-        mine = own.setdefault(key, Held(per_key, key_window))
-        seen[0] += 1
-        if seen[0] % 4096 == 0:  # keys that were quiet for a window hold nothing any more
-            for k in [k for k, h in own.items() if k != key and not (h.wait(at) or h.times)]:
-                del own[k]
-        for name, held in (("overall", all_), ("key", mine)):
-            if wait := held.wait(at):
-                return key, event, name, wait
-        mine.add(at)
-        all_.add(at)
-        return key, event, "ok", 0
-
-    parted = rows.join(F.broadcast(starts), "stretch").select("key", "event_id", "at", "part")
-    return walked(parted, "part", ["at", "event_id"], begin, step, "key long, event_id long, verdict string, retry_after long")
+    quota = lambda: Quota(per_key, key_window, overall, overall_window)
+
+    def step(state: tuple[Answers, Quota], row: tuple) -> tuple:
+        cache, left = state
+        _, key, event, at, name, passed, refused = row
+        if cache.get(name):
+            return event, "cache", 0
+        if not passed:
+            return event, "gate 1", 0
+        verdict, wait = left.charge(key, at)
+        if verdict != "ok":
+            return event, verdict, wait
+        if refused:
+            return event, "gate 2", 0
+        cache.put(name)
+        return event, "live", 0
+
+    walk = Walk(lambda: (Answers(size), quota()), step, lambda s: [list(s[0].names), s[1].dump()], lambda x: (Answers(size).load(x[0]), quota().load(x[1])))
+    rows = requests.select(F.lit(0).alias("_one"), "key", "event_id", "at", "name", "passed", "refused")
+    return walked(rows, "_one", ["at", "event_id"], walk, "event_id long, verdict string, retry_after long", slices)
 
 
 def quota_left(charges: DataFrame, per_key: int, window: float) -> DataFrame:
@@ -123,7 +170,7 @@ def quota_left(charges: DataFrame, per_key: int, window: float) -> DataFrame:
     return charges.withColumn("us", micros).select("event_id", F.greatest(F.lit(0), per_key - F.count_if(F.col("verdict") == "ok").over(of)).cast("long").alias("remaining"))
 
 
-def cache_hits(requests: DataFrame, size: int) -> DataFrame:
+def cache_hits(requests: DataFrame, size: int, slices: int | None = None) -> DataFrame:
     """(event_id, hit) for requests (user, event_id, key) in order of event_id within a user's cache of ``size`` answers.
 
     Least recently used answers go first. With a column ``refused``, an answer that is a refusal is not kept; with a column
@@ -133,19 +180,16 @@ def cache_hits(requests: DataFrame, size: int) -> DataFrame:
     version = F.col("generation").cast("long") if "generation" in requests.columns else F.lit(0).cast("long")
     rows = requests.select("user", "event_id", F.col("key").cast("string").alias("key"), refused.alias("refused"), version.alias("generation"))
 
-    def step(cache: OrderedDict, row: tuple) -> tuple:
+    def step(cache: Answers, row: tuple) -> tuple:
         _, event, key, refused, version = row
-        name = (key, version)
-        hit = name in cache
-        if hit:
-            cache.move_to_end(name)
-        elif not refused and size > 0:
-            cache[name] = True
-            if len(cache) > size:
-                cache.popitem(last=False)
+        name = f"{version}:{key}"
+        hit = cache.get(name)
+        if not hit and not refused:
+            cache.put(name)
         return event, hit
 
-    return walked(rows, "user", ["event_id"], OrderedDict, step, "event_id long, hit boolean")
+    walk = Walk(lambda: Answers(size), step, lambda cache: list(cache.names), lambda names: Answers(size).load(names))
+    return walked(rows, "user", ["event_id"], walk, "event_id long, hit boolean", slices)
 
 
 def cache_stats(hits: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..sources import index
+from ..sources.scratch import kept
 from . import admission, answers, evaluation, pages, retrieval
 
 # --- Errors -----------------------------------------------------------------------------------------------------------------
@@ -126,34 +127,26 @@ def unknown_documents(asked: DataFrame, known: DataFrame) -> DataFrame:
     return asked.select("doc").where("doc is not null").distinct().join(known.select("doc").distinct(), "doc", "left_anti")
 
 
-def decided(requests: DataFrame, presets: DataFrame, documents: DataFrame, settings: Settings = Settings(), per_key: int = 15, key_window: float = 3600.0, overall: int = 800, overall_window: float = 86400.0) -> DataFrame:
+def decided(requests: DataFrame, presets: DataFrame, documents: DataFrame, settings: Settings = Settings(), per_key: int = 15, key_window: float = 3600.0, overall: int = 800, overall_window: float = 86400.0, slices: int | None = None) -> DataFrame:
     """(event_id, outcome, status, retry_after) of a log of requests.
 
     ``requests`` has key (the client), event_id, at, question, doc, and what the pipeline would say: passed (the first gate)
-    and refused; ``generation`` of the index counts if it is there. In order: the rate limit, presets, unknown documents,
-    the cache, the first gate, the quota (only calls of the model are charged), then the answer, which is kept unless it is a refusal.
-    The cache is one for all; an answer that the quota refused is not made and so not kept, which is known
-    only from the quota, so that a question it refused counts as a miss and is asked again.
+    and refused; ``generation`` of the index counts if it is there. In order: the rate limit, presets, unknown documents (where
+    there are any documents), the cache, the first gate, the quota (only calls of the model are charged), then the answer, which is kept
+    unless it is a refusal. Cache and quotas are those of all clients and are walked together, in the order of times, since each depends on the other.
     """
-    limited = admission.limited(requests, settings.rate_limit_per_minute, 60.0).select("event_id", "admitted", F.col("retry_after").alias("rate_wait"))
-    rows = preset_matches(requests, presets).join(limited, "event_id")
-    unknown = unknown_documents(requests, documents).withColumn("unknown", F.lit(True))
-    rows = rows.join(unknown, "doc", "left").withColumn("unknown", F.coalesce("unknown", F.lit(False)))
-    open_ = F.col("admitted") & F.col("preset").isNull() & ~F.col("unknown")
-    key = F.concat_ws("\x1f", T.question_key(F.col("question")), F.coalesce("doc", F.lit("\x00")))
-    extra = ["generation"] if "generation" in requests.columns else []
-    asked = rows.where(open_).select(F.lit(0).alias("user"), "event_id", key.alias("key"), (F.col("refused") | ~F.col("passed")).alias("refused"), *extra)
-    rows = rows.join(admission.cache_hits(asked, settings.cache_size), "event_id", "left")
-    live = open_ & ~F.coalesce("hit", F.lit(False)) & F.col("passed")
-    quota = admission.charged(rows.where(live), per_key, key_window, overall, overall_window).select("event_id", "verdict", F.col("retry_after").alias("quota_wait"))
-    rows = rows.join(quota, "event_id", "left")
-    outcome = (
-        F.when(~F.col("admitted"), "rate limit").when(F.col("preset").isNotNull(), "preset").when(F.col("unknown"), "unknown document").when(F.coalesce("hit", F.lit(False)), "cache")
-        .when(~F.col("passed"), "gate 1").when(F.col("verdict") != "ok", "quota").when(F.col("refused"), "gate 2").otherwise("live")
-    )
+    limited = admission.limited(requests, settings.rate_limit_per_minute, 60.0, slices).select("event_id", "admitted", F.col("retry_after").alias("rate_wait"))
+    unknown = unknown_documents(requests, documents).withColumn("unknown", F.lit(not documents.isEmpty()))
+    rows = preset_matches(requests, presets).join(limited, "event_id").join(unknown, "doc", "left").withColumn("unknown", F.coalesce("unknown", F.lit(False)))
+    version = F.col("generation").cast("string") if "generation" in requests.columns else F.lit("")
+    rows = rows.withColumn("name", F.concat_ws("\x1f", T.question_key(F.col("question")), F.coalesce("doc", F.lit("\x00")), version))
+    rows = kept(rows.withColumn("open", F.col("admitted") & F.col("preset").isNull() & ~F.col("unknown")), "requests")
+    walked = admission.served(rows.where("open"), settings.cache_size, per_key, key_window, overall, overall_window, slices).withColumnRenamed("retry_after", "quota_wait")
+    verdict = F.when(F.col("verdict").isin("overall", "key"), "quota").otherwise(F.col("verdict"))
+    outcome = F.when(~F.col("admitted"), "rate limit").when(F.col("preset").isNotNull(), "preset").when(F.col("unknown"), "unknown document").otherwise(verdict)
     bad = F.when(F.col("outcome").isin("rate limit", "unknown document", "quota"), F.col("outcome"))
     wait = F.when(F.col("outcome") == "rate limit", F.col("rate_wait")).when(F.col("outcome") == "quota", F.col("quota_wait"))
-    return rows.withColumn("outcome", outcome).select("event_id", "outcome", F.coalesce(status(bad), F.lit(200)).alias("status"), wait.alias("retry_after"))
+    return rows.join(walked, "event_id", "left").withColumn("outcome", outcome).select("event_id", "outcome", F.coalesce(status(bad), F.lit(200)).alias("status"), wait.alias("retry_after"))
 
 
 # --- Stored answers and results ---------------------------------------------------------------------------------------------

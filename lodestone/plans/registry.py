@@ -535,9 +535,25 @@ def w13(s, d):
     return admission.limited(C.requests(s, d), 3, 6 * 3600.0).select("key", "event_id", "admitted", "retry_after")
 
 
-@query("st2_quota")
+#: One request after the other: what was charged in the last day, with its clients, is the whole state.
+_QUOTA = """
+WITH RECURSIVE q AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1000000 AS t, row_number() OVER (ORDER BY epoch_us(ts) / 1000000, event_id) AS n FROM events),
+w AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS key, NULL::BIGINT AS event_id, []::STRUCT(t DOUBLE, k BIGINT)[] AS held, '' AS verdict, 0::BIGINT AS retry_after
+  UNION ALL
+  SELECT n, key, event_id, CASE WHEN verdict = 'ok' THEN list_append(day, {'t': t, 'k': key}) ELSE day END, verdict,
+    CASE verdict WHEN 'ok' THEN 0 WHEN 'overall' THEN greatest(1, ceil(day[1].t + 86400 - t))::BIGINT ELSE greatest(1, ceil(recent[1].t + 21600 - t))::BIGINT END
+  FROM (
+    SELECT *, CASE WHEN len(day) >= 250 THEN 'overall' WHEN len(recent) >= 2 THEN 'key' ELSE 'ok' END AS verdict FROM (
+      SELECT *, list_filter(day, lambda x: x.k = key AND x.t > t - 21600) AS recent FROM (
+        SELECT q.n, q.key, q.event_id, q.t, list_filter(w.held, lambda x: x.t > q.t - 86400) AS day FROM w JOIN q ON q.n = w.n + 1)))
+)
+SELECT key, event_id, verdict, retry_after FROM w WHERE n > 0"""
+
+
+@query("st2_quota", _QUOTA)
 def st2(s, d):
-    return admission.charged(C.requests(s, d), 15, 3600.0, 800, 86400.0)
+    return admission.charged(C.requests(s, d), 2, 6 * 3600.0, 250, 86400.0)
 
 
 _LRU = "WITH r AS (SELECT user_id AS u, event_id, event_type || ':' || ((floor(coalesce(value, 0))::BIGINT % 7 + 7) % 7) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), b AS (SELECT *, lag(n) OVER (PARTITION BY u, k ORDER BY n) AS p FROM r), h AS (SELECT a.event_id, a.p IS NOT NULL AND (SELECT count(DISTINCT x.k) FROM r x WHERE x.u = a.u AND x.n > a.p AND x.n < a.n) < 8 AS hit FROM b a) "
@@ -560,9 +576,44 @@ def a20(s, d):
     return admission.quota_left(C.requests(s, d).withColumn("verdict", F.when(free, "free").otherwise("ok")), 15, 3600.0)
 
 
-@query("st6_request_order")
+#: What ``corpora.traffic`` makes of the events, the rate limit of each client, and then one request after the other: the state is the cache, the least lately used answer first, and what was charged.
+_ORDER = """
+WITH RECURSIVE e AS (
+  SELECT user_id AS key, event_id, epoch_us(ts) / 1000000 AS t, floor(coalesce(value, 0))::BIGINT AS whole, event_type FROM events
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, event_id) AS n, event_type || ' ' || ((whole % 50 + 50) % 50) AS question,
+    CASE WHEN event_id % 5 = 0 THEN 'd' || ((whole % 3 + 3) % 3) END AS doc, whole % 11 <> 0 AS passed, whole % 7 = 0 AS refused FROM e
+), rate AS (
+  SELECT key, event_id, n, [t] AS held, true AS admitted, 0::BIGINT AS wait FROM r WHERE n = 1
+  UNION ALL
+  SELECT key, event_id, n, CASE WHEN len(k) < 1 THEN list_append(k, t) ELSE k END, len(k) < 1, CASE WHEN len(k) < 1 THEN 0 ELSE greatest(1, ceil(k[1] + 60 - t))::BIGINT END
+  FROM (SELECT r.key, r.event_id, r.t, r.n, list_filter(rate.held, lambda x: x > r.t - 60) AS k FROM rate JOIN r ON r.key = rate.key AND r.n = rate.n + 1)
+), told AS (
+  SELECT r.*, CASE WHEN NOT admitted THEN 'rate limit' WHEN doc IS NULL AND (whole % 50 + 50) % 50 = 4 THEN 'preset' WHEN doc = 'd2' THEN 'unknown document' END AS first, rate.wait AS rate_wait FROM r JOIN rate USING (event_id)
+), q AS MATERIALIZED (
+  SELECT *, question || chr(31) || coalesce(doc, '-') AS name, row_number() OVER (ORDER BY t, event_id) AS m FROM told WHERE first IS NULL
+), w AS (
+  SELECT 0::BIGINT AS m, NULL::BIGINT AS event_id, []::VARCHAR[] AS cache, []::STRUCT(t DOUBLE, k BIGINT)[] AS held, '' AS verdict, 0::BIGINT AS wait
+  UNION ALL
+  SELECT m, event_id,
+    CASE verdict WHEN 'cache' THEN list_append(list_filter(cache, lambda x: x <> name), name) WHEN 'live' THEN list_slice(list_append(cache, name), greatest(1, len(cache) - 62), len(cache) + 1) ELSE cache END,
+    CASE WHEN verdict IN ('live', 'gate 2') THEN list_append(day, {'t': t, 'k': key}) ELSE day END, verdict,
+    CASE verdict WHEN 'overall' THEN greatest(1, ceil(day[1].t + 86400 - t))::BIGINT WHEN 'key' THEN greatest(1, ceil(recent[1].t + 21600 - t))::BIGINT END
+  FROM (
+    SELECT *, CASE WHEN list_contains(cache, name) THEN 'cache' WHEN NOT passed THEN 'gate 1' WHEN len(day) >= 100 THEN 'overall' WHEN len(recent) >= 2 THEN 'key' WHEN refused THEN 'gate 2' ELSE 'live' END AS verdict FROM (
+      SELECT *, list_filter(day, lambda x: x.k = key AND x.t > t - 21600) AS recent FROM (
+        SELECT q.m, q.event_id, q.key, q.t, q.name, q.passed, q.refused, w.cache, list_filter(w.held, lambda x: x.t > q.t - 86400) AS day FROM w JOIN q ON q.m = w.m + 1)))
+)
+SELECT event_id, CASE WHEN first IS NOT NULL THEN first WHEN verdict IN ('overall', 'key') THEN 'quota' ELSE verdict END AS outcome,
+  (CASE WHEN first = 'rate limit' OR verdict IN ('overall', 'key') THEN 429 WHEN first = 'unknown document' THEN 404 ELSE 200 END)::INTEGER AS status,
+  CASE WHEN first = 'rate limit' THEN rate_wait WHEN first IS NULL AND verdict IN ('overall', 'key') THEN w.wait END AS retry_after
+FROM told LEFT JOIN w USING (event_id)"""
+
+
+@query("st6_request_order", _ORDER)
 def st6(s, d):
-    return serving.decided(*C.traffic(s, d))
+    """Limits so narrow that every outcome occurs."""
+    return serving.decided(*C.traffic(s, d), Settings(rate_limit_per_minute=1, cache_size=64), 2, 6 * 3600.0, 100, 86400.0)
 
 
 # --- Web pages and dialogue -------------------------------------------------------------------------------------------------

@@ -26,8 +26,13 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once, so that what follows reads it and a lost executor costs no more than a part of one step."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

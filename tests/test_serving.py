@@ -15,7 +15,7 @@ from lodestone.sources import pages as sources
 
 
 def outcomes(rows, presets, known, s, per_key, key_window, overall, overall_window):
-    """The order of decisions for one request after the other."""
+    """One request after the other: rate limit, presets, documents, cache, first gate, quota, answer, and only then the cache is filled."""
     rate, cache, own, all_, out = {}, OrderedDict(), {}, deque(), {}
 
     def fresh(times, t, w):
@@ -23,76 +23,154 @@ def outcomes(rows, presets, known, s, per_key, key_window, overall, overall_wind
             times.popleft()
         return times
 
-    admitted = {}
     for r in sorted(rows, key=lambda r: (r["at"], r["event_id"])):
-        times = fresh(rate.setdefault(r["key"], deque()), r["at"], 60.0)
-        admitted[r["event_id"]] = len(times) < s.rate_limit_per_minute
-        if admitted[r["event_id"]]:
-            times.append(r["at"])
-    live = []
-    for r in sorted(rows, key=lambda r: r["event_id"]):
-        q = " ".join(r["question"].lower().split())
-        if not admitted[r["event_id"]]:
-            out[r["event_id"]] = "rate limit"
-        elif r["doc"] is None and q in presets:
-            out[r["event_id"]] = "preset"
-        elif r["doc"] is not None and r["doc"] not in known:
-            out[r["event_id"]] = "unknown document"
+        q, t = " ".join(r["question"].lower().split()), r["at"]
+        times = fresh(rate.setdefault(r["key"], deque()), t, 60.0)
+        if len(times) >= s.rate_limit_per_minute:
+            out[r["event_id"]] = ("rate limit", max(1, math.ceil(times[0] + 60 - t)))
+            continue
+        times.append(t)
+        if r["doc"] is None and q in presets:
+            out[r["event_id"]] = ("preset", None)
+        elif known and r["doc"] is not None and r["doc"] not in known:
+            out[r["event_id"]] = ("unknown document", None)
         elif (q, r["doc"]) in cache:
             cache.move_to_end((q, r["doc"]))
-            out[r["event_id"]] = "cache"
+            out[r["event_id"]] = ("cache", None)
         elif not r["passed"]:
-            out[r["event_id"]] = "gate 1"
+            out[r["event_id"]] = ("gate 1", None)
         else:
-            if not r["refused"]:
-                cache[q, r["doc"]] = True
-                while len(cache) > s.cache_size:
-                    cache.popitem(last=False)
-            live.append(r)
-    for r in sorted(live, key=lambda r: (r["at"], r["event_id"])):
-        mine = fresh(own.setdefault(r["key"], deque()), r["at"], key_window)
-        if len(fresh(all_, r["at"], overall_window)) >= overall or len(mine) >= per_key:
-            out[r["event_id"]] = "quota"
-            continue
-        mine.append(r["at"])
-        all_.append(r["at"])
-        out[r["event_id"]] = "gate 2" if r["refused"] else "live"
+            mine = fresh(own.setdefault(r["key"], deque()), t, key_window)
+            if len(fresh(all_, t, overall_window)) >= overall:
+                out[r["event_id"]] = ("quota", max(1, math.ceil(all_[0] + overall_window - t)))
+            elif len(mine) >= per_key:
+                out[r["event_id"]] = ("quota", max(1, math.ceil(mine[0] + key_window - t)))
+            else:
+                mine.append(t)
+                all_.append(t)
+                out[r["event_id"]] = ("gate 2" if r["refused"] else "live", None)
+                if not r["refused"] and s.cache_size:
+                    cache[q, r["doc"]] = True
+                    while len(cache) > s.cache_size:
+                        cache.popitem(last=False)
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_order_of_decisions(spark, seed):
+SCHEMA = "key long, event_id long, at double, question string, doc string, passed boolean, refused boolean"
+
+
+def decided(spark, rows, known, *limits, slices=None):
+    frame = spark.createDataFrame(pd.DataFrame(rows).astype({"doc": object}).to_dict("records"), SCHEMA)
+    presets, documents = spark.createDataFrame([("p", "a q1")], "preset string, question string"), spark.createDataFrame([(k,) for k in known], "doc string")
+    return {r["event_id"]: r for r in serving.decided(frame, presets, documents, *limits, slices=slices).collect()}
+
+
+@pytest.mark.parametrize("seed,slices,known,cache", [(0, 1, {"d0"}, 5), (1, 7, {"d0"}, 5), (2, 7, set(), 3), (3, 20, {"d0"}, 0)])
+def test_order_of_decisions(spark, seed, slices, known, cache):
     rng = random.Random(seed)
-    rows = [{"key": rng.randrange(4), "event_id": i, "at": i * 3.0 + rng.random(), "question": f"{rng.choice('AaB')}  q{rng.randrange(12)}", "doc": rng.choice([None, None, "d0", "x"]), "passed": rng.random() < 0.8, "refused": rng.random() < 0.3} for i in range(300)]
-    s = Settings(rate_limit_per_minute=4, cache_size=5)
-    schema = "key long, event_id long, at double, question string, doc string, passed boolean, refused boolean"
-    presets = spark.createDataFrame([("p", "a q1")], "preset string, question string")
-    got = serving.decided(spark.createDataFrame(pd.DataFrame(rows).astype({"doc": object}).to_dict("records"), schema), presets, spark.createDataFrame([("d0",)], "doc string"), s, 3, 60.0, 6, 100.0).collect()
-    assert {r["event_id"]: r["outcome"] for r in got} == outcomes(rows, {"a q1"}, {"d0"}, s, 3, 60.0, 6, 100.0)
-    assert all(r["status"] == {"rate limit": 429, "quota": 429, "unknown document": 404}.get(r["outcome"], 200) and (r["retry_after"] is not None) == (r["status"] == 429) for r in got)
+    # Identifiers are dealt at random, so that their order is not that of the times.
+    ids = rng.sample(range(1000), 300)
+    rows = [{"key": rng.randrange(4), "event_id": i, "at": n * 3.0 + rng.random(), "question": f"{rng.choice('AaB')}  q{rng.randrange(12)}", "doc": rng.choice([None, None, "d0", "x"]), "passed": rng.random() < 0.8, "refused": rng.random() < 0.3} for n, i in enumerate(ids)]
+    s = Settings(rate_limit_per_minute=4, cache_size=cache)
+    got = decided(spark, rows, known, s, 3, 60.0, 6, 100.0, slices=slices)
+    assert {i: (r["outcome"], r["retry_after"]) for i, r in got.items()} == outcomes(rows, {"a q1"}, known, s, 3, 60.0, 6, 100.0)
+    assert all(r["status"] == {"rate limit": 429, "quota": 429, "unknown document": 404}.get(r["outcome"], 200) and (r["retry_after"] is not None) == (r["status"] == 429) for r in got.values())
 
 
-@pytest.mark.parametrize("gap", [0.0, 500.0])
-def test_quota_is_parted_at_quiet_stretches(spark, gap):
-    rng = random.Random(3)
-    rows, t = [], 0.0
-    for i in range(400):
-        t += rng.random() * 4 + (gap if i % 50 == 0 else 0)
-        rows.append((rng.randrange(3), i, t))
-    got = {r["event_id"]: (r["verdict"], r["retry_after"]) for r in admission.charged(spark.createDataFrame(rows, "key long, event_id long, at double"), 4, 30.0, 9, 60.0).collect()}
-    own, all_ = {}, deque()
-    for k, i, t in rows:
-        for times, w in ((all_, 60.0), (own.setdefault(k, deque()), 30.0)):
+def test_a_refused_question_is_not_kept(spark):
+    rows = [{"key": 1, "event_id": n, "at": float(n), "question": q, "doc": None, "passed": True, "refused": False} for n, q in enumerate("abbba")]
+    got = decided(spark, rows, {"d0"}, Settings(), 1, 3600.0, 800, 86400.0)
+    assert [got[n]["outcome"] for n in range(5)] == ["live", "quota", "quota", "quota", "cache"]
+
+
+def walk(rows, per_key, key_window, overall, overall_window):
+    own, all_, out = {}, deque(), {}
+    for k, i, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        for times, w in ((all_, overall_window), (own.setdefault(k, deque()), key_window)):
             while times and times[0] <= t - w:
                 times.popleft()
-        if len(all_) >= 9:
-            assert got[i] == ("overall", max(1, math.ceil(all_[0] + 60 - t)))
-        elif len(own[k]) >= 4:
-            assert got[i] == ("key", max(1, math.ceil(own[k][0] + 30 - t)))
+        if len(all_) >= overall:
+            out[i] = ("overall", max(1, math.ceil(all_[0] + overall_window - t)))
+        elif len(own[k]) >= per_key:
+            out[i] = ("key", max(1, math.ceil(own[k][0] + key_window - t) if own[k] else math.ceil(key_window)))
         else:
-            assert got[i] == ("ok", 0)
+            out[i] = ("ok", 0)
             own[k].append(t)
             all_.append(t)
+    return out
+
+
+@pytest.mark.parametrize("limits", [(4, 30.0, 9, 60.0), (4, 30.0, 900, 60.0), (1, 400.0, 2, 500.0), (0, 30.0, 9, 60.0)])
+def test_quota_of_a_busy_log_is_walked_in_slices(spark, limits):
+    # No quiet stretch anywhere, and limits that are met all the time, at times, or for longer than a slice.
+    rng = random.Random(3)
+    rows, t = [], 0.0
+    for i in range(600):
+        t += rng.random() * 4
+        rows.append((rng.choice([0, 0, 0, 1, 2, None]), 600 - i, t))
+    frame = spark.createDataFrame(rows, "key long, event_id long, at double")
+    want = walk(rows, *limits)
+    for slices in (1, 12):
+        got = {r["event_id"]: (r["verdict"], r["retry_after"]) for r in admission.charged(frame, *limits, slices=slices).collect()}
+        assert got == want
+
+
+def test_no_task_holds_a_hot_key(spark):
+    # One key with nearly all requests, refused most of the time: its rows are walked in many slices, each by itself, and not all of them in every round.
+    from lodestone.operators import walks
+
+    rng = random.Random(4)
+    rows, t = [], 0.0
+    for i in range(4000):
+        t += rng.random() * 4
+        rows.append((7 if rng.random() < 0.95 else i, i, t))
+    frame = spark.createDataFrame(rows, "key long, event_id long, at double").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def step(held, row):
+        seen.add(1)
+        wait = held.wait(row[2])
+        if not wait:
+            held.add(row[2])
+        return row[1], not wait
+
+    def load(times):
+        held = admission.Held(6, 40.0)
+        held.times = deque(times)
+        return held
+
+    table = walks.walked(frame, "key", ["at", "event_id"], walks.Walk(lambda: admission.Held(6, 40.0), step, lambda h: list(h.times), load), "event_id long, admitted boolean", 40)
+    got = {r["event_id"]: r["admitted"] for r in table.collect()}
+    by = {}
+    for k, i, t in rows:
+        by.setdefault(k, []).append((t, i))
+    want = {i: a for own in by.values() for (t, i), (a, _) in zip(sorted(own), admission.walk([t for t, _ in sorted(own)], 6, 40.0), strict=True)}
+    assert got == want and 4000 < seen.value < 40 * 4000 / 2
+    assert {r["event_id"]: r["admitted"] for r in admission.limited(frame, 6, 40.0, slices=40).collect()} == want
+
+
+@pytest.mark.parametrize("size", [0, 3, 50])
+def test_one_cache_for_all_in_slices(spark, size):
+    rng = random.Random(size)
+    rows = [(rng.choice([1, 1, 1, None, 2]), i, f"k{rng.randrange(5) if rng.random() < 0.6 else rng.randrange(60)}", rng.random() < 0.2, i // 400) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "user long, event_id long, key string, refused boolean, generation long")
+    caches, want = {}, {}
+    for u, i, k, refused, g in rows:
+        cache = caches.setdefault(u, OrderedDict())
+        want[i] = (g, k) in cache
+        if want[i]:
+            cache.move_to_end((g, k))
+        elif not refused and size:
+            cache[g, k] = True
+            if len(cache) > size:
+                cache.popitem(last=False)
+    assert {r["event_id"]: r["hit"] for r in admission.cache_hits(frame, size, slices=25).collect()} == want
+
+
+def test_walks_of_empty_logs(spark):
+    none = spark.createDataFrame([], "key long, event_id long, at double")
+    assert admission.charged(none, 1, 1.0, 1, 1.0).count() == 0 and admission.limited(none, 3, slices=5).count() == 0
+    assert admission.limited(spark.createDataFrame([(1, 1, 0.0)] * 3, none.schema), 0).where("admitted").count() == 3
 
 
 def test_refusals_and_old_answers_are_not_kept(spark):
