@@ -58,9 +58,11 @@ FROM dated CROSS JOIN (SELECT 1 AS part UNION ALL SELECT 2 AS part) parts
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two pages for each filing; the second names the statement kind and period."""
-    for name in ("orders", "customer", "nation", "region"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(FILING_PAGES).withColumn("source", F.lit("text-layer"))
+    names = ("orders", "customer", "nation", "region")
+    sql = FILING_PAGES
+    for name in names:  # the tables are given as frames, so that no view of the session is touched
+        sql = sql.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names}).withColumn("source", F.lit("text-layer"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +77,6 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 def traffic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests with what the pipeline would say of them, presets and known documents, for ``serving.decided``; made from the events."""
     e = table(spark, sf_dir, "events")

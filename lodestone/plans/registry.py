@@ -652,60 +652,77 @@ def j11(s, d):
     return serving.unknown_documents(docs.select(F.col("lang").alias("doc")), docs.select(F.col("source").alias("doc")))
 
 
-# --- Small fixtures ---------------------------------------------------------------------------------------------------------
-
-_PERIODS = [
-    ("orders by March 31, 2026, in all", "20260331"), ("returns FY2026", "20260331"), ("returns FY 26", "20260331"), ("Q4 FY26 returns", "20260331"),
-    ("on 30 September 2025", "20250930"), ("Q2 FY2026", "20250930"), ("July-September 2025", "20250930"), ("Sept 30th, 2025", "20250930"),
-    ("December 2025", "20251231"), ("at 31.12.2025", "20251231"), ("Q3 FY2026", "20251231"), ("financial year 2025", "20250331"), ("Q1 of FY2026", "20250630"),
-    ("Q2, Q3, and Q4 of FY2026", "20250930,20251231,20260331"), ("Q1 & Q2 FY26", "20250630,20250930"), ("March 31, 2026 and December 31, 2025", "20251231,20260331"),
-    ("which orders came late", ""), ("what may follow", ""), ("opened in 1994", ""),
+# --- Rules over phrases and states made from the tables' own values ---------------------------------------------------------
+
+_MONTH = "CASE m " + " ".join(f"WHEN {i + 1} THEN '{n.capitalize()}'" for i, n in enumerate(P.MONTHS)) + " END"
+#: Ways to name a period of an order's date, with the keys that each names, in order; portable SQL.
+_NAMED = [
+    ("'orders by ' || mon || ' ' || d || ', ' || y || ', in all'", "ymd"), ("'returns FY' || fy", "fy || '0331'"), ("'returns FY ' || yy", "'20' || yy || '0331'"), ("'Q' || fq || ' FY' || fy || ' returns'", "qend"),
+    ("'on ' || d || ' ' || mon || ' ' || y", "ymd"), ("substr(mon, 1, 3) || ' ' || d || 'th, ' || y", "ymd"), ("'orders of ' || mon || ' ' || y", "y || mm || month_end"), ("'at ' || dd || '.' || mm || '.' || y", "ymd"),
+    ("'financial year ' || y", "y || '0331'"), ("'Q1 of FY' || fy", "before || '0630'"), ("'Q2, Q3, and Q4 of FY' || fy", "before || '0930,' || before || '1231,' || fy || '0331'"), ("'Q1 & Q3 FY' || fy", "before || '0630,' || before || '1231'"),
+    ("'from ' || mon || ' ' || d || ', ' || y || ' to 31.12.' || y", "CASE WHEN ymd = y || '1231' THEN ymd ELSE ymd || ',' || y || '1231' END"), ("'July-September ' || y", "y || '0930'"), ("'which orders came late'", "''"), ("'what ' || lower(mon) || ' follow, opened in ' || y", "''"),
 ]
+_ASKED_SQL = f"""
+WITH parts AS (
+  SELECT o_orderkey, year(o_orderdate) AS yi, month(o_orderdate) AS m, day(o_orderdate) AS di, day(last_day(o_orderdate)) AS ei, CASE WHEN month(o_orderdate) <= 3 THEN year(o_orderdate) ELSE year(o_orderdate) + 1 END AS fi FROM {{orders}}
+), words AS (
+  SELECT o_orderkey, {_MONTH} AS mon, cast(yi AS string) AS y, cast(di AS string) AS d, lpad(cast(di AS string), 2, '0') AS dd, lpad(cast(m AS string), 2, '0') AS mm, lpad(cast(ei AS string), 2, '0') AS month_end, cast(fi AS string) AS fy, cast(fi - 1 AS string) AS before,
+    lpad(cast(fi % 100 AS string), 2, '0') AS yy, CASE WHEN m <= 3 THEN '4' WHEN m <= 6 THEN '1' WHEN m <= 9 THEN '2' ELSE '3' END AS fq,
+    CASE WHEN m <= 3 THEN cast(fi AS string) || '0331' WHEN m <= 6 THEN cast(fi - 1 AS string) || '0630' WHEN m <= 9 THEN cast(fi - 1 AS string) || '0930' ELSE cast(fi - 1 AS string) || '1231' END AS qend,
+    cast(yi AS string) || lpad(cast(m AS string), 2, '0') || lpad(cast(di AS string), 2, '0') AS ymd FROM parts
+)
+SELECT o_orderkey, CASE o_orderkey % {len(_NAMED)} {' '.join(f'WHEN {i} THEN {q}' for i, (q, _) in enumerate(_NAMED))} END AS question, CASE o_orderkey % {len(_NAMED)} {' '.join(f'WHEN {i} THEN {k}' for i, (_, k) in enumerate(_NAMED))} END AS keys FROM words
+"""
 
 
-@query("d2_query_periods", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{k}')" for q, k in _PERIODS) + ") t(question, keys)")
+@query("d2_query_periods", _ASKED_SQL.format(orders="orders"))
 def d2(s, d):
-    q = s.createDataFrame([(q,) for q, _ in _PERIODS], "question string")
-    return q.select("question", F.array_join(P.query_periods(F.col("question"))["periods"].cast("array<string>"), ",").alias("keys"))
+    q = s.sql(_ASKED_SQL, orders=C.table(s, d, "orders")).select("o_orderkey", "question")
+    return q.withColumn("keys", F.array_join(P.query_periods(F.col("question"))["periods"].cast("array<string>"), ","))
 
 
-_KINDS = [("the consolidated profit", "consolidated"), ("Group profit", "consolidated"), ("standalone ratio", "standalone"), ("standalone and consolidated", None), ("profit", None)]
+_KINDS = ["consolidated", "Group", "standalone", "groups", "", "STANDALONE"]
+_KIND_WORD = "CASE {} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_KINDS)) + " END"
+_KIND_TEXT = f"substr(text, 1, 40) || ' ' || {_KIND_WORD.format('conv_id % 6')} || ' ' || {_KIND_WORD.format('turn % 6')}"
 
 
-@query("p15_statement", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', {'NULL' if k is None else repr(k)})" for q, k in _KINDS) + ") t(question, kind)")
+@query("p15_statement", rf"SELECT conv_id, turn, CASE WHEN both_ AND NOT own THEN 'consolidated' WHEN own AND NOT both_ THEN 'standalone' END AS kind FROM (SELECT conv_id, turn, regexp_matches(q, '\b(consolidated|group)\b') AS both_, regexp_matches(q, '\bstandalone\b') AS own FROM (SELECT conv_id, turn, lower({_KIND_TEXT}) AS q FROM conversations))")
 def p15(s, d):
-    return s.createDataFrame([(q,) for q, _ in _KINDS], "question string").select("question", T.statement_named(F.col("question")).alias("kind"))
+    """Words that name a statement kind, or nearly do, after what was said."""
+    return C.table(s, d, "conversations").select("conv_id", "turn", T.statement_named(F.expr(_KIND_TEXT)).alias("kind"))
 
 
-_RAW = [
-    ('{"not_covered": false, "answer": "7", "used_passages": [1, 3]}', True, False, "1,3"), ('Sure: {"answer": "x", "used_passages": "2"} done', True, False, ""), ('{"not_covered": "true", "answer": ""}', True, True, ""),
-    ('{"not_covered": "false", "answer": "x", "used_passages": 2}', True, False, "2"), ('{"not_covered": 1, "used_passages": [1, "2", true, 1.5, null]}', True, False, "1,2"), ("[1]", False, False, ""), ('"text"', False, False, ""), ("7", False, False, ""),
-    ("null", False, False, ""), ("true", False, False, ""), ("", False, False, ""), ('{"answer": ', False, False, ""), ('{"not_covered": true, "used_passages": {"a": 1}}', True, True, ""),
+#: What a model may say, from good to broken: text, whether it is an object, whether it says that nothing is covered, and the passages in it.
+_SAID = [
+    ("""'{"not_covered": false, "answer": "' || h || '", "used_passages": [1, ' || turn || ']}'""", True, False, "[1, turn]"), ("""'Sure: {"answer": "' || h || '", "used_passages": "' || turn || '"} done'""", True, False, "[]"),
+    ("""'{"not_covered": "true", "answer": ""}'""", True, True, "[]"), ("""'{"not_covered": "false", "used_passages": ' || turn || '}'""", True, False, "[turn]"), ("""'{"not_covered": 1, "used_passages": [2, "' || conv_id || '", true, 1.5, null]}'""", True, False, "[2, conv_id]"),
+    ("'[1, ' || turn || ']'", False, False, "[]"), ("""'"' || h || '"'""", False, False, "[]"), ("'' || turn", False, False, "[]"), ("""'{"answer": "' || h""", False, False, "[]"), ("""'{"not_covered": true, "used_passages": {"a": ' || turn || '}}'""", True, True, "[]"), ("''", False, False, "[]"),
 ]
+_SAID_CASE = lambda values: f"CASE (conv_id * 3 + turn) % {len(_SAID)} {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(values))} END"
 
 
-@query("m7_m9_llm_json", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {ok}, {no}, '{u}')" for r, ok, no, u in _RAW) + ") t(raw, is_object, not_covered, used)")
+@query("m7_m9_llm_json", f"SELECT conv_id, turn, {_SAID_CASE(str(x[1]).lower() for x in _SAID)} AS is_object, {_SAID_CASE(str(x[2]).lower() for x in _SAID)} AS not_covered, array_to_string(list_sort(list_distinct({_SAID_CASE(x[3] + '::BIGINT[]' for x in _SAID)})), ',') AS used FROM conversations")
 def m7(s, d):
-    v = s.createDataFrame([(r[0],) for r in _RAW], "raw string").withColumn("v", answers.parsed(F.col("raw")))
-    return v.select("raw", F.col("v").isNotNull().alias("is_object"), answers.flag(F.col("v"), "not_covered").alias("not_covered"), F.array_join(answers.used_passages(F.col("v")).cast("array<string>"), ",").alias("used"))
-
-
-_OUTCOMES = [(False, None, True, 0.2, "gate 1"), (False, None, True, 0.6, "gate 2"), (True, None, False, 0.6, "cache"), (False, "p1", False, 0.6, "preset"), (False, None, False, 0.6, "live")]
+    said = C.table(s, d, "conversations").withColumn("h", F.md5("text")).withColumn("v", answers.parsed(F.expr(_SAID_CASE(x[0] for x in _SAID))))
+    return said.select("conv_id", "turn", F.col("v").isNotNull().alias("is_object"), answers.flag(F.col("v"), "not_covered").alias("not_covered"), F.array_join(answers.used_passages(F.col("v")).cast("array<string>"), ",").alias("used"))
 
 
-@query("p19_outcome", "SELECT * FROM (VALUES " + ", ".join(f"({c}, {'NULL' if p is None else repr(p)}, {r}, {b}::DOUBLE, '{o}')" for c, p, r, b, o in _OUTCOMES) + ") t(cached, preset, refused, best, outcome)")
+@query("p19_outcome", "SELECT event_id, CASE WHEN event_type = 'signup' THEN 'preset' WHEN event_id % 4 = 0 THEN 'cache' WHEN event_id % 3 = 0 AND (event_id % 100) < 30 THEN 'gate 1' WHEN event_id % 3 = 0 THEN 'gate 2' ELSE 'live' END AS outcome FROM events")
 def p19(s, d):
-    o = s.createDataFrame([x[:4] for x in _OUTCOMES], "cached boolean, preset string, refused boolean, best double")
-    return o.withColumn("outcome", answers.outcome(F.col("cached"), F.col("preset"), F.col("refused"), F.col("best"), F.lit(0.3)))
+    """Requests of the log with what was known of each, from its number and kind."""
+    i = F.col("event_id")
+    preset = F.when(F.col("event_type") == "signup", F.concat(F.lit("p"), F.col("user_id").cast("string")))
+    return C.table(s, d, "events").select("event_id", answers.outcome(i % 4 == 0, preset, i % 3 == 0, (i % 100) / 100, F.lit(0.3)).alias("outcome"))
 
 
 _STATUS = {"rate limit": 429, "quota": 429, "no key": 503, "no index": 503, "unavailable": 502, "rejected": 502, "bad model": 503, "unknown document": 404, "bad request": 422, "something else": 502}
+_FAILED = lambda values: f"CASE event_id % {len(_STATUS) + 1} {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(values))} END"
 
 
-@query("m12_status", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _STATUS.items()) + ") t(error, status)")
+@query("m12_status", f"SELECT event_id, {_FAILED(_STATUS.values())} AS status FROM events")
 def m12(s, d):
-    e = s.createDataFrame([(k,) for k in _STATUS], "error string")
-    return e.select("error", serving.status(F.col("error")).alias("status"))
+    """Requests of the log that failed in some way, or in none."""
+    return C.table(s, d, "events").select("event_id", serving.status(F.expr(_FAILED(repr(k) for k in _STATUS))).alias("status"))
 
 
 @query("a12_verdicts", "SELECT count_if(quality = 1 AND toxic = 0)::BIGINT AS pass, count_if(quality = 0)::BIGINT AS wrong, count_if(quality = 1 AND toxic = 1)::BIGINT AS fail FROM labels")

@@ -266,3 +266,14 @@ def test_evaluation(spark):
     j = evaluation.judged(needles, evaluation.needle_hits(found, needles))
     assert {r["qid"]: (r["any_hit"], r["all_hit"], r["first_rank"]) for r in j.collect()} == {1: (True, False, 1), 2: (False, False, None)}
     assert evaluation.recall(j).first()["recall"] == 0.5
+
+
+def test_phrases_that_name_a_period(spark):
+    # What each of these names.
+    phrases = {
+        "orders by March 31, 2026, in all": [20260331], "returns FY2026": [20260331], "returns FY 26": [20260331], "Q4 FY26 returns": [20260331], "on 30 September 2025": [20250930], "Q2 FY2026": [20250930],
+        "July-September 2025": [20250930], "Sept 30th, 2025": [20250930], "December 2025": [20251231], "at 31.12.2025": [20251231], "financial year 2025": [20250331], "Q1 of FY2026": [20250630],
+        "Q2, Q3, and Q4 of FY2026": [20250930, 20251231, 20260331], "March 31, 2026 and December 31, 2025": [20251231, 20260331], "which orders came late": [], "what may follow": [], "opened in 1994": [],
+    }
+    got = spark.createDataFrame([(q,) for q in phrases], "q string").select("q", P.query_periods(F.col("q"))["periods"].alias("k")).collect()
+    assert {r["q"]: r["k"] for r in got} == phrases
