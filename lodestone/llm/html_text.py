@@ -27,6 +27,7 @@ import html
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,12 +37,15 @@ from pyspark.sql import functions as F
 
 from .common import grouped, small_batches
 
-TAGS, WORDS, EXTRA = 256, 8, 9
+TAGS, WORDS, EXTRA = 512, 8, 9
 WIDTH = TAGS + WORDS + EXTRA
 BUCKETS = 1 << 16  # of hashed words, each with a learned vector
 HIDDEN = 16
-#: Comments, then elements whose content is no text, then any tag.
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|title)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+BEGIN = re.compile(r"<(?:(/?)([a-zA-Z][\w:-]*)|[!?])")
+#: The rest of a tag, in which a mark within quotes ends nothing.
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+#: Elements whose content is no text, and where such content ends.
+RAW = {name: re.compile(rf"</{name}\s*>|(?=<body\b)", re.I) for name in ("script", "style", "noscript", "template", "svg", "head", "title")}
 NAMED = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 EDGES = ".,;:!?…'\"()[]{}<>|*#%&$-–—«»„“”"
@@ -59,9 +63,57 @@ def places(label: str) -> tuple[int, ...]:
     return tuple(zlib.crc32((part if i == 0 else f".{part}").encode()) % TAGS for i, part in enumerate(parts))
 
 
-def inner(label: str) -> list[int]:
+@lru_cache(maxsize=20_000)
+def inner(label: str) -> tuple[int, ...]:
     """Places that the innermost element counts in as well."""
-    return [zlib.crc32(f"^{x}".encode()) % TAGS for x in places(label)]
+    return tuple(zlib.crc32(f"^{x}".encode()) % TAGS for x in places(label))
+
+
+@lru_cache(maxsize=20_000)
+def nearest(label: str) -> tuple[int, ...]:
+    """Places of the nearest names: of their words, and of each one's last word by itself, since "post-comments" is no post."""
+    out = []
+    for name in label.split()[1:]:
+        words = re.findall(r"[a-z0-9]+", name)
+        out += [*words[:-1], *(f"{w}$" for w in words[-1:])]
+    return tuple(zlib.crc32(f"@{x}".encode()) % TAGS for x in dict.fromkeys(out))
+
+
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Begin and end of all that is no text, and of tags: "/" if it closes, the name in lower case, and the attributes.
+
+    Every character is read a bounded number of times, whatever is left unclosed: what opens after the last ">" opens nothing, and
+    after one tag whose quotes never close, quotes count no more.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (i := page.find("<", at)) >= 0:
+        at = i + 1
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            at = len(page) if j < 0 else j + 3
+            yield i, at, "", "", ""
+            continue
+        if i > last:
+            at = page.find("<!--", at)
+            if at < 0:
+                return
+            continue
+        m = BEGIN.match(page, i)
+        if not m:
+            continue
+        name = (m[2] or "").lower()
+        raw = next((r for r in RAW if name == r or name.startswith((f"{r}-", f"{r}:"))), "") if not m[1] else ""
+        if raw or not name:
+            at = page.find(">", i) + 1
+            if raw:
+                end = RAW[raw].search(page, at)
+                at = end.end() if end else len(page)
+            yield i, at, "", "", ""
+            continue
+        rest = REST.match(page, m.end()) if quotes else None
+        quotes = rest is not None
+        at = rest.end() if rest else page.find(">", m.end()) + 1
+        yield i, at, m[1], name, page[m.end() : at - 1]
 
 
 class Block:
@@ -77,6 +129,7 @@ def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
     path: list[tuple[str, str]] = []
+    named: list[str] = []  # labels of the open elements that have a name
     open_: Counter = Counter()
     tags = np.zeros(TAGS, np.int32)  # how many open elements fall in each place
     text: list[str] = []
@@ -89,7 +142,7 @@ def blocks(page: str) -> list[Block]:
             if t:
                 v = np.minimum(tags, 2).astype(np.float32)
                 last = next((label for _, label in reversed(path[-2:]) if label), "")
-                for k in inner(last):
+                for k in (*inner(last), *(nearest(named[-1]) if named else ())):
                     v[k] = min(2.0, v[k] + 1)
                 out.append(Block(t, links, v, len(path)))
             text.clear()
@@ -98,30 +151,33 @@ def blocks(page: str) -> list[Block]:
     def push(tag: str, label: str) -> None:
         path.append((tag, label))
         open_[tag] += 1
+        if " " in label:
+            named.append(label)
         for k in places(label):
             tags[k] += 1
 
     def pop() -> str:
         tag, label = path.pop()
         open_[tag] -= 1
+        if " " in label:
+            named.pop()
         for k in places(label):
             tags[k] -= 1
         return tag
 
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
+    for begin, stop, closes, tag, attributes in markup(page):
+        if begin > at:
+            text.append(page[at:begin])
             if path and path[-1][0] == "a":
-                links += m.start() - at
-        at = m.end()
-        if m[3] is None:
+                links += begin - at
+        at = stop
+        if not tag:
             continue
-        tag = m[3].lower()
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
-                if m[2]:
+                if closes:
                     if path and path[-1][0] == "a":
                         pop()
                 elif not path or path[-1][0] != "a":
@@ -130,13 +186,13 @@ def blocks(page: str) -> list[Block]:
         end()
         if path and path[-1][0] == "a":
             pop()
-        if m[2]:
+        if closes:
             while open_[tag] and pop() != tag:
                 pass
         elif tag not in VOID:
             if tag in BREAKS and path and path[-1][0] == "p" or tag == "li" and path and path[-1][0] == "li":
                 pop()
-            names = " ".join(x[1] or x[2] or x[3] or x[0] for x in NAMED.findall(m[4])) if m[4] else ""
+            names = " ".join(x[1] or x[2] or x[3] or x[0] for x in NAMED.findall(attributes)) if attributes else ""
             push(tag, f"{tag} {names.lower()}" if names else tag)
     if at < len(page):
         text.append(page[at:])
@@ -278,6 +334,7 @@ class Skeletons:
         self.names = {k: v.split() for k, v in (names or NAMES).items()}
         self.cues = {k: [w for w in v.split() if w not in COMMON] for k, v in CUES.items()}
         self.common = sorted(COMMON)
+        self.stems = "post article entry page site story blog news content main".split()
 
     def pick(self, items):
         return items[self.rng.integers(len(items))]
@@ -310,6 +367,8 @@ class Skeletons:
             return self.pick([("<div>", "</div>"), ("<section>", "</section>"), ("", "")])
         tag = self.pick(["div", "div", "div", "section", "ul" if kind == "nav" else "div"])
         name = self.pick(self.names[kind])
+        if self.rng.random() < 0.4:  # named after the article that it belongs to
+            name = self.pick([f"{self.pick(self.names['article'])}-{name}", f"{self.pick(self.stems)}-{name}", f"{self.pick(self.stems)}_{name}"])
         more = self.pick(["", "", "", f" {self.pick(self.names[kind])}", " clearfix", " row", " col-4"])
         return f'<{tag} {self.pick(["class", "class", "id"])}="{name}{more}">', f"</{tag}>"
 
@@ -320,14 +379,16 @@ class Skeletons:
             return [("<ul>", -1), *((f"<li>{i}</li>", 0) for i in items), ("</ul>", -1)]
         return [(" ".join(items), 0)]
 
-    def around(self) -> list[tuple[str, int]]:
-        """One stretch that isn't the article."""
+    def around(self, inside: bool = False) -> list[tuple[str, int]]:
+        """One stretch that isn't the article; inside the article's element it has an element of its own."""
         kind = self.pick(["nav", "ad", "ad", "side", "cookie", "form", "comments", "comments", "header", "related", "share", "footer"])
         plain = self.rng.random() < 0.3  # no tag or name tells; then the words do
         share = 0.6 if plain else self.pick([0.0, 0.0, 0.2, 0.5])
         # What is said of nothing in particular has a name.
         text = lambda lo, hi, k=kind: self.said(k if k in self.cues else "related", lo, hi, share)
         o, c = self.wrap(kind, 1.0 if plain else 0.0)
+        if inside and not o:
+            o, c = "<div>", "</div>"
         block = lambda lo, hi: self.pick([f"<p>{text(lo, hi)}</p>", f"<p>{text(lo, hi)}</p>", f"<div>{text(lo, hi)}</div>", f"<span>{text(lo, hi)}</span><p></p>"])
         if kind == "nav":
             o, c = self.pick([("<nav>", "</nav>"), ('<div role="navigation">', "</div>"), self.wrap("nav", 0.0), self.wrap("nav", 0.0)])
@@ -345,8 +406,8 @@ class Skeletons:
             return [(o, -1), (f"<p>{text(2, 9)}</p>", 0), *([(f"<label>{text(1, 3)}</label><p></p>", 0)] if o == "<form>" else []), (f"<div>{text(1, 2)}</div>", 0), (c, -1)]
         if kind == "comments":
             n = int(self.rng.integers(1, 6))
-            if not plain and self.rng.random() < 0.15:
-                o, c = "<ol " + f'class="{self.pick(self.names["comments"])}">', "</ol>"
+            if not plain and self.rng.random() < 0.3:
+                o, c = re.sub("^<[a-z]+", "<" + (tag := self.pick(["ol", "ul"])), o), f"</{tag}>"
                 return [(o, -1), *((f"<li>{text(3, 30)}</li>", 0) for _ in range(n)), (c, -1)]
             head = [(f"<h3>{text(1, 4)}</h3>", 0)] if plain or self.rng.random() < 0.5 else []
             return [(o, -1), *head, *((block(3, 30), 0) for _ in range(n)), (c, -1)]
@@ -380,14 +441,14 @@ class Skeletons:
                 out.append((f"<ul><li>{self.words(1, 12)}</li></ul>", 1))
             elif x < 0.91:
                 out.append((f"<blockquote>{text}</blockquote>", 1))
-            elif x < 0.94:
+            elif x < 0.93:
                 out.append((f"<pre>{text}</pre>", 1))
-            elif x < 0.97:
+            elif x < 0.95:
                 out += [("<table><tr>", -1), (f"<td>{self.words(1, 4)}</td>", 1), (f"<td>{self.words(1, 4)}</td>", 1), ("</tr></table>", -1)]
             else:
-                out += [("</p>", -1), *self.around()]
-        if self.rng.random() < 0.15:  # what stands below an article within its element
-            out += [("</p>", -1), *self.around()]
+                out += [("</p>", -1), *self.around(True)]
+        if self.rng.random() < 0.5:  # what stands below an article within its element
+            out += [("</p>", -1), *self.around(True)]
         return [*out, (wrap[1], -1)]
 
     def page(self) -> tuple[str, list[int]]:
@@ -407,7 +468,7 @@ class Skeletons:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 2800, epochs: int = 10) -> Lstm:
+def trained(pages: int = 3600, epochs: int = 14) -> Lstm:
     """The labeller, fitted to generated pages; the same weights each time."""
     maker, data = Skeletons(), []
     while len(data) < pages:

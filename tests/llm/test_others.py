@@ -100,6 +100,40 @@ def test_parts_that_are_no_article(wrapping):
     assert len(wrong) <= 1, wrong
 
 
+SAID = "<{0} class='{1}'><{2}>Anna: I grew up next to that mill, thank you for writing about it.</{2}><{2}>Ben: My grandfather worked there.</{2}></{0}>"
+BOXES = [SAID.format(tag, name, line) for name in ("post-comments", "comments", "article-comments", "entry-reviews", "user-feedback", "comment-thread", "disqus_thread", "reader_replies") for tag, line in (("div", "p"), ("ul", "li"))] + [
+    "<div class='newsletter-box'><p>Get our best stories every week, straight to your inbox.</p></div>", "<div class='post-newsletter'><p>Get our best stories every week.</p><button>Join</button></div>", "<aside class='pull'><p>Ten other mills of the north</p></aside>",
+    "<div class='ad-slot'><p>The new car is here, drive it today.</p></div>", "<section id='comments'><h2>2 comments</h2><div class='comment'><p>It was not like that at all.</p></div></section>",
+]
+
+
+@pytest.mark.parametrize("wrapping", [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ('<div class="entry">', "</div>")])
+def test_comments_that_are_named_after_the_article(wrapping):
+    # Comments in everyday words, and boxes, within the article's element and after it.
+    want = "\n\n".join(b.text for b in html_text.blocks(STORY))
+    pages = ["<body><nav><a href='/'>Home</a> <a href='/a'>About</a></nav>" + wrapping[0] + STORY + (box + wrapping[1] if inside else wrapping[1] + box) + "<footer>Imprint</footer></body>" for box in BOXES for inside in (True, False)]
+    texts = html_text.main_texts(html_text.trained(), pages)
+    assert sum(t != want for t in texts) <= 2
+
+
+def test_tags_by_hand():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts('<p title="a > b">one</p><!-- <p>no</p> --><script>"<p>no"</script><p>two<br/>three') == ["one", "two three"]
+    # A quote that never closes ends with its tag, and what opens after the last ">" is text.
+    assert texts('<p title="x>one</p><p>two <b') == ["one", "two <b"] and texts("a <!-- b") == ["a"] and texts("1 < 2 <3") == ["1 < 2 <3"]
+    assert texts("<title>no<body>yes<style>") == ["yes"] and texts("<svg-x>no</svg>yes") == ["yes"] and texts("<header>yes</header>") == ["yes"]
+
+
+@pytest.mark.parametrize("unit", ["<b ", '<b "a>" ', "<!x", "<script ", '<a title="', "<", "<!--", "</p ", "<div 'a>'x", "<p>&"])
+def test_unclosed_tags_take_linear_time(unit):
+    took = []
+    for n in (4000, 64000):
+        began = time.process_time()
+        html_text.blocks(unit * n + "<" * n + "<!--")
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.005)
+
+
 def test_deep_pages_take_linear_time():
     net, took = html_text.trained(), []
     for n in (2000, 16000):
