@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  # times a source's words
@@ -81,9 +81,10 @@ def mixed(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """Each document as many times as the mix takes it, with its columns as they are."""
     sized = docs.select("source", words(F.col("text").cast("string")).alias("size"))
-    per = _small_enough(targets(sized).select(F.col("source").alias("__of"), F.col("rate").alias("__rate")))
-    joined = docs.join(per, docs["source"].eqNullSafe(F.col("__of")))
-    copies = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _times(F.col("__rate")).cast("int"))))
+    of, rate, copy = (unused(name, docs.columns) for name in ("of", "rate", "copy"))
+    per = _small_enough(targets(sized).select(F.col("source").alias(of), F.col("rate").alias(rate)))
+    joined = docs.join(per, docs["source"].eqNullSafe(F.col(of)))
+    copies = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), _times(F.col(rate)).cast("int"))))
     return copies.select(*docs.columns)
 
 

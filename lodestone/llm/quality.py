@@ -1,7 +1,8 @@
 """Quality by positive-unlabelled learning.
 
 Trusted positives are documents labelled good in the training folds; unlabelled
-ones are documents without a label. Labels of bad documents are not used. A
+ones are documents without a label there, those of the other fold among them, whose labels are never
+looked at. Labels of bad documents are not used. A
 small network over counts of a text's characters, words and lines minimises the
 non-negative unbiased risk: the positives' risk times the class prior, plus the
 unlabelled texts' risk as negatives, less the positives' risk as negatives, where
@@ -10,11 +11,12 @@ too: the least ratio of the share of unlabelled texts above a threshold to that
 held-back positives, over the thresholds of a first separating score.
 
 The samples are bounded: ``POSITIVE`` and ``UNLABELLED`` documents, those whose id's
-hash is least; only their features come to the driver. Every text is scored whole.
+hash is least; only their features come to the driver. Of rows that share a sampled id one is
+learned from. Every text is scored whole.
 
 Defined results: a null or empty text has zero features and scores as such; equal
-texts score alike; null labels are not used; without positives or unlabelled
-documents every score is 1; an empty table gives an empty table. ``scored`` ignores
+texts score alike; null labels are not used; without positives, or where the training folds label
+every document, so that nothing is unlabelled, every score is 1; an empty table gives an empty table. ``scored`` ignores
 further columns of any name, ``kept`` keeps them.
 """
 
@@ -165,9 +167,10 @@ def learned(docs: DataFrame, labels: DataFrame) -> dict | None:
     ids = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null")
     good = ids.where((F.col("quality") == 1) & (fold(5) != 0)).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVE)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    free = plain.select("doc_id").where("doc_id is not null").distinct().join(ids.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
+    used = ids.where(F.col("quality").isNotNull() & (fold(5) != 0)).select("doc_id").distinct()
+    free = plain.select("doc_id").where("doc_id is not null").distinct().join(used, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
     sample = good.select("doc_id", F.lit(1).alias("y")).union(free.select("doc_id", F.lit(0).alias("y")))
-    rows = featured(plain.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")).toPandas()
+    rows = featured(plain.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))).toPandas()
     if not len(rows):
         return None
     x = np.stack(rows["x"].to_list())

@@ -3,7 +3,8 @@
 For each unit of text (see ``bpe``) the relaxation gives the last piece and the
 number of ids of every prefix. The count of a text's prefix is the sum over the
 units before it plus the count inside the unit in which it ends. What is stored are
-steps, by how much the count changes from one prefix to the next, in one byte each: a
+steps, by how much the count changes from one prefix to the next, in one signed byte each (-128 stands before
+a step of four bytes, for one that a byte doesn't hold): a
 text's steps are those of its units in a row, and counts are their running sum. So counts,
 truncation points and budget questions are answered from stored steps, without a second encoding.
 
@@ -62,6 +63,26 @@ def unit_prefixes(m: bpe.Bpe, units: list[str]) -> tuple[np.ndarray, np.ndarray]
     return count, starts
 
 
+def packed(steps: np.ndarray) -> bytes:
+    """Steps in a byte each, and where that doesn't hold one, -128 and then four bytes."""
+    if np.abs(steps.astype(np.int64)).max(initial=0) <= 127:
+        return steps.astype(np.int8).tobytes()
+    return b"".join(int(x).to_bytes(1, "little", signed=True) if abs(x) <= 127 else b"\x80" + int(x).to_bytes(4, "little", signed=True) for x in steps.tolist())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.frombuffer(raw, np.int8)
+    wide = np.flatnonzero(out == -128)
+    if not len(wide):
+        return out
+    steps, at = [], 0
+    for k in wide.tolist():
+        if k >= at:  # else it is one of the four bytes of a step before
+            steps += [out[at:k].astype(np.int64), np.array([int.from_bytes(raw[k + 1 : k + 5], "little", signed=True)])]
+            at = k + 5
+    return np.concatenate([*steps, out[at:].astype(np.int64)])
+
+
 class Counter:
     """Steps of units, remembered between texts."""
 
@@ -77,18 +98,21 @@ class Counter:
             count, starts = unit_prefixes(self.model, part)
             step = np.diff(count, prepend=np.int32(0))
             step[starts] = count[starts]
+            begins, ends = starts.tolist(), [*starts.tolist()[1:], len(step)]
             if np.abs(step).max(initial=0) > 127:
-                raise ValueError("a count changes by more than a byte holds")
-            raw, ends = step.astype(np.int8).tobytes(), [*starts.tolist()[1:], len(step)]
-            self.known.update(zip(part, map(raw.__getitem__, map(slice, starts.tolist(), ends)), strict=True))
+                self.known.update((u, packed(step[a:b])) for u, a, b in zip(part, begins, ends, strict=True))
+                continue
+            raw = step.astype(np.int8).tobytes()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, begins, ends)), strict=True))
 
     def steps(self, units: list[str]) -> np.ndarray:
         """Change of the count from each prefix of the text to the next; as many as the text has characters."""
         if not units:
             return np.zeros(0, np.int8)
-        out = np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int8)
+        out = unpacked(b"".join(map(self.known.__getitem__, units)))
         # The space that the model puts in front belongs to the first character.
-        return np.concatenate([out[:1] + out[1:2], out[2:]])
+        first = out[:1].astype(np.int64) + out[1:2]
+        return np.concatenate([first if np.abs(first).max(initial=0) > 127 else first.astype(out.dtype), out[2:]])
 
 
 def fit(steps: np.ndarray, budget: int) -> int:
@@ -110,7 +134,7 @@ def fitted(stored: DataFrame, budget: int) -> DataFrame:
 
     def run(batches):
         for table in grouped(batches, 4 << 20):
-            rows = [np.frombuffer(x or b"", np.int8) for x in table["prefix_steps"].to_pylist()]
+            rows = [unpacked(x or b"") for x in table["prefix_steps"].to_pylist()]
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([int(r.sum(dtype=np.int64)) for r in rows], pa.int64()), pa.array([fit(r, budget) for r in rows], pa.int64())], ["doc_id", "n_tokens", "fit_chars"])
 
     return stored.select(F.col("doc_id").cast("long"), F.col("prefix_steps").cast("binary")).mapInArrow(run, "doc_id long, n_tokens long, fit_chars long")
@@ -122,14 +146,14 @@ def with_prefix_counts(stored: DataFrame) -> DataFrame:
 
     def run(batches):
         for table in grouped(batches, 1 << 20):
-            rows = [np.concatenate([[0], np.cumsum(np.frombuffer(x or b"", np.int8), dtype=np.int64)]) for x in table["prefix_steps"].to_pylist()]
+            rows = [np.concatenate([[0], np.cumsum(unpacked(x or b""), dtype=np.int64)]) for x in table["prefix_steps"].to_pylist()]
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "prefix_tokens"])
 
     return stored.select(F.col("doc_id").cast("long"), F.col("prefix_steps").cast("binary")).mapInArrow(run, "doc_id long, prefix_tokens array<long>")
 
 
 def token_counts(docs: DataFrame, data: bytes, limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, fit_chars (the longest prefix within ``limit``, in characters), and prefix_steps, one signed byte for each character."""
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars (the longest prefix within ``limit``, in characters), and prefix_steps, one signed byte for each character (see ``packed``)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -142,7 +166,7 @@ def token_counts(docs: DataFrame, data: bytes, limit: int = 4096) -> DataFrame:
             tokens = [int(r.sum(dtype=np.int64)) for r in rows]
             fits = [len(r) if n <= limit else fit(r, limit) for r, n in zip(rows, tokens, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [table["doc_id"].combine_chunks(), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens]), pa.array(fits, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                [table["doc_id"].combine_chunks(), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens]), pa.array(fits, pa.int64()), pa.array([packed(r) for r in rows], pa.binary())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_steps"],
             )
 

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import ann, html_text, media, mixing, quality, sharding, toxicity
 
@@ -464,3 +465,26 @@ def test_ties_go_to_the_smaller_id(spark):
     assert out.sort_values("rank").vec_id.tolist() == [51, 52, 53, 54, 55]
     out = ann.nearest(spark.createDataFrame(rows[9:] + [(100, [1.0, 0.0])], "vec_id long, embedding array<double>")).toPandas()
     assert out.sort_values("rank").vec_id.tolist() == [59, 3, 4, 5, 6]
+
+
+def test_quality_where_every_document_has_a_label(spark):
+    # The other fold's rows serve as unlabelled text, their labels unseen; rows that share an id come to the driver once.
+    rng = random.Random(2)
+    good = lambda: " ".join(rng.choice(["the", "river", "ran", "slowly", "past", "old", "stones"]) for _ in range(40)) + "."
+    bad = lambda: "$$$ " + "!!! BUY " * rng.randint(5, 20)
+    rows = [(i, good() if i % 2 else bad(), i % 2) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, rows[1][1])] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, labels).collect()}
+    assert np.mean([(got[i] >= 0.3) == (q == 1) for i, _, q in rows]) > 0.95
+    # Labels of that fold change nothing.
+    other = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {r["doc_id"]: r["score"] for r in quality.scored(docs, other).collect()} == got
+    assert quality.learned(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), labels) is None
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 1, 2, 3, 4), (2, "d", "t", 1, 2, 3, 4)], "doc_id long, text string, source string, of int, rate int, copy int, _of int")
+    for d in (docs, docs.withColumnsRenamed({"of": "__of", "rate": "__rate", "copy": "__copy"})):
+        out = mixing.repeated(d)
+        assert out.columns == d.columns and out.count() >= 1

@@ -76,3 +76,18 @@ def test_odd_ids(spark, library):
     assert [r.text for r in sentencepiece_codec.decoded(rows, DATA).collect()] == [library.decode([264, 359]), "", "", ""]
     with pytest.raises(ValueError):
         codec.decode(np.array([10**6]))
+
+
+def test_steps_that_no_byte_holds(monkeypatch):
+    rng = np.random.default_rng(0)
+    for steps in ([], [1, -2, 127, -127], [128], [-128, 5, 70000, -128 - 256 * 128, 1], rng.integers(-300, 300, 500).tolist(), [-2139062144, 3]):
+        packed = token_counts.packed(np.array(steps, np.int64))
+        assert token_counts.unpacked(packed).tolist() == steps
+    # A model whose counts jump: what is kept and put together is still exact.
+    real = token_counts.unit_prefixes
+    monkeypatch.setattr(token_counts, "unit_prefixes", lambda m, units: (real(m, units)[0] * 100, real(m, units)[1]))
+    counter, units = token_counts.Counter(token_counts.model_bytes()), token_counts.bpe.units_of("Many words, and 漢字 too.")
+    counter.learn([units])
+    wide = np.cumsum(token_counts.unpacked(token_counts.packed(counter.steps(units))), dtype=np.int64)
+    monkeypatch.undo()
+    assert wide.tolist() == (100 * token_counts.prefix_counts(token_counts.model_bytes(), "Many words, and 漢字 too.")[1:]).tolist()
