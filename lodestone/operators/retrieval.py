@@ -13,7 +13,9 @@ one task holds them as arrays, some 30 bytes for each candidate.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -34,20 +36,46 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 Embed = Callable[[pd.Series], list[np.ndarray]]
 
 
-def _place(term: str) -> Column:
-    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % DIMENSIONS).cast("int")
+#: Bytes by which a lower-cased text's tokens, runs of a-z and 0-9, are told from what lies between them.
+_TOKEN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+_LISTS = pa.struct([("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int64())), ("dl", pa.int64()), ("vector", pa.list_(pa.float64()))])
 
 
-def _vector(counts: str) -> Column:
-    """Counts by place as a vector."""
-    return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0.0)))
+def _place(term: bytes) -> int:
+    return int(md5(term).hexdigest()[:8], 16) % DIMENSIONS
+
+
+def _counted(lowered: pa.Array) -> pa.Array:
+    """Of each lower-cased text, as bytes, its terms with their counts, their sum, and how many fall into each place by their hash."""
+    terms, tfs, ends, length = [], [], [0], []
+    vectors, places = np.zeros((len(lowered), DIMENSIONS)), {}
+    for i in range(len(lowered)):  # one text after the other, so that a batch of long texts is never held as tokens
+        counts = Counter((lowered[i].as_py() or b"").translate(_TOKEN).split())
+        for t in counts:
+            if t not in places:
+                places[t] = _place(t)
+        some = list(counts)
+        numbers = np.fromiter(counts.values(), np.int64, len(some))
+        np.add.at(vectors[i], np.fromiter(map(places.__getitem__, some), np.int64, len(some)), numbers)
+        terms += some
+        tfs.append(numbers)
+        ends.append(len(terms))
+        length.append(int(numbers.sum()))
+    at = pa.array(ends, pa.int32())
+    vector = pa.ListArray.from_arrays(pa.array(np.arange(len(lowered) + 1) * DIMENSIONS, pa.int32()), pa.array(vectors.ravel()))
+    lists = [pa.ListArray.from_arrays(at, pa.array(terms, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(np.concatenate(tfs) if tfs else np.empty(0, np.int64), pa.int64())), pa.array(length, pa.int64()), vector]
+    return pa.StructArray.from_arrays(lists, fields=list(_LISTS))
+
+
+def counted(text: Column) -> Column:
+    """struct(terms, tfs, dl, vector) of a text; of a null text that of an empty one. Lower case is Spark's, so that terms are ``T.tokens``."""
+    of = F.arrow_udf(_counted, "struct<terms:array<string>,tfs:array<long>,dl:long,vector:array<double>>")
+    return of(F.lower(text).cast("binary"))
 
 
 def hashed_counts(table: DataFrame, key: str, text: str) -> DataFrame:
     """Default embedding (key, vector): how many of a text's tokens fall into each of 128 places by their MD5."""
-    tokens = table.select(key, F.explode(T.tokens(F.col(text))).alias("token")).select(key, _place("token").alias("place"))
-    counts = tokens.groupBy(key, "place").agg(F.count("*").cast("double").alias("n"))
-    return counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("at")).select(key, _vector("at").alias("vector"))
+    return table.select(key, counted(F.col(text))["vector"].alias("vector"))
 
 
 def embedded(table: DataFrame, key: str, text: str, embed: Embed | None = None, prefix: str = "") -> DataFrame:
@@ -56,8 +84,7 @@ def embedded(table: DataFrame, key: str, text: str, embed: Embed | None = None,
     Models that want their questions marked get ``prefix`` put before each text.
     """
     if embed is None:
-        zeros = F.array_repeat(F.lit(0.0), DIMENSIONS)
-        return table.join(hashed_counts(table, key, text), key, "left").withColumn("vector", F.coalesce("vector", zeros))
+        return table.withColumn("vector", counted(F.col(text))["vector"])
     schema = table.select("*", F.lit(None).cast("array<double>").alias("vector")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,14 +98,11 @@ def indexed(chunks: DataFrame, embed: Embed | None = None) -> DataFrame:
     """Chunks with terms, their counts tfs, length dl, period and vector; written once. An indexed table is returned as it is."""
     if {"terms", "tfs", "dl", "period", "vector"} <= set(chunks.columns):
         return chunks
-    base = chunks.withColumn("period", P.period_key(F.col("fiscal_period"))).repartition("chunk_id")
-    # All that follows is by chunk_id, so that texts are shuffled once.
-    counts = base.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    by_place = counts.groupBy("chunk_id", _place("term").alias("place")).agg(F.sum("tf").alias("n"), F.collect_list(F.struct("term", "tf")).alias("x"))
-    lists = by_place.groupBy("chunk_id").agg(F.flatten(F.collect_list("x")).alias("x"), F.sum("n").alias("dl"), F.map_from_entries(F.collect_list(F.struct("place", F.col("n").cast("double")))).alias("at"))
-    lists = lists.select("chunk_id", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"), "dl", _vector("at").alias("_hashed"))
-    none = {"terms": F.array().cast("array<string>"), "tfs": F.array().cast("array<long>"), "dl": F.lit(0).cast("long"), "_hashed": F.array_repeat(F.lit(0.0), DIMENSIONS)}
-    read = base.join(lists, "chunk_id", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+    # Each text is read once where it lies; only a table of fewer parts than there are cores is dealt out.
+    if chunks.rdd.getNumPartitions() < (cores := chunks.sparkSession.sparkContext.defaultParallelism):
+        chunks = chunks.repartition(cores)
+    read = chunks.withColumn("period", P.period_key(F.col("fiscal_period"))).withColumn("_of", counted(F.col("text")))
+    read = read.select("*", *(F.col("_of")[c].alias(c) for c in ("terms", "tfs", "dl"))).withColumn("_hashed", F.col("_of")["vector"]).drop("_of")
     if "chunk_type" in chunks.columns:
         words = read.withColumn("_words", T.words_for_embedding(F.col("text"), F.col("chunk_type")))
         return kept(embedded(words, "chunk_id", "_words", embed).drop("_words", "_hashed"), "index")
@@ -185,16 +209,6 @@ def _cells(chunks: DataFrame, questions: DataFrame, meet: Callable[[pa.Table, pa
     return left.groupBy("block", "of").cogroup(right.groupBy("block", "of")).applyInArrow(meet, schema)
 
 
-def cosine_pairs(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, chunk_id, similarity) of every question and chunk, exactly, for chunks (chunk_id, vector) and questions (qid, vector)."""
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        sim = cosines(left, right) if left.num_rows and right.num_rows else np.zeros((right.num_rows, left.num_rows))
-        return pa.table({"qid": np.repeat(right["qid"].to_numpy(), left.num_rows), "chunk_id": np.tile(left["chunk_id"].to_numpy(), right.num_rows), "similarity": sim.ravel()})
-
-    return _cells(chunks.select("chunk_id", "vector"), questions.select("qid", F.col("vector").alias("asked")), meet, "qid long, chunk_id long, similarity double")
-
-
 def nearest(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, similarity, rank) of the ``k`` most similar chunks, ties to the smaller chunk_id.
 
@@ -304,12 +318,17 @@ def _scored(asked: DataFrame, chunks: DataFrame) -> DataFrame:
         sim, words = cosines(left, right), keyword_scores(left, right, average)
         ids, row, period = left["chunk_id"].to_numpy(), left["is_row"].to_numpy(), left["period"].to_numpy()
         kind = np.array(left["statement_type"].to_pylist(), object)
-        out = []
+        at, named, kinds = [], [], []
         for i, (periods, wanted_kind) in enumerate(zip(right["asked_periods"].to_pylist(), right["asked_kind"].to_pylist(), strict=True)):
-            at = _allowed(left, right, i)
-            if len(at):
-                out.append({"qid": right["qid"][i].as_py(), "ids": ids[at], "sims": sim[i, at], "words": words[i, at], "rows": row[at], "periods": period[at], "named": np.isin(period[at], periods or []) & (period[at] != 0), "kinds": (kind[at] == wanted_kind) if wanted_kind else np.zeros(len(at), bool)})
-        return pa.Table.from_pylist(out, schema=schema)
+            some = _allowed(left, right, i)
+            at.append(some)
+            named.append(np.isin(period[some], periods or []) & (period[some] != 0))
+            kinds.append((kind[some] == wanted_kind) if wanted_kind else np.zeros(len(some), bool))
+        every, ends = np.concatenate(at), pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]), pa.int32())
+        of = np.repeat(np.arange(len(at)), [len(x) for x in at])
+        flat = (ids[every], sim[of, every], words[of, every], row[every], period[every], np.concatenate(named), np.concatenate(kinds))
+        out = pa.Table.from_arrays([right["qid"].combine_chunks(), *(pa.ListArray.from_arrays(ends, pa.array(x, f.type.value_type)) for x, f in zip(flat, list(schema)[1:], strict=True))], schema=schema)
+        return out.filter(pc.greater(pc.list_value_length(out["ids"]), 0))
 
     left = chunks.select("chunk_id", "doc", "is_row", "statement_type", "period", "vector", "terms", "tfs", "dl")
     right = _weighted(asked, chunks).select("qid", "wanted", F.col("vector").alias("asked"), "asked_periods", "asked_kind", "weights")
