@@ -1,7 +1,8 @@
 """Commands: index a folder, ask, run a batch of questions, measure retrieval.
 
     python -m lodestone ingest FOLDER INDEX [--pattern *.txt] [--stats]
-    python -m lodestone ask INDEX QUESTION [--doc NAME]
+    python -m lodestone ask INDEX QUESTION [--doc NAME] [--k N] [--no-hybrid] [--full]
+    python -m lodestone presets INDEX PRESETS.json ANSWERS    rows of preset, question
     python -m lodestone batch INDEX QUESTIONS.json RESULTS     rows of qid, question, expected, must
     python -m lodestone harness INDEX QUESTIONS.json [--rerank]    rows of qid, question, needles, decline
 
@@ -39,13 +40,23 @@ def ingest(spark: SparkSession, folder: str, target: str, pattern: str = "*.txt"
     return 0
 
 
-def ask(spark: SparkSession, folder: str, question: str, doc: str | None = None, settings: Settings = Settings()) -> int:
+def ask(spark: SparkSession, folder: str, question: str, doc: str | None = None, full: bool = False, settings: Settings = Settings()) -> int:
+    """Print the answer and its sources; with ``full`` their texts as well."""
     chunks = index.load(spark, folder)
     asked = spark.createDataFrame([(1, question, doc)], "qid long, question string, doc string")
     for r in serving.respond(asked, chunks, settings).collect():
         print(r["answer"])
         for s in r["sources"] or []:
             print(f"- {s['doc']}, page {s['page']} ({s['similarity']:.2f})")
+            if full:
+                print(s["snippet"])
+    return 0
+
+
+def presets(spark: SparkSession, folder: str, asked: str, target: str, settings: Settings = Settings()) -> int:
+    """Answer the presets ahead and keep the answers."""
+    found = serving.build_presets(spark.read.schema("preset string, question string").json(asked), index.load(spark, folder), target, settings)
+    print(found.count(), "presets answered")
     return 0
 
 
@@ -74,20 +85,26 @@ def harness(spark: SparkSession, folder: str, questions: str, rerank: bool = Fal
 def main(args: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="lodestone")
     kinds = top.add_subparsers(dest="command", required=True)
-    for name, places in (("ingest", ["folder", "index"]), ("ask", ["index", "question"]), ("batch", ["index", "questions", "results"]), ("harness", ["index", "questions"])):
+    for name, places in (("ingest", ["folder", "index"]), ("ask", ["index", "question"]), ("batch", ["index", "questions", "results"]), ("harness", ["index", "questions"]), ("presets", ["index", "asked", "answers"])):
         one = kinds.add_parser(name)
         for p in places:
             one.add_argument(p)
     kinds.choices["ingest"].add_argument("--pattern", default="*.txt")
     kinds.choices["ingest"].add_argument("--stats", action="store_true")
     kinds.choices["ask"].add_argument("--doc")
+    kinds.choices["ask"].add_argument("--k", type=int)
+    kinds.choices["ask"].add_argument("--no-hybrid", action="store_true")
+    kinds.choices["ask"].add_argument("--full", action="store_true")
     kinds.choices["harness"].add_argument("--rerank", action="store_true")
     a = top.parse_args(args)
     spark, settings = SparkSession.builder.getOrCreate(), Settings.from_env()
     if a.command == "ingest":
         return ingest(spark, a.folder, a.index, a.pattern, a.stats, settings)
     if a.command == "ask":
-        return ask(spark, a.index, a.question, a.doc, settings)
+        settings = dataclasses.replace(settings, top_k=a.k or settings.top_k, use_hybrid=settings.use_hybrid and not a.no_hybrid)
+        return ask(spark, a.index, a.question, a.doc, a.full, settings)
+    if a.command == "presets":
+        return presets(spark, a.index, a.asked, a.answers, settings)
     if a.command == "batch":
         return batch(spark, a.index, a.questions, a.results, settings)
     return harness(spark, a.index, a.questions, a.rerank, settings)

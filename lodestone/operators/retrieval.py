@@ -383,8 +383,8 @@ def _best(settings: Settings, k: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), top_k: int | None = None, embed: Embed | None = None) -> DataFrame:
-    """The best chunks of each question with all scores and ranks.
+def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), top_k: int | None = None, embed: Embed | None = None, score: Callable | None = None) -> DataFrame:
+    """The best chunks of each question with all scores and ranks; ``score`` is the pairwise model that reranks where the settings ask for it.
 
     What a question says of periods is taken out before ranking and counts as a bonus only: every passage
     of a filing holds its period, so that it would rank headings first.
@@ -401,7 +401,7 @@ def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Setting
     found = scored.groupBy("qid").applyInArrow(_best(settings, pool), schema).join(_facts(chunks), "chunk_id").join(told, "qid")
     if not settings.use_reranker:
         return found
-    return reranked(found.join(chunks.select("chunk_id", "text"), "chunk_id"), settings, k)
+    return reranked(found.join(chunks.select("chunk_id", "text"), "chunk_id"), settings, k, score or overlap_scores)
 
 
 def overlap_scores(questions: pd.Series, texts: pd.Series) -> pd.Series:

@@ -180,6 +180,17 @@ def load_presets(spark: SparkSession, path: str, chunks: DataFrame | None = None
     return found
 
 
+def load_evals(spark: SparkSession, path: str) -> DataFrame | None:
+    """The evaluation summary, one JSON object with nested tables, as one row; None where there is none or it has no headline."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.option("multiLine", True).json(path)
+    except AnalysisException:
+        return None
+    return found if "headline" in found.columns else None
+
+
 def save_results(results: DataFrame, path: str) -> dict:
     """Write a batch's results (with verdict and skipped) as JSON; returns the counts by verdict."""
     results.write.mode("overwrite").json(path)

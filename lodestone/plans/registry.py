@@ -294,6 +294,12 @@ def j13(s, d):
     return evaluation.needle_hits(_with_text(s, d), _needles(s, d))
 
 
+@query("j13_corpus_needles", f"WITH n AS (SELECT DISTINCT lower({SPACED.replace('text', 'part')}) AS needle FROM (SELECT lower(trim(substr(text, 1, 40))) AS part FROM benchmark UNION ALL SELECT lower(trim(substr(text, 41, 40))) FROM benchmark)) SELECT doc_id, needle FROM documents JOIN n ON needle <> '' AND contains(lower({SPACED}), needle)")
+def j13_corpus(s, d):
+    """Needles over all documents, not only over what a search found."""
+    return evaluation.corpus_hits(_docs(s, d), _needles(s, d))
+
+
 @query("a14_a15_any_all_first", SEARCH + _NEEDLES + "SELECT qid, any_hit, all_hit, first_rank FROM judged")
 def a14(s, d):
     return evaluation.judged(_needles(s, d), evaluation.needle_hits(_with_text(s, d), _needles(s, d)))

@@ -270,7 +270,37 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["ingest", f"{tmp_path}/in", f"{tmp_path}/index", "--stats"]) == 0 and index.size(spark, f"{tmp_path}/index") == 0
     assert main(["ingest", f"{tmp_path}/in", f"{tmp_path}/index"]) == 0 and index.size(spark, f"{tmp_path}/index") == 2
     assert main(["ask", f"{tmp_path}/index", "where do herons nest by the pond", "--doc", "a.txt"]) == 0 and "a.txt, page 1" in capsys.readouterr().out
+    assert main(["ask", f"{tmp_path}/index", "where do herons nest by the pond", "--k", "1", "--no-hybrid", "--full"]) == 0 and "each spring" in capsys.readouterr().out
+    spark.createDataFrame([("p1", "where do herons nest by the pond")], "preset string, question string").write.json(f"{tmp_path}/p")
+    assert main(["presets", f"{tmp_path}/index", f"{tmp_path}/p", f"{tmp_path}/kept"]) == 0 and "1 presets" in capsys.readouterr().out
     # The stand-in for a model repeats a passage's first line, its label.
     spark.createDataFrame([(1, "where do herons nest by the pond", "answer", ["results"], ["herons nest"], False), (2, "zzz", "decline", None, ["zzz"], True)], "qid long, question string, expected string, must array<string>, needles array<string>, decline boolean").write.json(f"{tmp_path}/q")
     assert main(["batch", f"{tmp_path}/index", f"{tmp_path}/q", f"{tmp_path}/out"]) == 0 and "'pass': 2" in capsys.readouterr().out
     assert main(["harness", f"{tmp_path}/index", f"{tmp_path}/q"]) == 0 and "1.0" in capsys.readouterr().out
+
+
+def test_reranking_model_and_evaluation_summary(spark, tmp_path):
+    # A model that likes bread only puts it first.
+    found = retrieval.search(spark.createDataFrame([(1, "herons by the pond")], "qid long, question string"), _chunks(spark), Settings(use_reranker=True), score=lambda q, t: t.str.contains("bread").astype("float64") * 9)
+    plain = retrieval.search(spark.createDataFrame([(1, "herons by the pond")], "qid long, question string"), _chunks(spark), Settings(use_reranker=True))
+    by = lambda df: {r["chunk_id"]: r["model"] for r in df.collect()}
+    assert by(found)[3] == 9.0 and by(plain)[3] < 1
+    (tmp_path / "evals.json").write_text('{"headline": "x", "eval10": {"title": "t", "rows": [{"label": "a", "value": "1"}]},\n "ablation": {"rank_shifts": [{"q": "q", "off": 2, "on": 4}]}}')
+    row = serving.load_evals(spark, f"{tmp_path}/evals.json").first()
+    assert row["headline"] == "x" and row["eval10"]["rows"][0]["value"] == "1" and row["ablation"]["rank_shifts"][0]["on"] == 4
+    (tmp_path / "other.json").write_text('{"a": 1}')
+    assert serving.load_evals(spark, f"{tmp_path}/none.json") is None and serving.load_evals(spark, f"{tmp_path}/other.json") is None
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_needles_over_a_corpus(spark, block_bytes):
+    from lodestone.operators import evaluation
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab c\n") for _ in range(rng.randint(0, 80))) for _ in range(60)] + [None, "", "A  b"]
+    needles = ["a b", "AB", "b  c", "", " ", "aa", "cab", "ab", None] + ["".join(rng.choice("abc ") for _ in range(4)) for _ in range(20)]
+    plain = lambda t: " ".join((t or "").lower().split())
+    want = sorted({(i, n) for i, t in enumerate(texts) for n in map(plain, needles) if n and n in plain(t)})
+    docs, asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(n,) for n in needles], "needle string")
+    assert sorted(map(tuple, evaluation.corpus_hits(docs, asked, block_bytes).collect())) == want
+    assert evaluation.corpus_hits(docs, asked.limit(0)).count() == 0
