@@ -105,13 +105,27 @@ def feature(samples: bytes) -> str:
     return f"rms={rms:.4f};zcr={crossings};entropy={abs(float((share * np.log2(share)).sum())):.4f}"
 
 
-def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _zipped(texts: pa.Array) -> pa.Array:
+    zip_ = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([None if t is None else zip_(t) for t in (x.as_py() for x in texts)], pa.binary())
+
+
+def _rows(docs: DataFrame, files: bool) -> DataFrame:
+    """doc_id, text and ``row``, a name of each row that stays the same whenever the rows are read."""
+    if files:
+        place = F.concat(F.substring(F.md5(F.col("_metadata.file_path")), 1, 16), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place.alias("row"))
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().cast("string").alias("row")), "rows")
+
+
+def stored(docs: DataFrame, files: bool = False) -> tuple[DataFrame, DataFrame]:
     """The two tables of the store: media with their digest lists and the chunks that are theirs alone, and shared chunks by digest.
 
-    In ``own`` a chunk of the list is null where it lies in the shared table. Chunk bytes are compressed.
+    In ``own`` a chunk of the list is null where it lies in the shared table. Chunk bytes are compressed. With ``files``, ``docs`` is
+    a table read from Parquet files and nothing else: then a row is told by its file and place in it, and no copy of the texts is written first.
     """
     small_batches(docs.sparkSession)
-    rows = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows = _rows(docs, files)
 
     def names(batches):
         for table in grouped(batches, 4 << 20):
@@ -120,28 +134,29 @@ def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 some = {digest(c) for c in chunked(t or "")[2]}
                 found += some
                 row += [r] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(row, pa.int64())], ["digest", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(row, pa.string())], ["digest", "row"])
 
-    held = written(rows.select("row", "text").mapInArrow(names, "digest binary, row long"), "digests")
+    held = written(rows.select("row", "text").mapInArrow(names, "digest binary, row string"), "digests")
     shared = written(held.groupBy("digest").agg(F.count("*").alias("n"), F.min("row").alias("owner")).where("n > 1"), "shared")
     # What each row has to know: which of its chunks are shared, and which of these it owns.
     told = _joined(held, shared).groupBy("row").agg(F.collect_list(F.struct("digest", (F.col("owner") == F.col("row")).alias("mine"))).alias("told"))
-    known = rows.join(told, "row", "left")
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary())), ("own", pa.list_(pa.binary())), ("given", pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])))])
+    # Texts are dealt out compressed.
+    known = rows.select("doc_id", "row", F.arrow_udf(_zipped, "binary")(F.col("text").cast("binary")).alias("text")).join(told, "row", "left")
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary())), ("own", pa.list_(pa.binary())), ("given", pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])))])
 
     def run(batches):
-        zip_ = zstandard.ZstdCompressor(level=3).compress
-        for table in grouped(batches, 4 << 20):
+        zip_, unzip = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        for table in grouped(batches, 2 << 20):
             out = []
             for r in table.to_pylist():
                 mine = {x["digest"]: x["mine"] for x in r["told"] or []}
-                body, n, chunks = chunked(r["text"] or "")
+                body, n, chunks = chunked(unzip(r["text"]).decode("utf-8", "surrogatepass") if r["text"] else "")
                 found = [digest(c) for c in chunks]
                 given = {d: c for d, c in zip(found, chunks, strict=True) if mine.get(d)}
                 out.append({"doc_id": r["doc_id"], "row": r["row"], "n_bytes": n, "payload_bytes": len(body), "sha": hashlib.sha256(b"".join(chunks)).digest(), "digests": found, "own": [None if d in mine else zip_(c) for d, c in zip(found, chunks, strict=True)], "given": [{"digest": d, "data": zip_(c)} for d, c in given.items()]})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    cut = written(known.select("doc_id", "row", "text", "told").mapInArrow(run, "doc_id long, row long, n_bytes long, payload_bytes long, sha binary, digests array<binary>, own array<binary>, given array<struct<digest:binary,data:binary>>"), "media")
+    cut = written(known.select("doc_id", "row", "text", "told").mapInArrow(run, "doc_id long, row string, n_bytes long, payload_bytes long, sha binary, digests array<binary>, own array<binary>, given array<struct<digest:binary,data:binary>>"), "media")
     chunks = cut.where(F.size("given") > 0).select(F.explode("given").alias("x")).select("x.digest", "x.data").join(shared.select("digest", "n"), "digest")
     return cut.drop("given"), chunks
 
@@ -179,7 +194,7 @@ def rebuilt(media: DataFrame, chunks: DataFrame) -> DataFrame:
     return whole.unionByName(filled).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """Store every text as a medium and read all of them back."""
-    media, chunks = stored(docs)
+def round_trip(docs: DataFrame, files: bool = False) -> DataFrame:
+    """Store every text as a medium and read all of them back; ``files`` as in ``stored``."""
+    media, chunks = stored(docs, files)
     return rebuilt(media, written(chunks, "chunks"))

@@ -13,7 +13,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.round_trip(read(spark, sf_dir, "documents"))
+    return media.round_trip(read(spark, sf_dir, "documents"), files=True)
 
 
 def op3_space_filling_curves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def docs(spark, sf):
 
 def test_media_by_definition(docs):
     texts = dict(docs.select("doc_id", "text").toPandas().itertuples(index=False))
-    for r in media.round_trip(docs).collect():
+    for r in [*media.round_trip(docs).collect(), *media.round_trip(docs, files=True).collect()]:
         raw = texts[r.doc_id].encode()
         body = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]))
