@@ -28,13 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, small_batches, written
+from .common import begun, discard, grouped, small_batches, written
 
 UNIT = 576
 RATE = 8000
 LEAST, MOST, MASK_BITS = 2048, 65536, 12  # a cut each 4 KiB beyond the least length, on average
 #: Chunks with over one in SHARE of all rows of shared digests, and OFTEN at least, are sent to all tasks: fewer than SHARE chunks, 64 KiB each at most.
 SHARE, OFTEN = 1000, 500
+LEVEL = 6  # of compression
 #: The gear table: 256 words from a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(576)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -106,16 +107,16 @@ def feature(samples: bytes) -> str:
 
 
 def _zipped(texts: pa.Array) -> pa.Array:
-    zip_ = zstandard.ZstdCompressor(level=3).compress
+    zip_ = zstandard.ZstdCompressor(level=LEVEL).compress
     return pa.array([None if t is None else zip_(t) for t in (x.as_py() for x in texts)], pa.binary())
 
 
 def _rows(docs: DataFrame, files: bool) -> DataFrame:
     """doc_id, text and ``row``, a name of each row that stays the same whenever the rows are read."""
     if files:
-        place = F.concat(F.substring(F.md5(F.col("_metadata.file_path")), 1, 16), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+        place = F.concat(F.unhex(F.substring(F.md5(F.col("_metadata.file_path")), 1, 16)), F.unhex(F.lpad(F.hex(F.col("_metadata.row_index")), 10, "0")))
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place.alias("row"))
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().cast("string").alias("row")), "rows")
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")).alias("row")), "rows")
 
 
 def stored(docs: DataFrame, files: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -125,6 +126,7 @@ def stored(docs: DataFrame, files: bool = False) -> tuple[DataFrame, DataFrame]:
     a table read from Parquet files and nothing else: then a row is told by its file and place in it, and no copy of the texts is written first.
     """
     small_batches(docs.sparkSession)
+    since = begun()
     rows = _rows(docs, files)
 
     def names(batches):
@@ -134,18 +136,18 @@ def stored(docs: DataFrame, files: bool = False) -> tuple[DataFrame, DataFrame]:
                 some = {digest(c) for c in chunked(t or "")[2]}
                 found += some
                 row += [r] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(row, pa.string())], ["digest", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(row, pa.binary())], ["digest", "row"])
 
-    held = written(rows.select("row", "text").mapInArrow(names, "digest binary, row string"), "digests")
+    held = written(rows.select("row", "text").mapInArrow(names, "digest binary, row binary"), "digests")
     shared = written(held.groupBy("digest").agg(F.count("*").alias("n"), F.min("row").alias("owner")).where("n > 1"), "shared")
     # What each row has to know: which of its chunks are shared, and which of these it owns.
     told = _joined(held, shared).groupBy("row").agg(F.collect_list(F.struct("digest", (F.col("owner") == F.col("row")).alias("mine"))).alias("told"))
     # Texts are dealt out compressed.
     known = rows.select("doc_id", "row", F.arrow_udf(_zipped, "binary")(F.col("text").cast("binary")).alias("text")).join(told, "row", "left")
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary())), ("own", pa.list_(pa.binary())), ("given", pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary())), ("own", pa.list_(pa.binary())), ("given", pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])))])
 
     def run(batches):
-        zip_, unzip = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        zip_, unzip = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
         for table in grouped(batches, 2 << 20):
             out = []
             for r in table.to_pylist():
@@ -156,7 +158,9 @@ def stored(docs: DataFrame, files: bool = False) -> tuple[DataFrame, DataFrame]:
                 out.append({"doc_id": r["doc_id"], "row": r["row"], "n_bytes": n, "payload_bytes": len(body), "sha": hashlib.sha256(b"".join(chunks)).digest(), "digests": found, "own": [None if d in mine else zip_(c) for d, c in zip(found, chunks, strict=True)], "given": [{"digest": d, "data": zip_(c)} for d, c in given.items()]})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    cut = written(known.select("doc_id", "row", "text", "told").mapInArrow(run, "doc_id long, row string, n_bytes long, payload_bytes long, sha binary, digests array<binary>, own array<binary>, given array<struct<digest:binary,data:binary>>"), "media")
+    cut = written(known.select("doc_id", "row", "text", "told").mapInArrow(run, "doc_id long, row binary, n_bytes long, payload_bytes long, sha binary, digests array<binary>, own array<binary>, given array<struct<digest:binary,data:binary>>"), "media")
+    # Lists of digests and any copy of the texts have served.
+    discard(docs.sparkSession, since, cut.select("row").unionAll(shared.select(F.hex("digest"))))
     chunks = cut.where(F.size("given") > 0).select(F.explode("given").alias("x")).select("x.digest", "x.data").join(shared.select("digest", "n"), "digest")
     return cut.drop("given"), chunks
 
