@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import periods as P
 from ..functions import text as T
+from ..functions import tokenizers as K
 
 # The phrases by which filings name a period and a table's header.
 _ENDED = rf"ended.{{0,4}}({'|'.join(P.MONTHS)})(\d{{1,2}}),?(\d{{4}})"
@@ -125,11 +126,13 @@ def table_rows(pages: DataFrame, key: list[str], least: int = 3, most_words: int
     return kept.select(*key, (F.row_number().over(Window.partitionBy(*key).orderBy("label_no")) - 1).cast("long").alias("row"), label.alias("label"), "vals")
 
 
-def packed(text: Column, most: int = 350, overlap: int = 60) -> Column:
+def packed(text: Column, most: int = 350, overlap: int = 60, tokenizer: K.Count | None = None) -> Column:
     """Blocks packed into passages of at most ``most`` words, each begun with the last passage's tail.
 
-    A block that is too long is cut into pieces; the last piece stays open.
+    A block that is too long is cut into pieces; the last piece stays open. With a ``tokenizer``, its tokens count instead of words.
     """
+    if tokenizer is not None:
+        return K.passages(T.blocks(text), most, overlap, tokenizer)
     count = T.word_count
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("out"), F.lit("").alias("cur"))
@@ -149,12 +152,15 @@ def packed(text: Column, most: int = 350, overlap: int = 60) -> Column:
     return F.aggregate(T.blocks(text), start, step, lambda s: F.when(F.trim(s["cur"]) != "", F.concat(s["out"], F.array(F.trim(s["cur"])))).otherwise(s["out"]))
 
 
-def chunks(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Passages and table rows of tagged pages: id, doc, page, text, metadata, chunk_type, chunk_index."""
+def chunks(pages: DataFrame, settings: Settings = Settings(), tokenizer: K.Count | None = None) -> DataFrame:
+    """Passages and table rows of tagged pages: id, doc, page, text, metadata, chunk_type, chunk_index.
+
+    Passages are measured in words, or in the tokens of ``tokenizer``, such as the embedding model's.
+    """
     with_header = pages.withColumn("_header", header(F.col("text")))
     kept = ["doc", "page", "source", "statement_type", "fiscal_period", "doc_label"]
     label = F.nullif(F.col("doc_label"), F.lit(""))
-    bodies = with_header.select(*kept, "_header", F.posexplode(packed(F.col("text"), settings.chunk_max_tokens, settings.chunk_overlap_tokens)).alias("i", "body"))
+    bodies = with_header.select(*kept, "_header", F.posexplode(packed(F.col("text"), settings.chunk_max_tokens, settings.chunk_overlap_tokens, tokenizer)).alias("i", "body"))
     lost = F.regexp_count("body", F.lit(T.DATE_INSIDE)) < 2
     whole = bodies.select(*kept, F.concat_ws("::", "doc", F.concat(F.lit("p"), "page"), F.concat(F.lit("c"), "i")).alias("id"), F.concat_ws("\n", label, F.when(lost, F.col("_header")), F.col("body")).alias("text"), F.when(F.col("_header").isNotNull(), "table").otherwise("prose").alias("chunk_type"), F.col("i").cast("long").alias("i"))
     if not settings.row_chunks:
@@ -183,9 +189,12 @@ def pages_per_document(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc").agg(F.count("*").alias("n"))
 
 
-def token_stats(chunks_: DataFrame) -> DataFrame:
-    """One row: least, mean and most words of a passage, the mean rounded down."""
+def token_stats(chunks_: DataFrame, tokenizer: K.Count | None = None) -> DataFrame:
+    """One row: least, mean and most words (or tokens of ``tokenizer``) of a passage, the mean rounded down."""
     n = T.word_count(F.col("text"))
+    if tokenizer is not None:  # counted before it is summed, since Python and JVM aggregates don't mix
+        chunks_ = chunks_.select(K.token_count(F.col("text"), tokenizer).alias("n"))
+        n = F.col("n")
     return chunks_.agg(F.min(n).alias("least"), F.floor(F.sum(n) / F.count("*")).alias("mean"), F.max(n).alias("most"))
 
 

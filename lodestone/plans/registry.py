@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import periods as P
 from ..functions import text as T
+from ..functions import tokenizers as K
 from ..operators import admission, answers, evaluation, pages, retrieval, serving
 from ..sources import index, scratch
 from ..sources import pages as page_sources
@@ -87,6 +88,40 @@ def w12(s, d):
     return _docs(s, d).select("doc_id", F.posexplode(T.word_pieces(F.col("text"), 350)).alias("piece", "t")).select("doc_id", F.col("piece").cast("long").alias("piece"), F.md5("t").alias("v"))
 
 
+#: Places of words in their text, and the characters up to each with a space after it; a piece is followed by the one that begins where it ends.
+_BY_QUARTERS = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+c AS (SELECT doc_id, list(upto ORDER BY i) AS upto FROM (SELECT doc_id, i, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS upto FROM x) GROUP BY doc_id),
+r AS (
+  SELECT doc_id, upto, 0::BIGINT AS piece, 1::BIGINT AS a, greatest(1, len(list_filter(upto, lambda u: u <= 1401)))::BIGINT AS b FROM c
+  UNION ALL
+  SELECT doc_id, upto, piece + 1, b + 1, greatest(b + 1, len(list_filter(upto, lambda u: u <= upto[b] + 1401)))::BIGINT FROM r WHERE b < len(upto)
+)
+SELECT doc_id, piece, ((length(t) + 3) // 4)::BIGINT AS n_tokens, md5(t) AS v FROM (SELECT doc_id, piece, array_to_string(list_slice(ws, a, b), ' ') AS t FROM r JOIN w USING (doc_id))"""
+
+
+@query("w12_by_tokenizer", _BY_QUARTERS)
+def w12_by_tokenizer(s, d):
+    """Pieces under a tokenizer whose counts don't add up over words."""
+    cut = _docs(s, d).select("doc_id", F.posexplode(K.token_pieces(F.col("text"), 350, K.quarters)).alias("piece", "t"))
+    return cut.select("doc_id", F.col("piece").cast("long").alias("piece"), K.token_count(F.col("t"), K.quarters).alias("n_tokens"), F.md5("t").alias("v"))
+
+
+@query("f9_last_tokens", f"SELECT doc_id, md5(coalesce(max_by(t, k), '')) AS v FROM (SELECT doc_id, k, array_to_string(list_slice(ws, len(ws) - k + 1, len(ws)), ' ') AS t FROM (SELECT doc_id, {WORDS} AS ws, unnest(range(0, 242)) AS k FROM documents) WHERE k <= len(ws)) WHERE length(t) <= 240 GROUP BY doc_id")
+def f9(s, d):
+    return _docs(s, d).select("doc_id", F.md5(K.last_tokens(F.col("text"), 60, K.quarters)).alias("v"))
+
+
+@query("w11_subword_packing")
+def w11_subword(s, d):
+    """Passages of all documents by a byte-level vocabulary; held against a packing word by word in tests."""
+    import public_tokenizers
+
+    count = K.of_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made = _docs(s, d).select("doc_id", F.posexplode(pages.packed(F.col("text"), 350, 60, count)).alias("piece", "text"))
+    return made.select("doc_id", F.col("piece").cast("long").alias("piece"), "text", K.token_count(F.col("text"), count).alias("n_tokens"))
+
+
 @query("a1_pages_per_doc", "SELECT source AS doc, count(*) AS n FROM documents GROUP BY source")
 def a1(s, d):
     return pages.pages_per_document(_docs(s, d).withColumnRenamed("source", "doc"))
