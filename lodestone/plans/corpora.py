@@ -66,7 +66,10 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return as_requests(table(spark, sf_dir, "events"))
+
+
+def as_requests(e: DataFrame) -> DataFrame:
     return e.select(F.col("user_id").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"))
 
 

@@ -15,6 +15,7 @@ from ..functions import tokenizers as K
 from ..operators import admission, answers, evaluation, pages, retrieval, serving
 from ..sources import index, scratch
 from ..sources import pages as page_sources
+from ..streaming import ordered
 from . import corpora as C
 
 FLAGSHIP = "t2_topk"
@@ -576,6 +577,26 @@ def w13(s, d):
     return admission.limited(C.requests(s, d), 3, 6 * 3600.0).select("key", "event_id", "admitted", "retry_after")
 
 
+@query("st5_stream_limit", _WALK)
+def st5(s, d):
+    """The same decisions from a stream of the events, whose files come in any order; a request beyond the last one lets all be decided."""
+    span = C.requests(s, d).agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    first, last = span["first"] or 0.0, span["last"] or 0.0
+    path = scratch.place(s, "limits")
+    events = s.readStream.schema(C.table(s, d, "events").schema).parquet(f"{d}/events.parque[t]")  # as a pattern, since a stream takes no single file
+    end = s.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("event_id"), F.lit(2 * last - first + 120.0).alias("at"))
+    end.write.parquet(f"{path}/end")
+    both = C.as_requests(events).unionByName(s.readStream.schema(end.schema).parquet(f"{path}/end"))
+    before = s.conf.get(ordered.PROVIDER)
+    s.conf.set(ordered.PROVIDER, ordered.ROCKSDB)
+    try:
+        out = ordered.limited_in_order(both, 3, 6 * 3600.0, last - first + 60.0).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/marks")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(ordered.PROVIDER, before)
+    return s.read.schema(ordered.OUTPUT).parquet(f"{path}/out")
+
+
 #: One request after the other: what was charged in the last day, with its clients, is the whole state.
 _QUOTA = """
 WITH RECURSIVE q AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1000000 AS t, row_number() OVER (ORDER BY epoch_us(ts) / 1000000, event_id) AS n FROM events),
