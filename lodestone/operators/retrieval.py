@@ -134,10 +134,14 @@ def bm25(chunks: DataFrame, question_terms: DataFrame) -> DataFrame:
     chunks = indexed(chunks)
     post, stats = postings(chunks), corpus_stats(chunks)
     asked = question_terms.groupBy("qid", "term").agg(F.count("*").alias("times")).join(idf(post, stats), "term").select("qid", "term", (F.col("idf") * F.col("times")).alias("weight"))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return summed(post.crossJoin(F.broadcast(stats.select("avgdl"))), asked, F.col("avgdl"))
+
+
+def summed(postings_: DataFrame, weighed: DataFrame, average: Column) -> DataFrame:
+    """(qid, chunk_id, bm25) from posting lists and the weights of the questions' terms (qid, term, weight)."""
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
     # The questions' terms are few beside the postings; Spark sends them to the postings where they are small enough.
-    joined = post.join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    return joined.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25"))
+    return postings_.join(weighed, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25"))
 
 
 def common_terms(chunks: DataFrame, ratio: float = 0.5, least: int = 50) -> DataFrame:
@@ -161,16 +165,29 @@ def _rounded(x: np.ndarray, places: int) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * 10.0**places + 0.5) / 10.0**places
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+
+
+def _matrix(column: pa.ChunkedArray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Vectors of ``size`` components as rows; one with a null or non-finite component is zero."""
     lists = column.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    some = lists if len(rows) == len(lists) else lists.take(pa.array(rows))
+    out = some.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
+    out[~np.isfinite(out).all(axis=1)] = 0
+    return out
 
 
 def cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
-    """Similarity of every question (row) with every chunk; a zero vector has similarity 0."""
-    x, q = _matrix(left["vector"]), _matrix(right["asked"])
-    below = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
-    return _rounded(np.divide(q @ x.T, below, out=np.zeros_like(below), where=below > 0), 6)
+    """Similarity of every question (row) with every chunk; 0 for a vector that is zero, null or broken, and for two of different lengths."""
+    of, asked = _lengths(left["vector"]), _lengths(right["asked"])
+    out = np.zeros((len(asked), len(of)))
+    for size in np.unique(asked[asked > 0]):
+        here, there = np.flatnonzero(asked == size), np.flatnonzero(of == size)
+        q, x = _matrix(right["asked"], here, size), _matrix(left["vector"], there, size)
+        below = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+        out[np.ix_(here, there)] = _rounded(np.divide(q @ x.T, below, out=np.zeros_like(below), where=below > 0), 6)
+    return out
 
 
 def keyword_scores(left: pa.Table, right: pa.Table, average: float) -> np.ndarray:

@@ -73,16 +73,23 @@ def translated(error: Exception, secret: str = "") -> dict:
 
 
 def guarded(generate: Callable[[pd.Series], pd.Series], secret: str = "") -> Callable[[pd.Series], pd.Series]:
-    """A generator whose failures become a line that ``failure`` reads, so that one bad call costs no batch."""
+    """A generator whose failures become a line that ``failure`` reads, so that one bad call costs no batch.
 
-    def run(prompts: pd.Series) -> pd.Series:
-        def one(p: str) -> str:
-            try:
-                return generate(pd.Series([p])).iloc[0]
-            except Exception as e:  # noqa: BLE001  whatever a client raises is that question's error
-                return FAILED + translated(e, secret)["kind"]
+    A batch is given to ``generate`` whole; one that fails is halved until the prompts that fail stand alone, so that
+    prompts beside a bad one are asked again.
+    """
 
-        return prompts.map(one)
+    def run(prompts: pd.Series) -> pd.Series:
+        if prompts.empty:
+            return prompts.astype(object)
+        try:
+            said = generate(prompts)
+            return pd.Series(list(said), index=prompts.index, dtype=object)
+        except Exception as e:  # noqa: BLE001  whatever a client raises is that question's error
+            if len(prompts) == 1:
+                return pd.Series([FAILED + translated(e, secret)["kind"]], index=prompts.index, dtype=object)
+        half = len(prompts) // 2
+        return pd.concat([run(prompts.iloc[:half]), run(prompts.iloc[half:])])
 
     return run
 

@@ -13,7 +13,7 @@ from ..functions import periods as P
 from ..functions import text as T
 from ..functions import tokenizers as K
 from ..operators import admission, answers, evaluation, pages, retrieval, serving
-from ..sources import index, scratch
+from ..sources import index, postings, scratch
 from ..sources import pages as page_sources
 from ..streaming import ordered
 from . import corpora as C
@@ -242,6 +242,14 @@ def a7(s, d):
     return retrieval.bm25(chunks, asked.select("qid", F.explode(T.query_tokens(F.col("focus"))).alias("term"))).select("qid", "chunk_id", "bm25")
 
 
+@query("a7_stored_postings", SEARCH + "SELECT qid, chunk_id, bm25 FROM bm")
+def a7_stored(s, d):
+    chunks, path = retrieval.indexed(C.prose(s, d)), scratch.place(s, "postings")
+    postings.save(chunks, path)
+    asked = retrieval.focused(C.questions(s, d), chunks)
+    return postings.bm25(s, path, asked.select("qid", F.explode(T.query_tokens(F.col("focus"))).alias("term")))
+
+
 @query("w3_w4_mixed_ranks", SEARCH + "SELECT qid, chunk_id, similarity, bm25, vec_rank, bm25_rank FROM ranked")
 def w3(s, d):
     return _ranked(s, d).select("qid", "chunk_id", "similarity", "bm25", "vec_rank", "bm25_rank")
