@@ -8,7 +8,8 @@ document only. Corpus statistics always come from all chunks, whatever a questio
 (``sources.index``) and given to every function here in place of the chunks. Questions and chunks
 meet in cells, a block of questions and a block of chunks each, so that neither side is ever gathered; the
 vectors' best come from each cell's best. Ranks over all candidates of a question need all their scores:
-one task holds them as arrays, some 30 bytes for each candidate.
+``search`` holds them as arrays in one task, some 30 bytes for each candidate; with ``wide``, and in ``ranks``, they
+are ranked in ranges over any number of tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -274,8 +276,9 @@ def bonuses(candidates: DataFrame, settings: Settings = Settings()) -> DataFrame
         candidates = candidates.withColumn("period", P.period_key(F.col("fiscal_period")))
     of = Window.partitionBy("qid")
     keyed = candidates.withColumn("_key", F.nullif(F.col("period"), F.lit(0)))
-    order = F.dense_rank().over(of.orderBy(F.col("_key").asc_nulls_last()))
-    keyed = keyed.withColumn("_rank", F.when(F.col("_key").isNotNull(), order)).withColumn("_span", F.max("_rank").over(of))
+    # Only a question's different periods are ranked in one task, and they are few.
+    places = keyed.where("_key is not null").select("qid", "_key").distinct().withColumns({"_rank": F.row_number().over(of.orderBy("_key")), "_span": F.count("*").over(of)})
+    keyed = keyed.join(places, ["qid", "_key"], "left")
     recent = F.when(~F.col("names_period") & (F.col("_span") >= 2), settings.recency_boost * (F.col("_rank") - 1) / (F.col("_span") - 1))
     named = F.when(F.array_contains("asked_periods", F.coalesce("_key", F.lit(0))), settings.period_boost)
     kind = F.when(F.col("asked_kind") == F.col("statement_type"), settings.period_boost)
@@ -283,13 +286,46 @@ def bonuses(candidates: DataFrame, settings: Settings = Settings()) -> DataFrame
     return keyed.withColumn("bonus", F.coalesce(recent, zero) + F.coalesce(named, zero) + F.coalesce(kind, zero)).drop("_key", "_rank", "_span")
 
 
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their questions with ``_part``, their task's number, and how many of their question, and of these of their kind, come before them in it."""
+    part, last, carried = TaskContext.get().partitionId(), None, np.zeros(3, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        qid, row = batch["qid"].to_numpy(), batch["is_row"].to_numpy(zero_copy_only=False).astype(bool)
+        first = np.flatnonzero(np.concatenate([[True], qid[1:] != qid[:-1]]))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(qid))))
+        counts = np.column_stack([np.ones(len(qid), np.int64), ~row, row])
+        upto = np.cumsum(counts, axis=0)
+        before = upto - counts
+        before -= before[first][group]
+        if qid[0] == last:
+            before[group == 0] += carried
+        last, carried = qid[-1], before[-1] + counts[-1]
+        made = (pa.array(np.full(len(qid), part)), pa.array(before[:, 0]), pa.array(np.where(row, before[:, 2], before[:, 1])))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_part", "_all", "_kind"])
+
+
+def _placed(scored: DataFrame, score: str, every: str, within: str) -> DataFrame:
+    """With a row's places by ``score``: ``every`` among all of its question, from 1, and ``within`` those of its kind, from 0.
+
+    Rows are dealt out by ranges of question and score, counted within their range, and raised by what the ranges before hold,
+    so that a question's candidates may fill any number of tasks.
+    """
+    order = ["qid", F.desc(score), "chunk_id"]
+    schema = scored.select("*", *(F.lit(0).cast("long").alias(c) for c in ("_part", "_all", "_kind"))).schema
+    counted_ = kept(scored.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_before, schema), "places")
+    sizes = counted_.groupBy("qid", "is_row", "_part").agg(F.count("*").alias("_n"))
+    ahead = lambda *by: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each question, kind and range of it: as many as there are questions and tasks together, twice.
+    starts = sizes.select("qid", "is_row", "_part", ahead("qid").alias("_all_ahead"), ahead("qid", "is_row").alias("_kind_ahead"))
+    placed = counted_.join(starts, ["qid", "is_row", "_part"])
+    return placed.withColumns({every: F.col("_all") + F.col("_all_ahead") + 1, within: F.col("_kind") + F.col("_kind_ahead")}).drop("_part", "_all", "_kind", "_all_ahead", "_kind_ahead")
+
+
 def ranks(scored: DataFrame) -> DataFrame:
-    """(qid, chunk_id, similarity, bm25, is_row) with ranks over all candidates, from 1, and within rows and passages, from 0."""
-    all_ = Window.partitionBy("qid")
-    kind = Window.partitionBy("qid", "is_row")
-    by_vector, by_words = [F.desc("similarity"), "chunk_id"], [F.desc("bm25"), "chunk_id"]
-    number = lambda w, o: F.row_number().over(w.orderBy(*o)).cast("long")
-    return scored.withColumns({"vec_rank": number(all_, by_vector), "bm25_rank": number(all_, by_words), "vec_type_rank": number(kind, by_vector) - 1, "bm25_type_rank": number(kind, by_words) - 1})
+    """(qid, chunk_id, similarity, bm25, is_row, none of them null) with ranks over all candidates, from 1, and within rows and passages, from 0."""
+    return _placed(_placed(scored, "similarity", "vec_rank", "vec_type_rank"), "bm25", "bm25_rank", "bm25_type_rank")
 
 
 def fused(ranked: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -362,7 +398,10 @@ def candidates(questions: DataFrame, chunks: DataFrame, settings: Settings = Set
     A question's ``doc``, where it has one, restricts its candidates and nothing else.
     """
     chunks = indexed(chunks, embed)
-    asked = kept(_asked(questions, chunks, settings, embed), "asked")
+    return _pairs(kept(_asked(questions, chunks, settings, embed), "asked"), chunks)
+
+
+def _pairs(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     pairs = _scored(asked, chunks).select("qid", F.explode(F.arrays_zip("ids", "sims", "words")).alias("x"))
     pairs = pairs.select("qid", F.col("x.ids").alias("chunk_id"), F.col("x.sims").alias("similarity"), F.col("x.words").alias("bm25"))
     return pairs.join(_facts(chunks), "chunk_id").join(asked.drop("vector", "focus", "wanted"), "qid")
@@ -400,9 +439,11 @@ def _best(settings: Settings, k: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), top_k: int | None = None, embed: Embed | None = None, score: Callable | None = None) -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), top_k: int | None = None, embed: Embed | None = None, score: Callable | None = None, wide: bool = False) -> DataFrame:
     """The best chunks of each question with all scores and ranks; ``score`` is the pairwise model that reranks where the settings ask for it.
 
+    With ``wide``, for indexes whose scores of one question no task can hold, ranks come from ranges of the scores, at the cost of writing every score twice.
+
     What a question says of periods is taken out before ranking and counts as a bonus only: every passage
     of a filing holds its period, so that it would rank headings first.
     """
@@ -413,9 +454,12 @@ def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Setting
     if not settings.use_hybrid:
         return nearest(chunks, asked, k).join(_facts(chunks), "chunk_id").join(told, "qid")
     pool = max(settings.rerank_candidates, k) if settings.use_reranker else k
-    scored = _scored(asked, chunks).join(asked.select("qid", "names_period"), "qid")
     schema = "qid long, chunk_id long, similarity double, bm25 double, vec_rank long, bm25_rank long, vec_type_rank long, bm25_type_rank long, bonus double, rrf double, rank long"
-    found = scored.groupBy("qid").applyInArrow(_best(settings, pool), schema).join(_facts(chunks), "chunk_id").join(told, "qid")
+    if wide:
+        best = top(fused(bonuses(ranks(_pairs(asked, chunks)), settings), settings), "rrf", pool).select(*(c.split()[0] for c in schema.split(", ")))
+    else:
+        best = _scored(asked, chunks).join(asked.select("qid", "names_period"), "qid").groupBy("qid").applyInArrow(_best(settings, pool), schema)
+    found = best.join(_facts(chunks), "chunk_id").join(told, "qid")
     if not settings.use_reranker:
         return found
     return reranked(found.join(chunks.select("chunk_id", "text"), "chunk_id"), settings, k, score or overlap_scores)
