@@ -270,6 +270,12 @@ def t2(s, d):
     return _found(s, d).select("qid", "chunk_id", "doc", "similarity", "bm25", "vec_rank", "bm25_rank", "rrf", "rank")
 
 
+@query("t2_wide", SEARCH + "SELECT qid, chunk_id, doc, similarity, bm25, vec_rank, bm25_rank, rrf, rank FROM best")
+def t2_wide(s, d):
+    """The same answers with ranks from ranges of the scores, so that no task holds a question's."""
+    return retrieval.search(C.questions(s, d), C.prose(s, d), Settings(), wide=True).select("qid", "chunk_id", "doc", "similarity", "bm25", "vec_rank", "bm25_rank", "rrf", "rank")
+
+
 @query("t4_vector_only", SEARCH + "SELECT qid, chunk_id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS rank FROM pairs QUALIFY rank <= 8")
 def t4(s, d):
     return retrieval.search(C.questions(s, d), C.prose(s, d), Settings(use_hybrid=False)).select("qid", "chunk_id", "similarity", "rank")
