@@ -2,7 +2,8 @@
 
 A tokenizer is a function that takes a list of texts and returns how many tokens each has; tokens need not follow
 words, nor add up over them. What is asked of it must only not fall as words are added to a text. It runs in
-Python workers, once for what all texts of an Arrow batch ask at a time, so that a model's own batching counts.
+Python workers, once for what many texts of an Arrow batch ask at a time, so that a model's own batching counts; what is
+asked at once stays below ``HELD`` characters, since tokenizers hold many times that.
 Words lie between ASCII white space; null texts are taken for empty ones.
 
 Largest fitting runs of words are found by doubling and halving: a piece of n words asks for some 2 log n counts of texts of at
@@ -12,7 +13,7 @@ most 2n words, so that a text's cost grows with its length, however long it is.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Generator, Iterable
+from collections.abc import Callable, Generator, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +23,9 @@ Count = Callable[[list[str]], list[int]]
 #: A walk yields texts to be counted, is sent their counts one by one, and returns what it makes of its text.
 Walk = Generator[str, int, object]
 
+#: Characters of texts that are walked side by side, and of what is counted at once; a longer text goes by itself.
+HELD = 1 << 19
+
 _BLANK = " \t\n\x0b\f\r"
 _WORD = re.compile(f"[^{_BLANK}]+")
 
@@ -44,11 +48,29 @@ def of_file(path: str) -> Count:
             read.no_truncation()
             read.no_padding()
             held.append(read)
-        return [len(e.ids) for e in held[0].encode_batch(texts, add_special_tokens=False)]
+        return [len(e) for e in held[0].encode_batch_fast(texts, add_special_tokens=False)]
 
     return count
 
 
+def _slices(texts: Iterable, size: Callable[[object], int]) -> Iterator[list]:
+    """The texts in order, in lists of at most ``HELD`` characters, or of one text."""
+    out, held = [], 0
+    for t in texts:
+        n = size(t)
+        if out and held + n > HELD:
+            yield out
+            out, held = [], 0
+        out.append(t)
+        held += n
+    if out:
+        yield out
+
+
+def _counts(texts: Iterable[str], count: Count) -> list[int]:
+    return [n for some in _slices(texts, len) for n in count(some)]
+
+
 def _side_by_side(walks: Iterable[Walk], count: Count) -> list:
     """What the walks return, all of them a step further after each call of ``count``."""
     walks = list(walks)
@@ -60,7 +82,7 @@ def _side_by_side(walks: Iterable[Walk], count: Count) -> list:
                 asked[i] = walks[i].send(n)
             except StopIteration as end:
                 done[i] = end.value
-        send = dict(zip(asked, count(list(asked.values())), strict=True)) if asked else {}
+        send = dict(zip(asked, _counts(asked.values(), count), strict=True)) if asked else {}
     return done
 
 
@@ -123,8 +145,10 @@ def _passages(blocks: Iterable[str], most: int, overlap: int) -> Walk:
 
 
 def _udf(walk: Callable[..., Walk], count: Count, kind: str):
+    chars = lambda x: len(x) if isinstance(x, str) else sum(map(len, x))
+
     def run(column: pd.Series) -> pd.Series:
-        return pd.Series(_side_by_side(map(walk, column), count), dtype=object)
+        return pd.Series([made for some in _slices(column, chars) for made in _side_by_side(map(walk, some), count)], dtype=object)
 
     run.__annotations__ = {"column": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, kind)
@@ -132,7 +156,7 @@ def _udf(walk: Callable[..., Walk], count: Count, kind: str):
 
 def token_count(text: Column, count: Count) -> Column:
     def run(column: pd.Series) -> pd.Series:
-        return pd.Series(count(column.tolist()), dtype="int64")
+        return pd.Series(_counts(column, count), dtype="int64")
 
     run.__annotations__ = {"column": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "long")(F.coalesce(text, F.lit("")))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,15 @@ def test_costs_grow_with_length():
 
 def test_blocks_are_not_asked_of_null(spark):
     assert spark.range(1).select(K.passages(T.blocks(F.lit(None).cast("string")), 5, 1, K.quarters)).first()[0] == []
+
+
+def test_what_is_counted_at_once_is_bounded():
+    asked = []
+
+    def count(texts):
+        asked.append(sum(map(len, texts)))
+        return [len(t.split()) for t in texts]
+
+    column = pd.Series(["word " * 2000] * 300)
+    made = K._udf(lambda t: K._pieces(t, 350), count, "array<string>").func(column)
+    assert [len(p) for p in made] == [6] * 300 and max(asked) <= 1 << 19 and len(asked) > 1
