@@ -14,8 +14,8 @@ are ranked in ranges over any number of tasks.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -38,35 +38,61 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 Embed = Callable[[pd.Series], list[np.ndarray]]
 
 
-#: Bytes by which a lower-cased text's tokens, runs of a-z and 0-9, are told from what lies between them.
-_TOKEN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Bytes of which a lower-cased text's tokens are runs: a-z and 0-9.
+_IS_TOKEN = np.array([48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
+#: Bytes of texts whose tokens are held at once; a longer text goes by itself.
+HELD = 2 << 20
 _LISTS = pa.struct([("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int64())), ("dl", pa.int64()), ("vector", pa.list_(pa.float64()))])
 
 
+@lru_cache(maxsize=1 << 16)
 def _place(term: bytes) -> int:
-    return int(md5(term).hexdigest()[:8], 16) % DIMENSIONS
+    return int.from_bytes(md5(term).digest()[:4], "big") % DIMENSIONS
+
+
+def _tokens(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of lower-cased texts, as bytes, one after the other, and each one's text."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(lowered), 0).to_numpy(zero_copy_only=False))])
+    data = np.frombuffer(b"".join(x.as_py() or b"" for x in lowered), np.uint8)
+    inside = _IS_TOKEN[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    some = ends[:-1][ends[:-1] < len(data)]
+    begins[some] = inside[some]  # texts lie side by side without anything between them
+    at = np.flatnonzero(begins)
+    text = np.searchsorted(ends, at, side="right") - 1
+    offsets = np.append(np.cumsum(inside)[at] - 1, inside.sum()).astype(np.int64)
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    return tokens, text
+
+
+def _counted_slice(lowered: pa.Array) -> pa.Array:
+    tokens, text = _tokens(lowered)
+    coded = tokens.dictionary_encode()
+    words = coded.dictionary
+    place = np.fromiter((_place(w) for w in words.to_pylist()), np.int64, len(words))
+    pairs, counts = np.unique(text * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
+    of, word = np.divmod(pairs, max(1, len(words)))
+    ends = pa.array(np.searchsorted(of, np.arange(len(lowered) + 1)), pa.int32())
+    vectors = np.bincount(of * DIMENSIONS + place[word], weights=counts, minlength=len(lowered) * DIMENSIONS)
+    vector = pa.ListArray.from_arrays(pa.array(np.arange(len(lowered) + 1) * DIMENSIONS, pa.int32()), pa.array(vectors.astype(np.float64)))
+    terms = words.cast(pa.binary()).cast(pa.string()).take(pa.array(word))
+    lists = [pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64))), pa.array(np.bincount(text, minlength=len(lowered)), pa.int64()), vector]
+    return pa.StructArray.from_arrays(lists, fields=list(_LISTS))
 
 
 def _counted(lowered: pa.Array) -> pa.Array:
-    """Of each lower-cased text, as bytes, its terms with their counts, their sum, and how many fall into each place by their hash."""
-    terms, tfs, ends, length = [], [], [0], []
-    vectors, places = np.zeros((len(lowered), DIMENSIONS)), {}
-    for i in range(len(lowered)):  # one text after the other, so that a batch of long texts is never held as tokens
-        counts = Counter((lowered[i].as_py() or b"").translate(_TOKEN).split())
-        for t in counts:
-            if t not in places:
-                places[t] = _place(t)
-        some = list(counts)
-        numbers = np.fromiter(counts.values(), np.int64, len(some))
-        np.add.at(vectors[i], np.fromiter(map(places.__getitem__, some), np.int64, len(some)), numbers)
-        terms += some
-        tfs.append(numbers)
-        ends.append(len(terms))
-        length.append(int(numbers.sum()))
-    at = pa.array(ends, pa.int32())
-    vector = pa.ListArray.from_arrays(pa.array(np.arange(len(lowered) + 1) * DIMENSIONS, pa.int32()), pa.array(vectors.ravel()))
-    lists = [pa.ListArray.from_arrays(at, pa.array(terms, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(np.concatenate(tfs) if tfs else np.empty(0, np.int64), pa.int64())), pa.array(length, pa.int64()), vector]
-    return pa.StructArray.from_arrays(lists, fields=list(_LISTS))
+    """Of each lower-cased text, as bytes, its terms with their counts, their sum, and how many fall into each place by their hash.
+
+    Texts are read in slices of ``HELD`` bytes, so that no batch is held as tokens.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(lowered), 0).to_numpy(zero_copy_only=False))
+    out, at = [], 0
+    while at < len(lowered):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + HELD, side="right")))
+        out.append(_counted_slice(lowered.slice(at, end - at)))
+        at = end
+    return pa.concat_arrays(out) if out else pa.array([], _LISTS)
 
 
 def counted(text: Column) -> Column:

@@ -1,7 +1,11 @@
 """Ranks of a question's candidates over many tasks."""
 
 import random
+import re
+from collections import Counter
+from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
@@ -67,3 +71,20 @@ def test_wide_search_is_search(spark):
 def test_top_is_limited_before_it_is_gathered(spark):
     table = spark.range(10).select((F.col("id") % 2).alias("qid"), F.col("id").alias("chunk_id"), F.rand(1).alias("rrf"))
     assert "WindowGroupLimit" in retrieval.top(table, "rrf", 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_counted_in_slices(monkeypatch):
+    """A batch is never held as tokens: what is read at once stays below a number of bytes."""
+    read, counted = [], retrieval._counted_slice
+    monkeypatch.setattr(retrieval, "_counted_slice", lambda texts: read.append((len(texts), sum(len(x.as_py() or b"") for x in texts))) or counted(texts))
+    monkeypatch.setattr(retrieval, "HELD", 100)
+    texts = [b"net profit", None, b"", b"b", b"b", b"x " * 200, b"!", b"profit of profit", b"caf\xc3\xa9 7"] * 20
+    got = retrieval._counted(pa.array(texts, pa.binary())).to_pylist()
+    assert sum(n for n, _ in read) == len(texts) and all(size <= 100 or n == 1 for n, size in read)
+    for text, r in zip(texts, got, strict=True):
+        want = Counter(re.findall(rb"[a-z0-9]+", text or b""))
+        vector = [0.0] * 128
+        for t, n in want.items():
+            vector[int(md5(t).hexdigest()[:8], 16) % 128] += n
+        assert dict(zip(r["terms"], r["tfs"], strict=True)) == {t.decode(): n for t, n in want.items()} and r["dl"] == sum(want.values()) and r["vector"] == vector
+    assert len(retrieval._counted(pa.array([], pa.binary()))) == 0
