@@ -8,12 +8,14 @@ document only. Corpus statistics always come from all chunks, whatever a questio
 (``sources.index``) and given to every function here in place of the chunks. Questions and chunks
 meet in cells, a block of questions and a block of chunks each, so that neither side is ever gathered; the
 vectors' best come from each cell's best. Ranks over all candidates of a question need all their scores:
-``search`` holds them as arrays in one task, some 30 bytes for each candidate; with ``wide``, and in ``ranks``, they
-are ranked in ranges over any number of tasks.
+``search`` holds them as arrays in one task, some 30 bytes for each candidate. With ``wide`` it writes all scores once, keeps of each block the
+few candidates that can be among the best, and counts their ranks block by block. ``ranked_candidates`` ranks a question's scores in one task up to
+a number of candidates; beyond, and in ``ranks``, they are ranked in ranges over any number of tasks.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import md5
@@ -34,6 +36,10 @@ from ..sources.scratch import kept
 DIMENSIONS = 128
 #: Chunks and questions of a cell.
 CHUNKS, QUESTIONS = 2048, 512
+#: Candidates of a question that are ranked as arrays in one task, and rows of a batch that is made of them.
+CANDIDATES, SLICE = 4_000_000, 100_000
+#: Chunks of an index up to which a search ranks a question's scores in one task, where it isn't told otherwise.
+WIDE = 1_000_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 Embed = Callable[[pd.Series], list[np.ndarray]]
 
@@ -383,6 +389,8 @@ def _weighted(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     return asked.join(lists, "qid", "left").withColumn("weights", F.coalesce("weights", F.array().cast("array<struct<term:string,weight:double>>")))
 
 
+RANKED = "qid long, chunk_id long, is_row boolean, similarity double, bm25 double, vec_rank long, vec_type_rank long, bm25_rank long, bm25_type_rank long"
+POOL = "qid long, chunk_id long, similarity double, bm25 double, is_row boolean, period int, named boolean, kind boolean"
 LISTS = "qid long, ids array<long>, sims array<double>, words array<double>, rows array<boolean>, periods array<int>, named array<boolean>, kinds array<boolean>"
 
 
@@ -433,6 +441,169 @@ def _pairs(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     return pairs.join(_facts(chunks), "chunk_id").join(asked.drop("vector", "focus", "wanted"), "qid")
 
 
+def _flat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The elements of all lists."""
+    return column.flatten().to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in column.chunks])
+
+
+def _all_ranks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One question's candidates with their ranks over all of them, as ``ranks`` has them."""
+    qid, ids = table["qid"][0].as_py(), _flat(table["ids"])
+    order = np.argsort(ids, kind="stable")
+    ids, row, sim, words = ids[order], _flat(table["rows"])[order].astype(bool), _flat(table["sims"])[order], _flat(table["words"])[order]
+    del table, order
+
+    def places(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(-score, kind="stable")
+        all_, within = np.empty(len(by), np.int32), np.empty(len(by), np.int32)
+        all_[by] = np.arange(1, len(by) + 1)
+        for some in (by[row[by]], by[~row[by]]):
+            within[some] = np.arange(len(some))
+        return all_, within
+
+    made = (ids, row, sim, words, *(x for score in (sim, words) for x in places(score)))
+    names = [c.split()[0] for c in RANKED.split(", ")]
+    for at in range(0, len(ids), SLICE):
+        part = [x[at : at + SLICE] for x in made]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), qid)), *(pa.array(x.astype(np.int64) if x.dtype == np.int32 else x) for x in part)], names)
+
+
+def ranked_candidates(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), embed: Embed | None = None, held: int = CANDIDATES) -> DataFrame:
+    """``ranks`` of ``candidates``: every question with every chunk that it may be answered from, with scores and ranks.
+
+    A question's scores are ranked as arrays in one task while the chunks are ``held`` at most, so that they are moved once; beyond, by ranges over any number of tasks.
+    """
+    chunks = indexed(chunks, embed)
+    asked = kept(_asked(questions, chunks, settings, embed), "asked")
+    names = [c.split()[0] for c in RANKED.split(", ")]
+    if chunks.count() > held:
+        return ranks(_pairs(asked, chunks)).select(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        if table.num_rows:
+            yield from _all_ranks(table)
+
+    return _scored(asked, chunks).select("qid", "ids", "rows", "sims", "words").groupBy("qid").applyInArrow(run, RANKED)
+
+
+def _undominated(ids: np.ndarray, sim: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
+    """Places of those with fewer than ``k`` others ahead of them by both scores, ties to the smaller id.
+
+    Candidates come in the order of the first score; of those before, so many are ahead by the second as stand before its place in
+    the k best so far.
+    """
+    if len(ids) <= k:
+        return np.arange(len(ids))
+    first = np.lexsort((ids, -sim))
+    second = np.empty(len(ids), np.int64)
+    second[np.lexsort((ids, -words))] = np.arange(len(ids))
+    place = second[first]
+    best, out = sorted(place[:k].tolist()), list(range(k))
+    at = k
+    while at < len(place):  # up to the next one that fewer than k of the ones before beat
+        better = np.flatnonzero(place[at : at + 256] < best[-1])
+        if not len(better):
+            at += 256
+            continue
+        at += int(better[0])
+        out.append(at)
+        insort(best, int(place[at]))
+        best.pop()
+        at += 1
+    return first[out]
+
+
+def _pool(table: pa.Table, k: int) -> pa.Table:
+    """Of the candidates of one question (a row each), those that can be among its ``k`` best: of each kind and bonus those with fewer than ``k`` ahead by both scores."""
+    kinds = np.column_stack([table[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("is_row", "period", "named", "kind")])
+    ids, sim, words = (table[c].to_numpy() for c in ("chunk_id", "similarity", "bm25"))
+    classes, of = np.unique(kinds, axis=0, return_inverse=True)
+    some = [np.flatnonzero(of.ravel() == i) for i in range(len(classes))]
+    return table.take(pa.array(np.concatenate([x[_undominated(ids[x], sim[x], words[x], k)] for x in some])))
+
+
+def _pools(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                flat = [batch.column(c).slice(i, 1).flatten() for c in ("ids", "sims", "words", "rows", "periods", "named", "kinds")]
+                table = pa.Table.from_arrays([pa.array(np.full(len(flat[0]), batch["qid"][i].as_py(), np.int64)), *flat], names=[c.split()[0] for c in POOL.split(", ")])
+                yield from _pool(table, k).combine_chunks().to_batches()
+
+    return run
+
+
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each question, how many candidates of these batches stand before each of its pool by either score, in all and within its kind."""
+    counts: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, sim, words, row, pids, psim, pwords, prow = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "sims", "words", "rows", "pool_ids", "pool_sims", "pool_words", "pool_rows"))
+            row, prow = row.astype(bool), prow.astype(bool)
+            made = np.zeros((len(pids), 4), np.int64)
+            for j, (score, asked) in enumerate(((sim, psim), (words, pwords))):
+                by_kind = np.zeros((2, len(pids)), np.int64)
+                for kind in (False, True):
+                    some, at = score[row == kind], ids[row == kind]
+                    by = np.lexsort((at, -some))
+                    some, at = -some[by], at[by]
+                    low, high = np.searchsorted(some, -asked, "left"), np.searchsorted(some, -asked, "right")
+                    by_kind[int(kind)] = low
+                    for p in np.flatnonzero(high > low):  # ties go by id
+                        by_kind[int(kind), p] += np.searchsorted(at[low[p] : high[p]], pids[p])
+                made[:, j] = by_kind.sum(axis=0)
+                made[:, 2 + j] = np.where(prow, by_kind[1], by_kind[0])
+            qid = batch["qid"][i].as_py()
+            if qid in counts:
+                counts[qid][1] += made
+            else:
+                counts[qid] = [pids, made]
+        if sum(len(x[0]) for x in counts.values()) > SLICE:
+            yield from _told(counts)
+            counts = {}
+    yield from _told(counts)
+
+
+def _told(counts: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for qid, (ids, made) in counts.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qid, np.int64)), pa.array(ids), *(pa.array(made[:, j].copy()) for j in range(4))], ["qid", "chunk_id", "v", "b", "vt", "bt"])
+
+
+def _counted_best(asked: DataFrame, chunks: DataFrame, settings: Settings, k: int) -> DataFrame:
+    """The ``k`` best by the fused score, the same as ``ranks``, ``bonuses``, ``fused`` and ``top`` of all candidates.
+
+    Within a kind and bonus, one that ``k`` others beat by both scores isn't among the best. What is left of each block, and then of
+    all, is a small pool, which holds every period that the candidates have. Its exact ranks are counted over all scores, block by block.
+    """
+    if settings.row_weight < 0:  # then being ahead doesn't help
+        return top(fused(bonuses(ranks(_pairs(asked, chunks)), settings), settings), "rrf", k)
+    scores = kept(_scored(asked, chunks), "scores")
+    local = scores.mapInArrow(_pools(k), POOL)
+    pool = kept(local.groupBy("qid").applyInArrow(lambda table: _pool(table, k), POOL), "pool")
+    each = lambda c: F.transform("_all", lambda x: x[c])
+    lists = pool.groupBy("qid").agg(F.collect_list(F.struct("chunk_id", "similarity", "bm25", "is_row")).alias("_all"))
+    lists = lists.select("qid", each("chunk_id").alias("pool_ids"), each("similarity").alias("pool_sims"), each("bm25").alias("pool_words"), each("is_row").alias("pool_rows"))
+    counted_ = scores.select("qid", "ids", "sims", "words", "rows").join(lists, "qid").mapInArrow(_counting, "qid long, chunk_id long, v long, b long, vt long, bt long")
+    placed = counted_.groupBy("qid", "chunk_id").agg((F.sum("v") + 1).alias("vec_rank"), (F.sum("b") + 1).alias("bm25_rank"), F.sum("vt").alias("vec_type_rank"), F.sum("bt").alias("bm25_type_rank"))
+    facts = pool.drop("is_row", "period", "named", "kind").join(placed, ["qid", "chunk_id"]).join(_facts(chunks), "chunk_id").join(asked.drop("vector", "focus", "wanted"), "qid")
+    scored = kept(fused(bonuses(facts, settings), settings), "fused")
+    best, far = top(scored, "rrf", k), _far(scored, settings, k)
+    if far.isEmpty():
+        return best
+    # Where scores so far down decide that rounding makes equal, ids decide among candidates outside the pool too.
+    rest = top(fused(bonuses(ranks(_pairs(asked.join(far, "qid", "left_semi"), chunks)), settings), settings), "rrf", k)
+    return best.join(far, "qid", "left_anti").unionByName(rest, allowMissingColumns=True)
+
+
+def _far(scored: DataFrame, settings: Settings, k: int) -> DataFrame:
+    """(qid) of the questions whose last place is held by a score that may be, once rounded, also that of one which the holder beats by both scores."""
+    least = top(scored, "rrf", k).groupBy("qid").agg(F.min("rrf").alias("rrf"))
+    weight = F.when(F.col("is_row"), settings.row_weight).otherwise(1.0)
+    step = lambda c: weight / ((settings.rrf_k + F.col(c)) * (settings.rrf_k + F.col(c) + 1))
+    return scored.join(least, ["qid", "rrf"]).where(step("vec_type_rank") + step("bm25_type_rank") < 2e-8).select("qid").distinct()
+
+
 def _best(settings: Settings, k: int) -> Callable[[pa.Table], pa.Table]:
     """One question's ranks over all its candidates, and the ``k`` best by the fused score; the same as ``ranks``, ``bonuses``, ``fused`` and ``top``."""
 
@@ -465,10 +636,10 @@ def _best(settings: Settings, k: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), top_k: int | None = None, embed: Embed | None = None, score: Callable | None = None, wide: bool = False) -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), top_k: int | None = None, embed: Embed | None = None, score: Callable | None = None, wide: bool | None = None) -> DataFrame:
     """The best chunks of each question with all scores and ranks; ``score`` is the pairwise model that reranks where the settings ask for it.
 
-    With ``wide``, for indexes whose scores of one question no task can hold, ranks come from ranges of the scores, at the cost of writing every score twice.
+    With ``wide``, ranks are counted block by block, so that no task holds a question's scores, which are written once; else a task ranks them as arrays. Where it isn't said, an index of more than ``WIDE`` chunks is searched so. What was found is written.
 
     What a question says of periods is taken out before ranking and counts as a bonus only: every passage
     of a filing holds its period, so that it would rank headings first.
@@ -481,11 +652,12 @@ def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Setting
         return nearest(chunks, asked, k).join(_facts(chunks), "chunk_id").join(told, "qid")
     pool = max(settings.rerank_candidates, k) if settings.use_reranker else k
     schema = "qid long, chunk_id long, similarity double, bm25 double, vec_rank long, bm25_rank long, vec_type_rank long, bm25_type_rank long, bonus double, rrf double, rank long"
-    if wide:
-        best = top(fused(bonuses(ranks(_pairs(asked, chunks)), settings), settings), "rrf", pool).select(*(c.split()[0] for c in schema.split(", ")))
+    if wide or wide is None and chunks.count() > WIDE:
+        best = _counted_best(asked, chunks, settings, pool).select(*(c.split()[0] for c in schema.split(", ")))
     else:
         best = _scored(asked, chunks).join(asked.select("qid", "names_period"), "qid").groupBy("qid").applyInArrow(_best(settings, pool), schema)
-    found = best.join(_facts(chunks), "chunk_id").join(told, "qid")
+    # Written, since it is small and answers, citations and scores each read it.
+    found = kept(best, "best").join(_facts(chunks), "chunk_id").join(told, "qid")
     if not settings.use_reranker:
         return found
     return reranked(found.join(chunks.select("chunk_id", "text"), "chunk_id"), settings, k, score or overlap_scores)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -88,3 +89,47 @@ def test_texts_are_counted_in_slices(monkeypatch):
             vector[int(md5(t).hexdigest()[:8], 16) % 128] += n
         assert dict(zip(r["terms"], r["tfs"], strict=True)) == {t.decode(): n for t, n in want.items()} and r["dl"] == sum(want.values()) and r["vector"] == vector
     assert len(retrieval._counted(pa.array([], pa.binary()))) == 0
+
+
+def test_all_ranks_in_a_task_or_by_ranges(spark, monkeypatch):
+    rng = random.Random(5)
+    words = "mill pond bridge bread profit ratio notice branch".split()
+    chunks = spark.createDataFrame([(i * 7 % 101, f"d{i % 3}", " ".join(rng.choices(words, k=rng.choice([0, 2, 5]))), i % 3 == 0, "", "") for i in range(101)], "chunk_id long, doc string, text string, is_row boolean, fiscal_period string, statement_type string")
+    asked = spark.createDataFrame([(1, "mill pond", None), (2, "unheard", None), (3, "the bridge", "d1")], "qid long, question string, doc string")
+    index = retrieval.indexed(chunks)
+    monkeypatch.setattr(retrieval, "SLICE", 40)
+    rows = lambda df: sorted(map(tuple, df.select(*(c.split()[0] for c in retrieval.RANKED.split(", "))).collect()))
+    want = rows(retrieval.ranks(retrieval.candidates(asked, index)))
+    assert len(want) == 2 * 101 + 34
+    assert rows(retrieval.ranked_candidates(asked, index)) == want and rows(retrieval.ranked_candidates(asked, index, held=100)) == want
+
+
+def test_pool_holds_all_that_can_be_among_the_best():
+    rng = random.Random(3)
+    for n, k, values in ((1, 3, 5), (400, 1, 9), (400, 8, 4), (900, 5, 400), (300, 2, 1)):
+        ids, sim, words = np.array(rng.sample(range(5 * n), n)), np.array([rng.randrange(values) / 7 for _ in range(n)]), np.array([rng.randrange(values) / 3 for _ in range(n)])
+        ahead = lambda s: (s[None, :] > s[:, None]) | ((s[None, :] == s[:, None]) & (ids[None, :] < ids[:, None]))
+        want = np.flatnonzero((ahead(sim) & ahead(words)).sum(axis=1) < k)
+        assert sorted(retrieval._undominated(ids, sim, words, k)) == sorted(want), (n, k)
+
+
+def test_wide_search_writes_scores_once_and_ranks_a_pool(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    chunks = spark.createDataFrame([(i, "d", " ".join(rng.choices(words, k=rng.choice([2, 5, 9]))), i % 3 == 0, rng.choice(["", "March 31, 2026", "June 30, 2025"]), "") for i in range(3000)], "chunk_id long, doc string, text string, is_row boolean, fiscal_period string, statement_type string")
+    asked = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w4 as of March 31, 2026"), (3, "unheard")], "qid long, question string")
+    index = retrieval.indexed(chunks)
+    want = sorted(map(tuple, retrieval.search(asked, index, top_k=5).select("qid", "rank", "chunk_id", "rrf", "vec_rank", "bm25_rank", "bonus").collect()))
+    held, write = {}, retrieval.kept
+
+    def noted(df, name):
+        held[name] = write(df, name)
+        return held[name]
+
+    monkeypatch.setattr(retrieval, "kept", noted)
+    rows = lambda: sorted(map(tuple, retrieval.search(asked, index, top_k=5, wide=True).select("qid", "rank", "chunk_id", "rrf", "vec_rank", "bm25_rank", "bonus").collect()))
+    assert rows() == want and len(want) == 15 and held["pool"].count() < 900 and "places" not in held
+    # Where rounding may make scores equal, ids decide among all, by ranks of all.
+    monkeypatch.setattr(retrieval, "_far", lambda scored, settings, k: scored.select("qid").where("qid = 2").distinct())
+    held.clear()
+    assert rows() == want and "places" in held
