@@ -72,18 +72,35 @@ def _tokens(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return tokens, text
 
 
-def _counted_slice(lowered: pa.Array) -> pa.Array:
+def counts(lowered: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different tokens of lower-cased texts, as bytes; for each text and token in it, the places of both and how often it stands there; the texts' lengths."""
     tokens, text = _tokens(lowered)
     coded = tokens.dictionary_encode()
     words = coded.dictionary
-    place = np.fromiter((_place(w) for w in words.to_pylist()), np.int64, len(words))
-    pairs, counts = np.unique(text * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
+    pairs, times = np.unique(text * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
     of, word = np.divmod(pairs, max(1, len(words)))
+    return words, of, word, times, np.bincount(text, minlength=len(lowered))
+
+
+def slices(lowered: pa.Array, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Where slices of ``HELD`` bytes of texts, and of ``rows`` of them at most, begin and end."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(lowered), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(lowered):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + HELD, side="right")))
+        end = min(end, at + rows) if rows else end
+        yield at, end
+        at = end
+
+
+def _counted_slice(lowered: pa.Array) -> pa.Array:
+    words, of, word, times, dl = counts(lowered)
+    place = np.fromiter((_place(w) for w in words.to_pylist()), np.int64, len(words))
     ends = pa.array(np.searchsorted(of, np.arange(len(lowered) + 1)), pa.int32())
-    vectors = np.bincount(of * DIMENSIONS + place[word], weights=counts, minlength=len(lowered) * DIMENSIONS)
+    vectors = np.bincount(of * DIMENSIONS + place[word], weights=times, minlength=len(lowered) * DIMENSIONS)
     vector = pa.ListArray.from_arrays(pa.array(np.arange(len(lowered) + 1) * DIMENSIONS, pa.int32()), pa.array(vectors.astype(np.float64)))
     terms = words.cast(pa.binary()).cast(pa.string()).take(pa.array(word))
-    lists = [pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64))), pa.array(np.bincount(text, minlength=len(lowered)), pa.int64()), vector]
+    lists = [pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64))), pa.array(dl, pa.int64()), vector]
     return pa.StructArray.from_arrays(lists, fields=list(_LISTS))
 
 
@@ -92,12 +109,7 @@ def _counted(lowered: pa.Array) -> pa.Array:
 
     Texts are read in slices of ``HELD`` bytes, so that no batch is held as tokens.
     """
-    size = np.cumsum(pc.fill_null(pc.binary_length(lowered), 0).to_numpy(zero_copy_only=False))
-    out, at = [], 0
-    while at < len(lowered):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + HELD, side="right")))
-        out.append(_counted_slice(lowered.slice(at, end - at)))
-        at = end
+    out = [_counted_slice(lowered.slice(at, end - at)) for at, end in slices(lowered)]
     return pa.concat_arrays(out) if out else pa.array([], _LISTS)
 
 
@@ -128,13 +140,17 @@ def embedded(table: DataFrame, key: str, text: str, embed: Embed | None = None,
     return table.mapInPandas(run, schema)
 
 
+def dealt(chunks: DataFrame) -> DataFrame:
+    """Each text is read once where it lies; only a table of fewer parts than there are cores is dealt out."""
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks
+
+
 def indexed(chunks: DataFrame, embed: Embed | None = None) -> DataFrame:
     """Chunks with terms, their counts tfs, length dl, period and vector; written once. An indexed table is returned as it is."""
     if {"terms", "tfs", "dl", "period", "vector"} <= set(chunks.columns):
         return chunks
-    # Each text is read once where it lies; only a table of fewer parts than there are cores is dealt out.
-    if chunks.rdd.getNumPartitions() < (cores := chunks.sparkSession.sparkContext.defaultParallelism):
-        chunks = chunks.repartition(cores)
+    chunks = dealt(chunks)
     read = chunks.withColumn("period", P.period_key(F.col("fiscal_period"))).withColumn("_of", counted(F.col("text")))
     read = read.select("*", *(F.col("_of")[c].alias(c) for c in ("terms", "tfs", "dl"))).withColumn("_hashed", F.col("_of")["vector"]).drop("_of")
     if "chunk_type" in chunks.columns:
@@ -156,11 +172,15 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 def idf(postings_: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf); terms of more than half the corpus get a quarter of the mean."""
-    df = postings_.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return with_idf(postings_.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def with_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """``idf`` of terms whose document frequencies (term, df, …) are known."""
+    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     value = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", value.alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select(*df.columns, value.alias("idf"))
 
 
 def bm25(chunks: DataFrame, question_terms: DataFrame) -> DataFrame:
@@ -168,14 +188,9 @@ def bm25(chunks: DataFrame, question_terms: DataFrame) -> DataFrame:
     chunks = indexed(chunks)
     post, stats = postings(chunks), corpus_stats(chunks)
     asked = question_terms.groupBy("qid", "term").agg(F.count("*").alias("times")).join(idf(post, stats), "term").select("qid", "term", (F.col("idf") * F.col("times")).alias("weight"))
-    return summed(post.crossJoin(F.broadcast(stats.select("avgdl"))), asked, F.col("avgdl"))
-
-
-def summed(postings_: DataFrame, weighed: DataFrame, average: Column) -> DataFrame:
-    """(qid, chunk_id, bm25) from posting lists and the weights of the questions' terms (qid, term, weight)."""
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # The questions' terms are few beside the postings; Spark sends them to the postings where they are small enough.
-    return postings_.join(weighed, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25"))
+    return post.crossJoin(F.broadcast(stats.select("avgdl"))).join(asked, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25"))
 
 
 def common_terms(chunks: DataFrame, ratio: float = 0.5, least: int = 50) -> DataFrame:
@@ -188,13 +203,18 @@ def common_terms(chunks: DataFrame, ratio: float = 0.5, least: int = 50) -> Data
 
 def focused(questions: DataFrame, chunks: DataFrame, ratio: float = 0.5) -> DataFrame:
     """Questions with ``focus``: the telling terms of what they ask besides periods, or all of that where none is left."""
+    return focused_by(questions, common_terms(chunks, ratio))
+
+
+def focused_by(questions: DataFrame, common: DataFrame) -> DataFrame:
+    """``focused`` by common terms (term) that are known."""
     rest = questions.withColumn("_rest", P.query_periods(F.col("question"))["rest"])
     asked = rest.select("qid", F.posexplode(T.focus_tokens(F.col("_rest"))).alias("pos", "term"))
-    left = asked.join(common_terms(chunks, ratio), "term", "left_anti").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]), " ").alias("focus"))
+    left = asked.join(common, "term", "left_anti").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]), " ").alias("focus"))
     return rest.join(left, "qid", "left").withColumn("focus", F.coalesce("focus", "_rest")).drop("_rest")
 
 
-def _rounded(x: np.ndarray, places: int) -> np.ndarray:
+def rounded(x: np.ndarray, places: int) -> np.ndarray:
     """Half away from zero, as SQL rounds."""
     return np.sign(x) * np.floor(np.abs(x) * 10.0**places + 0.5) / 10.0**places
 
@@ -220,7 +240,7 @@ def cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
         here, there = np.flatnonzero(asked == size), np.flatnonzero(of == size)
         q, x = _matrix(right["asked"], here, size), _matrix(left["vector"], there, size)
         below = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
-        out[np.ix_(here, there)] = _rounded(np.divide(q @ x.T, below, out=np.zeros_like(below), where=below > 0), 6)
+        out[np.ix_(here, there)] = rounded(np.divide(q @ x.T, below, out=np.zeros_like(below), where=below > 0), 6)
     return out
 
 
@@ -247,7 +267,7 @@ def keyword_scores(left: pa.Table, right: pa.Table, average: float) -> np.ndarra
         for t, w in zip(which[at[i] : at[i + 1]], weight[at[i] : at[i + 1]], strict=True):
             a, b = begin[t], begin[t + 1]
             out[i, row[a:b]] += w * part[a:b]  # a term stands once in a chunk's list
-    return _rounded(out, 6)
+    return rounded(out, 6)
 
 
 def _cells(chunks: DataFrame, questions: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str, asked: int | None = None) -> DataFrame:
@@ -629,7 +649,7 @@ def _best(settings: Settings, k: int) -> Callable[[pa.Table], pa.Table]:
         if len(known) >= 2 and not table["names_period"][0].as_py():
             bonus = np.where(period != 0, settings.recency_boost * np.searchsorted(known, period) / (len(known) - 1), 0.0)
         bonus = bonus + np.where(named, settings.period_boost, 0.0) + np.where(kind, settings.period_boost, 0.0)
-        score = _rounded(weight / (settings.rrf_k + vec_type) + weight / (settings.rrf_k + bm_type) + bonus, 8)
+        score = rounded(weight / (settings.rrf_k + vec_type) + weight / (settings.rrf_k + bm_type) + bonus, 8)
         at = np.lexsort((ids, -score))[:k]
         return pa.table({"qid": np.full(len(at), table["qid"][0].as_py()), "chunk_id": ids[at], "similarity": sim[at], "bm25": words[at], "vec_rank": vec[at], "bm25_rank": bm[at], "vec_type_rank": vec_type[at], "bm25_type_rank": bm_type[at], "bonus": bonus[at], "rrf": score[at], "rank": np.arange(1, len(at) + 1)})
 

@@ -73,3 +73,61 @@ def test_one_bad_prompt_costs_the_others_nothing(spark):
     assert run(good[:0]).empty
     got = spark.createDataFrame([("a",), ("bad",)], "p string").select("p", serving.failure(F.pandas_udf(run, "string")("p")).alias("f")).collect()
     assert {r["p"]: r["f"] for r in got} == {"a": None, "bad": "unavailable"}
+
+
+ODD = ["net profit rose", "profit profit loss", None, "", "a notice of the branch", "İstanbul ÉTÉ profit", "loss of branch profit " * 50] + [f"common w{i % 7} v{i}" for i in range(80)]
+
+
+def test_lists_come_from_texts_or_from_counted_chunks(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, "d", t, None if i == 1 else i % 5 == 0, "", "") for i, t in enumerate(ODD)], SCHEMA)
+    counted = retrieval.indexed(chunks)
+    asked = spark.createDataFrame([("x", "profit"), ("x", "w3"), ("y", "common"), (None, "branch"), (None, "branch")], "qid string, term string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = rows(retrieval.bm25(counted, asked).select("qid", "chunk_id", "bm25"))
+    for name, given in (("texts", chunks), ("counted", counted)):
+        path = f"{tmp_path}/{name}"
+        postings.save(given, path, 4)
+        assert rows(postings.bm25(spark, path, asked)) == want and {r[0] for r in want} == {"x", "y", None}
+        assert rows(postings.common_terms(spark, path)) == rows(retrieval.common_terms(counted)) == [("common", 64)]
+        assert postings.common_terms(spark, path, least=100).count() == 0
+        stats = retrieval.corpus_stats(counted)
+        assert rows(spark.read.parquet(f"{path}/corpus").select("n", "avgdl")) == rows(stats)
+        assert rows(spark.read.parquet(f"{path}/terms").select("term", "df")) == rows(retrieval.idf(retrieval.postings(counted), stats).select("term", "df"))
+
+
+def test_a_term_of_all_chunks_is_a_row_for_each_block(spark, tmp_path):
+    _, path = stored(spark, tmp_path, [f"common v{i}" for i in range(300)])
+    held = spark.read.parquet(f"{path}/postings")
+    common = held.where("term = 'common'").select("block", "ids", "n", "total").collect()
+    assert len(common) == held.select("block").distinct().count() < 50
+    assert sorted(i for r in common for i in r["ids"]) == list(range(300)) and sum(r["n"] for r in common) == sum(r["total"] for r in common) == 300
+
+
+def test_scores_are_summed_block_by_block_for_blocks_of_questions(spark, tmp_path, monkeypatch):
+    chunks, path = stored(spark, tmp_path, ODD)
+    asked = spark.createDataFrame([(q, t) for q in range(20) for t in ("profit", "common", f"w{q % 7}")], "qid long, term string")
+    want = sorted(map(tuple, retrieval.bm25(chunks, asked).select("qid", "chunk_id", "bm25").collect()))
+    for sent in (postings.SENT, 0):
+        monkeypatch.setattr(postings, "SENT", sent)
+        monkeypatch.setattr(retrieval, "QUESTIONS", 3)
+        got = postings.bm25(spark, path, asked)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(block#\d+L?, of#", plan) and not re.search(r"hashpartitioning\([^)]*chunk_id", plan)
+        assert ("BroadcastHashJoin [term" in plan) or not sent
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_blocks_hold_so_many_chunks_and_postings(monkeypatch):
+    monkeypatch.setattr(postings, "CHUNKS", 10)
+    monkeypatch.setattr(postings, "POSTINGS", 25)
+    monkeypatch.setattr(postings.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 2})()))
+    texts = [" ".join(f"t{j}" for j in range(i % 8)) for i in range(90)] + [" ".join(f"u{j}" for j in range(60))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(91)), pa.array([True] * 91), pa.array([t.encode() for t in texts])], ["chunk_id", "plain", "text"])
+    monkeypatch.setattr(retrieval, "HELD", 40)
+    found = pa.Table.from_batches(postings._blocks(iter([batch.slice(0, 50), batch.slice(50)]))).to_pylist()
+    whole = [r for r in found if r["term"] is None]
+    assert sum(r["n"] for r in whole) == 91 and max(r["n"] for r in whole) <= 10 and [r["block"] - (2 << postings.SHIFT) for r in whole] == list(range(len(whole)))
+    sizes = {r["block"]: sum(x["n"] for x in found if x["term"] and x["block"] == r["block"]) for r in whole}
+    assert sorted(sizes.values())[-1] == 60 and sorted(sizes.values())[-2] <= 25  # a longer text fills one by itself
+    made = sorted((r["term"], i, d, f) for r in found if r["term"] for i, d, f in zip(r["ids"], r["dls"], r["tfs"], strict=True))
+    assert made == sorted((t, i, len(x.split()), 1) for i, x in enumerate(texts) for t in x.split())
