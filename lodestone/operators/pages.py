@@ -126,13 +126,14 @@ def table_rows(pages: DataFrame, key: list[str], least: int = 3, most_words: int
     return kept.select(*key, (F.row_number().over(Window.partitionBy(*key).orderBy("label_no")) - 1).cast("long").alias("row"), label.alias("label"), "vals")
 
 
-def packed(text: Column, most: int = 350, overlap: int = 60, tokenizer: K.Count | None = None) -> Column:
+def packed(text: Column, most: int = 350, overlap: int = 60, tokenizer: K.Count | None = None, counted: bool = False) -> Column:
     """Blocks packed into passages of at most ``most`` words, each begun with the last passage's tail.
 
-    A block that is too long is cut into pieces; the last piece stays open. With a ``tokenizer``, its tokens count instead of words.
+    A block that is too long is cut into pieces; the last piece stays open. With a ``tokenizer``, its tokens count instead of words, and
+    with ``counted`` each passage is a struct of text and n_tokens.
     """
     if tokenizer is not None:
-        return K.passages(T.blocks(text), most, overlap, tokenizer)
+        return K.passages(T.blocks(text), most, overlap, tokenizer, counted)
     count = T.word_count
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("out"), F.lit("").alias("cur"))

@@ -139,3 +139,24 @@ def test_what_is_counted_at_once_is_bounded():
     column = pd.Series(["word " * 2000] * 300)
     made = K._udf(lambda t: K._pieces(t, 350), count, "array<string>").func(column)
     assert [len(p) for p in made] == [6] * 300 and max(asked) <= 1 << 19 and len(asked) > 1
+
+
+def test_tokens_of_a_file_are_looked_up_and_summed(monkeypatch):
+    """Texts are cut as by counting them whole, also with white space of any kind, and what is counted doesn't grow with repeated words."""
+    rng = random.Random(9)
+    words = ["mill", "the", "'s", "a\xa0b", "\u2028", "\xa0", "x\xa0", "1,234.5", "漢字", "<|endoftext|>", "é" * 90, "".join(rng.choices("abcdeß-1", k=300))]
+    gaps = [" ", " ", " ", "  ", "\t", "\n", " \n", "\n\n", "\n \n\n", "\r\n"]
+    texts = ["", " ", "\t\t", *("".join(x for _ in range(rng.choice([1, 5, 60, 500])) for x in (rng.choice(words[: rng.choice([3, 12])]), rng.choice(gaps))) for _ in range(60))]
+    lists = [[b for b in re.split(r"\n\s*\n", t) if b] for t in texts]
+    lists += [["\t", " \n", *b, "\t", " " * 400, "\t\n" * 900, "last "] for b in lists[:30]]
+    monkeypatch.setattr(K, "REMEMBERED", 40)
+    for n, overlap in ((1, 0), (9, 4), (60, 15), (350, 60)):
+        plain = lambda walk, column: K._side_by_side(map(walk, column), SUBWORDS)
+        looked_up = lambda walk, sized, column: list(K._walked(column, walk, SUBWORDS, sized))
+        assert looked_up(lambda t: K._tail(t, n), lambda t, s: K._sized_tail(t, n, s)[0], texts) == plain(lambda t: K._tail(t, n), texts)
+        assert looked_up(lambda t: K._pieces(t, n), lambda t, s: [x for x, _ in K._sized_pieces(t, n, s)], texts) == plain(lambda t: K._pieces(t, n), texts)
+        assert looked_up(lambda b: K._counted_passages(b, n, overlap), lambda b, s: K._sized_passages(b, n, overlap, s), lists) == plain(lambda b: K._counted_passages(b, n, overlap), lists)
+    assert looked_up(K._asked, lambda t, s: s.of(t), texts) == SUBWORDS(texts)
+    asked, sizes = [], K.Sizes(lambda some: asked.extend(some) or SUBWORDS(some))
+    blocks = ["mill pond bridge bread " * 40] * 500
+    assert len(K._sized_passages(blocks, 350, 60, sizes)) > 200 and sum(map(len, asked)) < 200
