@@ -8,8 +8,8 @@ document only. Corpus statistics always come from all chunks, whatever a questio
 (``sources.index``) and given to every function here in place of the chunks. Questions and chunks
 meet in cells, a block of questions and a block of chunks each, so that neither side is ever gathered; the
 vectors' best come from each cell's best. Ranks over all candidates of a question need all their scores:
-``search`` holds them as arrays in one task, some 30 bytes for each candidate. With ``wide`` it writes all scores once, keeps of each block the
-few candidates that can be among the best, and counts their ranks block by block. ``ranked_candidates`` ranks a question's scores in one task up to
+``search`` holds them as arrays in one task, some 30 bytes for each candidate. With ``wide`` no score is moved or written: each task keeps of the chunks
+that it reads the few that can be among the best, and counts their ranks in a second reading; questions come to the tasks in blocks. ``ranked_candidates`` ranks a question's scores in one task up to
 a number of candidates; beyond, and in ``ranks``, they are ranked in ranges over any number of tasks.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import md5
 
 import numpy as np
@@ -39,7 +39,7 @@ CHUNKS, QUESTIONS = 2048, 512
 #: Candidates of a question that are ranked as arrays in one task, and rows of a batch that is made of them.
 CANDIDATES, SLICE = 4_000_000, 100_000
 #: Chunks of an index up to which a search ranks a question's scores in one task, where it isn't told otherwise.
-WIDE = 1_000_000
+WIDE = 100_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 Embed = Callable[[pd.Series], list[np.ndarray]]
 
@@ -146,18 +146,18 @@ def dealt(chunks: DataFrame) -> DataFrame:
     return chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks
 
 
-def indexed(chunks: DataFrame, embed: Embed | None = None) -> DataFrame:
-    """Chunks with terms, their counts tfs, length dl, period and vector; written once. An indexed table is returned as it is."""
+def indexed(chunks: DataFrame, embed: Embed | None = None, texts: bool = True) -> DataFrame:
+    """Chunks with terms, their counts tfs, length dl, period and vector, and with ``texts`` their text; written once. An indexed table is returned as it is."""
     if {"terms", "tfs", "dl", "period", "vector"} <= set(chunks.columns):
         return chunks
-    chunks = dealt(chunks)
+    chunks, rest = dealt(chunks), [] if texts else ["text"]
     read = chunks.withColumn("period", P.period_key(F.col("fiscal_period"))).withColumn("_of", counted(F.col("text")))
     read = read.select("*", *(F.col("_of")[c].alias(c) for c in ("terms", "tfs", "dl"))).withColumn("_hashed", F.col("_of")["vector"]).drop("_of")
     if "chunk_type" in chunks.columns:
         words = read.withColumn("_words", T.words_for_embedding(F.col("text"), F.col("chunk_type")))
-        return kept(embedded(words, "chunk_id", "_words", embed).drop("_words", "_hashed"), "index")
+        return kept(embedded(words, "chunk_id", "_words", embed).drop("_words", "_hashed", *rest), "index")
     read = read.withColumnRenamed("_hashed", "vector") if embed is None else embedded(read.drop("_hashed"), "chunk_id", "text", embed)
-    return kept(read, "index")
+    return kept(read.drop(*rest), "index")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -193,17 +193,23 @@ def bm25(chunks: DataFrame, question_terms: DataFrame) -> DataFrame:
     return post.crossJoin(F.broadcast(stats.select("avgdl"))).join(asked, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25"))
 
 
-def common_terms(chunks: DataFrame, ratio: float = 0.5, least: int = 50) -> DataFrame:
-    """Terms of more than ``ratio`` of the passages that aren't rows; none among fewer than ``least``."""
+def frequencies(chunks: DataFrame) -> DataFrame:
+    """(term, df, plain): of how many chunks a term is, and of how many of them that aren't rows; written, since common terms and weights are told by it."""
+    terms = indexed(chunks).select(F.explode("terms").alias("term"), "is_row")
+    return kept(terms.groupBy("term").agg(F.count("*").alias("df"), F.count_if(~F.col("is_row")).alias("plain")), "frequencies")
+
+
+def common_terms(chunks: DataFrame, ratio: float = 0.5, least: int = 50, known: DataFrame | None = None) -> DataFrame:
+    """Terms of more than ``ratio`` of the passages that aren't rows; none among fewer than ``least``. ``known`` are their ``frequencies``, if there already."""
     plain = indexed(chunks).where(~F.col("is_row"))
     n = plain.agg(F.count("*").alias("n"))
-    terms = plain.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = plain.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")) if known is None else known.where("plain > 0").select("term", F.col("plain").alias("df"))
     return terms.crossJoin(F.broadcast(n)).where((F.col("n") >= least) & (F.col("df") / F.col("n") > ratio)).select("term", "df")
 
 
-def focused(questions: DataFrame, chunks: DataFrame, ratio: float = 0.5) -> DataFrame:
+def focused(questions: DataFrame, chunks: DataFrame, ratio: float = 0.5, known: DataFrame | None = None) -> DataFrame:
     """Questions with ``focus``: the telling terms of what they ask besides periods, or all of that where none is left."""
-    return focused_by(questions, common_terms(chunks, ratio))
+    return focused_by(questions, common_terms(chunks, ratio, known=known))
 
 
 def focused_by(questions: DataFrame, common: DataFrame) -> DataFrame:
@@ -394,27 +400,34 @@ def top(table: DataFrame, score: str, k: int) -> DataFrame:
     return table.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
 
 
-def _asked(questions: DataFrame, chunks: DataFrame, settings: Settings, embed: Embed | None) -> DataFrame:
+def _asked(questions: DataFrame, chunks: DataFrame, settings: Settings, embed: Embed | None, known: DataFrame | None = None) -> DataFrame:
     """Questions with their facts, ``focus``, its vector, and ``wanted``, the document that they are restricted to."""
-    asked = focused(questions, chunks, settings.common_term_ratio) if settings.focus_query else questions.withColumn("focus", P.query_periods(F.col("question"))["rest"])
+    asked = focused(questions, chunks, settings.common_term_ratio, known) if settings.focus_query else questions.withColumn("focus", P.query_periods(F.col("question"))["rest"])
     asked = asked.withColumn("wanted", F.col("doc") if "doc" in questions.columns else F.lit(None).cast("string"))
     return embedded(with_facts(asked.select("qid", "question", "focus", "wanted")), "qid", "focus", embed, settings.query_prefix)
 
 
-def _weighted(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+def _weighted(asked: DataFrame, chunks: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Questions with ``weights``: their terms, each with its inverse frequency times its count."""
     terms = asked.select("qid", F.explode(T.query_tokens(F.col("focus"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    known = terms.join(idf(postings(chunks), corpus_stats(chunks)), "term")
-    lists = known.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("idf") * F.col("times")).alias("weight")))).alias("weights"))
+    stats = corpus_stats(chunks)
+    weights = terms.join(idf(postings(chunks), stats) if known is None else with_idf(known.select("term", "df"), stats), "term")
+    lists = weights.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("idf") * F.col("times")).alias("weight")))).alias("weights"))
     return asked.join(lists, "qid", "left").withColumn("weights", F.coalesce("weights", F.array().cast("array<struct<term:string,weight:double>>")))
 
 
 RANKED = "qid long, chunk_id long, is_row boolean, similarity double, bm25 double, vec_rank long, vec_type_rank long, bm25_rank long, bm25_type_rank long"
 POOL = "qid long, chunk_id long, similarity double, bm25 double, is_row boolean, period int, named boolean, kind boolean"
+PLACES = "qid long, chunk_id long, v long, b long, vt long, bt long"
+SCORING = ("chunk_id", "doc", "is_row", "statement_type", "period", "vector", "terms", "tfs", "dl")
 LISTS = "qid long, ids array<long>, sims array<double>, words array<double>, rows array<boolean>, periods array<int>, named array<boolean>, kinds array<boolean>"
 
 
-def _scored(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+def _to_score(asked: DataFrame, chunks: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    return _weighted(asked, chunks, known).select("qid", "wanted", F.col("vector").alias("asked"), "asked_periods", "asked_kind", "weights")
+
+
+def _scored(asked: DataFrame, chunks: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """For each question and block of chunks its candidates' scores and facts, as arrays."""
     average = corpus_stats(chunks).first()["avgdl"] or 1.0
     schema = pa.schema([("qid", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("words", pa.list_(pa.float64())), ("rows", pa.list_(pa.bool_())), ("periods", pa.list_(pa.int32())), ("named", pa.list_(pa.bool_())), ("kinds", pa.list_(pa.bool_()))])
@@ -437,9 +450,7 @@ def _scored(asked: DataFrame, chunks: DataFrame) -> DataFrame:
         out = pa.Table.from_arrays([right["qid"].combine_chunks(), *(pa.ListArray.from_arrays(ends, pa.array(x, f.type.value_type)) for x, f in zip(flat, list(schema)[1:], strict=True))], schema=schema)
         return out.filter(pc.greater(pc.list_value_length(out["ids"]), 0))
 
-    left = chunks.select("chunk_id", "doc", "is_row", "statement_type", "period", "vector", "terms", "tfs", "dl")
-    right = _weighted(asked, chunks).select("qid", "wanted", F.col("vector").alias("asked"), "asked_periods", "asked_kind", "weights")
-    return _cells(left, right, meet, LISTS, asked.count())
+    return _cells(chunks.select(*SCORING), _to_score(asked, chunks, known), meet, LISTS, asked.count())
 
 
 def _facts(chunks: DataFrame) -> DataFrame:
@@ -543,69 +554,158 @@ def _pool(table: pa.Table, k: int) -> pa.Table:
     return table.take(pa.array(np.concatenate([x[_undominated(ids[x], sim[x], words[x], k)] for x in some])))
 
 
-def _pools(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class _Band:
+    """Of one question's candidates of one class so far, those with fewer than ``k`` ahead by both scores, in the order of the first."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.sim, self.words = k, np.empty(0, np.int64), np.empty(0), np.empty(0)
+        self.new: list[tuple[np.ndarray, ...]] = []
+        self._raise()
+
+    def _raise(self) -> None:
+        """After so many of the first, the k-th best by the second score: whoever comes after it there, is behind k by both."""
+        best: list[tuple[float, int]] = []
+        bars = [(-np.inf, 0)] * min(self.k, len(self.ids) + 1)
+        for n, x in enumerate(zip((-self.words).tolist(), self.ids.tolist(), strict=True), 1):
+            insort(best, x)
+            del best[self.k :]
+            if n >= self.k:
+                bars.append((-best[-1][0], best[-1][1]))
+        self.bar, self.bar_id, self.down = np.array([x for x, _ in bars]), np.array([x for _, x in bars], np.int64), -self.sim
+
+    def add(self, ids: np.ndarray, sim: np.ndarray, words: np.ndarray) -> None:
+        ahead = np.searchsorted(self.down, -sim, "left")
+        bar = self.bar[ahead]
+        some = np.flatnonzero((words > bar) | ((words == bar) & (ids < self.bar_id[ahead])))
+        if len(some):
+            self.new.append((ids[some], sim[some], words[some]))
+            if sum(len(x[0]) for x in self.new) > len(self.ids) + 64:
+                self.settle()
+
+    def settle(self) -> None:
+        ids, sim, words = map(np.concatenate, zip((self.ids, self.sim, self.words), *self.new, strict=True))
+        at = _undominated(ids, sim, words, self.k)
+        at = at[np.lexsort((ids[at], -sim[at]))]
+        self.ids, self.sim, self.words, self.new = ids[at], sim[at], words[at], []
+        self._raise()
+
+
+def _read(batches: Iterator[pa.RecordBatch], asked: pa.Table, average: float) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, list[np.ndarray | None]]]:
+    """Chunks, some at a time, with all questions' scores of them, and for each question restricted to a document the places of its chunks."""
+    free = [x is None for x in asked["wanted"].to_pylist()]
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNKS):
+            left = pa.Table.from_batches([batch.slice(at, CHUNKS)])
+            yield left, cosines(left, asked), keyword_scores(left, asked, average), [None if every else _allowed(left, asked, i) for i, every in enumerate(free)]
+
+
+def _pooling(held, average: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the chunks that a task reads, those that can be among the ``k`` best of a question of the block; classes are chunks of one kind, period and statement."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                flat = [batch.column(c).slice(i, 1).flatten() for c in ("ids", "sims", "words", "rows", "periods", "named", "kinds")]
-                table = pa.Table.from_arrays([pa.array(np.full(len(flat[0]), batch["qid"][i].as_py(), np.int64)), *flat], names=[c.split()[0] for c in POOL.split(", ")])
-                yield from _pool(table, k).combine_chunks().to_batches()
+        asked, bands = held.value, {}
+        for left, sim, words, allowed in _read(batches, asked, average):
+            ids, row, period, kind = (left[c].to_numpy() for c in ("chunk_id", "is_row", "period", "statement_type"))
+            classes: dict[tuple, list[int]] = {}
+            for i, x in enumerate(zip(row.tolist(), period.tolist(), kind.tolist(), strict=True)):
+                classes.setdefault(x, []).append(i)
+            for x, places in classes.items():
+                places = np.array(places)
+                for i, only in enumerate(allowed):
+                    some = places if only is None else np.intersect1d(places, only, assume_unique=True)
+                    if len(some):
+                        if (i, x) not in bands:
+                            bands[i, x] = _Band(k)
+                        bands[i, x].add(ids[some], sim[i, some], words[i, some])
+        qids, periods, kinds = (asked[c].to_pylist() for c in ("qid", "asked_periods", "asked_kind"))
+        for (i, (row, period, kind)), band in bands.items():
+            band.settle()
+            facts = row, period, period != 0 and period in (periods[i] or []), bool(kinds[i]) and kind == kinds[i]
+            rows = {"qid": [qids[i]] * len(band.ids), "chunk_id": band.ids, "similarity": band.sim, "bm25": band.words, **{c: [x] * len(band.ids) for c, x in zip(("is_row", "period", "named", "kind"), facts, strict=True)}}
+            yield pa.RecordBatch.from_pydict(rows, schema=_POOL)
 
     return run
 
 
-def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each question, how many candidates of these batches stand before each of its pool by either score, in all and within its kind."""
-    counts: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids, sim, words, row, pids, psim, pwords, prow = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "sims", "words", "rows", "pool_ids", "pool_sims", "pool_words", "pool_rows"))
-            row, prow = row.astype(bool), prow.astype(bool)
-            made = np.zeros((len(pids), 4), np.int64)
-            for j, (score, asked) in enumerate(((sim, psim), (words, pwords))):
-                by_kind = np.zeros((2, len(pids)), np.int64)
-                for kind in (False, True):
-                    some, at = score[row == kind], ids[row == kind]
-                    by = np.lexsort((at, -some))
-                    some, at = -some[by], at[by]
-                    low, high = np.searchsorted(some, -asked, "left"), np.searchsorted(some, -asked, "right")
-                    by_kind[int(kind)] = low
-                    for p in np.flatnonzero(high > low):  # ties go by id
-                        by_kind[int(kind), p] += np.searchsorted(at[low[p] : high[p]], pids[p])
-                made[:, j] = by_kind.sum(axis=0)
-                made[:, 2 + j] = np.where(prow, by_kind[1], by_kind[0])
-            qid = batch["qid"][i].as_py()
-            if qid in counts:
-                counts[qid][1] += made
-            else:
-                counts[qid] = [pids, made]
-        if sum(len(x[0]) for x in counts.values()) > SLICE:
-            yield from _told(counts)
-            counts = {}
-    yield from _told(counts)
-
-
-def _told(counts: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for qid, (ids, made) in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qid, np.int64)), pa.array(ids), *(pa.array(made[:, j].copy()) for j in range(4))], ["qid", "chunk_id", "v", "b", "vt", "bt"])
-
-
-def _counted_best(asked: DataFrame, chunks: DataFrame, settings: Settings, k: int) -> DataFrame:
+_POOL = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("similarity", pa.float64()), ("bm25", pa.float64()), ("is_row", pa.bool_()), ("period", pa.int32()), ("named", pa.bool_()), ("kind", pa.bool_())])
+
+
+class _Places:
+    """How many candidates stand before each of a pool by one score, ties to the smaller id; counted by where they come in its order."""
+
+    def __init__(self, ids: np.ndarray, score: np.ndarray, row: np.ndarray):
+        self.order = np.lexsort((ids, -score))
+        self.ids, self.down, self.row = ids[self.order], -score[self.order], row[self.order]
+        self.found = np.zeros((2, len(ids) + 1), np.int64)
+
+    def add(self, ids: np.ndarray, score: np.ndarray, kind: int) -> None:
+        at = np.searchsorted(self.down, -score, "left")
+        equal = np.flatnonzero(np.append(self.down, np.inf)[at] == -score)
+        begins = at[equal]
+        for a in np.unique(begins):
+            some = equal[begins == a]
+            b = np.searchsorted(self.down, self.down[a], "right")
+            at[some] = a + np.searchsorted(self.ids[a:b], ids[some], "right")
+        self.found[kind] += np.bincount(at, minlength=len(self.ids) + 1)
+
+    def told(self) -> tuple[np.ndarray, np.ndarray]:
+        """Those before each in all, and of its kind."""
+        before = self.found.cumsum(axis=1)[:, :-1]
+        out = np.empty((2, len(self.ids)), np.int64)
+        out[:, self.order] = before.sum(axis=0), np.where(self.row, before[1], before[0])
+        return out[0], out[1]
+
+
+def _placing(held, pool, average: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each of the block's pool, how many of the chunks that a task reads stand before it by either score, in all and within its kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, of, places = held.value, pool.value.sort_by("qid"), {}
+        qids, flat = of["qid"].to_numpy(), [of[c].to_numpy() for c in ("chunk_id", "similarity", "bm25", "is_row")]
+        for i, q in enumerate(asked["qid"].to_pylist()):
+            a, b = np.searchsorted(qids, q, "left"), np.searchsorted(qids, q, "right")
+            if b > a:
+                ids, sim, words, row = (x[a:b] for x in flat)
+                places[i] = q, ids, _Places(ids, sim, row), _Places(ids, words, row)
+        for left, sim, words, allowed in _read(batches, asked, average):
+            ids, row = left["chunk_id"].to_numpy(), left["is_row"].to_numpy()
+            by_kind = [np.flatnonzero(~row), np.flatnonzero(row)]
+            for i, (_, _, first, second) in places.items():
+                for kind, some in enumerate(by_kind):
+                    if allowed[i] is not None:
+                        some = np.intersect1d(some, allowed[i], assume_unique=True)
+                    if len(some):
+                        first.add(ids[some], sim[i, some], kind)
+                        second.add(ids[some], words[i, some], kind)
+        for q, ids, first, second in places.values():
+            (v, vt), (b, bt) = first.told(), second.told()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q, np.int64)), *map(pa.array, (ids, v, b, vt, bt))], [c.split()[0] for c in PLACES.split(", ")])
+
+    return run
+
+
+def _counted_best(asked: DataFrame, chunks: DataFrame, settings: Settings, k: int, known: DataFrame) -> DataFrame:
     """The ``k`` best by the fused score, the same as ``ranks``, ``bonuses``, ``fused`` and ``top`` of all candidates.
 
-    Within a kind and bonus, one that ``k`` others beat by both scores isn't among the best. What is left of each block, and then of
-    all, is a small pool, which holds every period that the candidates have. Its exact ranks are counted over all scores, block by block.
+    Within a kind and bonus, one that ``k`` others beat by both scores isn't among the best. What is left of each task's chunks, and then of
+    all, is a small pool, which holds every period that the candidates have. Its exact ranks are counted over all chunks, whose scores are
+    worked out once more: they are many times the index, and cheaper made than moved. Questions come to the tasks in blocks of ``QUESTIONS``.
     """
     if settings.row_weight < 0:  # then being ahead doesn't help
         return top(fused(bonuses(ranks(_pairs(asked, chunks)), settings), settings), "rrf", k)
-    scores = kept(_scored(asked, chunks), "scores")
-    local = scores.mapInArrow(_pools(k), POOL)
+    # What both readings of the chunks score is the same, since they read the same columns of the same files.
+    average = corpus_stats(chunks).first()["avgdl"] or 1.0
+    left, right = chunks.select(*SCORING), kept(_to_score(asked, chunks, known), "weighted")
+    blocks = max(1, -(-right.count() // QUESTIONS))
+    context = chunks.sparkSession.sparkContext
+    block = lambda table, i: context.broadcast(table.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow())
+    of = [block(right, i) for i in range(blocks)]
+    every = lambda made, schema: reduce(DataFrame.unionAll, [left.mapInArrow(f, schema) for f in made])
+    local = every([_pooling(held, average, k) for held in of], POOL)
     pool = kept(local.groupBy("qid").applyInArrow(lambda table: _pool(table, k), POOL), "pool")
-    each = lambda c: F.transform("_all", lambda x: x[c])
-    lists = pool.groupBy("qid").agg(F.collect_list(F.struct("chunk_id", "similarity", "bm25", "is_row")).alias("_all"))
-    lists = lists.select("qid", each("chunk_id").alias("pool_ids"), each("similarity").alias("pool_sims"), each("bm25").alias("pool_words"), each("is_row").alias("pool_rows"))
-    counted_ = scores.select("qid", "ids", "sims", "words", "rows").join(lists, "qid").mapInArrow(_counting, "qid long, chunk_id long, v long, b long, vt long, bt long")
-    placed = counted_.groupBy("qid", "chunk_id").agg((F.sum("v") + 1).alias("vec_rank"), (F.sum("b") + 1).alias("bm25_rank"), F.sum("vt").alias("vec_type_rank"), F.sum("bt").alias("bm25_type_rank"))
+    counted_ = every([_placing(held, block(pool, i), average) for i, held in enumerate(of)], PLACES)
+    placed = kept(counted_.groupBy("qid", "chunk_id").agg((F.sum("v") + 1).alias("vec_rank"), (F.sum("b") + 1).alias("bm25_rank"), F.sum("vt").alias("vec_type_rank"), F.sum("bt").alias("bm25_type_rank")), "placed")
+    # Written, since what follows reads it more than once.
     facts = pool.drop("is_row", "period", "named", "kind").join(placed, ["qid", "chunk_id"]).join(_facts(chunks), "chunk_id").join(asked.drop("vector", "focus", "wanted"), "qid")
     scored = kept(fused(bonuses(facts, settings), settings), "fused")
     best, far = top(scored, "rrf", k), _far(scored, settings, k)
@@ -659,28 +759,34 @@ def _best(settings: Settings, k: int) -> Callable[[pa.Table], pa.Table]:
 def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), top_k: int | None = None, embed: Embed | None = None, score: Callable | None = None, wide: bool | None = None) -> DataFrame:
     """The best chunks of each question with all scores and ranks; ``score`` is the pairwise model that reranks where the settings ask for it.
 
-    With ``wide``, ranks are counted block by block, so that no task holds a question's scores, which are written once; else a task ranks them as arrays. Where it isn't said, an index of more than ``WIDE`` chunks is searched so. What was found is written.
+    With ``wide``, ranks are counted where the chunks are read, so that no task holds a question's scores and none are moved; else a task ranks them as arrays. Where it isn't said, an index of more than ``WIDE`` chunks is searched so. What was found is written.
 
     What a question says of periods is taken out before ranking and counts as a bonus only: every passage
     of a filing holds its period, so that it would rank headings first.
     """
     k = top_k or settings.top_k
-    chunks = indexed(chunks, embed)
-    asked = kept(_asked(questions, chunks, settings, embed), "asked")
+    chunks = indexed(chunks, embed, texts=settings.use_hybrid and settings.use_reranker)
+    known = frequencies(chunks) if settings.use_hybrid else None
+    asked = kept(_asked(questions, chunks, settings, embed, known), "asked")
     told = asked.select("qid", "question")
     if not settings.use_hybrid:
         return nearest(chunks, asked, k).join(_facts(chunks), "chunk_id").join(told, "qid")
     pool = max(settings.rerank_candidates, k) if settings.use_reranker else k
     schema = "qid long, chunk_id long, similarity double, bm25 double, vec_rank long, bm25_rank long, vec_type_rank long, bm25_type_rank long, bonus double, rrf double, rank long"
     if wide or wide is None and chunks.count() > WIDE:
-        best = _counted_best(asked, chunks, settings, pool).select(*(c.split()[0] for c in schema.split(", ")))
+        best = _counted_best(asked, chunks, settings, pool, known).select(*(c.split()[0] for c in schema.split(", ")))
     else:
-        best = _scored(asked, chunks).join(asked.select("qid", "names_period"), "qid").groupBy("qid").applyInArrow(_best(settings, pool), schema)
+        best = _scored(asked, chunks, known).join(asked.select("qid", "names_period"), "qid").groupBy("qid").applyInArrow(_best(settings, pool), schema)
     # Written, since it is small and answers, citations and scores each read it.
-    found = kept(best, "best").join(_facts(chunks), "chunk_id").join(told, "qid")
+    found = kept(kept(best, "best").join(_facts(chunks), "chunk_id").join(told, "qid"), "found")
     if not settings.use_reranker:
         return found
-    return reranked(found.join(chunks.select("chunk_id", "text"), "chunk_id"), settings, k, score or overlap_scores)
+    return reranked(found.join(of_found(chunks.select("chunk_id", "text"), found), "chunk_id"), settings, k, score or overlap_scores)
+
+
+def of_found(table: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose chunk_id was found; what was found is small, and sent to where the rows lie, so that no text is moved."""
+    return table.join(F.broadcast(found.select("chunk_id").distinct()), "chunk_id", "left_semi")
 
 
 def overlap_scores(questions: pd.Series, texts: pd.Series) -> pd.Series:

@@ -133,3 +133,44 @@ def test_wide_search_writes_scores_once_and_ranks_a_pool(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "_far", lambda scored, settings, k: scored.select("qid").where("qid = 2").distinct())
     held.clear()
     assert rows() == want and "places" in held
+
+
+def test_bands_and_places_over_slices_are_those_over_all():
+    """What tasks keep of their chunks, slice by slice, and what they count before it, with many ties."""
+    rng = random.Random(6)
+    for n, k, values in ((700, 8, 3), (900, 3, 400), (300, 1, 2), (5, 8, 2), (600, 2, 1)):
+        ids, sim, words, row = np.array(rng.sample(range(9 * n), n)), np.array([rng.randrange(values) / 7 for _ in range(n)]), np.array([rng.randrange(values) / 3 for _ in range(n)]), np.array([rng.random() < 0.3 for _ in range(n)])
+        band = retrieval._Band(k)
+        for at in range(0, n, 90):
+            band.add(ids[at : at + 90], sim[at : at + 90], words[at : at + 90])
+        band.settle()
+        want = ids[retrieval._undominated(ids, sim, words, k)]
+        assert sorted(band.ids) == sorted(want), (n, k)
+        some = np.isin(ids, want)
+        ahead = (sim[None, :] > sim[some][:, None]) | ((sim[None, :] == sim[some][:, None]) & (ids[None, :] < ids[some][:, None]))
+        places = retrieval._Places(ids[some], sim[some], row[some])
+        for at in range(0, n, 90):
+            for kind in (0, 1):
+                part = np.flatnonzero(row[at : at + 90] == kind) + at
+                places.add(ids[part], sim[part], kind)
+        every, within = places.told()
+        assert (every == ahead.sum(axis=1)).all() and (within == (ahead & (row[None, :] == row[some][:, None])).sum(axis=1)).all(), (n, k)
+
+
+def test_wide_search_moves_no_scores_and_no_texts(spark, monkeypatch):
+    """Beside the index, what is written doesn't grow with questions times chunks; batches that Python gets hold chunks, never lists of scores."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    chunks = spark.createDataFrame([(i, "d", " ".join(rng.choices(words, k=5)), i % 3 == 0, "", "") for i in range(4000)], "chunk_id long, doc string, text string, is_row boolean, fiscal_period string, statement_type string")
+    asked = spark.createDataFrame([(i, f"w{i % 30} w{i * 7 % 30}", None if i % 2 else "d") for i in range(40)], "qid long, question string, doc string")
+    held, write = {}, retrieval.kept
+    monkeypatch.setattr(retrieval, "kept", lambda df, name: held.setdefault(name, write(df, name)))
+    monkeypatch.setattr(retrieval, "QUESTIONS", 15)
+    got = retrieval.search(asked, chunks, top_k=3, wide=True)
+    sizes = {name: (t.count(), max((len(x) for r in t.collect() for x in r if isinstance(x, list)), default=0)) for name, t in held.items()}
+    assert "scores" not in held and "text" not in held["index"].columns
+    assert all(n <= 4000 and width <= 128 for n, width in sizes.values()), sizes
+    plan = retrieval.of_found(chunks.select("chunk_id", "text"), got)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    rows = lambda df: sorted(map(tuple, df.select("qid", "rank", "chunk_id", "rrf", "vec_rank", "bm25_rank", "vec_type_rank").collect()))
+    assert rows(got) == rows(retrieval.search(asked, chunks, top_k=3, wide=False)) and got.count() == 120
