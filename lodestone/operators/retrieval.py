@@ -146,13 +146,32 @@ def dealt(chunks: DataFrame) -> DataFrame:
     return chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks
 
 
+def _counting(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lowered, others = batch["_lowered"], batch.select(names)
+            for at, end in slices(lowered):
+                lists = _counted_slice(lowered.slice(at, end - at)).flatten()
+                yield pa.RecordBatch.from_arrays([*others.slice(at, end - at).columns, *lists], [*names, "terms", "tfs", "dl", "_hashed"])
+
+    return run
+
+
+def _with_counts(table: DataFrame) -> DataFrame:
+    """``table`` with terms, tfs, dl and ``_hashed`` of its texts in ``_lowered``; a batch's lists are given on slice by slice."""
+    names = [c for c in table.columns if c != "_lowered"]
+    made = ("terms", "array<string>"), ("tfs", "array<long>"), ("dl", "long"), ("_hashed", "array<double>")
+    return table.mapInArrow(_counting(names), table.select(*names, *(F.lit(None).cast(kind).alias(c) for c, kind in made)).schema)
+
+
 def indexed(chunks: DataFrame, embed: Embed | None = None, texts: bool = True) -> DataFrame:
     """Chunks with terms, their counts tfs, length dl, period and vector, and with ``texts`` their text; written once. An indexed table is returned as it is."""
     if {"terms", "tfs", "dl", "period", "vector"} <= set(chunks.columns):
         return chunks
     chunks, rest = dealt(chunks), [] if texts else ["text"]
-    read = chunks.withColumn("period", P.period_key(F.col("fiscal_period"))).withColumn("_of", counted(F.col("text")))
-    read = read.select("*", *(F.col("_of")[c].alias(c) for c in ("terms", "tfs", "dl"))).withColumn("_hashed", F.col("_of")["vector"]).drop("_of")
+    needed = texts or embed is not None or "chunk_type" in chunks.columns
+    read = chunks.withColumn("period", P.period_key(F.col("fiscal_period"))).withColumn("_lowered", F.lower("text").cast("binary"))
+    read = _with_counts(read if needed else read.drop("text"))
     if "chunk_type" in chunks.columns:
         words = read.withColumn("_words", T.words_for_embedding(F.col("text"), F.col("chunk_type")))
         return kept(embedded(words, "chunk_id", "_words", embed).drop("_words", "_hashed", *rest), "index")

@@ -35,3 +35,14 @@ def test_query(spark, con, sf, name):
     got = sorted(repr(tuple(r[c] for c in cols)) for r in rows)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
     assert got == sorted(map(repr, want))
+
+
+def test_texts_are_read_where_they_lie(spark, sf, monkeypatch):
+    """Only texts of what was found leave the documents: the ids found are sent to them, and nothing is sorted or dealt out by text."""
+    plans, write = [], registry.scratch.kept
+    monkeypatch.setattr(registry.scratch, "kept", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    assert registry.QUERIES["f14_context"](spark, sf).count() > 0
+    lines = plans[0].splitlines()
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "text:string" in x)
+    above = next(x for x in reversed(lines[:scan]) if "Join" in x or "Exchange" in x)
+    assert "BroadcastHashJoin" in above and "LeftSemi" in above, plans[0]

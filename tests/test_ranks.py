@@ -174,3 +174,14 @@ def test_wide_search_moves_no_scores_and_no_texts(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     rows = lambda df: sorted(map(tuple, df.select("qid", "rank", "chunk_id", "rrf", "vec_rank", "bm25_rank", "vec_type_rank").collect()))
     assert rows(got) == rows(retrieval.search(asked, chunks, top_k=3, wide=False)) and got.count() == 120
+
+
+def test_an_index_is_given_on_in_slices(monkeypatch):
+    monkeypatch.setattr(retrieval, "HELD", 100)
+    texts = [b"net profit", None, b"", b"x " * 200, b"profit of profit"] * 30
+    batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(len(texts))), "_lowered": pa.array(texts, pa.binary())})
+    made = list(retrieval._counting(["chunk_id"])(iter([batch])))
+    assert len(made) > 30 and all(b.num_rows == 1 or sum(len(texts[i] or b"") for i in b["chunk_id"].to_pylist()) <= 100 for b in made)
+    rows = pa.Table.from_batches(made)
+    whole = retrieval._counted(batch["_lowered"])
+    assert rows["chunk_id"].to_pylist() == list(range(len(texts))) and all(rows[c].combine_chunks().to_pylist() == whole.field(f).to_pylist() for c, f in (("terms", "terms"), ("tfs", "tfs"), ("dl", "dl"), ("_hashed", "vector")))
